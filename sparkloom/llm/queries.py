@@ -1,10 +1,12 @@
 """The queries of this folder and their SQL, for the entry module."""
 
-from sparkloom.llm import mixing
+from sparkloom.llm import decontaminate, mixing
 
 QUERIES = {
     "op7_mix": mixing.op7_mix,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES = {
     "op7_mix": mixing.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
 }
