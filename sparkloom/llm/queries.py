@@ -1,12 +1,14 @@
 """The queries of this folder and their SQL, for the entry module."""
 
-from sparkloom.llm import decontaminate, mixing
+from sparkloom.llm import decontaminate, mixing, warc
 
 QUERIES = {
     "op7_mix": mixing.op7_mix,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_warc": warc.op10_warc,
 }
 ORACLES = {
     "op7_mix": mixing.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
