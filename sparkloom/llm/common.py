@@ -47,8 +47,11 @@ class Workspace:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.delete(df._kept_at)
+
+    def delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -254,7 +254,8 @@ def convert(index: DataFrame, keeper: DataFrame, root: str) -> DataFrame:
                 done.append((name, n))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64()))], names=["path", "records"])
 
-    return plans.mapInArrow(write, "path string, records long")
+    # few bytes a row, but much work: a task for a few files each, which AQE would have put into one
+    return plans.repartition(shuffle_parts(index.sparkSession)).mapInArrow(write, "path string, records long")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -287,6 +288,7 @@ def archive(pages: DataFrame, **columns) -> DataFrame:
     index = work.keep(write_arc(pages, f"{work.root}/arc", **columns), "index")
     keeper = work.keep(keepers(index), "keepers")
     files = work.keep(convert(index, keeper, f"{work.root}/warc"), "files")
+    work.delete(f"{work.root}/arc")
     return read_warc(files.repartition(parts))
 
 
