@@ -1,9 +1,10 @@
 """The queries of this folder and their SQL, for the entry module."""
 
-from sparkloom.llm import decontaminate, minhash, mixing, warc
+from sparkloom.llm import decontaminate, minhash, mixing, suffix_dedup, warc
 
 QUERIES = {
     "op7_mix": mixing.op7_mix,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op8_near_duplicates": minhash.op8_near_duplicates,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_warc": warc.op10_warc,
