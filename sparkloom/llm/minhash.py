@@ -5,10 +5,11 @@ pairing: 48 minhashes make 64 tables of 6. A link of similarity s is a candidate
 (1 - (1 - s ** ROWS) ** HALF) ** 2: 0.9990 at 0.85, 0.99997 at 0.9.
 
 Documents with equal shingle sets become one representative first, so copies cost one row. Buckets are never
-expanded into all pairs: first each member meets its bucket's pivot, the member with the fullest buckets, and
-confirmed links are contracted; what still spans components meets further pivots, or all others in a bucket
-of at most ``SMALL``. A pivot leaves a bucket only when it has met all its members, and a bucket is done when its
-members are one component or have all met, so no link between bucket mates is lost, and memory stays bounded.
+expanded into all pairs. Each has a pivot, the member whose buckets are fullest, and all members meet it; confirmed
+links are contracted. Bucket mates share a pivot, so what is left to compare are, for each pivot, members that
+are still apart from it with members of other components. Their sketches (512 minhashes of two bits each)
+are compared inside the join, which lets out a pair only if it may reach the threshold (4.3 standard
+deviations below it: one link in 100,000 is missed); pairs let out are confirmed on full sets.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; with fewer than
 five words the whole sequence is the one shingle; rows with a null id are not linked (component null, kept);
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,9 +32,12 @@ from sparkloom.llm.texthash import PLACE, U, groups, mix, shingle_sets
 SHINGLE = 5
 PERCENT = 85
 HALF, ROWS = 8, 3
-SMALL, PIVOTS = 40, 16
+#: Sketch: so many minhashes, two bits each, and how many may differ at PERCENT and 4.3 standard deviations.
+SKETCH = 512
+DIFFER = int(SKETCH * 0.75 * 0.15 + 4.3 * (SKETCH * 0.8875 * 0.1125) ** 0.5)
 BROADCAST_IDS = 1_000_000
 _A = np.random.default_rng(85).integers(1, 2**63, (2 * HALF * ROWS, 2), dtype=np.uint64) * U(2) + U(1)
+_B = np.random.default_rng(86).integers(1, 2**63, (SKETCH, 2), dtype=np.uint64) * U(2) + U(1)
 DIGEST = T.StructType([*(T.StructField(c, T.LongType()) for c in ("n", "h1", "h2")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("left", "right"))])
 
 
@@ -67,12 +71,29 @@ def _digest(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists(keys[:, :HALF]), lists(keys[:, HALF:])], names=["n", "h1", "h2", "left", "right"])
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SKETCH / 32 words for each non-empty set."""
+    flat = np.concatenate(sets)
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+    out = np.zeros((len(sets), SKETCH // 32), np.uint64)
+    for i, (a, b) in enumerate(_B):
+        least = np.minimum.reduceat((flat ^ b) * a, at)
+        out[:, i // 32] |= (mix(least) >> U(62)) << U(2 * (i % 32))
+    return out
+
+
+@F.arrow_udf(T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("k", T.ArrayType(T.LongType()))]))
 def _shingles(texts: pa.Array) -> pa.Array:
     raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-    sets = [s for a, b in groups([len(t) for t in raw]) for s in shingle_sets(raw[a:b], SHINGLE)]
+    sets, words = [], []
+    for a, b in groups([len(t) for t in raw]):
+        own = shingle_sets(raw[a:b], SHINGLE)
+        sets += own
+        words.append(sketches([s if len(s) else np.zeros(1, np.uint64) for s in own]))
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+    s = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+    k = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * (SKETCH // 32)), pa.array(np.concatenate([*words, np.zeros((0, SKETCH // 32), np.uint64)]).reshape(-1).view(np.int64)))
+    return pa.StructArray.from_arrays([s, k], names=["s", "k"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -99,48 +120,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = work.keep(live.select("id").distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-    # an id that is repeated with other texts keeps one set: the one of its least text
-    sets = work.keep(texts.select("id", _shingles("text").alias("s")), "sets")
-    if sets.count() > ids.count():
-        sets = work.keep(sets.groupBy("id").agg(F.min("s").alias("s")), "sets-once")
-
-    fullest = live.groupBy("id").agg(F.sum("c").alias("fame"))
-    live = work.keep(live.drop("c").join(fullest, "id"), "active")
-    links, labels, first = None, None, True
-    while True:
-        label = F.col("id")
-        if labels is not None:
-            live = live.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-            label = F.coalesce(F.col("component"), F.col("id"))
-        live = work.keep(live.select("key", "id", "n", "fame", label.alias("label")), "labelled")
-        spread = live.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        spread = work.keep(spread.where("lo < hi").select("key", "c"), "spread")
-        live = work.keep(live.join(spread, "key"), "spanning")
-        if live.isEmpty():
-            break
-        large = live if first else live.where(F.col("c") > SMALL)
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("fame"), "id"))
-        pivots = work.keep(large.withColumn("rank", rank).where(F.col("rank") <= (1 if first else PIVOTS)).select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2")), "pivots")
-        met = large.join(pivots, "key")
-        if not first:
-            mate = live.where(F.col("c") <= SMALL)
-            met = met.select("id", "id2", "n", "n2", "label", "label2").union(
-                mate.alias("x").join(mate.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2")), "key").select("id", "id2", "n", "n2", "label", "label2")
-            )
-        alike = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-        pairs = work.keep(met.where((F.col("label") != F.col("label2")) & alike).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
-        found = work.keep(_confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        labels = components(work, links)
-        live = large.join(pivots.select("key", F.col("id2").alias("id")), ["key", "id"], "left_anti").select("key", "id", "n", "fame")
-        first = False
+    sets = work.keep(texts.select("id", _shingles("text").alias("d")).select("id", "d.*"), "sets")
+    if sets.count() > ids.count():  # an id that is repeated with other texts keeps one of its sets
+        sets = work.keep(sets.groupBy("id").agg(F.min(F.struct("s", "k")).alias("d")).select("id", "d.*"), "sets-once")
+
+    fame = live.groupBy("id").agg(F.sum("c").alias("fame"))
+    live = work.keep(live.join(fame, "id"), "famed")
+    pivots = work.keep(live.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("fame", -F.col("id"))).alias("p")).select("key", "p.*"), "pivots")
+    stars = live.join(pivots.select("key", F.col("id").alias("p"), F.col("n").alias("pn")), "key").select("p", "pn", "id", "n").distinct()
+    stars = work.keep(stars, "stars")
+    work.drop(live, pivots)
+    apart = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    links = work.keep(_confirmed(stars.where((F.col("p") != F.col("id")) & apart("n", "pn")).select(F.col("p").alias("b"), F.col("id").alias("a")), sets, percent), "links")
+    labels = components(work, links)
+
+    named = labels.withColumnRenamed("node", "id")
+    member = stars.join(named, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    member = member.join(named.select(F.col("id").alias("p"), F.col("component").alias("home")), "p", "left").withColumn("home", F.coalesce("home", "p"))
+    member = work.keep(member.join(sets.select("id", *(F.col("k")[i].alias(f"k{i}") for i in range(SKETCH // 32))), "id"), "members")
+    stray = member.where("label <> home").drop("home", "pn")
+    open_ = stray.select("p").distinct()
+    mate = work.keep(member.join(open_, "p", "left_semi").select(F.col("p").alias("p_m"), *(F.col(c).alias(f"{c}_m") for c in ("id", "n", "label", *(f"k{i}" for i in range(SKETCH // 32))))), "mates")
+    stray = work.keep(stray, "strays")
+    differ = sum((F.bit_count((d := F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}_m"))).bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for i in range(SKETCH // 32)), F.lit(0))
+    near = (stray["p"] == mate["p_m"]) & (F.col("label") != F.col("label_m")) & apart("n", "n_m") & (differ <= DIFFER)
+    pairs = stray.join(mate, near).select(F.least("id", "id_m").alias("a"), F.greatest("id", "id_m").alias("b")).distinct()
+    more = work.keep(_confirmed(pairs, sets, percent), "more")
+    if not more.isEmpty():
+        labels = components(work, links.union(more))
 
     classes = reps.select(*same, F.col("doc_id").alias("node"))
-    if labels is not None:
-        classes = classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    else:
-        classes = classes.withColumnRenamed("node", "component_id")
-    classes = work.keep(classes, "classes")
+    classes = work.keep(classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "classes")
     out = digest.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
