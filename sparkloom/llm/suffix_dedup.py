@@ -78,7 +78,8 @@ def _slices(text: bytes):
 
 
 def _anchor_rows(batches):
-    names = ["h", "run", "id", "meta"]
+    """(id, text) to runs. What repeats within a group of texts is marked as such and dealt by its place, so a common passage comes once from each group."""
+    names = ["h", "run", "id", "meta", "again"]
     for batch in batches:
         ids = batch.column(0).to_pylist()
         pieces = [(k, a, part) for k, t in zip(ids, batch.column(1).to_pylist(), strict=True) if t and len(t) >= LENGTH for a, part in _slices(t)]
@@ -94,7 +95,13 @@ def _anchor_rows(batches):
             start = np.array([p[1] for p in own]) - np.concatenate(([0], ends[:-1]))
             meta = ((q + start[which]) << 16) | ((q - lo) << 8) | (q - hi)
             doc = np.array([p[0] for p in own], np.int64)[which]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc), pa.array(meta)], names=names)
+            order = np.lexsort((meta, doc, run, h))
+            h, run, doc, meta = h[order], run[order], doc[order], meta[order]
+            once = _starts(h, run, doc, meta)
+            h, run, doc, meta = h[once], run[once], doc[once], meta[once]
+            again = ~_starts(h, run)
+            h = np.where(again, mix(doc.astype(np.uint64) * U(31) + meta.astype(np.uint64)), h)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc), pa.array(meta), pa.array(again)], names=names)
 
 
 def _whole(batches) -> pa.Table | None:
@@ -114,7 +121,12 @@ def _judge_runs(batches):
     rows = _whole(batches)
     if rows is None:
         return
-    h, run, doc, meta = (rows.column(c).to_numpy() for c in ("h", "run", "id", "meta"))
+    h, run, doc, meta, known = (rows.column(c).to_numpy() for c in ("h", "run", "id", "meta", "again"))
+    if known.any():
+        yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(meta[known]), pa.array(known[known])], names=["id", "meta", "again"])
+        h, run, doc, meta = h[~known], run[~known], doc[~known], meta[~known]
+    if not len(h):
+        return
     order = np.argsort(h, kind="stable")
     size = np.diff(np.append(np.flatnonzero(_starts(h[order])), len(h)))
     order = order[np.repeat(size > 1, size)]  # the rest is alone with its anchor
@@ -303,7 +315,7 @@ def _meet(work: Workspace, docs: DataFrame, rows: DataFrame, others: bool) -> Da
 def repeated_spans(work: Workspace, docs: DataFrame) -> DataFrame:
     """(id, text as binary) to (id, spans): the byte runs to remove, for documents that have any."""
     parts = shuffle_parts(docs.sparkSession)
-    runs = docs.select("id", "text").mapInArrow(_anchor_rows, "h long, run long, id long, meta long")
+    runs = docs.select("id", "text").mapInArrow(_anchor_rows, "h long, run long, id long, meta long, again boolean")
     judged = work.keep(runs.repartition(parts, "h").mapInArrow(_judge_runs, "id long, meta long, again boolean"), "judged")
     asked = work.keep(judged.where("not again").groupBy("id").agg(F.collect_list("meta").alias("metas")), "asked")
     once = docs.select("id", "text")
