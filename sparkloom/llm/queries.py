@@ -1,9 +1,11 @@
 """The queries of this folder and their SQL, for the entry module."""
 
-from sparkloom.llm import decontaminate, minhash, mixing, suffix_dedup, warc
+from sparkloom.llm import decontaminate, minhash, mixing, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op5_quality": quality.op5_quality,
     "op7_mix": mixing.op7_mix,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op8_near_duplicates": minhash.op8_near_duplicates,
     "op9_decontaminate": decontaminate.op9_decontaminate,
