@@ -1,9 +1,10 @@
 """The queries of this folder and their SQL, for the entry module."""
 
-from sparkloom.llm import decontaminate, minhash, mixing, quality, suffix_dedup, toxicity, warc
+from sparkloom.llm import decontaminate, html_text, minhash, mixing, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op5_quality": quality.op5_quality,
+    "op6_html_text": html_text.op6_html_text,
     "op7_mix": mixing.op7_mix,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
