@@ -1,9 +1,10 @@
 """The queries of this folder and their SQL, for the entry module."""
 
-from sparkloom.llm import decontaminate, html_text, minhash, mixing, quality, suffix_dedup, toxicity, url_filter, warc
+from sparkloom.llm import ann, decontaminate, html_text, minhash, mixing, quality, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op4_nearest": ann.op4_nearest,
     "op5_quality": quality.op5_quality,
     "op6_html_text": html_text.op6_html_text,
     "op7_mix": mixing.op7_mix,
