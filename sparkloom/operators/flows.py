@@ -199,7 +199,7 @@ def runtime_signals(requests: DataFrame) -> DataFrame:
     asked = F.concat_ws(" ", "url", F.coalesce("request_body_snippet", F.lit("")))
     seq, url, console = F.col("seq"), F.col("url"), F.coalesce("console_text", F.lit(""))
     return requests.groupBy("run_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(captcha_providers(console))))).alias("captcha_providers"),
+        F.array_compact(F.array(*(F.when(F.bool_or(console.rlike(f"(?i){p}")), label) for p, label in RUNTIME_PROVIDERS))).alias("captcha_providers"),
         distinct_list(seq, url, 20, asked.rlike(RUNTIME_AUTH)).alias("auth_request_urls"), distinct_list(seq, url, 20, asked.rlike(RUNTIME_CHALLENGE)).alias("challenge_request_urls"),
         distinct_list(seq, url, 20, asked.rlike(RUNTIME_FINGERPRINT)).alias("fingerprinting_request_urls"),
         flat_distinct(seq, F.regexp_extract_all(console, F.lit(RUNTIME_CRYPTO), 0), 20).alias("encryption_hints"), distinct_list(seq, console, 60).alias("console"),
