@@ -31,7 +31,7 @@ GAIN = 40.0
 EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.25, 1e-6
 THRESHOLD = 0.7
 #: Fitted on at most so many labelled documents, the first by a hash of their ids.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 6000
 
 
 def subwords(texts: list[bytes]):
@@ -69,21 +69,19 @@ def train(rows: list[tuple[bytes, int]], seed: int = 2) -> tuple[np.ndarray, flo
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     y = y[order]
-    found = bags([rows[k][0] for k in order])
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     emb_sq, soft_sq, bias_sq = np.full(BUCKETS, 1e-4, np.float32), np.full_like(soft, 1e-4), np.full_like(bias, 1e-4)
     weigh = np.sqrt(len(y) / (2.0 * np.bincount(y, minlength=2)))[y].astype(np.float32)
     batches = []
     for a in range(0, len(y), BATCH):
-        own = found[a : a + BATCH]
+        own = bags([rows[k][0] for k in order[a : a + BATCH]])
         bucket = np.concatenate([x for x, _ in own])
         share = np.concatenate([x for _, x in own])
         doc = np.repeat(np.arange(len(own)), [len(x) for x, _ in own])
         by = np.argsort(bucket, kind="stable")
         at = np.flatnonzero(np.concatenate(([True], bucket[by][1:] != bucket[by][:-1]))) if len(by) else np.zeros(0, np.int64)
         batches.append((a, len(own), bucket[by], share[by][:, None], doc[by].astype(np.int32), at))
-    del found
     for _ in range(EPOCHS):
         for a, n, bucket, share, doc, at in batches:
             mean = np.zeros((n, DIM), np.float32)
