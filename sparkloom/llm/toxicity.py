@@ -28,10 +28,11 @@ BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5, 6)
 DIM = 4
 GAIN = 40.0
+#: BATCH: at most 256, as a batch's documents are numbered in a byte.
 EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.25, 1e-6
 THRESHOLD = 0.7
 #: Fitted on at most so many labelled documents, the first by a hash of their ids.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 8000
 
 
 def subwords(texts: list[bytes]):
@@ -81,7 +82,7 @@ def train(rows: list[tuple[bytes, int]], seed: int = 2) -> tuple[np.ndarray, flo
         doc = np.repeat(np.arange(len(own)), [len(x) for x, _ in own])
         by = np.argsort(bucket, kind="stable")
         at = np.flatnonzero(np.concatenate(([True], bucket[by][1:] != bucket[by][:-1]))) if len(by) else np.zeros(0, np.int64)
-        batches.append((a, len(own), bucket[by], share[by][:, None], doc[by].astype(np.int32), at))
+        batches.append((a, len(own), bucket[by], share[by][:, None], doc[by].astype(np.uint8), at.astype(np.int32)))
     for _ in range(EPOCHS):
         for a, n, bucket, share, doc, at in batches:
             mean = np.zeros((n, DIM), np.float32)
