@@ -30,8 +30,12 @@ CANDIDATE = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.S
 
 def js_references(content: Column) -> Column:
     """[(ord, raw, type)] of all references in a script, in order of patterns and places."""
-    lists = [F.transform(F.regexp_extract_all(content, F.lit(p), 1), lambda raw, i, k=k, t=t: F.struct((F.lit(k) * 1_000_000 + i).cast("int").alias("seq"), raw.alias("raw"), F.lit(t).alias("type"))) for k, (p, t) in enumerate(JS_PATTERNS)]
-    return F.concat(*lists)
+
+    def of(k: int, pattern: str, type_: str) -> Column:
+        entry = lambda raw, i: F.struct((F.lit(k) * 1_000_000 + i).cast("int").alias("seq"), raw.alias("raw"), F.lit(type_).alias("type"))
+        return F.transform(F.regexp_extract_all(content, F.lit(pattern), 1), entry)
+
+    return F.concat(*(of(k, pattern, type_) for k, (pattern, type_) in enumerate(JS_PATTERNS)))
 
 
 def js_candidates(sources: DataFrame, origin_label: Column, *by: str) -> DataFrame:

@@ -20,7 +20,7 @@ def merge_first(rows: DataFrame) -> DataFrame:
     """run_id, kind, artifact_seq, chunk_index, pos, key, value: first of each key in a run and kind, ranked in order."""
     order = [F.col(c) for c in ("artifact_seq", "chunk_index", "pos")]
     once = ordered.first_wins(rows, ["run_id", "kind", "key"], order)
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("run_id", "kind").orderBy(*order)))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("run_id", "kind").orderBy(*order, "key")))
 
 
 def artifact_summaries(chunks: DataFrame) -> DataFrame:
