@@ -30,6 +30,8 @@ ALPHABET = 128.0
 #: One in so many decided URLs, by a hash, calibrates instead of teaching.
 HELD = 5
 BINS, SPAN = 200, 5
+#: A model of so many grams at most is broadcast; a larger one is joined by sorting both sides.
+BROADCAST_GRAMS = 200_000
 MILLION = 1_000_000
 
 
@@ -107,6 +109,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     own = lambda verdict: F.sum(F.when(teach & (F.col("decided") == verdict), F.col("n")).otherwise(F.lit(0).cast("long")))
     counts = work.keep(exploded.groupBy("gram").agg(own("allow").alias("a"), own("block").alias("r")), "counts")
     model = work.keep(gram_scores(work, counts, order), "model")
+    # each text meets one row for each of its characters: never the side to broadcast, which its compressed size would suggest
+    model = F.broadcast(model) if model.count() <= BROADCAST_GRAMS else model.hint("merge")
     both = counts.agg(F.sum("a"), F.sum("r")).first()
     scored = exploded.join(model, "gram").groupBy("text").agg(F.sum("score").alias("total"), F.count("*").alias("length"))
     score = F.floor(F.col("total") / F.col("length")).cast("long") if all(both) else F.lit(0).cast("long")
