@@ -250,6 +250,7 @@ def _compare(batches):
     order = order[np.lexsort((start[order], doc[order], key[order]))]
     if not len(order):
         return
+    order = order[_starts(key[order], doc[order], start[order])]  # rows that repeat an id are one document
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held: list[tuple[int, bytes]] = []
     raw = 0
