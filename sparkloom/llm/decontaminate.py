@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import table
+from sparkloom.llm.texthash import text_groups
 
 WINDOW = 13
 SHARD_BYTES = 32_000_000
@@ -95,9 +96,7 @@ def _scan_udf(shared, window: int):
         if scanner is None:
             _automata.clear()
             scanner = _automata[key] = Scanner(shared.value, window)
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        rows = [scanner.scan(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+        rows = [scanner.scan(t) for _, _, raw in text_groups(texts) for t in raw]
         return pa.array([dict(zip(("n_words", "n_hit", "items", "spans"), r, strict=True)) for r in rows], ARROW)
 
     return scan

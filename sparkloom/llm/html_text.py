@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import table
+from sparkloom.llm.texthash import text_groups
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr "
@@ -191,7 +192,7 @@ def main_text(html: str | None) -> str:
 
 @F.arrow_udf(T.StringType())
 def extract_text(html: pa.Array) -> pa.Array:
-    return pa.array([main_text(h) for h in html.to_pylist()], pa.string())
+    return pa.array([main_text(h.decode()) for _, _, raw in text_groups(html) for h in raw], pa.string())
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:

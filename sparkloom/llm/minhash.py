@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.common import Workspace, table
 from sparkloom.llm.components import components
-from sparkloom.llm.texthash import PLACE, U, groups, mix, shingle_sets
+from sparkloom.llm.texthash import PLACE, U, mix, shingle_sets, text_groups
 
 SHINGLE = 5
 PERCENT = 85
@@ -54,11 +54,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 @F.arrow_udf(DIGEST)
 def _digest(texts: pa.Array) -> pa.Array:
-    raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-    n, h1, h2 = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.uint64), np.zeros(len(raw), np.uint64)
-    keys = np.zeros((len(raw), 2 * HALF), np.uint64)
-    for a, b in groups([len(t) for t in raw]):
-        sets = shingle_sets(raw[a:b], SHINGLE)
+    n, h1, h2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    keys = np.zeros((len(texts), 2 * HALF), np.uint64)
+    for a, b, raw in text_groups(texts):
+        sets = shingle_sets(raw, SHINGLE)
         n[a:b] = [len(s) for s in sets]
         if full := [k for k, s in enumerate(sets) if len(s)]:
             chosen = [sets[k] for k in full]
@@ -67,7 +66,7 @@ def _digest(texts: pa.Array) -> pa.Array:
             flat = np.concatenate(chosen)
             h1[np.array(full) + a] = np.add.reduceat(mix(flat + U(1)), starts)
             h2[np.array(full) + a] = np.add.reduceat(mix(flat ^ U(0x5DEECE66D)), starts)
-    lists = lambda part: pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * HALF), pa.array(np.ascontiguousarray(part).reshape(-1).view(np.int64)))
+    lists = lambda part: pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * HALF), pa.array(np.ascontiguousarray(part).reshape(-1).view(np.int64)))
     return pa.StructArray.from_arrays([pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists(keys[:, :HALF]), lists(keys[:, HALF:])], names=["n", "h1", "h2", "left", "right"])
 
 
@@ -84,15 +83,14 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 @F.arrow_udf(T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("k", T.ArrayType(T.LongType()))]))
 def _shingles(texts: pa.Array) -> pa.Array:
-    raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
     sets, words = [], []
-    for a, b in groups([len(t) for t in raw]):
-        own = shingle_sets(raw[a:b], SHINGLE)
+    for _, _, raw in text_groups(texts):
+        own = shingle_sets(raw, SHINGLE)
         sets += own
         words.append(sketches([s if len(s) else np.zeros(1, np.uint64) for s in own]))
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
     s = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-    k = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * (SKETCH // 32)), pa.array(np.concatenate([*words, np.zeros((0, SKETCH // 32), np.uint64)]).reshape(-1).view(np.int64)))
+    k = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (SKETCH // 32)), pa.array(np.concatenate([*words, np.zeros((0, SKETCH // 32), np.uint64)]).reshape(-1).view(np.int64)))
     return pa.StructArray.from_arrays([s, k], names=["s", "k"])
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.common import table
 from sparkloom.llm.labelled import fold, sample
-from sparkloom.llm.texthash import INVERSE, SPACE, groups, powers, prefix_sums, word_hashes
+from sparkloom.llm.texthash import INVERSE, SPACE, groups, powers, prefix_sums, text_groups, word_hashes
 
 THRESHOLD = 0.3
 STEPS, RATE, DECAY = 250, 0.1, 1e-3
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(scores([t or b"" for t in texts.cast(pa.binary()).to_pylist()], *shared.value))
+        return pa.array(np.concatenate([np.zeros(0), *(scores(raw, *shared.value) for _, _, raw in text_groups(texts))]))
 
     return score
 

@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import Workspace, shuffle_parts, table
-from sparkloom.llm.texthash import INVERSE, U, groups, mix, powers, prefix_sums
+from sparkloom.llm.texthash import INVERSE, U, groups, mix, powers, prefix_sums, text_groups
 
 LENGTH = 100
 ANCHOR = 24
 #: Offsets of an anchor in a window are 0 .. WIDTH - 1; those up to HALF are the right side.
 WIDTH = LENGTH - ANCHOR + 1
 HALF = WIDTH // 2
-SLICE = 1 << 21
+SLICE = 1 << 19
 PLACE_BITS = U(23)
 BLOCK = 300_000
 BROADCAST_IDS = 1_000_000
@@ -79,10 +79,16 @@ def _slices(text: bytes):
 
 def _anchor_rows(batches):
     """(id, text) to runs. What repeats within a group of texts is marked as such and dealt by its place, so a common passage comes once from each group."""
-    names = ["h", "run", "id", "meta", "again"]
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        pieces = [(k, a, part) for k, t in zip(ids, batch.column(1).to_pylist(), strict=True) if t and len(t) >= LENGTH for a, part in _slices(t)]
+        for x, y, texts in text_groups(batch.column(1)):
+            yield from _runs_of([(k, a, part) for k, t in zip(ids[x:y], texts, strict=True) if len(t) >= LENGTH for a, part in _slices(t)])
+
+
+def _runs_of(pieces: list[tuple[int, int, bytes]]):
+    """(id, offset, bytes) to rows of runs."""
+    names = ["h", "run", "id", "meta", "again"]
+    if pieces:
         for x, y in groups([len(p[2]) for p in pieces]):
             own = pieces[x:y]
             ends = np.cumsum([len(p[2]) for p in own])
@@ -147,7 +153,8 @@ def _cut_runs(batches):
     """(id, text, metas) to (key, id, start, bytes): the windows of a run on either side of its anchor."""
     for batch in batches:
         keys, ids, starts, pieces = [], [], [], []
-        for doc, text, metas in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        rows = ((batch.column(0)[x + k].as_py(), text, batch.column(2)[x + k].as_py()) for x, _, texts in text_groups(batch.column(1)) for k, text in enumerate(texts))
+        for doc, text, metas in rows:
             for meta in metas:
                 q, a, c = meta >> 16, meta >> 8 & 255, meta & 255
                 if c <= HALF:
@@ -347,12 +354,12 @@ def _left(text: bytes, spans) -> bytes:
 
 @F.arrow_udf(T.StringType())
 def _left_sha256(text: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256(_left(t, s)).hexdigest() for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+    return pa.array([hashlib.sha256(_left(t, spans[a + k].as_py())).hexdigest() for a, _, texts in text_groups(text) for k, t in enumerate(texts)], pa.string())
 
 
 @F.arrow_udf(T.StringType())
 def _left_text(text: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([_left(t, s).decode("utf-8", "ignore") for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+    return pa.array([_left(t, spans[a + k].as_py()).decode("utf-8", "ignore") for a, _, texts in text_groups(text) for k, t in enumerate(texts)], pa.string())
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

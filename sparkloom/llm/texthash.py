@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Texts are hashed in groups of about so many bytes, which bounds a worker's memory.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(1729)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -48,6 +50,15 @@ def groups(sizes: list[int], limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def text_groups(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """An Arrow batch of texts as ranges and their UTF-8, nulls empty. Only one group's copies are held at a time."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    raw = texts.cast(pa.binary())
+    for a, b in groups(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+        yield a, b, [t or b"" for t in raw.slice(a, b - a).to_pylist()]
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums of BYTE * BASE ** place before each place: (sums[b] - sums[a]) * BASE ** -a hashes data[a:b]."""
     sums = np.zeros(len(data) + 1, np.uint64)

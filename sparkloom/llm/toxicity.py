@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from sparkloom.llm.common import table
 from sparkloom.llm.decontaminate import NORMAL
 from sparkloom.llm.labelled import fold, sample
-from sparkloom.llm.texthash import INVERSE, U, groups, powers, prefix_sums
+from sparkloom.llm.texthash import INVERSE, U, groups, powers, prefix_sums, text_groups
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -131,7 +131,7 @@ def scorer(spark, weight: np.ndarray, bias: float):
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        odds = log_odds([t or b"" for t in texts.cast(pa.binary()).to_pylist()], *shared.value)
+        odds = np.concatenate([np.zeros(0), *(log_odds(raw, *shared.value) for _, _, raw in text_groups(texts))])
         return pa.array(1 / (1 + np.exp(-np.clip(odds, -60, 60))))
 
     return score
