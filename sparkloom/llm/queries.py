@@ -15,6 +15,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
     "op7_mix": mixing.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_warc": warc.ORACLE,

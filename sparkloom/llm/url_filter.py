@@ -102,7 +102,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     # one row for each different host and path, as only they are read
     texts = parts.select("text", "decided").groupBy("text").agg(F.count("*").alias("n"), F.max("decided").alias("decided"))
     texts = work.keep(texts.where("text <> ''"), "texts")
-    held = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
+    held = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % HELD == 0
 
     exploded = texts.select("text", "decided", "n", held.alias("held"), F.explode(grams(F.col("text"), order)).alias("gram"))
     teach = F.col("decided").isNotNull() & ~F.col("held")
@@ -140,3 +140,41 @@ def calibrate(held: DataFrame) -> int:
 
 def op1_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def _rules_sql() -> str:
+    """CASE arms (verdict, rule) of the rules, longest first."""
+    arms = []
+    for verdict, text in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        host, slash, path = text.partition("/")
+        arms.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + path}')", verdict, text))
+    return ", ".join(f"CASE {' '.join(f"WHEN {fits} THEN '{(verdict, text)[k]}'" for fits, verdict, text in arms)} END AS {name}" for k, name in ((0, "decided"), (1, "rule")))
+
+
+def _levels_sql() -> str:
+    parts, smooth = [], lambda n, c, q: f"({n} + {PRIOR} * {q}) / ({c} + {PRIOR})"
+    for size in range(1, ORDER + 2):
+        lower = f"(SELECT *, CAST({1 / ALPHABET!r} AS DOUBLE) AS qa, CAST({1 / ALPHABET!r} AS DOUBLE) AS qr FROM counted)" if size == 1 else f"(SELECT counted.*, p{size - 1}.pa AS qa, p{size - 1}.pr AS qr FROM counted JOIN p{size - 1} ON right(counted.form, {size - 1}) = p{size - 1}.form)"
+        parts.append(f"p{size} AS (SELECT form, {smooth('a', 'ca', 'qa')} AS pa, {smooth('r', 'cr', 'qr')} AS pr FROM {lower} x WHERE len(form) = {size})")
+    return ",\n".join(parts)
+
+
+ORACLE = rf"""
+WITH split AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages
+), ruled AS (SELECT *, host || path AS text, {_rules_sql()} FROM split),
+texts AS (SELECT text, count(*) AS n, max(decided) AS decided, ('0x' || substr(md5(text), 1, 8))::UBIGINT % {HELD} = 0 AS held FROM ruled WHERE text <> '' GROUP BY text),
+gram AS (SELECT *, substring(repeat(chr(2), {ORDER}) || text || chr(3), i, {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, len(text) + 2)) AS i FROM texts) g),
+counts AS (SELECT gram, coalesce(sum(n) FILTER (WHERE NOT held AND decided = 'allow'), 0)::BIGINT AS a, coalesce(sum(n) FILTER (WHERE NOT held AND decided = 'block'), 0)::BIGINT AS r FROM gram GROUP BY gram),
+form AS (SELECT right(gram, k) AS form, sum(a)::BIGINT AS a, sum(r)::BIGINT AS r FROM counts, range(1, {ORDER + 2}) t(k) GROUP BY 1),
+context AS (SELECT left(form, len(form) - 1) AS context, len(form) AS size, sum(a)::BIGINT AS ca, sum(r)::BIGINT AS cr FROM form GROUP BY 1, 2),
+counted AS (SELECT form, a, r, ca, cr FROM form JOIN context ON left(form, len(form) - 1) = context AND len(form) = size),
+{_levels_sql()},
+ready AS (SELECT sum(a) > 0 AND sum(r) > 0 AS ok FROM counts),
+scored AS (SELECT text, CASE WHEN ok THEN floor(sum(s)::DOUBLE / count(*))::BIGINT ELSE 0 END AS score FROM (SELECT text, round((ln(pa) - ln(pr)) * {MILLION})::BIGINT AS s FROM gram JOIN p{ORDER + 1} ON gram = form) z, ready GROUP BY text, ok),
+bins AS (SELECT least(greatest(floor(score::DOUBLE / {MILLION // BINS})::BIGINT, {-SPAN * BINS}), {SPAN * BINS}) AS bin, coalesce(sum(n) FILTER (WHERE decided = 'allow'), 0) AS a, coalesce(sum(n) FILTER (WHERE decided = 'block'), 0) AS r FROM texts JOIN scored USING (text) WHERE held AND decided IS NOT NULL GROUP BY 1),
+line AS (SELECT k, coalesce(sum(r) OVER w, 0)::DOUBLE / (SELECT greatest(1, coalesce(sum(r), 0)) FROM bins) - coalesce(sum(a) OVER w, 0)::DOUBLE / (SELECT greatest(1, coalesce(sum(a), 0)) FROM bins) AS value
+  FROM range({-SPAN * BINS}, {SPAN * BINS + 2}) t(k) LEFT JOIN bins ON k = bin WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT CASE WHEN ok THEN (SELECT k FROM line ORDER BY value DESC, abs(k), k DESC LIMIT 1) * {MILLION // BINS} ELSE 0 END AS threshold FROM ready)
+SELECT page_id, url, host, path, rule, coalesce(decided, CASE WHEN coalesce(score, 0) >= threshold THEN 'allow' ELSE 'block' END) AS verdict, coalesce(score, 0)::BIGINT AS score FROM ruled LEFT JOIN scored USING (text), cut
+"""

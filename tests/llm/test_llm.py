@@ -398,7 +398,7 @@ def test_url_scores_against_python(spark):
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     got = {r.url: r.score for r in url_filter.judge(df, rules=rules).collect()}
     texts = {u: u.partition("://")[2] for u in urls}
-    held = {r.t for r in spark.createDataFrame([(t,) for t in set(texts.values())], "t string").where(F.pmod(F.xxhash64("t"), F.lit(5)) == 0).collect()}
+    held = {r.t for r in spark.createDataFrame([(t,) for t in set(texts.values())], "t string").where(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % 5 == 0).collect()}
     n = url_filter.ORDER
     count = {"allow": Counter(), "block": Counter()}
     split = lambda t: [("\2" * n + t + "\3")[k : k + n + 1] for k in range(len(t) + 1)]
