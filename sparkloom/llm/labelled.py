@@ -10,7 +10,7 @@ TRAIN_ROWS = 4000
 
 
 def fold(id_col: Column, n: int) -> Column:
-    """crc32 of the id as text, mod n; a null id falls into fold 0's complement like the empty text."""
+    """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 

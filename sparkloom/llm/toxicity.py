@@ -23,13 +23,15 @@ from sparkloom.llm.decontaminate import NORMAL
 from sparkloom.llm.labelled import fold, sample
 from sparkloom.llm.texthash import INVERSE, U, groups, powers, prefix_sums, text_groups
 
-BITS = 18
+BITS = 20
 BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5, 6)
 DIM = 4
 GAIN = 40.0
+#: An average counts so many n-grams without weight besides its own, so a few words alone decide little.
+CALM = 40
 #: BATCH: at most 256, as a batch's documents are numbered in a byte.
-EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.25, 1e-6
+EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.25, 1e-6
 THRESHOLD = 0.7
 #: Fitted on at most so many labelled documents, the first by a hash of their ids.
 TRAIN_ROWS = 8000
@@ -57,7 +59,7 @@ def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         for k in range(b - a):
             own = np.concatenate([bucket[np.searchsorted(of, k) : np.searchsorted(of, k, "right")] for bucket, of in grams])
             bucket, n = np.unique(own, return_counts=True)
-            out.append((bucket, (n / max(1, n.sum())).astype(np.float32)))
+            out.append((bucket, (n / (CALM + n.sum())).astype(np.float32)))
     return out
 
 
@@ -122,7 +124,7 @@ def log_odds(texts: list[bytes], weight: np.ndarray, bias: float) -> np.ndarray:
             edge = np.searchsorted(at, np.concatenate(([0], ends)))
             total += sums[edge[1:]] - sums[edge[:-1]]
             count += edge[1:] - edge[:-1]
-        out[a:b] = total / np.maximum(count, 1)
+        out[a:b] = total / (count + CALM)
     return out + bias
 
 
