@@ -54,6 +54,15 @@ SNIPPETS = "(?i)(auth|login|signin|signup|session|token|password|verify|mfa|2fa|
 GLOBALS = "(?i)(captcha|turnstile|grecaptcha|hcaptcha|geetest|arkose|fingerprint|device|crypto)"
 SENT = "Collected browser/device traits appear to be forwarded into telemetry, anti-abuse, or risk endpoints."
 KEPT = "Collected browser/device traits appear to support client-side risk, telemetry, or anti-automation logic."
+AUTH_TITLE = "Primary authentication flow"
+RUNTIME_STEP = "Runtime network activity"
+RUNTIME_STEP_TEXT = "Browser-assisted tracing observed auth-like requests after hydration."
+RUNTIME_CHALLENGE_TITLE = "Runtime challenge flow"
+RUNTIME_COLLECTOR = "runtime telemetry and device profiling"
+RUNTIME_PURPOSE = "Browser-assisted tracing observed likely telemetry or device-risk network activity after hydration."
+FINDING_INTROSPECTION = "GraphQL introspection is enabled"
+FINDING_TRAITS = "Client fingerprinting logic is present"
+FINDING_BARE = "No obvious captcha challenge was detected on auth flow"
 
 
 def take(text: Column, pattern: str, n: int = 12, group: int = 0) -> Column:
@@ -130,7 +139,7 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
     )
     words = F.flatten(F.transform(pages_, lambda p: F.concat(F.array(p["title"]), p["headings"], p["buttons"])))
     return rows.select(
-        "run_id", F.lit("Primary authentication flow").alias("title"), F.slice(F.array_distinct(F.filter(words, lambda x: x.rlike(AUTH))), 1, 10).alias("triggers"),
+        "run_id", F.lit(AUTH_TITLE).alias("title"), F.slice(F.array_distinct(F.filter(words, lambda x: x.rlike(AUTH))), 1, 10).alias("triggers"),
         F.flatten(F.transform(pages_, lambda p: F.transform(p["forms"], lambda f: step(p, f)))).alias("steps"), _empty("tokens").alias("tokens"), _empty("errors").alias("errors"),
         F.array_distinct(F.concat(F.transform(pages_, lambda p: F.concat_ws(": ", p["url"], p["summary"])), F.coalesce("end_evidence", none))).alias("evidence"),
     )
@@ -187,9 +196,9 @@ def security_findings(auth: DataFrame, captcha: DataFrame, fingerprint: DataFram
     traits = fingerprint.groupBy("run_id").agg(ordered_list(F.col("rule"), F.col("collector")).alias("evidence"))
     bare = auth.join(captcha.select("run_id").distinct(), "run_id", "left_anti").select("run_id", F.array("title").alias("evidence"))
     parts = [
-        open_.select("run_id", *finding(1, "medium", "GraphQL introspection is enabled"), "evidence"),
-        traits.select("run_id", *finding(2, "low", "Client fingerprinting logic is present"), "evidence"),
-        bare.select("run_id", *finding(3, "low", "No obvious captcha challenge was detected on auth flow"), "evidence"),
+        open_.select("run_id", *finding(1, "medium", FINDING_INTROSPECTION), "evidence"),
+        traits.select("run_id", *finding(2, "low", FINDING_TRAITS), "evidence"),
+        bare.select("run_id", *finding(3, "low", FINDING_BARE), "evidence"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -210,7 +219,7 @@ def merge_auth(flows: DataFrame, traces: DataFrame) -> DataFrame:
     """A captured trace's requests, storage names and messages added to the run's flow. traces: run_id, status, auth_request_urls, storage_names, console, page_errors, notes."""
     both = flows.join(traces.where("status = 'captured'"), "run_id", "left")
     seen = F.col("status").isNotNull()
-    step = F.array(F.struct(F.lit("Runtime network activity").alias("title"), F.lit("Browser-assisted tracing observed auth-like requests after hydration.").alias("description"), F.col("auth_request_urls").alias("endpoints"), F.slice("console", 1, 4).alias("evidence")))
+    step = F.array(F.struct(F.lit(RUNTIME_STEP).alias("title"), F.lit(RUNTIME_STEP_TEXT).alias("description"), F.col("auth_request_urls").alias("endpoints"), F.slice("console", 1, 4).alias("evidence")))
     more = lambda column, n, *add: F.when(seen, F.slice(F.array_distinct(F.concat(column, *(_empty(a) for a in add))), 1, n)).otherwise(F.col(column)).alias(column)
     steps = F.when(seen & (F.size(_empty("auth_request_urls")) > 0), F.concat("steps", step)).otherwise(F.col("steps")).alias("steps")
     return both.select("run_id", "title", "triggers", steps, more("tokens", 20, "storage_names"), more("errors", 16, "page_errors", "console"), more("evidence", 20, "auth_request_urls", "notes"))
@@ -225,7 +234,7 @@ def merge_captcha(flows: DataFrame, traces: DataFrame) -> DataFrame:
     more = lambda column, *add: F.when(F.col("messages").isNotNull(), F.slice(F.array_distinct(F.concat(column, *add)), 1, 12)).otherwise(F.col(column)).alias(column)
     told = both.select("run_id", "rule", F.coalesce(first, "provider").alias("provider"), "triggers", more("endpoints", "challenge_request_urls"), "request_fields", more("errors", "messages"), more("evidence", "captcha_providers", "notes"))
     new = seen.join(flows.select("run_id").distinct(), "run_id", "left_anti").select(
-        "run_id", F.lit(0).alias("rule"), F.coalesce(first, F.lit("Runtime challenge flow")).alias("provider"), F.slice("messages", 1, 6).alias("triggers"), F.col("challenge_request_urls").alias("endpoints"),
+        "run_id", F.lit(0).alias("rule"), F.coalesce(first, F.lit(RUNTIME_CHALLENGE_TITLE)).alias("provider"), F.slice("messages", 1, 6).alias("triggers"), F.col("challenge_request_urls").alias("endpoints"),
         F.array().cast("array<string>").alias("request_fields"), F.slice("messages", 1, 10).alias("errors"), F.concat("captcha_providers", "notes").alias("evidence"),
     )
     return told.unionByName(new)
@@ -239,8 +248,8 @@ def merge_fingerprint(signals: DataFrame, traces: DataFrame) -> DataFrame:
         F.when(has, F.slice(F.array_distinct(F.concat("evidence", "notes")), 1, 12)).otherwise(F.col("evidence")).alias("evidence"),
     )
     new = seen.join(signals.select("run_id").distinct(), "run_id", "left_anti").select(
-        "run_id", F.lit(0).alias("rule"), F.lit("runtime telemetry and device profiling").alias("collector"), F.col("interesting_globals").alias("data_points"), F.col("fingerprinting_request_urls").alias("destination_urls"),
-        F.lit("Browser-assisted tracing observed likely telemetry or device-risk network activity after hydration.").alias("purpose"), F.col("notes").alias("evidence"),
+        "run_id", F.lit(0).alias("rule"), F.lit(RUNTIME_COLLECTOR).alias("collector"), F.col("interesting_globals").alias("data_points"), F.col("fingerprinting_request_urls").alias("destination_urls"),
+        F.lit(RUNTIME_PURPOSE).alias("purpose"), F.col("notes").alias("evidence"),
     )
     return told.unionByName(new)
 

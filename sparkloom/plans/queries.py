@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import parsing, text, urls
-from sparkloom.operators import candidates, dom, flows, ordered, planner, retrieval, surface
+from sparkloom.operators import candidates, dom, flows, ordered, planner, probes, retrieval, surface
 from sparkloom.plans import analysis, crawl
 from sparkloom.sources import synthetic
 from sparkloom.sources.synthetic import read, view
@@ -473,19 +473,15 @@ _SITEMAP = "'<urlset><url><loc> https://n' || n_nationkey || '.example.com/p/1 <
 
 @query(rf"""SELECT run_id, array_to_string(list_filter(list_transform(list_filter(list_transform(string_split_regex(t, '\r?\n'), x -> trim(x)), x -> lower(x) LIKE 'sitemap:%'), x -> trim(regexp_replace(x, '^[Ss][Ii][Tt][Ee][Mm][Aa][Pp]:', ''))), x -> x <> ''), '|') AS sitemaps FROM (SELECT n_nationkey AS run_id, {_ROBOTS} AS t FROM nation) x""")
 def robots_sitemaps(spark, sf_dir):
-    body = F.col("body")
-    lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike("(?i)^sitemap:"))
-    found = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "(?i)^sitemap:", ""))), lambda x: x != "")
     rows = spark.sql(f"SELECT n_nationkey AS run_id, {_ROBOTS} AS body FROM {{nation}}", nation=read(spark, sf_dir, "nation"))
-    return joined(rows.select("run_id", found.alias("sitemaps")), "sitemaps")
+    return joined(rows.select("run_id", probes.robots_sitemaps(F.col("body")).alias("sitemaps")), "sitemaps")
 
 
 @query(rf"""SELECT run_id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '<loc>\s*([^<]*?)\s*</loc>', 1), x -> x), x -> x LIKE 'https://n' || run_id || '.example.com/%'), '|') AS urls FROM (SELECT n_nationkey AS run_id, {_SITEMAP} AS t FROM nation) x""")
 def sitemap_urls(spark, sf_dir):
     rows = spark.sql(f"SELECT n_nationkey AS run_id, {_SITEMAP} AS body FROM {{nation}}", nation=read(spark, sf_dir, "nation"))
     base = F.concat(F.lit("https://n"), F.col("run_id").cast("string"), F.lit(".example.com"))
-    found = F.filter(F.regexp_extract_all("body", F.lit(r"(?i)<loc>\s*([^<]*?)\s*</loc>"), 1), lambda u: urls.origin(u) == base)
-    return joined(rows.select("run_id", found.alias("urls")), "urls")
+    return joined(rows.select("run_id", probes.sitemap_locs(F.col("body"), base).alias("urls")), "urls")
 
 
 @query("""SELECT event_id, CASE WHEN d > 0 AND d < 6 AND e > 0 THEN round(e / d::DOUBLE * (6 - d))::BIGINT END AS remaining, CASE WHEN s >= 3600 THEN (s // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm' WHEN s >= 60 THEN (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS elapsed
