@@ -114,7 +114,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     both = counts.agg(F.sum("a"), F.sum("r")).first()
     scored = exploded.join(model, "gram").groupBy("text").agg(F.sum("score").alias("total"), F.count("*").alias("length"))
     score = F.floor(F.col("total") / F.col("length")).cast("long") if all(both) else F.lit(0).cast("long")
-    scored = work.keep(scored.select("text", score.alias("score")), "scores")
+    # as many rows as different URLs: joined by sorting, however small its file is compressed
+    scored = work.keep(scored.select("text", score.alias("score")), "scores").hint("merge")
 
     threshold = calibrate(texts.where(held).join(scored, "text")) if all(both) else 0
     out = parts.join(scored, "text", "left")
