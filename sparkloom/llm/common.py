@@ -58,6 +58,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, each: int = 64_000_000) -> int:
+    """Partitions for a shuffle whose tasks gather their rows: the session's number, or one for so many bytes of input if that is more.
+
+    The size is the planner's estimate, so nothing is read for it; an unknown size leaves the session's number.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_parts(df.sparkSession), size // each if size < 2**60 else 0)
+
+
 def unit_hash(col, seed: int):
     """A repeatable number in [0, 1) from the column's text and a seed: the first 52 bits of an MD5."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit("")))

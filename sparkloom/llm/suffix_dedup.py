@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import Workspace, shuffle_parts, table
+from sparkloom.llm.common import Workspace, parts_for, table
 from sparkloom.llm.texthash import INVERSE, U, groups, mix, powers, prefix_sums, text_groups
 
 LENGTH = 100
@@ -322,7 +322,7 @@ def _meet(work: Workspace, docs: DataFrame, rows: DataFrame, others: bool) -> Da
 
 def repeated_spans(work: Workspace, docs: DataFrame) -> DataFrame:
     """(id, text as binary) to (id, spans): the byte runs to remove, for documents that have any."""
-    parts = shuffle_parts(docs.sparkSession)
+    parts = parts_for(docs)
     runs = docs.select("id", "text").mapInArrow(_anchor_rows, "h long, run long, id long, meta long, again boolean")
     judged = work.keep(runs.repartition(parts, "h").mapInArrow(_judge_runs, "id long, meta long, again boolean"), "judged")
     asked = work.keep(judged.where("not again").groupBy("id").agg(F.collect_list("meta").alias("metas")), "asked")
