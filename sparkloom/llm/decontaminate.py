@@ -28,7 +28,8 @@ from sparkloom.llm.common import table
 from sparkloom.llm.texthash import text_groups
 
 WINDOW = 13
-SHARD_BYTES = 32_000_000
+#: Text of the items in one automaton: windows overlap, so it has about 13 nodes a byte, here up to some 200 MB in a worker.
+SHARD_BYTES = 300_000
 #: Word bytes stay, A-Z in lower case; all others become spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
