@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """0-based offsets of all matches, from the lengths of what lies between them."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+def offsets(pieces: Column, found: Column) -> Column:
+    """0-based offsets of matches, from the lengths of the matches and of what lies between them."""
     start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("all"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -21,12 +20,19 @@ def match_offsets(text: Column, pattern: str) -> Column:
     return F.aggregate(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m")), start, step)["all"]
 
 
+def match_offsets(text: Column, pattern: str) -> Column:
+    return offsets(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0))
+
+
 def matches(df: DataFrame, text: str, pattern: str, groups: dict[str, int], *keep: str) -> DataFrame:
-    """A row for each match: keep columns, match_seq, pos, and a column for each group. The pattern must not match the empty string."""
-    arrays = [match_offsets(F.col(text), pattern).alias("pos"), *(F.regexp_extract_all(F.col(text), F.lit(pattern), g).alias(name) for name, g in groups.items())]
-    hits = df.where(F.col(text).rlike(pattern))
-    out = hits.select(*keep, text, F.posexplode(F.arrays_zip(*arrays)).alias("match_seq", "m"))
-    return out.select(*keep, text, "match_seq", "m.pos", *(F.col("m").getField(name).alias(name) for name in groups))
+    """A row for each match: keep columns, match_seq, pos, and a column for each group.
+
+    The text is searched once for the matches and once for what lies between; groups are taken from the match alone, so the pattern must
+    not look around, nor match the empty string.
+    """
+    found = df.where(F.col(text).rlike(pattern)).select(*keep, text, F.split(text, pattern, -1).alias("_pieces"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("_found"))
+    hits = found.select(*keep, text, F.posexplode(F.arrays_zip(offsets(F.col("_pieces"), F.col("_found")).alias("pos"), F.col("_found").alias("m"))).alias("match_seq", "x"))
+    return hits.select(*keep, text, "match_seq", "x.pos", *((F.col("x.m") if g == 0 else F.regexp_extract("x.m", pattern, g)).alias(name) for name, g in groups.items()))
 
 
 def around(text: Column, pos: Column, before: int, after: int) -> Column:
