@@ -6,7 +6,7 @@ automaton holds each window of 13 item words between spaces; a single scan of a
 spaces, finds all occurrences, and the number of a space is the number of the word behind it.
 
 The items are read once to the driver in shards of at most ``SHARD_BYTES`` and each shard is broadcast; with
-more than one shard the texts are scanned once for each and the hits are merged in the executors.
+more than one shard the texts are scanned once for each, in rounds of ``HELD``, and the hits are merged in the executors.
 
 Defined cases: a null or empty text has no words and is clean; items without words are ignored; items with
 equal windows are all reported; repeated rows are judged alike; empty tables give empty results or no hits.
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import Workspace, table
 from sparkloom.llm.texthash import text_groups
 
 WINDOW = 13
 #: Text of the items in one automaton: windows overlap, so it has about 13 nodes a byte, here up to some 200 MB in a worker.
 SHARD_BYTES = 300_000
+#: Automata that a worker holds; with more shards the texts are written between rounds of so many.
+HELD = 3
 #: Word bytes stay, A-Z in lower case; all others become spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -95,7 +97,8 @@ def _scan_udf(shared, window: int):
     def scan(texts: pa.Array) -> pa.Array:
         scanner = _automata.get(key)
         if scanner is None:
-            _automata.clear()
+            while len(_automata) >= HELD:
+                del _automata[next(iter(_automata))]
             scanner = _automata[key] = Scanner(shared.value, window)
         rows = [scanner.scan(t) for _, _, raw in text_groups(texts) for t in raw]
         return pa.array([dict(zip(("n_words", "n_hit", "items", "spans"), r, strict=True)) for r in rows], ARROW)
@@ -119,12 +122,15 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, name: str = "contamination") -> DataFrame:
     """docs with a struct column: n_words, n_hit, items (ids as text, in order), spans (hit runs, in code points)."""
-    sc = docs.sparkSession.sparkContext
-    found = [_scan_udf(sc.broadcast(shard), window)(F.col(text_col)) for shard in _shards(benchmark, item_col, item_text, shard_bytes)]
-    if len(found) == 1:
-        return docs.withColumn(name, found[0])
-    out = docs.withColumn(name, F.array(*found))
-    return out.withColumn(name, _merge(F.col(name), F.col(text_col)))
+    spark, out, parts = docs.sparkSession, docs.drop(name), []
+    for k, shard in enumerate(_shards(benchmark, item_col, item_text, shard_bytes)):
+        if k and k % HELD == 0:
+            out = Workspace(spark, "decontaminate").keep(out, f"round{k // HELD}")
+        parts.append(f"_shard{k}")
+        out = out.withColumn(parts[-1], _scan_udf(spark.sparkContext.broadcast(shard), window)(F.col(text_col)))
+    if len(parts) == 1:
+        return out.withColumnRenamed(parts[0], name)
+    return out.withColumn(name, _merge(F.array(*parts), F.col(text_col))).drop(*parts)
 
 
 @F.arrow_udf(RESULT)
