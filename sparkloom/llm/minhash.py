@@ -1,8 +1,9 @@
 """Near-duplicate documents by MinHash with tensored banding, links confirmed on full shingle sets.
 
-Two small collections of ``HALF`` keys, each of ``ROWS`` minhashes, give HALF * HALF table keys by
-pairing: 48 minhashes make 64 tables of 6. A link of similarity s is a candidate with probability
-(1 - (1 - s ** ROWS) ** HALF) ** 2: 0.9990 at 0.85, 0.99997 at 0.9.
+Two small collections of ``half`` keys, each of ``rows`` minhashes, give half * half table keys by
+pairing. A link of similarity s is a candidate with probability (1 - (1 - s ** rows) ** half) ** 2. Both numbers
+come from the least similarity that links (``tables``), so that such a link is a candidate with ``RECALL`` at least: at
+0.85 48 minhashes make 64 tables of 6, at 0.8 66 make 121.
 
 Documents with equal shingle sets become one representative first, so copies cost one row. Buckets are never
 expanded into all pairs. Each has a pivot, the member whose buckets are fullest, and all members meet it; confirmed
@@ -31,43 +32,67 @@ from sparkloom.llm.texthash import PLACE, U, mix, shingle_sets, text_groups
 
 SHINGLE = 5
 PERCENT = 85
-HALF, ROWS = 8, 3
-#: Sketch: so many minhashes, two bits each, and how many may differ at PERCENT and 4.3 standard deviations.
+#: What a link of least similarity is a candidate with, and bounds of the keys in a half and of the minhashes in a key.
+RECALL = 0.999
+MOST_HALF, MOST_ROWS = 12, 3
+#: Sketch: so many minhashes, two bits each, and how many standard deviations more than expected may differ.
 SKETCH = 512
-DIFFER = int(SKETCH * 0.75 * 0.15 + 4.3 * (SKETCH * 0.8875 * 0.1125) ** 0.5)
+DEVIATIONS = 4.3
 BROADCAST_IDS = 1_000_000
-_A = np.random.default_rng(85).integers(1, 2**63, (2 * HALF * ROWS, 2), dtype=np.uint64) * U(2) + U(1)
+_A = np.random.default_rng(85).integers(1, 2**63, (2 * MOST_HALF * MOST_ROWS, 2), dtype=np.uint64) * U(2) + U(1)
 _B = np.random.default_rng(86).integers(1, 2**63, (SKETCH, 2), dtype=np.uint64) * U(2) + U(1)
 DIGEST = T.StructType([*(T.StructField(c, T.LongType()) for c in ("n", "h1", "h2")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("left", "right"))])
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """2 * HALF keys for each non-empty set."""
+def tables(percent: int) -> tuple[int, int]:
+    """(half, rows): the fewest keys of most minhashes that reach RECALL at percent."""
+    for rows in range(MOST_ROWS, 0, -1):
+        for half in range(1, MOST_HALF + 1):
+            if (1 - (1 - (percent / 100) ** rows) ** half) ** 2 >= RECALL:
+                return half, rows
+    raise ValueError(f"no {MOST_HALF} keys reach a recall of {RECALL} at {percent} percent")
+
+
+def most_differ(percent: int) -> int:
+    """How many of SKETCH minhashes may differ in their two bits at percent and DEVIATIONS standard deviations."""
+    p = 0.75 * (1 - percent / 100)
+    return int(SKETCH * p + DEVIATIONS * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+def signatures(sets: list[np.ndarray], half: int, rows: int) -> np.ndarray:
+    """2 * half keys for each non-empty set."""
     flat = np.concatenate(sets)
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    keys = np.zeros((len(sets), 2 * HALF), np.uint64)
-    for i, (a, b) in enumerate(_A):
+    keys = np.zeros((len(sets), 2 * half), np.uint64)
+    for i, (a, b) in enumerate(_A[: 2 * half * rows]):
         least = np.minimum.reduceat((flat ^ b) * a, at)
-        keys[:, i // ROWS] += mix(least) * PLACE[i % ROWS]
-    return mix(keys + np.arange(2 * HALF, dtype=np.uint64))
+        keys[:, i // rows] += mix(least) * PLACE[i % rows]
+    return mix(keys + np.arange(2 * half, dtype=np.uint64))
 
 
-@F.arrow_udf(DIGEST)
-def _digest(texts: pa.Array) -> pa.Array:
+def _digests(texts: pa.Array, half: int, rows: int) -> pa.Array:
     n, h1, h2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-    keys = np.zeros((len(texts), 2 * HALF), np.uint64)
+    keys = np.zeros((len(texts), 2 * half), np.uint64)
     for a, b, raw in text_groups(texts):
         sets = shingle_sets(raw, SHINGLE)
         n[a:b] = [len(s) for s in sets]
         if full := [k for k, s in enumerate(sets) if len(s)]:
             chosen = [sets[k] for k in full]
-            keys[np.array(full) + a] = signatures(chosen)
+            keys[np.array(full) + a] = signatures(chosen, half, rows)
             starts = np.concatenate(([0], np.cumsum([len(s) for s in chosen])[:-1]))
             flat = np.concatenate(chosen)
             h1[np.array(full) + a] = np.add.reduceat(mix(flat + U(1)), starts)
             h2[np.array(full) + a] = np.add.reduceat(mix(flat ^ U(0x5DEECE66D)), starts)
-    lists = lambda part: pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * HALF), pa.array(np.ascontiguousarray(part).reshape(-1).view(np.int64)))
-    return pa.StructArray.from_arrays([pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists(keys[:, :HALF]), lists(keys[:, HALF:])], names=["n", "h1", "h2", "left", "right"])
+    lists = lambda part: pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * half), pa.array(np.ascontiguousarray(part).reshape(-1).view(np.int64)))
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists(keys[:, :half]), lists(keys[:, half:])], names=["n", "h1", "h2", "left", "right"])
+
+
+def _digest_udf(half: int, rows: int):
+    @F.arrow_udf(DIGEST)
+    def digest(texts: pa.Array) -> pa.Array:
+        return _digests(texts, half, rows)
+
+    return digest
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -103,10 +128,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
+    """A row for each row of docs: doc_id, n_shingles, component_id, kept. percent: the least similarity that links."""
     work = Workspace(docs.sparkSession, "minhash")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    digest = work.keep(source.select("doc_id", _digest("text").alias("d")).select("doc_id", "d.*"), "digests")
+    digest = work.keep(source.select("doc_id", _digest_udf(*tables(percent))("text").alias("d")).select("doc_id", "d.*"), "digests")
     same = ["n", "h1", "h2"]
     full = digest.where("n > 0 and doc_id is not null")
     reps = work.keep(full.groupBy(*same).agg(F.min_by(F.struct("doc_id", "left", "right"), "doc_id").alias("r")).select(*same, "r.*"), "reps")
@@ -141,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mate = work.keep(member.join(open_, "p", "left_semi").select(F.col("p").alias("p_m"), *(F.col(c).alias(f"{c}_m") for c in ("id", "n", "label", *(f"k{i}" for i in range(SKETCH // 32))))), "mates")
     stray = work.keep(stray, "strays")
     differ = sum((F.bit_count((d := F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}_m"))).bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for i in range(SKETCH // 32)), F.lit(0))
-    near = (stray["p"] == mate["p_m"]) & (F.col("label") != F.col("label_m")) & apart("n", "n_m") & (differ <= DIFFER)
+    near = (stray["p"] == mate["p_m"]) & (F.col("label") != F.col("label_m")) & apart("n", "n_m") & (differ <= most_differ(percent))
     pairs = stray.join(mate, near).select(F.least("id", "id_m").alias("a"), F.greatest("id", "id_m").alias("b")).distinct()
     more = work.keep(_confirmed(pairs, sets, percent), "more")
     if not more.isEmpty():

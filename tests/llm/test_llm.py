@@ -82,6 +82,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {k: (len(sets[k]), least[k], least[k] == k) for k, _ in rows}
 
 
+def test_tables_and_sketch_limit_follow_percent():
+    assert minhash.tables(85) == (8, 3) and minhash.most_differ(85) == 88
+    for percent in range(50, 101):
+        half, rows = minhash.tables(percent)
+        s = percent / 100
+        assert (1 - (1 - s**rows) ** half) ** 2 >= minhash.RECALL and half <= minhash.MOST_HALF
+        p = 0.75 * (1 - s)
+        assert minhash.most_differ(percent) + 1 >= 512 * p + 4.3 * (512 * p * (1 - p)) ** 0.5
+    with pytest.raises(ValueError):
+        minhash.tables(10)
+
+
+def test_strays_link_at_the_percent_given(spark):
+    """Around each base lie documents of about 0.8 to it or to one another: a pivot leaves strays that only sketches find."""
+    rng, rows = random.Random(80), []
+    for base in range(60):
+        text = words(rng, 300).split()
+        for k in range(8):
+            w = list(text)
+            for _ in range(rng.randint(1, 6)):  # a changed word takes five shingles of 296
+                w[(rng.randrange(280) // 10) * 10 + 5] = words(rng, 1)
+            rows.append((base * 8 + k, " ".join(w)))
+    sets = {k: shingles(t) for k, t in rows}
+    for percent in (75, 80):
+        least = {k: k for k in sets}
+        links = [(a, b) for a in sets for b in range(a + 1, (a // 8 + 1) * 8) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        for _ in range(8):
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent=percent).collect()
+        assert len(links) > 200 and {r.doc_id: r.component_id for r in got} == least
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect())
     assert len(got) == odd.count()
