@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm import decontaminate, minhash, mixing, quality, suffix_dedup
 from sparkloom.llm.common import Workspace, table
 
+#: Similarity from which the near-duplicate stage links; 85 is op8's own.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
