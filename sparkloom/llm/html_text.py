@@ -3,10 +3,10 @@
 The standard library's parser streams a page once into lines: one for each block element's own text, with the
 number of tags in it and the containers around it. A line's ratio is its characters over its tags; the ratios are
 smoothed with a Gaussian, and lines above the threshold (the smoothed ratios' standard deviation, as both clusters
-are told apart by spread) form the content cluster. The content region is the article-like container with most
-clustered text, and all its lines but those of menus, headers, footers, sidebars, notices, adverts, forms and
+are told apart by spread) form the content cluster. The content regions are the outermost article-like containers that
+hold clustered lines, and all their lines but those of menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments are taken; without such a container, the clustered lines and what lies between them under
-the same parent are. Scripts, styles, templates and the head are never text.
+the same parent are. Scripts, styles, templates and the head are never text; formulas in MathML are, without their annotations.
 
 Defined cases: null or empty html gives an empty text; text outside any tag is a line of its own; unclosed and stray tags
 are tolerated; ``br`` is white space; white space is that of Unicode, so a no-break space counts; repeated rows
@@ -32,7 +32,7 @@ BLOCKS = frozenset(
     "html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul caption button textarea iframe".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript title svg math object iframe canvas audio video textarea select button".split())
+SILENT = frozenset("head script style template noscript title svg annotation annotation-xml object iframe canvas audio video textarea select button".split())
 ASIDE = frozenset("nav aside footer form menu dialog search".split())
 REGION = frozenset(("article", "main"))
 ROLES = {"main": "region", "article": "region", "navigation": "aside", "banner": "aside", "contentinfo": "aside", "complementary": "aside", "search": "aside", "alert": "aside", "alertdialog": "aside", "dialog": "aside"}
@@ -147,7 +147,7 @@ def clustered(sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None) -> str:
-    """The text of the page's content region."""
+    """The text of the page's content regions."""
     if not html:
         return ""
     lines, regions = page_lines(html)
@@ -160,25 +160,15 @@ def main_text(html: str | None) -> str:
         return ""
     region = np.array([line[3] for line in lines])
     if len(regions) and (usable & (region >= 0)).any():
-        def weight(mask: np.ndarray) -> np.ndarray:
-            """Characters in each region with those inside it."""
-            total = np.bincount(region[mask & (region >= 0)], sizes[mask & (region >= 0)], len(regions))
-            for k in range(len(regions) - 1, -1, -1):
-                if regions[k] >= 0:
-                    total[regions[k]] += total[k]
-            return total
-
-        held = weight(usable & content)
+        outer = np.arange(len(regions))  # of each region the outermost around it; regions are numbered from outside in
+        for k, around in enumerate(regions):
+            if around >= 0:
+                outer[k] = outer[around]
+        within = np.where(region >= 0, outer[region], -1)
+        held = usable & content & (region >= 0)
         if not held.any():
-            held = weight(usable)
-        best = int(held.argmax())
-        for k in range(best + 1, len(regions)):  # the innermost one that holds most of it
-            if regions[k] == best and held[k] >= 0.6 * held[best]:
-                best = k
-        inside = np.zeros(len(regions) + 1, bool)
-        for k in range(len(regions)):
-            inside[k] = k == best or regions[k] >= 0 and inside[regions[k]]
-        chosen = usable & inside[region]
+            held = usable & (region >= 0)
+        chosen = usable & (region >= 0) & np.isin(within, within[held])
     else:
         chosen = usable & content
         if not chosen.any():

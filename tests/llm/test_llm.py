@@ -408,6 +408,28 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+LONG = "a sentence of the page that is long enough to be its content " * 4
+
+
+@pytest.mark.parametrize("inner", ["<article>", "<main>", "<div role=main>", "<div role=article>"])
+def test_main_text_keeps_what_is_around_a_nested_article(inner):
+    end = "</" + inner[1:-1].split()[0] + ">"
+    html = f"<body><nav>Menu</nav><article><p>first {LONG}</p>{inner}<p>second {LONG}</p><p>third {LONG}</p>{end}</article><footer>Foot</footer></body>"
+    assert html_text.main_text(html) == " ".join(f"{k} {LONG}".strip() for k in ("first", "second", "third"))
+
+
+def test_main_text_keeps_sibling_articles_and_main():
+    html = f"<body><article><p>first {LONG}</p></article><p>x</p><article><p>second {LONG}</p><p>third {LONG}</p></article></body>"
+    assert html_text.main_text(html) == " ".join(f"{k} {LONG}".strip() for k in ("first", "second", "third"))
+    html = f"<body><main><p>first {LONG}</p><article><p>second {LONG}</p><p>third {LONG}</p></article></main></body>"
+    assert html_text.main_text(html) == " ".join(f"{k} {LONG}".strip() for k in ("first", "second", "third"))
+
+
+def test_main_text_keeps_formulas():
+    html = f"<article><p>{LONG}so <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding=tex>a=1</annotation></semantics></math> holds</p></article>"
+    assert html_text.main_text(html) == f"{LONG}so a=1 holds"
+
+
 def test_extract_on_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>x"), (2, None, "<p>x"), (3, "u", "<article><p>" + "word " * 300_000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = sorted((r.page_id, r.text[:5], r.n_chars) for r in html_text.extract(pages).collect())
