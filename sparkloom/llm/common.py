@@ -17,21 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own and a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to differ from all columns, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Workspace:
-    """Intermediate tables as Parquet in the shared folder: they cut lineage, survive lost executors, and go when no longer read."""
+    """Intermediate tables as Parquet in the shared folder: they cut lineage and survive lost executors.
+
+    They go when no longer read; what a lazy result still reads goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)  # only what exists can be marked
+        fs.deleteOnExit(at)
 
     def path(self, name: str) -> str:
         self.count += 1

@@ -7,16 +7,23 @@ or earlier in the same document). Three steps keep that whole and bring only wha
    offset), so a text is cut into runs of windows with one anchor each, about one for 39 bytes. A run is known by the
    hash of its anchor and of its bytes; runs of unlike anchors have no window in common.
 2. Equal runs are reduced to the first, whose copies repeat as a whole. Runs that are alone with their anchor are done.
-3. Different runs with one anchor are gathered by the 62 bytes that all windows on one side of the anchor hold,
+3. Different runs with one anchor are gathered by the bytes that all windows at some offsets of the anchor hold,
    in blocks, and go through ``classes``: a suffix array and Burrows-Wheeler order of the block, and threshold-bounded
    expansion of intervals, breadth first by backward extension: boundaries of intervals with common prefix l, mapped
    back by one symbol, are those with l + 1; it stops at length 100 or when a level has no new boundary.
    Windows in one interval then are equal, and all but the first repeat.
 
-Defined cases: a null text is empty; texts under 100 bytes keep all; rows that repeat an id are one document and
-all get its result; rows with a null id are one document that comes last; an empty table gives an empty result.
-Runs of one byte or period, very long texts and passages in a third of all rows need no special care: a run
-is at most 176 bytes, equal ones collapse, and long texts are cut in overlapping slices.
+Hot groups are split twice. A task sends a run that it has sent before on as a copy, and of an anchor's unlike runs
+only two to where the anchor's others are, which is enough to know that there are any; the rest are dealt by their
+own bytes (``_Seen``). So a passage in a third of all documents costs a few rows a task. Step 3 counts its groups, and
+one of more than ``HOT_PIECES`` is divided: the range of offsets is halved, the halves hold more bytes in common,
+and pieces that differ there part, until at a single offset a group is one window.
+
+Defined cases: a null text is empty; texts under 100 bytes keep all. A document is a row's id and text: rows that
+repeat both are one document and all get its result, rows that repeat an id with other texts are documents of their own,
+in the order of a hash of their texts. Null ids come last, in that order too. An empty table gives an empty result.
+Runs of one byte or period and very long texts need no special care: a run is at most 176 bytes, equal ones
+collapse, and long texts are cut in overlapping slices.
 """
 
 from __future__ import annotations
@@ -40,6 +47,11 @@ HALF = WIDTH // 2
 SLICE = 1 << 19
 PLACE_BITS = U(23)
 BLOCK = 300_000
+#: Unlike pieces that a group of step 3 holds at most before it is divided.
+HOT_PIECES = 512
+#: Entries of the tables in which a task finds what it has sent.
+SLOT_BITS = U(18)
+NORMAL_RUN, COPY, DEALT = 0, 1, 2
 BROADCAST_IDS = 1_000_000
 NO_ID = 2**63 - 1
 
@@ -77,37 +89,81 @@ def _slices(text: bytes):
         yield a, text[a : a + SLICE + LENGTH - 1]
 
 
+class _Seen:
+    """Runs that a task has sent, in tables of fixed size whose entries make way for later ones; what is no longer known only costs rows."""
+
+    def __init__(self):
+        slots = 1 << int(SLOT_BITS)
+        self.run, self.place = np.zeros(slots, np.uint64), np.zeros((3, slots), np.int64)
+        self.anchor, self.sample, self.unlike = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, bool)
+
+    def copies(self, h: np.ndarray, run: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which of some different runs were sent with an earlier place; place: id, tie and meta of each."""
+        name = mix(run + h * U(3))
+        slot = (name >> (U(64) - SLOT_BITS)).astype(np.int64)
+        known, (a, b, c), (x, y, z) = self.run[slot] == name, self.place[:, slot], place
+        later = known & ((x > a) | (x == a) & ((y > b) | (y == b) & (z > c)))
+        new = ~later
+        self.run[slot[new]] = name[new]
+        self.place[:, slot[new]] = place[:, new]
+        return later
+
+    def dealt(self, h: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Which of some different runs, sorted by anchor, can be dealt by their bytes, as two unlike ones of the anchor were sent to its others."""
+        if not len(h):
+            return np.zeros(0, bool)
+        slot = (h >> (U(64) - SLOT_BITS)).astype(np.int64)
+        known = self.anchor[slot] == h
+        before = np.where(known, 1 + self.unlike[slot], 0)
+        new = ~(known & (self.sample[slot] == run))
+        starts = np.flatnonzero(_starts(h))
+        upto = np.cumsum(new)
+        rank = upto - new - np.repeat((upto - new)[starts], np.diff(np.append(starts, len(h))))
+        out = new & (before + rank >= 2) | (before >= 2)
+        sent = before[starts] + np.add.reduceat(new.astype(np.int64), starts)
+        at = slot[starts]
+        self.sample[at] = np.where(known[starts], self.sample[at], run[starts])
+        self.anchor[at], self.unlike[at] = h[starts], sent >= 2
+        return out
+
+
+RUNS = "h long, run long, id long, tie long, meta long, kind byte"
+
+
 def _anchor_rows(batches):
-    """(id, text) to runs. What repeats within a group of texts is marked as such and dealt by its place, so a common passage comes once from each group."""
+    """(id, tie, text) to runs of three kinds: to be judged with their anchor's others, copies, and those dealt by their bytes."""
+    seen = _Seen()
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for x, y, texts in text_groups(batch.column(1)):
-            yield from _runs_of([(k, a, part) for k, t in zip(ids[x:y], texts, strict=True) if len(t) >= LENGTH for a, part in _slices(t)])
+        ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for x, y, texts in text_groups(batch.column(2)):
+            yield from _runs_of([(k, e, a, part) for k, e, t in zip(ids[x:y], ties[x:y], texts, strict=True) if len(t) >= LENGTH for a, part in _slices(t)], seen)
 
 
-def _runs_of(pieces: list[tuple[int, int, bytes]]):
-    """(id, offset, bytes) to rows of runs."""
-    names = ["h", "run", "id", "meta", "again"]
+def _runs_of(pieces: list[tuple[int, int, int, bytes]], seen: _Seen):
+    """(id, tie, offset, bytes) to rows of runs."""
     if pieces:
-        for x, y in groups([len(p[2]) for p in pieces]):
+        for x, y in groups([len(p[3]) for p in pieces]):
             own = pieces[x:y]
-            ends = np.cumsum([len(p[2]) for p in own])
-            data = np.frombuffer(b"".join(p[2] for p in own), np.uint8)
+            ends = np.cumsum([len(p[3]) for p in own])
+            data = np.frombuffer(b"".join(p[3] for p in own), np.uint8)
             valid = np.ones(len(data), bool)
             for e in ends:
                 valid[max(0, e - LENGTH + 1) : e] = False
             lo, hi, q, h, run = anchors(data, valid)
             which = np.searchsorted(ends, lo, "right")
-            start = np.array([p[1] for p in own]) - np.concatenate(([0], ends[:-1]))
+            start = np.array([p[2] for p in own]) - np.concatenate(([0], ends[:-1]))
             meta = ((q + start[which]) << 16) | ((q - lo) << 8) | (q - hi)
-            doc = np.array([p[0] for p in own], np.int64)[which]
-            order = np.lexsort((meta, doc, run, h))
-            h, run, doc, meta = h[order], run[order], doc[order], meta[order]
-            once = _starts(h, run, doc, meta)
-            h, run, doc, meta = h[once], run[once], doc[once], meta[once]
-            again = ~_starts(h, run)
-            h = np.where(again, mix(doc.astype(np.uint64) * U(31) + meta.astype(np.uint64)), h)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc), pa.array(meta), pa.array(again)], names=names)
+            doc, tie = (np.array([p[k] for p in own], np.int64)[which] for k in (0, 1))
+            order = np.lexsort((meta, tie, doc, run, h))
+            h, run, doc, tie, meta = h[order], run[order], doc[order], tie[order], meta[order]
+            once = _starts(h, run, doc, tie, meta)
+            h, run, doc, tie, meta = h[once], run[once], doc[once], tie[once], meta[once]
+            kind = np.full(len(h), COPY, np.int8)
+            first = np.flatnonzero(_starts(h, run))
+            first = first[~seen.copies(h[first], run[first], np.stack((doc[first], tie[first], meta[first])))]
+            kind[first] = np.where(seen.dealt(h[first], run[first]), DEALT, NORMAL_RUN)
+            columns = h.view(np.int64), run.view(np.int64), doc, tie, meta, kind
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "run", "id", "tie", "meta", "kind"])
 
 
 def _whole(batches) -> pa.Table | None:
@@ -123,48 +179,100 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def _judge_runs(batches):
-    """All runs of some anchors to (id, meta, again): copies of an equal run, and first runs with unlike mates, to be compared."""
+    """All runs of some anchors, and all dealt ones of some bytes, to (id, tie, meta, again): copies of an equal run, and first runs with unlike mates, to be compared."""
     rows = _whole(batches)
     if rows is None:
         return
-    h, run, doc, meta, known = (rows.column(c).to_numpy() for c in ("h", "run", "id", "meta", "again"))
-    if known.any():
-        yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(meta[known]), pa.array(known[known])], names=["id", "meta", "again"])
-        h, run, doc, meta = h[~known], run[~known], doc[~known], meta[~known]
+    columns = h, run, doc, tie, meta, kind = [rows.column(c).to_numpy() for c in ("h", "run", "id", "tie", "meta", "kind")]
+    copy = kind == COPY
+
+    def found(at: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tie[at]), pa.array(meta[at]), pa.array(again)], names=["id", "tie", "meta", "again"])
+
+    if copy.any():
+        yield found(copy, np.ones(copy.sum(), bool))
+        h, run, doc, tie, meta, kind = (c[~copy] for c in columns)
     if not len(h):
         return
-    order = np.argsort(h, kind="stable")
-    size = np.diff(np.append(np.flatnonzero(_starts(h[order])), len(h)))
-    order = order[np.repeat(size > 1, size)]  # the rest is alone with its anchor
-    order = order[np.lexsort((meta[order], doc[order], run[order], h[order]))]
-    h, run, doc, meta = h[order], run[order], doc[order], meta[order]
-    once = _starts(h, run, doc, meta)
-    h, run, doc, meta = h[once], run[once], doc[once], meta[once]
-    if not len(h):
+    order = np.lexsort((h, kind))
+    size = np.diff(np.append(np.flatnonzero(_starts(kind[order], h[order])), len(h)))
+    order = order[np.repeat(size > 1, size) | (kind[order] == DEALT)]  # the rest is alone with its anchor
+    order = order[np.lexsort((meta[order], tie[order], doc[order], run[order], h[order], kind[order]))]
+    order = order[_starts(kind[order], h[order], run[order], doc[order], tie[order], meta[order])] if len(order) else order
+    if not len(order):
         return
-    first = _starts(h, run)
-    group = np.cumsum(_starts(h)) - 1
-    unlike = np.bincount(group[first])[group] > 1
+    first = _starts(kind[order], h[order], run[order])
+    group = np.cumsum(_starts(kind[order], h[order])) - 1
+    unlike = (np.bincount(group[first])[group] > 1) | (kind[order] == DEALT)
     chosen = ~first | unlike
-    yield pa.RecordBatch.from_arrays([pa.array(doc[chosen]), pa.array(meta[chosen]), pa.array(~first[chosen])], names=["id", "meta", "again"])
+    yield found(order[chosen], ~first[chosen])
+
+
+PIECES = "key long, u byte, v byte, off byte, id long, tie long, lo long, hi long, piece binary, again boolean"
+
+
+def _key(u: int, v: int, held: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(bytes((u, v)) + held, digest_size=8).digest(), "little", signed=True)
+
+
+class _Pieces:
+    """Rows of windows whose anchors lie at offsets u to v, and so hold the same bytes of the anchor's surroundings. A piece that the task has sent with an earlier place goes on as a copy."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.sent: dict[bytes, tuple[int, int, int]] = {}
+
+    def add(self, u: int, v: int, off: int, low: int, doc: int, tie: int, lo: int, text: bytes) -> None:
+        """text: the bytes of windows at offsets off (the first window's) to low of which some lie in u to v; lo: the first window's start."""
+        a, c = min(off, v), max(low, u)
+        if a < c:
+            return
+        lo, piece = lo + off - a, text[off - a : off - c + LENGTH]
+        place, again = (doc, tie, lo), False
+        name = bytes((u, v)) + piece
+        held = self.sent.get(name)
+        if held is None or place < held:
+            if len(self.sent) >= 20_000:
+                self.sent.clear()
+            self.sent[name] = place
+        else:
+            again = place > held
+        # offset o of a window is its distance to the anchor, so text begins off bytes before it
+        key = None if again else _key(u, v, text[off - u : off - v + LENGTH])
+        self.rows.append((key, u, v, a, doc, tie, lo, lo + a - c, None if again else piece, again))
+
+    def batch(self) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int8(), pa.int8(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+        columns = list(zip(*self.rows, strict=True)) if self.rows else [()] * len(types)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
 
 def _cut_runs(batches):
-    """(id, text, metas) to (key, id, start, bytes): the windows of a run on either side of its anchor."""
+    """(id, tie, text, metas) to pieces: the windows of a run on either side of its anchor."""
+    out = _Pieces()
+    for batch in batches:
+        for x, _, texts in text_groups(batch.column(2)):
+            for k, text in enumerate(texts, x):
+                doc, tie = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                for meta in batch.column(3)[k].as_py():
+                    q, a, c = meta >> 16, meta >> 8 & 255, meta & 255
+                    run = text[q - a : q - c + LENGTH]
+                    out.add(0, HALF, a, c, doc, tie, q - a, run)
+                    out.add(HALF + 1, WIDTH - 1, a, c, doc, tie, q - a, run)
+            yield out.batch()
+
+
+def _divide(batches):
+    """Pieces to those of the halves of their offsets."""
+    out = _Pieces()
     for batch in batches:
-        keys, ids, starts, pieces = [], [], [], []
-        rows = ((batch.column(0)[x + k].as_py(), text, batch.column(2)[x + k].as_py()) for x, _, texts in text_groups(batch.column(1)) for k, text in enumerate(texts))
-        for doc, text, metas in rows:
-            for meta in metas:
-                q, a, c = meta >> 16, meta >> 8 & 255, meta & 255
-                if c <= HALF:
-                    held, lo, hi = text[q : q + LENGTH - HALF], q - min(a, HALF), q - c
-                    keys.append(b"r" + held), ids.append(doc), starts.append(lo), pieces.append(text[lo : hi + LENGTH])
-                if a > HALF:
-                    held, lo, hi = text[q - HALF - 1 : q + ANCHOR], q - a, q - max(c, HALF + 1)
-                    keys.append(b"l" + held), ids.append(doc), starts.append(lo), pieces.append(text[lo : hi + LENGTH])
-        hashed = [int.from_bytes(hashlib.blake2b(k, digest_size=8).digest(), "little", signed=True) for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((hashed, pa.int64()), (ids, pa.int64()), (starts, pa.int64()), (pieces, pa.binary()))], names=["key", "id", "start", "piece"])
+        for r in batch.to_pylist():
+            middle = (r["u"] + r["v"]) // 2
+            low = r["off"] - (r["hi"] - r["lo"])
+            for u, v in ((r["u"], middle), (middle + 1, r["v"])):
+                out.add(u, v, r["off"], low, r["id"], r["tie"], r["lo"], r["piece"])
+        yield out.batch()
 
 
 def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -219,7 +327,7 @@ def classes(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
 
 
 def _repeats_of_block(doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(id, window start) of the windows in pieces that also start earlier in another piece."""
+    """(document, window start) of the windows in pieces that also start earlier in another piece."""
     sizes = np.array([len(p) for p in pieces])
     text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     number = classes(text)
@@ -233,31 +341,33 @@ def _repeats_of_block(doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -
     return doc[again], start[again]
 
 
-def _ranges(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """Rows (id, lo, hi) with neighbouring window starts joined."""
+def _ranges(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and window starts with neighbouring ones joined."""
     order = np.lexsort((lo, doc))
     doc, lo, hi = doc[order], lo[order], hi[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + 1)
     at = np.flatnonzero(new)
-    top = np.maximum.reduceat(hi, at) if len(at) else hi
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(lo[at]), pa.array(top)], names=["id", "lo", "hi"])
+    return doc[at], lo[at], np.maximum.reduceat(hi, at) if len(at) else hi
 
 
 def _compare(batches):
-    """All pieces of some keys to ranges (id, lo, hi) of window starts that repeat."""
+    """All pieces of some keys to ranges (id, tie, lo, hi) of window starts that repeat."""
     rows = _whole(batches)
     if rows is None:
         return
-    key, doc, start = (rows.column(c).to_numpy() for c in ("key", "id", "start"))
+    key, ids, ties, start = (rows.column(c).to_numpy() for c in ("key", "id", "tie", "lo"))
     column = rows.column("piece").combine_chunks()
     order = np.argsort(key, kind="stable")
     size = np.diff(np.append(np.flatnonzero(_starts(key[order])), len(key)))
     order = order[np.repeat(size > 1, size)]
-    order = order[np.lexsort((start[order], doc[order], key[order]))]
     if not len(order):
         return
-    order = order[_starts(key[order], doc[order], start[order])]  # rows that repeat an id are one document
+    by = np.lexsort((ties, ids))
+    doc = np.empty(len(ids), np.int64)  # documents numbered in their order
+    doc[by] = np.cumsum(_starts(ids[by], ties[by])) - 1
+    order = order[np.lexsort((start[order], doc[order], key[order]))]
+    order = order[_starts(key[order], doc[order], start[order])]  # rows that repeat are one document
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held: list[tuple[int, bytes]] = []
     raw = 0
@@ -287,7 +397,9 @@ def _compare(batches):
     if held:
         flush()
     if out:
-        yield _ranges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+        doc_of, lo, hi = _ranges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+        row = by[np.searchsorted(doc[by], doc_of)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ties[row]), pa.array(lo), pa.array(hi)], names=["id", "tie", "lo", "hi"])
 
 
 _SPANS = T.ArrayType(T.ArrayType(T.LongType()))
@@ -308,40 +420,61 @@ def _spans(marks: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.list_(pa.int64())))
 
 
-def _meet(work: Workspace, docs: DataFrame, rows: DataFrame, others: bool) -> DataFrame:
-    """docs with the row of their id. With few rows no other text is shuffled; others: docs without a row stay, with nulls."""
-    ids = rows.select("id")
+def _meet(docs: DataFrame, rows: DataFrame, others: bool) -> DataFrame:
+    """docs with the row of their id and tie. With few rows no other text is shuffled; others: docs without a row stay, with nulls."""
+    by = ["id", "tie"]
     if rows.count() > BROADCAST_IDS:
-        return docs.join(rows, "id", "left" if others else "inner")
-    ids = F.broadcast(ids)
-    met = docs.join(ids, "id", "left_semi").join(rows.hint("shuffle_hash"), "id")
+        return docs.join(rows, by, "left" if others else "inner")
+    few = F.broadcast(rows.select(*by))
+    met = docs.join(few, by, "left_semi").join(rows.hint("shuffle_hash"), by)
     if not others:
         return met
-    return docs.join(ids, "id", "left_anti").select("*", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "id")).unionByName(met)
+    return docs.join(few, by, "left_anti").select("*", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in by)).unionByName(met)
+
+
+def _compared(work: Workspace, pieces: DataFrame, parts: int) -> list[DataFrame]:
+    """Tables of (id, tie, lo, hi): what repeats among the pieces. Groups that are too large are divided until none is."""
+    marks = []
+    while True:
+        pieces = work.keep(pieces, "pieces")
+        marks.append(pieces.where("again").select("id", "tie", "lo", "hi"))
+        fresh = pieces.where("not again")
+        hot = work.keep(fresh.where("u < v").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES).select("key"), "hot")
+        n_hot = hot.count()
+        wanted = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        cold = fresh.join(wanted, "key", "left_anti") if n_hot else fresh
+        marks.append(work.keep(cold.select("key", "id", "tie", "lo", "piece").repartition(parts, "key").mapInArrow(_compare, "id long, tie long, lo long, hi long"), "compared"))
+        if not n_hot:
+            return marks
+        pieces = fresh.join(wanted, "key", "left_semi").repartition(parts).mapInArrow(_divide, PIECES)
 
 
 def repeated_spans(work: Workspace, docs: DataFrame) -> DataFrame:
-    """(id, text as binary) to (id, spans): the byte runs to remove, for documents that have any."""
+    """(id, tie, text as binary) to (id, tie, spans): the byte runs to remove, for documents that have any."""
     parts = parts_for(docs)
-    runs = docs.select("id", "text").mapInArrow(_anchor_rows, "h long, run long, id long, meta long, again boolean")
-    judged = work.keep(runs.repartition(parts, "h").mapInArrow(_judge_runs, "id long, meta long, again boolean"), "judged")
-    asked = work.keep(judged.where("not again").groupBy("id").agg(F.collect_list("meta").alias("metas")), "asked")
-    once = docs.select("id", "text")
-    cut = _meet(work, once, asked, others=False).select("id", "text", "metas").mapInArrow(_cut_runs, "key long, id long, start long, piece binary")
-    compared = work.keep(cut.repartition(parts, "key").mapInArrow(_compare, "id long, lo long, hi long"), "compared")
+    texts = docs.select("id", "tie", "text")
+    kind = F.col("kind")
+    where = F.when(kind == NORMAL_RUN, F.col("h")).when(kind == DEALT, F.col("run")).otherwise(F.xxhash64("id", "meta"))
+    runs = texts.mapInArrow(_anchor_rows, RUNS)
+    judged = work.keep(runs.repartition(parts, where).mapInArrow(_judge_runs, "id long, tie long, meta long, again boolean"), "judged")
+    asked = work.keep(judged.where("not again").groupBy("id", "tie").agg(F.collect_list("meta").alias("metas")), "asked")
+    cut = _meet(texts, asked, others=False).select("id", "tie", "text", "metas").mapInArrow(_cut_runs, PIECES)
     q, a, c = F.shiftright("meta", 16), F.shiftright("meta", 8).bitwiseAND(F.lit(255)), F.col("meta").bitwiseAND(F.lit(255))
-    marks = judged.where("again").select("id", (q - a).alias("lo"), (q - c).alias("hi")).union(compared.select("id", "lo", "hi"))
-    return work.keep(marks.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).select("id", _spans("marks").alias("spans")), "spans")
+    marks = judged.where("again").select("id", "tie", (q - a).alias("lo"), (q - c).alias("hi"))
+    for found in _compared(work, cut, parts):
+        marks = marks.union(found)
+    return work.keep(marks.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).select("id", "tie", _spans("marks").alias("spans")), "spans")
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (null ids as the largest long), row (all columns of docs), text (binary, empty for null), spans (null if none)."""
+    """id (null ids as the largest long), tie (a hash of the text), row (all columns of docs), text (binary, empty for null), spans (null if none)."""
     work = Workspace(docs.sparkSession, "suffix")
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     source = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"),
         F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("row"),
     )
-    return _meet(work, source, repeated_spans(work, source), others=True)
+    return _meet(source, repeated_spans(work, source), others=True)
 
 
 def _left(text: bytes, spans) -> bytes:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import DATA, check
 from pyspark.sql import functions as F
@@ -176,6 +177,57 @@ def test_repeats_against_brute_force(spark):
     assert digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute_repeats(rows)
 
 
+def brute_rows(spark, rows):
+    """As brute_repeats, for rows that may repeat an id or have none: a Counter of (id, n_bytes, n_removed, n_spans, sha)."""
+    order = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("tie")).distinct().collect()
+    order = sorted(((2**63 - 1 if r.doc_id is None else r.doc_id, r.tie), r.text) for r in order)
+    found = brute_repeats([(k, t) for k, (_, t) in enumerate(order)])
+    of = {((key[0] if key[0] < 2**63 - 1 else None), t): found[k] for k, (key, t) in enumerate(order)}
+    return Counter((k, *of[k, t]) for k, t in rows)
+
+
+def digest_rows(df):
+    found = suffix_dedup.with_spans(df)
+    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0]), F.lit(0).cast("long"))
+    sha = F.when(F.col("spans").isNull(), F.sha2("text", 256)).otherwise(suffix_dedup._left_sha256("text", "spans"))
+    return Counter(tuple(r) for r in found.select("row.doc_id", F.octet_length("text"), removed, F.coalesce(F.size("spans"), F.lit(0)), sha).collect())
+
+
+@pytest.mark.parametrize("ids", [suffix_dedup.BROADCAST_IDS, 0])
+def test_unlike_texts_with_one_id_or_none_are_documents_of_their_own(spark, monkeypatch, ids):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", ids)
+    rng = random.Random(33)
+    p, own = words(rng, 40), [words(rng, 60) for _ in range(8)]
+    rows = [(1, f"{own[0]} {p}"), (None, f"{own[1]} {p}"), (None, own[2]), (2, own[3]), (2, f"{p} {own[4]}"), (2, f"{p} {own[4]}"), (3, own[5]), (3, own[5] + own[6]), (None, own[7]), (None, None), (None, own[7])]
+    assert digest_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_rows(spark, rows)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_hot_passages_are_divided(spark, monkeypatch, parts):
+    """A passage in every text, at its ends and cut at all places: groups far beyond the limit, in tasks of several groups of texts."""
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", 6)
+    rng = random.Random(34)
+    p = words(rng, 60)
+    rows = [(k, words(rng, 130)[: rng.randint(300, 800)] + p[rng.choice((0, 0, rng.randint(0, 200))) : rng.choice((len(p), len(p), rng.randint(201, len(p))))] + words(rng, 3)) for k in range(1200)]
+    rng.shuffle(rows)
+    assert sum(len(t) for _, t in rows) > 2 * texthash.GROUP_BYTES
+    found = suffix_dedup._compared
+    levels = []
+    monkeypatch.setattr(suffix_dedup, "_compared", lambda *a: levels.append(found(*a)) or levels[-1])
+    assert digest_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)) == brute_rows(spark, rows)
+    assert len(levels[0]) > 6
+
+
+def test_a_task_sends_few_rows_of_a_hot_passage():
+    rng = random.Random(35)
+    p = words(rng, 60).encode()
+    own = [(k, 0, 0, words(rng, 60).encode() + p + words(rng, 3).encode()) for k in range(4000)]
+    rows = pa.Table.from_batches(list(suffix_dedup._runs_of(own, suffix_dedup._Seen()))).to_pandas()
+    rows = rows[rows.kind != suffix_dedup.COPY]
+    assert rows[rows.kind == suffix_dedup.NORMAL_RUN].groupby("h").size().max() <= 2 * 5 and (rows.kind == suffix_dedup.DEALT).sum() > 3000
+    assert rows.groupby(["h", "run"]).size().max() == 1
+
+
 def test_repeats_in_texts_longer_than_a_slice(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 500)
     rng = random.Random(4)
