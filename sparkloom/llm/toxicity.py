@@ -6,8 +6,9 @@ their vectors with it. As softmax of an average is linear in the embeddings, sco
 ``BUCKETS`` buckets: a table of fixed size, which is broadcast, and whole texts are scored in numpy.
 
 Defined cases: a null or empty text, or one without words, scores as the bias says; without labels of both
-classes all scores are the share of label 1 (0.5 without any labels); repeated rows score alike; empty tables give
-empty results. Only id and text are read of documents.
+classes all scores are the share of label 1 (0.5 without any labels), and where no labelled text has a word, what
+the bias learnt; repeated rows score alike and teach once; empty tables give empty results. Only id and text are read
+of documents. Training takes at most ``TRAIN_ROWS`` texts and ``labelled.TRAIN_BYTES`` bytes, in whole texts.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def train(rows: list[tuple[bytes, int]], seed: int = 2) -> tuple[np.ndarray, flo
     for _, _, bucket, _, _, _ in batches:
         seen[bucket] = True
     weight = GAIN * emb @ (soft[:, 1] - soft[:, 0])
-    weight[~seen] = weight[seen].mean()  # a bucket without rows says nothing
+    weight[~seen] = weight[seen].mean() if seen.any() else 0  # a bucket without rows says nothing
     return weight.astype(np.float32), float(bias[1] - bias[0])
 
 

@@ -444,6 +444,122 @@ def test_marginals_against_enumeration():
     assert np.allclose(good, want) and log_z == pytest.approx(want_z) and pairs.sum() == pytest.approx(4)
 
 
+def plain_marginals(unary, pair):
+    """Forward-backward of one chain, line by line: P(good), expected pairs."""
+    local = [(np.exp(-u / 2), np.exp(u / 2)) for u in unary]
+    jump = np.exp(pair)
+    f, b = [np.array(local[0])], [np.ones(2)]
+    for a in local[1:]:
+        f.append((f[-1] @ jump) * a)
+        f[-1] = f[-1] / f[-1].sum()
+    for a in reversed(local[1:]):
+        b.append(jump @ (a * b[-1]))
+        b[-1] = b[-1] / b[-1].sum()
+    b.reverse()
+    good = [(x * y)[1] / (x * y).sum() for x, y in zip(f, b, strict=True)]
+    pairs = np.zeros((2, 2))
+    for k in range(1, len(f)):
+        joint = f[k - 1][:, None] * jump * (np.array(local[k]) * b[k])[None]
+        pairs += joint / joint.sum()
+    return np.array(good), pairs
+
+
+def test_marginals_of_long_chains_against_single_steps():
+    rng = np.random.default_rng(12)
+    lengths = [1, 63, 64, 65, 2, 64 * 64 + 1, 9000, 1]
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    unary, pair = rng.normal(size=at[-1]) * 3, np.array([[1.2, -0.7], [-0.4, 0.9]])
+    weigh = np.repeat(1 / np.array(lengths), lengths)
+    good, pairs, _ = quality.marginals(unary, pair, at, weigh)
+    want = [plain_marginals(unary[a:b], pair) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert np.allclose(good, np.concatenate([w[0] for w in want])) and np.allclose(pairs, sum(w[1] / n for w, n in zip(want, lengths, strict=True)))
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(13)
+    texts = ["\n".join(words(random.Random(k), 6) + "!" * (k % 4) for _ in range(k % 7 + 1)).encode() for k in range(12)]
+    objective = quality.Objective([quality.line_features(texts)], np.array([k % 2 for k in range(12)]))
+    theta = rng.normal(size=objective.width + 4) * 0.5
+    theta[-4:] = 2.0, -1.0, -1.5, 1.0
+    _, slope = objective(theta)
+    for k in [*range(0, objective.width, 9), *range(objective.width - 2, objective.width + 4)]:
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        assert slope[k] == pytest.approx((objective(theta + step)[0] - objective(theta - step)[0]) / 2e-5, abs=1e-7)
+
+
+def test_many_lines_take_few_steps():
+    import time
+
+    rng = np.random.default_rng(14)
+    at = np.array([0, 100_000])
+    start = time.perf_counter()
+    good, _, _ = quality.marginals(rng.normal(size=100_000), np.zeros((2, 2)), at)
+    assert time.perf_counter() - start < 2 and len(good) == 100_000
+
+
+def plain_lines(text):
+    """The features of a text's lines, written out for str."""
+    out, seen = [], set()
+    for line in text.split("\n"):
+        raw = line.encode()
+        tokens = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        low = [t.lower() if t.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in t) for t in tokens]
+        solid, n = max(sum(len(t) for t in tokens), 1), max(len(tokens), 1)
+        share = lambda chars: sum(b in chars for b in raw) / solid
+        plain = b".,;:'\"()-?"
+        symbols = bytes(b for b in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)] if b not in plain)
+        again = sum(any(k >= back and low[k] == low[k - back] for back in (1, 2, 3)) for k in range(len(low))) / n
+        shares = [share(symbols), share(plain), share(range(65, 91)), share(range(48, 58)), again]
+        own = [*shares, *(float(shares[k] > cut) for k in (0, 2, 4) for cut in quality.CUTS)]
+        out.append([*own, min(solid / n, 20) / 20, np.log1p(len(raw)) / 10, float(not raw), float(bool(raw) and raw in seen)])
+        seen.add(raw)
+    zero = [0.0] * len(out[0])
+    return np.array([x + (out[k - 1] if k else zero) + (out[k + 1] if k + 1 < len(out) else zero) + [float(k == 0), float(k + 1 == len(out)), 1.0] for k, x in enumerate(out)])
+
+
+def test_quality_scores_against_plain_python(taught, odd):
+    rows = [(r.text.encode(), r.quality) for r in taught.limit(300).collect()]
+    weight, pair = quality.train(rows)
+    texts = [r.text.decode() if isinstance(r.text, bytes) else r.text or "" for r in taught.limit(60).collect() + odd.collect() if len(r.text or "") < 10_000]
+    texts += ["", "\n\n", "a a a\nB!? B!?\n\na a a", "é 12\n" * 90]
+    got = quality.scores([t.encode() for t in texts], weight, pair)
+    for t, score in zip(texts, got, strict=True):
+        good, _ = plain_marginals(plain_lines(t) @ weight, pair)
+        size = np.array([len(x.encode()) for x in t.split("\n")]) + 1e-9
+        assert score == pytest.approx((good * size).sum() / size.sum(), abs=1e-9)
+
+
+def test_toxicity_scores_against_plain_python(taught):
+    rows = [(r.text.encode(), r.toxic) for r in taught.limit(200).collect()]
+    weight, bias = toxicity.train(rows)
+    texts = [t.decode() for t, _ in rows[:20]] + ["", "!!", "É zzgrumpf x"]
+    base = int(texthash.BASE)
+
+    def bucket(gram):
+        return sum(int(texthash.BYTE[b]) * pow(base, k, 2**64) for k, b in enumerate(gram)) % 2**64 >> (64 - toxicity.BITS)
+
+    for t, got in zip(texts, toxicity.log_odds([t.encode() for t in texts], weight, bias), strict=True):
+        low = re.sub(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", b" ", bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode()))
+        grams = [w[k : k + n] for w in (b" " + x + b" " for x in low.split()) for n in toxicity.GRAMS for k in range(len(w) - n + 1)]
+        want = sum(float(weight[bucket(g)]) for g in grams) / (len(grams) + toxicity.CALM) + bias
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_texts_without_words_teach_a_bias():
+    weight, bias = toxicity.train([(b"", 1), (b"", 1), (b"!", 0)])
+    assert np.isfinite(weight).all() and np.isfinite(bias)
+
+
+def test_samples_are_bounded_in_bytes_by_whole_texts(spark):
+    docs = spark.createDataFrame([(k, "x" * (1000 if k % 3 else 10_000)) for k in range(90)] + [(1, "x" * 1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, toxic int")
+    take = lambda **how: labelled.sample(docs, labels, "toxic", F.lit(True), **how)
+    assert len(take()) == 90 and len(take(rows=7)) == 7
+    few = take(limit=50_000)
+    assert sum(len(t) for t, _ in few) <= 50_000 and {len(t) for t, _ in few} <= {1000, 10_000} and sum(len(t) for t, _ in few) > 40_000 and few == take(limit=50_000)
+
+
 # --- HTML and URLs
 
 
@@ -482,6 +598,94 @@ def test_main_text_keeps_formulas():
     assert html_text.main_text(html) == f"{LONG}so a=1 holds"
 
 
+def plain_main_text(page):
+    """Ratio clusters of a well-formed page of p, li, div, article and nav, in plain loops."""
+    lines, stack, text, links, tags = [], [], "", 0, 0
+
+    def end():
+        nonlocal text, links, tags
+        w = text.split()
+        if w:
+            aside = any(t == "nav" or "comments" in c for t, c in stack)
+            lines.append([" ".join(w), tags, links / len("".join(w)), aside, any("related" in c for _, c in stack)])
+            tags = 0
+        text, links = "", 0
+
+    order, number, opened = [], {}, 0  # of each line the articles around it; the numbers of the open elements
+    for token in re.findall(r"<[^>]*>|[^<]+", page):
+        if not token.startswith("<"):
+            text += token
+            links += len("".join(token.split())) if any(t == "a" for t, _ in stack) else 0
+            continue
+        tags += 1
+        name = re.match(r"</?(\w+)", token)[1]
+        if name not in ("a", "b"):
+            n = len(lines)
+            end()
+            order += [tuple(number[k] for k in range(len(stack)) if stack[k][0] == "article")] * (len(lines) - n)
+        if token.startswith("</"):
+            number.pop(len(stack) - 1)
+            stack.pop()
+        else:
+            opened += 1
+            number[len(stack)] = opened
+            stack.append((name, token))
+    ratio = [len(x[0]) / max(x[1], 1) for x in lines]
+    weights = [float(np.exp(-0.5 * d * d)) for d in range(-3, 4)]
+    smooth = [sum(w * ratio[min(max(k + d, 0), len(ratio) - 1)] for d, w in zip(range(-3, 4), weights, strict=True)) / sum(weights) for k in range(len(ratio))]
+    mean = sum(smooth) / len(smooth)
+    limit = (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5
+    high = [x >= limit for x in smooth]
+    menu = [False] * len(lines)
+    for a in range(len(lines)):
+        b = a
+        while b < len(lines) and not high[b] and lines[b][2] > 0.5:
+            b += 1
+        if b - a >= 3:
+            menu[a:b] = [True] * (b - a)
+    good = [not x[3] and not m and (h or not x[4]) for x, m, h in zip(lines, menu, high, strict=True)]
+    regions = {order[k][0] for k in range(len(lines)) if good[k] and high[k] and order[k]} or {order[k][0] for k in range(len(lines)) if good[k] and order[k]}
+    return " ".join(x[0] for k, x in enumerate(lines) if good[k] and order[k] and order[k][0] in regions), sum(menu), sum(x[4] and not h for x, h in zip(lines, high, strict=True))
+
+
+def test_ratios_decide_lines_against_a_plain_version():
+    rng, menus, soft = random.Random(40), 0, 0
+
+    def block():
+        n = rng.choice((1, 2, 3, 30, 60))
+        t = words(rng, n)
+        kind = rng.randrange(7)
+        if kind == 0:
+            return "<div>" + "".join(f"<li><a href=x>{words(rng, rng.randint(1, 2))}</a></li>" for _ in range(rng.randint(1, 6))) + "</div>"
+        if kind == 1:
+            return f"<div class='box related'><p>{t}</p></div>"
+        if kind == 2:
+            return f"<div class='comments'><p>{t}</p></div>"
+        return rng.choice((f"<p>{t}</p>", f"<p><b>{t}</b> {words(rng, 2)}</p>", f"<p><a href=y>{t}</a></p>"))
+
+    for _ in range(300):
+        page = "<nav><li><a href=/>home</a></li><li>x</li></nav>" + "".join(f"<article><p>{words(rng, 9)}</p>{''.join(block() for _ in range(rng.randint(1, 9)))}</article>" for _ in range(rng.randint(1, 3))) + f"<div><p>{words(rng, 3)}</p></div>"
+        want, a, b = plain_main_text(page)
+        assert html_text.main_text(page) == want
+        menus, soft = menus + a, soft + b
+    assert menus > 50 and soft > 50
+
+
+def test_a_body_paragraph_stays_whatever_its_soft_name_and_link_lists_go():
+    links = "".join(f"<li><a href=/{k}>go {k}</a></li>" for k in range(9))
+    html = f"<article><p>{LONG}</p><p>{LONG}</p><div class=related><p>{LONG}</p></div><p>{LONG}</p><ul>{links}</ul></article>"
+    assert html_text.main_text(html) == " ".join([LONG.strip()] * 4)
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 120_000 + "</i>" * 120_000, "<table>" + "<b>" * 150_000 + "<td>x</td>" * 50_000, "<!--" * 250_000, "<a" * 500_000, "<i><table>" + "<b>" * 150_000 + "</i>" * 100_000], ids=range(5))
+def test_long_broken_pages_take_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_extract_on_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>x"), (2, None, "<p>x"), (3, "u", "<article><p>" + "word " * 300_000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = sorted((r.page_id, r.text[:5], r.n_chars) for r in html_text.extract(pages).collect())
