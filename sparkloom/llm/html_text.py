@@ -1,22 +1,32 @@
 """Main text of HTML pages from streaming parser events, by text-to-tag ratios.
 
 The standard library's parser streams a page once into lines: one for each block element's own text, with the
-number of tags in it and the containers around it. A line's ratio is its characters over its tags; the ratios are
-smoothed with a Gaussian, and lines above the threshold (the smoothed ratios' standard deviation, as both clusters
-are told apart by spread) form the content cluster. The content regions are the outermost article-like containers that
-hold clustered lines, and all their lines but those of menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are taken; without such a container, the clustered lines and what lies between them under
-the same parent are. Scripts, styles, templates and the head are never text; formulas in MathML are, without their annotations.
+number of tags in it, the share of it that is link text, and the containers around it. A line's ratio is its characters
+over its tags; the ratios are smoothed with a Gaussian, and lines above the threshold (the smoothed ratios' standard
+deviation, as both clusters are told apart by spread) form the content cluster.
+
+Structure only filters: menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by their
+elements, roles or the names of ``ASIDE_NAMES``, are never taken. Of the other lines the ratios decide:
+
+* The content regions are the outermost article-like containers that hold lines of the content cluster.
+* In a region, a line of the cluster is taken. One outside it is taken unless it lies in a container of ``SOFT_NAMES`` or in a
+  run of at least ``MENU`` lines outside the cluster that are mostly link text, which is a menu without a name.
+* Without such a container, the cluster's lines and what lies between them under the same parents are taken.
+
+Scripts, styles, templates and the head are never text; formulas in MathML are, without their annotations.
 
 Defined cases: null or empty html gives an empty text; text outside any tag is a line of its own; unclosed and stray tags
-are tolerated; ``br`` is white space; white space is that of Unicode, so a no-break space counts; repeated rows
-come out alike; an empty table gives an empty result. Long pages are processed whole.
+are tolerated; a comment or tag that the page's end cuts off is no text, as in browsers; ``br`` is white space; white
+space is that of Unicode, so a no-break space counts; repeated rows come out alike; an empty table gives an empty
+result. Long pages are processed whole, in time linear in their length whatever their tags.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,35 +49,86 @@ ROLES = {"main": "region", "article": "region", "navigation": "aside", "banner":
 #: Words in class or id names of containers that are no main text.
 ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar"
-    r"|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|skip-link)(?:$|[\s_-])",
+    r"|comments?|commentlist|respond|replies|disqus|newsletter|subscribe|signup|login)(?:$|[\s_-])",
     re.I,
 )
+#: Words in names of containers that are no main text where their lines are outside the content cluster.
+SOFT_NAMES = re.compile(r"(?:^|[\s_-])(?:share|sharing|social|related|recommended|popup|modal|overlay|widget|pagination|pager|toolbar|skip-link)(?:$|[\s_-])", re.I)
+MENU = 3
 SIGMA, RADIUS = 1.0, 3
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
 #: An end tag closes what is open inside it; these stop the search for its start.
-_SCOPE = frozenset("article aside body footer form header main nav section table td th".split())
+_SCOPE = frozenset("article aside body footer form header html main nav section table td th".split())
+_OPEN_END = re.compile(r"<(?:[A-Za-z/!?])")
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    links: float  # share of link text
+    aside: bool
+    soft: bool
+    region: int  # number of the innermost article-like container, -1 outside
+    parent: int
+
+
+class _Open(NamedTuple):
+    tag: str
+    silent: bool
+    aside: bool
+    soft: bool
+    region: int
+    number: int
 
 
 class _Lines(HTMLParser):
-    """lines: (text, tags, aside, region, parent); region: number of the innermost article-like container, -1 outside."""
+    """A page's lines. What is open is counted by name within the scope it is in, so a stray end tag costs nothing."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int]] = []
-        self.open: list[tuple[str, bool, bool, int, int]] = [("", False, False, -1, 0)]  # tag, silent, aside, region, number
+        self.lines: list[Line] = []
+        self.open = [_Open("", False, False, False, -1, 0)]
+        self.blocks: list[int] = []  # where in open the block and silent elements are
+        self.scopes: list[Counter] = [Counter()]
+        self.scoped: Counter = Counter()
         self.regions: list[int] = []  # of each region the one around it
         self.text: list[str] = []
-        self.tags = self.numbers = 0
+        self.tags = self.numbers = self.in_link = self.link = 0
 
     def flush(self) -> None:
         if self.text:
             words = "".join(self.text).split()
             self.text = []
             if words:
-                _, _, aside, region, number = self.open[-1]
-                self.lines.append((" ".join(words), self.tags, aside, region, number))
+                top = self.open[-1]
+                self.lines.append(Line(" ".join(words), self.tags, self.link / sum(map(len, words)), top.aside, top.soft, top.region, top.number))
                 self.tags = 0
+            self.link = 0
+
+    def push(self, element: _Open) -> None:
+        tag = element.tag
+        if tag in BLOCKS or tag in SILENT:
+            self.blocks.append(len(self.open))
+        self.open.append(element)
+        self.in_link += tag == "a"
+        if tag in _SCOPE:
+            self.scoped[tag] += 1
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][tag] += 1
+
+    def pop(self) -> str:
+        tag = self.open.pop().tag
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
+        self.in_link -= tag == "a"
+        if tag in _SCOPE:
+            self.scopes.pop()
+            self.scoped[tag] -= 1
+        else:
+            self.scopes[-1][tag] -= 1
+        return tag
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -80,7 +141,7 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, silent, aside, region, _ = self.open[-1]
+        _, silent, aside, soft, region, number = self.open[-1]
         silent = silent or tag in SILENT
         if block or tag in SILENT or attrs:
             named = dict(attrs)
@@ -93,15 +154,17 @@ class _Lines(HTMLParser):
                 names = f"{named.get('class') or ''} {named.get('id') or ''}".strip()
                 hidden = "hidden" in named or (named.get("aria-hidden") or "").lower() == "true"
                 aside = tag in ASIDE or role == "aside" or hidden or tag == "header" and region < 0 or bool(names) and bool(ASIDE_NAMES.search(names))
+                soft = soft or bool(names) and bool(SOFT_NAMES.search(names))
         self.numbers += 1
-        self.open.append((tag, silent, aside, region, self.numbers if block else self.open[-1][4]))
+        self.push(_Open(tag, silent, aside, soft, region, self.numbers if block else number))
 
     def close_implied(self, tag: str) -> None:
         """A new paragraph, item or cell ends the open one of its kind, within the nearest container."""
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.open[k][0]
+        for k in reversed(self.blocks):  # at most a few: paragraphs and terms do not hold their own kind
+            name = self.open[k].tag
             if name == tag:
-                del self.open[k:]
+                while len(self.open) > k:
+                    self.pop()
                 return
             if name in BLOCKS and name not in ("p", "dt", "dd") or name in SILENT:
                 return
@@ -110,28 +173,29 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in _SCOPE and tag not in _SCOPE and tag not in ("html", "body"):
-                return
+        if (self.scoped if tag in _SCOPE else self.scopes[-1])[tag] > 0:
+            while self.pop() != tag:
+                pass
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1][0] == tag:
+        if tag not in VOID and self.open[-1].tag == tag:
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if not self.open[-1][1]:
+        if not self.open[-1].silent:
             self.text.append(data)
+            if self.in_link:
+                self.link += sum(map(len, data.split()))
 
     def close(self):
+        if self.cdata_elem is None and _OPEN_END.match(self.rawdata):
+            self.rawdata = ""
         super().close()
         self.flush()
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int, bool, int, int]], list[int]]:
+def page_lines(html: str) -> tuple[list[Line], list[int]]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -146,20 +210,29 @@ def clustered(sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return smooth >= smooth.std()
 
 
+def menus(low: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Lines in runs of at least MENU that are outside the content cluster and mostly link text."""
+    of = low & (links > 0.5)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], of.view(np.int8), [0]))))
+    out = np.zeros(len(of), bool)
+    for a, b in edges.reshape(-1, 2):
+        out[a:b] = b - a >= MENU
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The text of the page's content regions."""
     if not html:
         return ""
     lines, regions = page_lines(html)
-    if not lines:
-        return ""
-    sizes = np.array([len(line[0]) for line in lines], np.float64)
-    content = clustered(sizes, np.array([line[1] for line in lines], np.float64))
-    usable = np.array([not line[2] for line in lines])
+    usable = np.array([not line.aside for line in lines], bool)
     if not usable.any():
         return ""
-    region = np.array([line[3] for line in lines])
-    if len(regions) and (usable & (region >= 0)).any():
+    content = clustered(np.array([len(line.text) for line in lines], np.float64), np.array([line.tags for line in lines], np.float64))
+    usable &= content | ~np.array([line.soft for line in lines])
+    usable &= ~menus(~content, np.array([line.links for line in lines]))
+    region = np.array([line.region for line in lines])
+    if (usable & (region >= 0)).any():
         outer = np.arange(len(regions))  # of each region the outermost around it; regions are numbered from outside in
         for k, around in enumerate(regions):
             if around >= 0:
@@ -173,11 +246,13 @@ def main_text(html: str | None) -> str:
         chosen = usable & content
         if not chosen.any():
             chosen = usable
-        parents = {lines[k][4] for k in np.flatnonzero(chosen)}
+        if not chosen.any():
+            return ""
+        parents = {lines[k].parent for k in np.flatnonzero(chosen)}
         first, last = np.flatnonzero(chosen)[[0, -1]]
         for k in range(first, last + 1):
-            chosen[k] |= bool(usable[k]) and lines[k][4] in parents
-    return " ".join(lines[k][0] for k in np.flatnonzero(chosen))
+            chosen[k] |= bool(usable[k]) and lines[k].parent in parents
+    return " ".join(lines[k].text for k in np.flatnonzero(chosen))
 
 
 @F.arrow_udf(T.StringType())
@@ -186,7 +261,7 @@ def extract_text(html: pa.Array) -> pa.Array:
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
-    """pages with the main text of each page and n_chars, its code points, for the html; columns of these names are replaced."""
+    """pages with the main text of each page and n_chars, its code points, in place of the html; columns of these names are replaced."""
     kept = [c for c in pages.columns if c not in (html_col, name, "n_chars")]
     out = pages.select(*kept, extract_text(F.col(html_col)).alias(name))
     return out.withColumn("n_chars", F.length(name).cast("long"))
