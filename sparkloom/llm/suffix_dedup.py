@@ -29,6 +29,7 @@ collapse, and long texts are cut in overlapping slices.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -432,21 +433,22 @@ def _meet(docs: DataFrame, rows: DataFrame, others: bool) -> DataFrame:
     return docs.join(few, by, "left_anti").select("*", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in by)).unionByName(met)
 
 
-def _compared(work: Workspace, pieces: DataFrame, parts: int) -> list[DataFrame]:
-    """Tables of (id, tie, lo, hi): what repeats among the pieces. Groups that are too large are divided until none is."""
-    marks = []
+def _compared(work: Workspace, pieces: DataFrame, parts: int) -> DataFrame:
+    """(id, tie, lo, hi): what repeats among the pieces. Groups that are too large are divided until none is; all that are small enough are compared in one go."""
+    copies, small = [], []
     while True:
         pieces = work.keep(pieces, "pieces")
-        marks.append(pieces.where("again").select("id", "tie", "lo", "hi"))
+        copies.append(pieces.where("again").select("id", "tie", "lo", "hi"))
         fresh = pieces.where("not again")
         hot = work.keep(fresh.where("u < v").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES).select("key"), "hot")
         n_hot = hot.count()
         wanted = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
-        cold = fresh.join(wanted, "key", "left_anti") if n_hot else fresh
-        marks.append(work.keep(cold.select("key", "id", "tie", "lo", "piece").repartition(parts, "key").mapInArrow(_compare, "id long, tie long, lo long, hi long"), "compared"))
+        small.append((fresh.join(wanted, "key", "left_anti") if n_hot else fresh).select("key", "id", "tie", "lo", "piece"))
         if not n_hot:
-            return marks
+            break
         pieces = fresh.join(wanted, "key", "left_semi").repartition(parts).mapInArrow(_divide, PIECES)
+    cold = reduce(DataFrame.union, small).repartition(parts, "key")
+    return reduce(DataFrame.union, copies, work.keep(cold.mapInArrow(_compare, "id long, tie long, lo long, hi long"), "compared"))
 
 
 def repeated_spans(work: Workspace, docs: DataFrame) -> DataFrame:
@@ -461,8 +463,7 @@ def repeated_spans(work: Workspace, docs: DataFrame) -> DataFrame:
     cut = _meet(texts, asked, others=False).select("id", "tie", "text", "metas").mapInArrow(_cut_runs, PIECES)
     q, a, c = F.shiftright("meta", 16), F.shiftright("meta", 8).bitwiseAND(F.lit(255)), F.col("meta").bitwiseAND(F.lit(255))
     marks = judged.where("again").select("id", "tie", (q - a).alias("lo"), (q - c).alias("hi"))
-    for found in _compared(work, cut, parts):
-        marks = marks.union(found)
+    marks = marks.union(_compared(work, cut, parts))
     return work.keep(marks.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).select("id", "tie", _spans("marks").alias("spans")), "spans")
 
 
