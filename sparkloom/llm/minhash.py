@@ -7,22 +7,24 @@ come from the least similarity that links (``tables``), so that such a link is a
 
 Documents with equal shingle sets become one representative first, so copies cost one row. Buckets are never
 expanded into all pairs. Each has a pivot, the member whose buckets are fullest, and all members meet it; confirmed
-links are contracted. Bucket mates share a pivot, so what is left to compare are, for each pivot, members that
-are still apart from it with members of other components. Their sketches (512 minhashes of two bits each)
-are compared inside the join, which lets out a pair only if it may reach the threshold (4.3 standard
-deviations below it: one link in 100,000 is missed); pairs let out are confirmed on full sets.
+links are contracted. Bucket mates share a pivot, so what is left to compare are, for each pivot, strays, which are
+members still apart from it, with members of other components (``_near``). Of these, pairs meet only by their rarest
+shingles: sets of n shingles that are alike enough share one of their n - ceil(n * percent / 100) + 1 rarest, and it
+stands early enough in both. That drops no link. Pages of one template, alike in part, have the rest of their own as their
+rarest shingles, which nobody shares, so a group of any number of them costs no pairs. Pairs that meet are confirmed
+on full sets.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; with fewer than
 five words the whole sequence is the one shingle; rows with a null id are not linked (component null, kept);
-rows that repeat an id are linked if their texts are alike and share the least component; an empty table
-gives an empty result. Only id and text are read.
+rows that repeat an id are linked if their texts are alike and share the least component (of an id's unlike texts the one
+with the least set by value is compared); an empty table gives an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,12 +37,8 @@ PERCENT = 85
 #: What a link of least similarity is a candidate with, and bounds of the keys in a half and of the minhashes in a key.
 RECALL = 0.999
 MOST_HALF, MOST_ROWS = 12, 3
-#: Sketch: so many minhashes, two bits each, and how many standard deviations more than expected may differ.
-SKETCH = 512
-DEVIATIONS = 4.3
 BROADCAST_IDS = 1_000_000
 _A = np.random.default_rng(85).integers(1, 2**63, (2 * MOST_HALF * MOST_ROWS, 2), dtype=np.uint64) * U(2) + U(1)
-_B = np.random.default_rng(86).integers(1, 2**63, (SKETCH, 2), dtype=np.uint64) * U(2) + U(1)
 DIGEST = T.StructType([*(T.StructField(c, T.LongType()) for c in ("n", "h1", "h2")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("left", "right"))])
 
 
@@ -53,12 +51,6 @@ def tables(percent: int) -> tuple[int, int]:
     raise ValueError(f"no {MOST_HALF} keys reach a recall of {RECALL} at {percent} percent")
 
 
-def most_differ(percent: int) -> int:
-    """How many of SKETCH minhashes may differ in their two bits at percent and DEVIATIONS standard deviations."""
-    p = 0.75 * (1 - percent / 100)
-    return int(SKETCH * p + DEVIATIONS * (SKETCH * p * (1 - p)) ** 0.5)
-
-
 def signatures(sets: list[np.ndarray], half: int, rows: int) -> np.ndarray:
     """2 * half keys for each non-empty set."""
     flat = np.concatenate(sets)
@@ -95,28 +87,11 @@ def _digest_udf(half: int, rows: int):
     return digest
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """SKETCH / 32 words for each non-empty set."""
-    flat = np.concatenate(sets)
-    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.zeros((len(sets), SKETCH // 32), np.uint64)
-    for i, (a, b) in enumerate(_B):
-        least = np.minimum.reduceat((flat ^ b) * a, at)
-        out[:, i // 32] |= (mix(least) >> U(62)) << U(2 * (i % 32))
-    return out
-
-
-@F.arrow_udf(T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("k", T.ArrayType(T.LongType()))]))
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def _shingles(texts: pa.Array) -> pa.Array:
-    sets, words = [], []
-    for _, _, raw in text_groups(texts):
-        own = shingle_sets(raw, SHINGLE)
-        sets += own
-        words.append(sketches([s if len(s) else np.zeros(1, np.uint64) for s in own]))
+    sets = [s for _, _, raw in text_groups(texts) for s in shingle_sets(raw, SHINGLE)]
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-    s = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-    k = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (SKETCH // 32)), pa.array(np.concatenate([*words, np.zeros((0, SKETCH // 32), np.uint64)]).reshape(-1).view(np.int64)))
-    return pa.StructArray.from_arrays([s, k], names=["s", "k"])
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,6 +102,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
 
+def _up(x: Column, by: int = 100) -> Column:
+    """ceil(x / by) of whole numbers."""
+    return F.floor((x + (by - 1)) / by).cast("int")
+
+
+def _near(work: Workspace, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels, one a stray, that may be alike: all that are and share a pivot are among them.
+
+    member: id, n, label, stray, a row for each document that shares a pivot with a stray; sets: (id, s).
+    """
+    tokens = work.keep(sets.join(member, "id").select("id", "n", "label", "stray", F.explode("s").alias("t")), "tokens")
+    often = work.keep(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    # what is no one else's is not looked up, but counts as rarest; it is known by its number
+    shared = tokens.join(often, "t").groupBy("id", "n", "label", "stray").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("r"))
+    first = F.col("n") - _up(F.col("n") * percent) + 1 - (F.col("n") - F.size("r"))  # so many of the shared ones
+    rare = shared.select("id", "n", "label", "stray", (F.col("n") - F.size("r")).alias("own"), F.posexplode(F.slice("r", 1, F.greatest(first, F.lit(0)))).alias("k", "r"))
+    rare = work.keep(rare.select("id", "n", "label", "stray", (F.col("own") + F.col("k")).alias("k"), F.col("r.t").alias("t")), "rare")
+    work.drop(tokens, often)
+    mate = rare.select("t", *(F.col(c).alias(f"{c}_m") for c in ("id", "n", "label", "stray", "k")))
+    need = _up((F.col("n") + F.col("n_m")) * percent, 100 + percent)  # shingles that two alike sets share
+    left = F.least(F.col("n") - F.col("k"), F.col("n_m") - F.col("k_m"))  # what they can share from here on
+    once = ~F.col("stray_m") | (F.col("id") < F.col("id_m"))  # two strays meet once
+    met = rare.where("stray").join(mate, "t").where((F.col("label") != F.col("label_m")) & once & (left >= need))
+    return met.select(F.least("id", "id_m").alias("a"), F.greatest("id", "id_m").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept. percent: the least similarity that links."""
     work = Workspace(docs.sparkSession, "minhash")
@@ -143,9 +144,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = work.keep(live.select("id").distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-    sets = work.keep(texts.select("id", _shingles("text").alias("d")).select("id", "d.*"), "sets")
+    sets = work.keep(texts.select("id", _shingles("text").alias("s")), "sets")
     if sets.count() > ids.count():  # an id that is repeated with other texts keeps one of its sets
-        sets = work.keep(sets.groupBy("id").agg(F.min(F.struct("s", "k")).alias("d")).select("id", "d.*"), "sets-once")
+        sets = work.keep(sets.groupBy("id").agg(F.min("s").alias("s")), "sets-once")
 
     fame = live.groupBy("id").agg(F.sum("c").alias("fame"))
     live = work.keep(live.join(fame, "id"), "famed")
@@ -153,24 +154,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = live.join(pivots.select("key", F.col("id").alias("p"), F.col("n").alias("pn")), "key").select("p", "pn", "id", "n").distinct()
     stars = work.keep(stars, "stars")
     work.drop(live, pivots)
-    apart = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    links = work.keep(_confirmed(stars.where((F.col("p") != F.col("id")) & apart("n", "pn")).select(F.col("p").alias("b"), F.col("id").alias("a")), sets, percent), "links")
+    apart = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
+    links = work.keep(_confirmed(stars.where((F.col("p") != F.col("id")) & apart).select(F.col("p").alias("b"), F.col("id").alias("a")), sets, percent), "links")
     labels = components(work, links)
 
     named = labels.withColumnRenamed("node", "id")
     member = stars.join(named, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    member = member.join(named.select(F.col("id").alias("p"), F.col("component").alias("home")), "p", "left").withColumn("home", F.coalesce("home", "p"))
-    member = work.keep(member.join(sets.select("id", *(F.col("k")[i].alias(f"k{i}") for i in range(SKETCH // 32))), "id"), "members")
-    stray = member.where("label <> home").drop("home", "pn")
-    open_ = stray.select("p").distinct()
-    mate = work.keep(member.join(open_, "p", "left_semi").select(F.col("p").alias("p_m"), *(F.col(c).alias(f"{c}_m") for c in ("id", "n", "label", *(f"k{i}" for i in range(SKETCH // 32))))), "mates")
-    stray = work.keep(stray, "strays")
-    differ = sum((F.bit_count((d := F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}_m"))).bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for i in range(SKETCH // 32)), F.lit(0))
-    near = (stray["p"] == mate["p_m"]) & (F.col("label") != F.col("label_m")) & apart("n", "n_m") & (differ <= most_differ(percent))
-    pairs = stray.join(mate, near).select(F.least("id", "id_m").alias("a"), F.greatest("id", "id_m").alias("b")).distinct()
-    more = work.keep(_confirmed(pairs, sets, percent), "more")
-    if not more.isEmpty():
-        labels = components(work, links.union(more))
+    member = member.join(named.select(F.col("id").alias("p"), F.col("component").alias("home")), "p", "left")
+    member = work.keep(member.select("p", "id", "label", (F.col("label") != F.coalesce("home", "p")).alias("stray")), "members")
+    open_ = member.where("stray").select("p").distinct()
+    member = member.join(open_, "p", "left_semi").groupBy("id").agg(F.first("label").alias("label"), F.max("stray").alias("stray"))
+    sized = sets.select("id", F.size("s").alias("n"))
+    member = work.keep(member.join(sized, "id"), "mates")
+    if not member.isEmpty():
+        more = work.keep(_confirmed(_near(work, member, sets, percent), sets, percent), "more")
+        if not more.isEmpty():
+            labels = components(work, links.union(more))
 
     classes = reps.select(*same, F.col("doc_id").alias("node"))
     classes = work.keep(classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "classes")
