@@ -1,22 +1,28 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the normalised test items.
 
 Texts and items are lower-cased (A-Z) and split into runs of ASCII letters, digits and bytes from 0x80, so
-one table maps byte to byte and every offset in the normalised text is an offset in the original. The
-automaton holds each window of 13 item words between spaces; a single scan of a text's words, joined by
-spaces, finds all occurrences, and the number of a space is the number of the word behind it.
+one table maps byte to byte and every offset in the normalised text is an offset in the original. Words are
+numbered and coded in few letters: each item of 13 words or more is cut in whole blocks of 7, of which every
+window of 13 holds one, and the first ``PART`` words of a block are a pattern; shorter items are patterns themselves. So the
+automaton has at most 2 nodes for each word of a long item, not 13 for each byte. A single scan of a text's words finds the
+patterns; from each the words before and behind are compared with the item's, and if 13 in a row are equal, all that
+are equal hold windows of the item.
 
-The items are read once to the driver in shards of at most ``SHARD_BYTES`` and each shard is broadcast; with
-more than one shard the texts are scanned once for each, in rounds of ``HELD``, and the hits are merged in the executors.
+The items are read once to the driver and broadcast as normalised text; every worker builds the automaton once.
+``MOST_BYTES`` bounds them, checked before they are read: a larger benchmark is an error, never cut. A worker holds some
+20 bytes for each byte of the items.
 
 Defined cases: a null or empty text has no words and is clean; items without words are ignored; items with
-equal windows are all reported; repeated rows are judged alike; empty tables give empty results or no hits.
-Only the text column is read, columns of other names pass through.
+equal windows are all reported; an item without an id marks words and counts as one item, whose id is null, last among the
+items, and left out of ``items_sha256``; repeated rows are judged alike; empty tables give empty results or no hits.
+Only the text column is read, columns of other names pass through, the one named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import Workspace, table
+from sparkloom.llm.common import table, unused
 from sparkloom.llm.texthash import text_groups
 
 WINDOW = 13
-#: Text of the items in one automaton: windows overlap, so it has about 13 nodes a byte, here up to some 200 MB in a worker.
-SHARD_BYTES = 300_000
-#: Automata that a worker holds; with more shards the texts are written between rounds of so many.
-HELD = 3
+#: Bytes of all items' texts together that a broadcast may have.
+MOST_BYTES = 64_000_000
+#: Words of a block that the automaton holds.
+PART = 4
+#: Automata that a worker keeps, of queries that ran in it.
+HELD = 2
 #: Word bytes stay, A-Z in lower case; all others become spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -46,48 +54,116 @@ ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.
 _automata: dict = {}
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> list[list[bytes]]:
-    words = (text or "").encode().translate(NORMAL).split()
-    return [words[i : i + window] for i in range(max(1, len(words) - window + 1))] if words else []
-
-
 class Scanner:
-    """The automaton of some items: [(item id as text, item text)]."""
+    """The automaton of some items: [(item id as text or None, normalised text)]."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         import ahocorasick
 
-        found: dict[bytes, tuple[int, set[str]]] = {}
+        self.window, self.block = window, (window + 1) // 2
+        part = min(PART, self.block)
+        vocabulary: dict[bytes, int] = {}
+        for _, text in items:
+            for w in text.split():
+                vocabulary.setdefault(w, len(vocabulary))
+        # a word is a letter of 64 to 127 and others below, so that patterns start where words do and nodes have few ways on
+        self.width = 3 if len(vocabulary) <= 64**3 else 4
+        self.code = {w: bytes(((k == 0) << 6) | (n >> 6 * (self.width - 1 - k) & 63) for k in range(self.width)) for w, n in vocabulary.items()}
+        self.unknown = b"\x80" * self.width
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        ids: dict[str | None, int] = {}
+        named: dict[bytes, int] = {}
+        coded, ends, owner, lengths = [], array("q"), array("l"), array("b")
+        places, short, of, which_ = array("q"), array("b"), array("l"), array("l")
+        at = 0
         for item, text in items:
-            for words in item_windows(text, window):
-                found.setdefault(b" " + b" ".join(words) + b" ", (len(words), set()))[1].add(item)
-        self.automaton = ahocorasick.Automaton()
-        for key, value in found.items():
-            self.automaton.add_word(key.decode("latin-1"), value)
-        self.empty = not found
-        if found:
-            self.automaton.make_automaton()
-
-    def scan(self, text: bytes) -> tuple[int, int, list[str], list[list[int]]]:
+            row = b"".join(map(self.code.__getitem__, text.split()))
+            n = len(row) // self.width
+            for k in range(0, n - self.block + 1, self.block) if n >= window else range(min(n, 1)):
+                size = part if n >= window else n
+                pattern = row[k * self.width : (k + size) * self.width]
+                which = named.setdefault(pattern, len(named))
+                if which == len(lengths):
+                    lengths.append(size)
+                    automaton.add_word(pattern.decode("latin-1"), which)
+                for column, value in ((which_, which), (places, at + k), (of, len(ends)), (short, n < window)):
+                    column.append(value)
+            coded.append(row)
+            at += n
+            ends.append(at)
+            owner.append(ids.setdefault(item, len(ids)))
+        self.flat = self._numbers(b"".join(coded))
+        self.ids, self.lengths, self.ends, self.owner = list(ids), lengths, np.array(ends, np.int64), np.array(owner, np.int64)
+        self.starts = np.concatenate(([0], self.ends))[:-1]
+        # by pattern: where it lies in flat, in which item, and whether it is a whole short item
+        which_ = np.array(which_, np.int64)
+        order = np.argsort(which_, kind="stable")
+        self.bounds = np.searchsorted(which_[order], np.arange(len(lengths) + 1))
+        self.place, self.item, self.short = np.array(places, np.int64)[order], np.array(of, np.int64)[order], np.array(short, bool)[order]
+        self.automaton = automaton if named else None
+        if named:
+            automaton.make_automaton()
+
+    def _numbers(self, coded: bytes) -> np.ndarray:
+        """The words of a coded text as numbers."""
+        letters = np.frombuffer(coded, np.uint8).reshape(-1, self.width).astype(np.int32)
+        return sum(letters[:, k] << 8 * k for k in range(1, self.width)) + letters[:, 0]
+
+    def _found(self, numbers: np.ndarray, end: int, which: int):
+        """(first word, word behind the last, item) of what is equal around a pattern that ends at end, for each place in the items that holds windows there."""
+        n = self.lengths[which]
+        begin = end + 1 - n
+        at, item, short = (x[self.bounds[which] : self.bounds[which + 1]] for x in (self.place, self.item, self.short))
+        for k in np.unique(item[short]):
+            yield begin, end + 1, k
+        at, item = at[~short], item[~short]
+        if not len(at):
+            return
+        before, behind = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        # a window that holds the whole block starts and ends within these
+        for side, run, reach in ((-1, before, self.window - self.block), (1, behind, self.window - n)):
+            alive = np.arange(len(at))
+            for d in range(1, reach + 1):
+                here = begin - d if side < 0 else end + d
+                there = at[alive] - d if side < 0 else at[alive] + n - 1 + d
+                if here < 0 or here >= len(numbers):
+                    break
+                inside = there >= self.starts[item[alive]] if side < 0 else there < self.ends[item[alive]]
+                alive, there = alive[inside], there[inside]
+                same = self.flat[there] == numbers[here]
+                alive = alive[same]
+                if not len(alive):
+                    break
+                run[alive] = d
+        for k in np.flatnonzero(before + behind + n >= self.window):
+            yield begin - int(before[k]), end + 1 + int(behind[k]), item[k]
+
+    def scan(self, text: bytes) -> tuple[int, int, list[str | None], list[list[int]]]:
         """Words, words hit, items found in order of their ids as text, and the hit runs as (start, end) code points of the original."""
         normal = text.translate(NORMAL)
         words = normal.split()
-        joined = b" " + b" ".join(words) + b" "
-        hits = [] if self.empty or not words else list(self.automaton.iter(joined.decode("latin-1")))
-        if not hits:
+        if self.automaton is None or not words:
             return len(words), 0, [], []
-        spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        ends = np.searchsorted(spaces, [end for end, _ in hits])
-        change = np.zeros(len(words) + 1, np.int64)
-        np.add.at(change, ends - [n for _, (n, _) in hits], 1)
-        np.add.at(change, ends, -1)
+        unknown = self.unknown
+        coded = b"".join([self.code.get(w, unknown) for w in words])
+        matches = list(self.automaton.iter(coded.decode("latin-1")))
+        if not matches:
+            return len(words), 0, [], []
+        row, change, items = self._numbers(coded), np.zeros(len(words) + 1, np.int64), set()
+        for end, which in matches:
+            for a, b, k in self._found(row, end // self.width, which):
+                change[a] += 1
+                change[b] -= 1
+                items.add(int(self.owner[k]))
         hit = np.cumsum(change[:-1]) > 0
+        if not items:
+            return len(words), 0, [], []
         edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
         at = [m.span() for m in re.finditer(rb"[^ ]+", normal)]
-        starts = np.frombuffer(text, np.uint8)
-        points = np.concatenate(([0], np.cumsum((starts & 0xC0) != 0x80)))
+        points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
         spans = [[int(points[at[a][0]]), int(points[at[b - 1][1]])] for a, b in edges.reshape(-1, 2)]
-        return len(words), int(hit.sum()), sorted(set().union(*(items for _, (_, items) in hits))), spans
+        named = [self.ids[k] for k in items]
+        return len(words), int(hit.sum()), sorted(x for x in named if x is not None) + [None] * (None in named), spans
 
 
 def _scan_udf(shared, window: int):
@@ -106,49 +182,20 @@ def _scan_udf(shared, window: int):
     return scan
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int):
-    """The items in shards of bounded size, one at a time."""
-    shard, held = [], 0
-    for row in benchmark.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
-        if row[0] is None or not row[1]:
-            continue
-        if shard and held + len(row[1]) > shard_bytes:
-            yield shard
-            shard, held = [], 0
-        shard.append((row[0], row[1]))
-        held += len(row[1])
-    yield shard
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[str | None, bytes]]:
+    """The items in normalised form."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    size = benchmark.agg(F.sum(F.length(text))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"the benchmark's texts take {size} bytes, more than MOST_BYTES = {MOST_BYTES}")
+    rows = benchmark.select(F.col(item_col).cast("string"), text).toLocalIterator()
+    return [(item, b" ".join(bytes(raw).translate(NORMAL).split())) for item, raw in rows]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, name: str = "contamination") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, name: str = "contamination") -> DataFrame:
     """docs with a struct column: n_words, n_hit, items (ids as text, in order), spans (hit runs, in code points)."""
-    spark, out, parts = docs.sparkSession, docs.drop(name), []
-    for k, shard in enumerate(_shards(benchmark, item_col, item_text, shard_bytes)):
-        if k and k % HELD == 0:
-            out = Workspace(spark, "decontaminate").keep(out, f"round{k // HELD}")
-        parts.append(f"_shard{k}")
-        out = out.withColumn(parts[-1], _scan_udf(spark.sparkContext.broadcast(shard), window)(F.col(text_col)))
-    if len(parts) == 1:
-        return out.withColumnRenamed(parts[0], name)
-    return out.withColumn(name, _merge(F.array(*parts), F.col(text_col))).drop(*parts)
-
-
-@F.arrow_udf(RESULT)
-def _merge(parts: pa.Array, texts: pa.Array) -> pa.Array:
-    """The hits of several shards as one."""
-    rows = []
-    for found, text in zip(parts.to_pylist(), texts.to_pylist(), strict=True):
-        normal = (text or "").encode().translate(NORMAL)
-        spans: list[list[int]] = []
-        for a, b in sorted(s for f in found for s in f["spans"]):
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
-        points = np.concatenate(([0], np.cumsum((np.frombuffer((text or "").encode(), np.uint8) & 0xC0) != 0x80)))
-        hit = sum(len(normal[int(np.searchsorted(points, a, "right")) - 1 : int(np.searchsorted(points, b, "right")) - 1].split()) for a, b in spans)
-        rows.append({"n_words": found[0]["n_words"], "n_hit": hit, "items": sorted({i for f in found for i in f["items"]}), "spans": spans})
-    return pa.array(rows, ARROW)
+    shared = docs.sparkSession.sparkContext.broadcast(_items(benchmark, item_col, item_text))
+    return docs.withColumn(name, _scan_udf(shared, window)(F.col(text_col)))
 
 
 def is_contaminated(name: str = "contamination"):
@@ -158,7 +205,7 @@ def is_contaminated(name: str = "contamination"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    mark = "_contamination"
+    (mark,) = unused(docs.columns, "contamination")
     return contamination(docs, benchmark, name=mark, **how).where(~is_contaminated(mark)).select(*docs.columns)
 
 
