@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Workspace, table
+from sparkloom.llm.common import Workspace, shuffle_parts, table
 
 #: (verdict, rule): a rule fits its host and all subdomains where the URL's path starts with the rule's; longest wins.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -95,8 +95,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     work = Workspace(spark, "urls")
     mine = ("host", "path", "rule", "verdict", "score")
     kept = [c for c in pages.columns if c not in mine]
-    host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
-    parts = pages.select(*kept, host.alias("host"), path.alias("path")).withColumn("text", F.concat("host", "path"))
+    row = F.struct(*(pages[c] for c in kept)) if kept else F.lit(None).cast("struct<none:int>")
+    parts = pages.select(row.alias("row"), url_host(pages[url_col]).alias("host"), url_path(pages[url_col]).alias("path")).withColumn("text", F.concat("host", "path"))
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": rule, "decided": decided})
     # one row for each different host and path, as only they are read
@@ -104,7 +104,9 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     texts = work.keep(texts.where("text <> ''"), "texts")
     held = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % HELD == 0
 
-    exploded = texts.select("text", "decided", "n", held.alias("held"), F.explode(grams(F.col("text"), order)).alias("gram"))
+    # a small file, as URLs compress well, but a row for each character: dealt to all tasks before it is exploded
+    split = texts.select("text", "decided", "n", held.alias("held")).repartition(shuffle_parts(spark))
+    exploded = split.select("*", F.explode(grams(F.col("text"), order)).alias("gram"))
     teach = F.col("decided").isNotNull() & ~F.col("held")
     own = lambda verdict: F.sum(F.when(teach & (F.col("decided") == verdict), F.col("n")).otherwise(F.lit(0).cast("long")))
     counts = work.keep(exploded.groupBy("gram").agg(own("allow").alias("a"), own("block").alias("r")), "counts")
@@ -112,7 +114,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     # each text meets one row for each of its characters: never the side to broadcast, which its compressed size would suggest
     model = F.broadcast(model) if model.count() <= BROADCAST_GRAMS else model.hint("merge")
     both = counts.agg(F.sum("a"), F.sum("r")).first()
-    scored = exploded.join(model, "gram").groupBy("text").agg(F.sum("score").alias("total"), F.count("*").alias("length"))
+    scored = exploded.select("text", "gram").join(model, "gram").groupBy("text").agg(F.sum("score").alias("total"), F.count("*").alias("length"))
     score = F.floor(F.col("total") / F.col("length")).cast("long") if all(both) else F.lit(0).cast("long")
     # as many rows as different URLs: joined by sorting, however small its file is compressed
     scored = work.keep(scored.select("text", score.alias("score")), "scores").hint("merge")
@@ -120,7 +122,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDE
     threshold = calibrate(texts.where(held).join(scored, "text")) if all(both) else 0
     out = parts.join(scored, "text", "left")
     verdict = F.coalesce("decided", F.when(F.coalesce("score", F.lit(0)) >= threshold, "allow").otherwise("block"))
-    return out.select(*kept, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("score", F.lit(0).cast("long")).alias("score"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "host", "path", "rule", verdict.alias("verdict"), F.coalesce("score", F.lit(0).cast("long")).alias("score"))
 
 
 def calibrate(held: DataFrame) -> int:
