@@ -5,7 +5,8 @@ Three passes over archives in the shared folder, each a table of small index row
 1. ``write_arc``: rows to ARC files of bounded size; an index row for each record.
 2. ``convert``: each ARC file is read once, in order, by the field names of its own version block and the
    declared lengths; identifiers, timestamps, types and digests of the WARC records are synthesised. Which
-   record keeps a payload is decided on the index alone (digest, record number), so no payload is shuffled.
+   record keeps a payload is decided on the index alone (digest, id, URL), so no payload is shuffled. A revisit names that
+   record by identifier, URL and date.
 3. ``read_warc``: the WARC files back to rows.
 
 Files are written under a name that no other attempt uses and count only if the index lists them, so a task that
@@ -43,8 +44,8 @@ ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
-INDEX = pa.schema([("path", pa.string()), ("n", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-INDEX_DDL = "path string, n long, page_id long, payload_bytes long, payload_digest string"
+INDEX = pa.schema([("path", pa.string()), ("n", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+INDEX_DDL = "path string, n long, page_id long, url string, payload_bytes long, payload_digest string"
 ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 ROW_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -120,13 +121,17 @@ def arc_url(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7F\x85\xA0  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "-"
 
 
-def arc_version_block(version: int, name: str, date: str = "20000101000000") -> bytes:
+#: The date of all records that are written here, as pages have none.
+DATE = "20000101000000"
+
+
+def arc_version_block(version: int, name: str, date: str = DATE) -> bytes:
     body = f"{version} 0 sparkloom\n{' '.join(ARC_FIELDS[version])}\n".encode()
     more = "" if version == 1 else " 200 - - 0 " + name
     return f"filedesc://{name} 0.0.0.0 {date} text/plain{more} {len(body)}\n".encode() + body + b"\n"
 
 
-def arc_record(version: int, url: str | None, payload: bytes, page_id: int | None, offset: int = 0, name: str = "-", date: str = "20000101000000") -> tuple[bytes, bytes]:
+def arc_record(version: int, url: str | None, payload: bytes, page_id: int | None, offset: int = 0, name: str = "-", date: str = DATE) -> tuple[bytes, bytes]:
     """Header line with the HTTP headers, and payload with the closing newline."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     more = "" if version == 1 else f" 200 {hashlib.md5(payload).hexdigest()} - {offset} {name}"
@@ -172,16 +177,22 @@ def record_id(uri: str, page_id: str, date: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {page_id} {date} {digest}')}>"
 
 
-def warc_record(fields: dict[str, str], content: bytes, refers_to: int | None) -> tuple[bytes, bytes, bytes]:
-    """A response, or a revisit with the HTTP headers alone, from an ARC record."""
+def warc_record(fields: dict[str, str], content: bytes, refers_to: tuple[int, str] | None) -> tuple[bytes, bytes, bytes]:
+    """A response, or a revisit with the HTTP headers alone, from an ARC record. refers_to: id and URL of the page whose record keeps the payload, of the same date as all here."""
     head, http, payload = split_http(content)
     date, digest = warc_date(fields["Archive-date"]), hashlib.sha1(payload).hexdigest()
-    revisit = refers_to is not None
+    revisit, more = refers_to is not None, []
+    if refers_to:
+        page, uri = refers_to
+        more = [
+            f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(uri, str(page), warc_date(DATE), digest)}", f"WARC-Refers-To-Target-URI: {uri}",
+            f"WARC-Refers-To-Date: {warc_date(DATE)}", f"X-Refers-To-Page: {page}",
+        ]
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(fields['URL'], http.get('x-page-id', ''), date, digest)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields.get('IP-address', '0.0.0.0')}", f"WARC-Payload-Digest: sha1:{digest}",
-        *([f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
+        *more,
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(head) + (0 if revisit else len(payload))}",
     ]
     return "\r\n".join([*lines, "", ""]).encode() + head, b"" if revisit else payload, b"\r\n\r\n"
@@ -214,12 +225,12 @@ def write_arc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str
                     sink = GzipSink(name)
                     sink.add(arc_version_block(version, name.rsplit("/", 1)[1]))
                 sink.add(*arc_record(version, url, payload, page_id, sink.raw, name.rsplit("/", 1)[1]))
-                index.append((name, n, page_id, len(payload), hashlib.sha1(payload).hexdigest()))
+                index.append((name, n, page_id, arc_url(url), len(payload), hashlib.sha1(payload).hexdigest()))
                 n += 1
                 if sink.raw >= FILE_BYTES or n >= FILE_RECORDS:
                     sink.close()
                     sink = None
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True) if index else [()] * 5, INDEX.types, strict=True)], schema=INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True) if index else [()] * 6, INDEX.types, strict=True)], schema=INDEX)
         if sink:
             sink.close()
 
@@ -228,9 +239,9 @@ def write_arc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str
 
 
 def keepers(index: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(payload_digest, keeper) of payloads that occur more than once. Partial sums meet, one row for each digest and task."""
+    """(payload_digest, keeper, keeper_url) of payloads that occur more than once. Partial sums meet, one row for each digest and task."""
     large = index.where(F.col("payload_bytes") >= min_revisit)
-    return large.groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    return large.groupBy("payload_digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("k"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("payload_digest", F.col("k.page_id").alias("keeper"), F.col("k.url").alias("keeper_url"))
 
 
 def convert(index: DataFrame, keeper: DataFrame, root: str) -> DataFrame:
@@ -239,13 +250,13 @@ def convert(index: DataFrame, keeper: DataFrame, root: str) -> DataFrame:
     revisits = index.select("path", "n", "page_id", "payload_digest").join(F.broadcast(keeper) if small else keeper, "payload_digest", "left")
     refers = F.when(F.col("page_id") != F.col("keeper"), F.col("keeper"))
     # a file holds FILE_RECORDS records at most, so this list is bounded
-    plans = revisits.groupBy("path").agg(F.collect_list(F.when(refers.isNotNull(), F.struct("n", refers.alias("to")))).alias("revisits"))
+    plans = revisits.groupBy("path").agg(F.collect_list(F.when(refers.isNotNull(), F.struct("n", refers.alias("to"), F.col("keeper_url").alias("url")))).alias("revisits"))
 
     def write(batches):
         for batch in batches:
             done = []
             for path, revisit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                refers_to = {x["n"]: x["to"] for x in revisit}
+                refers_to = {x["n"]: (x["to"], x["url"]) for x in revisit}
                 name, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
                 sink = GzipSink(name)
                 for n, (fields, content) in enumerate(read_arc(Source(path)), 1):
