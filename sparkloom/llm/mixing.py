@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-Tokens are summed per source; the repetition rate of a source is its target over its size, and each
+Tokens are summed per source. Sources are ranked in parallel and targets found in rounds, each one sum over the sources, so
+there may be as many as there are domains. The repetition rate of a source is its target over its size, and each
 document is taken floor(rate) times plus one more time if a hash of its id, uniform in [0, 1), lies below the
 rate's fraction. A rerun draws the same copies, whatever the partitions.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, Workspace, table, unit_hash
+from sparkloom.llm.common import WORD, Workspace, shuffle_parts, table, unit_hash
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -28,32 +29,39 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def _weighed(work: Workspace, sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """sizes with w, the weights in turn by source: ranges of sources are numbered by themselves, from what the ranges before hold."""
+    parts = work.keep(sizes.repartitionByRange(shuffle_parts(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranged")
+    held = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).toLocalIterator())  # a number for each partition
+    before, total = [], 0
+    for part, n in held:
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    k = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    k = k + (F.create_map(*before)[F.col("part")] if before else F.lit(0))
+    return parts.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (k % len(weights) + 1).cast("int")).cast("long")).drop("part")
+
+
+def source_targets(work: Workspace, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size) to (source, source_size, target).
 
-    Water filling without a loop: in order of cap * size / weight, the sources before the first whose
-    share of what the earlier ones leave is within its cap stop at their caps; the rest share what is left.
-    All but the final division is whole numbers. There is a row per source, so one task orders them.
+    Water filling: what the sources at their caps leave is shared by weight; those whose share is above their cap stop at it, until
+    none is. A round is one sum over the sources; all but the final division is whole numbers.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("w", w.cast("long")).withColumn("capped", F.col("source_size") * cap)
-    by = Window.orderBy((F.col("capped") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumns({
-        "left_size": F.sum("source_size").over(whole) - F.coalesce(F.sum("capped").over(before), F.lit(0)),
-        "left_w": F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0)),
-        "k": F.row_number().over(by),
-    })
-    within = F.col("capped") * F.col("left_w") >= F.col("w") * F.col("left_size")
-    first = F.min(F.when(within, F.struct("k", "left_size", "left_w"))).over(whole)
-    ranked = ranked.withColumn("first", first)
-    shared = F.col("w") * F.col("first.left_size") / F.col("first.left_w")
-    return ranked.select(
-        "source", "source_size",
-        F.when(F.col("k") < F.col("first.k"), F.col("capped").cast("double")).otherwise(shared).alias("target"),
-    )
+    rows = work.keep(_weighed(work, sizes, weights).withColumn("capped", F.col("source_size") * cap), "weighed")
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    total, all_w = rows.agg(exact("source_size"), exact("w")).first()
+    left_size, left_w = int(total or 0), int(all_w or 0)
+    big = "decimal(38,0)"
+    while True:
+        over = F.col("capped").cast(big) * F.lit(left_w).cast(big) < F.col("w").cast(big) * F.lit(left_size).cast(big)
+        stopped, stopped_w = rows.where(over).agg(exact("capped"), exact("w")).first()
+        now = int(total or 0) - int(stopped or 0), int(all_w or 0) - int(stopped_w or 0)
+        if now == (left_size, left_w):
+            break
+        left_size, left_w = now
+    shared = F.col("w") * F.lit(left_size) / F.lit(left_w)
+    return rows.select("source", "source_size", F.when(over, F.col("capped").cast("double")).otherwise(shared).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, whole_rows: bool = False) -> DataFrame:
@@ -61,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     work = Workspace(docs.sparkSession, "mix")
     columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")]
     sized = work.keep(docs.select(*columns), "sizes")
-    targets = work.keep(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
+    targets = work.keep(source_targets(work, sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     if whole_rows:

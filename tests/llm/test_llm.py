@@ -83,20 +83,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {k: (len(sets[k]), least[k], least[k] == k) for k, _ in rows}
 
 
-def test_tables_and_sketch_limit_follow_percent():
-    assert minhash.tables(85) == (8, 3) and minhash.most_differ(85) == 88
+def test_tables_follow_percent():
+    assert minhash.tables(85) == (8, 3)
     for percent in range(50, 101):
         half, rows = minhash.tables(percent)
         s = percent / 100
         assert (1 - (1 - s**rows) ** half) ** 2 >= minhash.RECALL and half <= minhash.MOST_HALF
-        p = 0.75 * (1 - s)
-        assert minhash.most_differ(percent) + 1 >= 512 * p + 4.3 * (512 * p * (1 - p)) ** 0.5
     with pytest.raises(ValueError):
         minhash.tables(10)
 
 
 def test_strays_link_at_the_percent_given(spark):
-    """Around each base lie documents of about 0.8 to it or to one another: a pivot leaves strays that only sketches find."""
+    """Around each base lie documents of about 0.8 to it or to one another: a pivot leaves strays that meet only their own kind."""
     rng, rows = random.Random(80), []
     for base in range(60):
         text = words(rng, 300).split()
@@ -116,6 +114,52 @@ def test_strays_link_at_the_percent_given(spark):
         assert len(links) > 200 and {r.doc_id: r.component_id for r in got} == least
 
 
+def test_rare_shingles_find_all_pairs(spark):
+    """Every pair of different labels, one of them a stray, that is alike enough, whatever the frequencies."""
+    rng = np.random.default_rng(81)
+    base = rng.integers(-(2**62), 2**62, 60)
+    rows = []
+    for k in range(150):
+        own = base.copy()
+        change = rng.integers(0, 60, rng.integers(0, 16))
+        own[change] = rng.integers(0, 40, len(change)) if k % 2 else rng.integers(-(2**62), 2**62, len(change))
+        rows.append((k, sorted({int(x) for x in own[: rng.integers(50, 61)]})))
+    sets = {k: set(s) for k, s in rows}
+    member = [(k, len(s), k % 4, k % 3 == 0) for k, s in rows]
+    work = Workspace(spark, "t")
+    for percent in (75, 85, 95, 100):
+        near = minhash._near(work, spark.createDataFrame(member, "id long, n int, label int, stray boolean"), spark.createDataFrame(rows, "id long, s array<long>"), percent)
+        got = {(r.a, r.b) for r in near.collect()}
+        want = {(a, b) for a in sets for b in sets if a < b and a % 4 != b % 4 and (a % 3 == 0 or b % 3 == 0) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert want <= got and (len(want) > 10 or percent == 100)
+
+
+def test_pages_of_one_template_cost_no_pairs(spark):
+    """5000 members of one group, 0.75 to 0.84 alike to one another through a template: pairs that meet are few, not 12 million."""
+    rng = np.random.default_rng(82)
+    template = rng.integers(-(2**62), 2**62, 200).tolist()
+    rows = [(k, sorted({*template, *rng.integers(-(2**62), 2**62, int(rng.integers(19, 33))).tolist()})) for k in range(5000)]
+    for k in range(0, 5000, 500):  # true copies among them, which are alike through what is their own
+        rows[k + 1] = (k + 1, rows[k][1][:-3])
+    sets = spark.createDataFrame(rows, "id long, s array<long>")
+    member = spark.createDataFrame([(k, len(s), k, True) for k, s in rows], "id long, n int, label int, stray boolean")
+    near = {(r.a, r.b) for r in minhash._near(Workspace(spark, "t"), member, sets, 85).collect()}
+    assert {(k, k + 1) for k in range(0, 5000, 500)} <= near and len(near) < 5000
+
+
+@pytest.mark.parametrize("ids", [minhash.BROADCAST_IDS, 0])
+def test_near_duplicates_of_repeated_ids_and_both_joins(spark, monkeypatch, ids):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", ids)
+    rng = random.Random(83)
+    a, b = words(rng, 100), words(rng, 100)
+    rows = [(1, a), (2, a + " more"), (3, b), (3, b), (4, words(rng, 50)), (None, a), (None, b), (5, b + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("mine")).withColumn("_gone", F.lit(1))
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (4, 4, True), (None, None, True), (None, None, True), (5, 3, False)])
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "3", "4", "None", "None"]
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect())
     assert len(got) == odd.count()
@@ -266,13 +310,66 @@ def test_contamination_on_odd_rows(spark, odd, empty):
     assert decontaminate.contamination(odd, bench.limit(0)).where("contamination.n_hit > 0").count() == 0
 
 
-def test_shards_of_items_agree(spark, odd):
+def plain_contamination(items, text, window=13):
+    """(words, hits, items) by comparing all windows at all places."""
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    w, hit, found = split(text), set(), set()
+    for item, t in items:
+        v = split(t)
+        n = min(window, len(v))
+        for a in range(len(v) - n + 1) if v else ():
+            for b in range(len(w) - n + 1):
+                if v[a : a + n] == w[b : b + n]:
+                    hit.update(range(b, b + n))
+                    found.add(item)
+    return len(w), len(hit), sorted(x for x in found if x is not None) + [None] * (None in found)
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 13])
+def test_scanner_against_comparing_all_windows(window):
     rng = random.Random(6)
-    texts = [words(rng, 30) for _ in range(5)]
-    docs = spark.createDataFrame([(k, f"Vor {t} 😀 und {texts[k - 1]}") for k, t in enumerate(texts)], "doc_id long, text string")
-    bench = spark.createDataFrame([(k, " ".join(t.split()[k : k + 20])) for k, t in enumerate(texts)], "item_id long, text string")
-    whole = decontaminate.contamination(docs, bench).collect()
-    assert sorted(whole) == sorted(decontaminate.contamination(docs, bench, shard_bytes=50).collect()) and all(r.contamination.n_hit == 40 for r in whole)
+    for _ in range(60):
+        text = lambda n: " ".join(rng.choice(("a", "b", "É", "cc")) + rng.choice(("", "", ".", "-x")) for _ in range(n))
+        items = [(rng.choice(("1", "2", "10", None)), text(rng.choice((0, 1, 3, 5, 13, 14, 30)))) for _ in range(rng.randint(0, 6))]
+        docs = [text(rng.choice((0, 2, 9, 40))) + " " + " ".join(rng.choice(items)[1].split()[rng.randint(0, 3) :] if items else ["a"]) + " " + text(3) for _ in range(4)]
+        scanner = decontaminate.Scanner([(k, t.encode().translate(decontaminate.NORMAL)) for k, t in items], window)
+        for doc in docs:
+            assert scanner.scan(doc.encode())[:3] == plain_contamination(items, doc, window)
+
+
+def test_spans_are_code_points_of_the_original():
+    scanner = decontaminate.Scanner([("1", b"two words")])
+    text = "É 😀 Two,\nWORDS; two words"
+    n, hit, _, spans = scanner.scan(text.encode())
+    assert (n, hit) == (6, 4) and [text[a:b] for a, b in spans] == ["Two,\nWORDS; two words"]
+
+
+def test_a_large_benchmark_is_one_automaton():
+    """20 MB of items: no rewriting of texts, a node for each word; a phrase that all items share costs no more than its places."""
+    rng = np.random.default_rng(60)
+    vocabulary = np.array([f"w{k:05d}" for k in range(60_000)])
+    items = [(str(k), ("which of these answers is the one that is right " + " ".join(vocabulary[rng.integers(0, 60_000, 40)])).encode()) for k in range(62_000)]
+    assert sum(len(t) for _, t in items) > 20_000_000
+    scanner = decontaminate.Scanner(items)
+    stats = scanner.automaton.get_stats()
+    assert stats["nodes_count"] < 2 * 62_000 * 50 and stats["total_size"] < 250_000_000
+    doc = b"some text " + items[777][1][40:200] + b" more text which of these answers is the one that is right or so"
+    got = scanner.scan(doc)
+    assert got[2] == ["777"] and got[1] == len(items[777][1][40:200].split()) - (items[777][1][39:40] != b" ") - (items[777][1][200:201] not in (b" ", b""))
+
+
+def test_a_benchmark_beyond_its_bound_is_an_error(spark, odd, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 10)
+    with pytest.raises(ValueError, match="MOST_BYTES"):
+        decontaminate.contamination(odd, spark.createDataFrame([(1, "two words and more")], "item_id long, text string"))
+
+
+def test_items_without_an_id_hit_as_in_sql(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha beta gamma " * 3), (2, "delta"), (3, None), (4, "nothing here")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "beta gamma"), (None, "delta"), ("7", "Delta!"), ("8", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    check(spark, decontaminate.op9_decontaminate, decontaminate.ORACLE, str(tmp_path))
+    got = {r.doc_id: r for r in decontaminate.op9_decontaminate(spark, str(tmp_path)).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[2].n_items, got[2].items_sha256) == (6, 1, 2, hashlib.sha256(b"7").hexdigest())
 
 
 # --- mixing
@@ -296,11 +393,25 @@ def test_targets_against_the_loop(spark):
     rng = random.Random(7)
     for n in (1, 2, 5, 17):
         sizes = {f"s{k}": rng.choice((0, 1, 10, 1000, rng.randrange(10**6))) for k in range(n)} | {None: 50}
-        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        got = mixing.source_targets(Workspace(spark, "t"), spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
         want = fill(sizes)
         assert all(r.target == pytest.approx(want[r.source]) for r in got)
 
 
+def test_mix_with_many_sources_and_either_join(spark, monkeypatch, odd):
+    rng = random.Random(71)
+    docs = spark.createDataFrame([(k, words(rng, rng.choice((1, 5, 200))), rng.choice((f"site{rng.randrange(900)}", "hot"))) for k in range(3000)], "doc_id long, text string, source string")
+    first = sorted(map(str, mixing.mix(docs).collect()))
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(r.text.split())
+    want = fill(sizes)
+    assert all(r.target == pytest.approx(want[r.source]) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == first
+    assert mixing.mix(odd).count() == odd.count()
+
+
 def test_mix_on_odd_rows(odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count() and all(r.copies == 0 for r in got if r["size"] == 0) and all(r.copies <= 3 for r in got)
@@ -323,6 +434,22 @@ def test_archive_round_trip(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_revisits_name_the_record_they_refer_to(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)  # the other join
+    work = Workspace(spark, "t")
+    big = "x" * 2000
+    pages = spark.createDataFrame([(1, "http://a/", big), (5, "http://b /", big), (3, "http://c/", big)], "page_id long, url string, html string").repartition(2)
+    index = work.keep(warc.write_arc(pages, f"{work.root}/arc"), "index")
+    files = [r.path for r in warc.convert(index, work.keep(warc.keepers(index), "keepers"), f"{work.root}/warc").collect()]
+    records = [h for f in files for h, _ in warc.read_warc_records(warc.Source(f))]
+    kept = [h for h in records if h["warc-type"] == "response"]
+    assert len(kept) == 1 and kept[0]["warc-target-uri"] == "http://b%20/"
+    revisits = [h for h in records if h["warc-type"] == "revisit"]
+    assert len(revisits) == 2
+    for h in revisits:
+        assert (h["warc-refers-to"], h["warc-refers-to-target-uri"], h["warc-refers-to-date"]) == (kept[0]["warc-record-id"], kept[0]["warc-target-uri"], kept[0]["warc-date"])
+
+
 def test_arc_versions(tmp_path):
     path = f"file://{tmp_path}/x.arc.gz"
     for version in (1, 2):
@@ -373,6 +500,57 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert len(few) == 2 and {r.vec_id for r in few} == {1, 2}
 
 
+@pytest.mark.parametrize("dim", [64, 128, 384])
+def test_exact_copies_are_all_found(dim):
+    rng = np.random.default_rng(dim)
+    turn = ann.rotation(dim)
+    for scale in (1.0, 1e5, 1e-5):
+        q = rng.normal(size=(120, dim)) * scale
+        rows = np.concatenate([np.repeat(q[:60], rng.integers(11, 40, 60), 0), rng.normal(size=(300, dim)) * scale])
+        rng.shuffle(rows)
+        for p, at in zip(q, ann.scan(q @ turn, rows @ turn, [np.zeros(0, np.int64)] * len(q), 10), strict=True):
+            d = ann.distances(p, rows)
+            assert (np.sort(d[at])[:10] == np.sort(d)[:10]).all() and len(at) >= (d == d.min()).sum()
+
+
+def test_bounds_from_the_nearest_list_lose_nothing():
+    rng = np.random.default_rng(88)
+    q, rows = rng.normal(size=(50, 64)), rng.normal(size=(3000, 64))
+    none = [np.zeros(0, np.int64)] * 50
+    true = [np.sort(((rows - p) ** 2).sum(1))[:10] for p in q]
+    found = ann.scan(q, rows, none, 10, np.array([t[-1] for t in true]))
+    assert sum(len(set(np.sort(((rows[at] - p) ** 2).sum(1))[:10]) & set(t)) for p, at, t in zip(q, found, true, strict=True)) >= 0.98 * 500
+
+
+@pytest.mark.parametrize("most", [8, ann.LISTS])
+def test_lists_grow_with_rows_and_tight_clusters_give_every_query_its_ten(spark, monkeypatch, most):
+    """With few centers each is cut again; an outlier beside tight groups of copies probes on until it has ten."""
+    monkeypatch.setattr(ann, "LISTS", most)
+    rng = np.random.default_rng(89)
+    x = np.concatenate([np.repeat(rng.normal(size=(20, 16)), 100, 0) + rng.normal(size=(2000, 16)) * 1e-6, rng.normal(size=(500, 16)) * 50])
+    x[7] *= 1e3
+    lists = ann.Lists(ann.rotation(16), x, len(x))
+    assert lists.count >= 40 and (most > 8 or len(lists.fine) > 1)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = Counter(r.query_id for r in ann.search(df, F.col("id") % 20 == 7).collect())
+    assert got == Counter({k: 10 for k in range(7, 2500, 20)})
+
+
+@pytest.mark.parametrize("size", [1e160, 1e-170, 1.0])
+def test_neighbours_of_very_large_and_small_vectors(spark, size):
+    rng = np.random.default_rng(90)
+    x = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(k, (v * size).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(df, F.col("id") % 50 == 0).collect()}
+    right = 0
+    for q in range(0, 300, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        for r, v in enumerate(np.argsort(d)[:10], 1):
+            right += got[q, r][0] == v and got[q, r][1] == pytest.approx(d[v] * size, rel=1e-9)
+    assert len(got) == 60 and right >= 54
+
+
 # --- classifiers
 
 
@@ -700,6 +878,32 @@ def test_url_rules(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("grams", [url_filter.BROADCAST_GRAMS, 0])
+def test_url_columns_of_other_names_pass_and_both_joins_agree(spark, monkeypatch, grams):
+    monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", grams)
+    names = ["text", "decided", "row", "gram", "n", "held", "total", "length", "Score"]
+    df = spark.createDataFrame([(k, f"http://h{k % 7}.{'net/de' if k % 2 else 'org/es'}/{k}") for k in range(60)] + [(60, "http://x.fr/de/1"), (61, None)], "page_id long, url string")
+    plain = {r.page_id: tuple(r[c] for c in ("host", "path", "rule", "verdict", "score")) for r in url_filter.judge(df).collect()}
+    got = url_filter.judge(df.select("*", *(F.lit(f"mine {c}").alias(c) for c in names[:-1])))
+    assert got.columns == ["page_id", "url", *names[:-1], "host", "path", "rule", "verdict", "score"]
+    for r in got.collect():
+        assert tuple(r[c] for c in ("host", "path", "rule", "verdict", "score")) == plain[r.page_id] and all(r[c] == f"mine {c}" for c in names[:-1])
+    assert len({v[4] for v in plain.values()}) > 20
+
+
+def test_columns_of_clashing_names_pass_through_all_operators(odd, spark, taught):
+    names = ["id", "tie", "row", "spans", "meta", "key", "contamination", "_contamination", "_shard0", "copies", "rate", "of", "size", "source_size", "target", "_y", "_z", "h", "k", "t", "label", "n", "s"]
+    docs = odd.select("*", *(F.lit(f"mine {c}").alias(c) for c in names))
+    bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    labels = taught.select("doc_id", "quality", "toxic")
+    for out in (suffix_dedup.remove_repeats(docs), decontaminate.decontaminate(docs, bench), minhash.keep_one(docs), quality.keep_good(docs, labels)):
+        assert out.columns == docs.columns and all(r[c] == f"mine {c}" for r in out.collect() for c in names)
+    out = mixing.emit(docs)
+    assert out.columns == [*docs.columns, "copy_no"] and all(r[c] == f"mine {c}" for r in out.collect() for c in names)
+    out = decontaminate.contamination(docs, bench, name="found")
+    assert out.columns == [*docs.columns, "found"] and all(r[c] == f"mine {c}" for r in out.collect() for c in names)
+
+
 def test_url_scores_against_python(spark):
     """The smoothed model, written out plainly."""
     rng = random.Random(12)
