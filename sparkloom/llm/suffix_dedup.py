@@ -50,6 +50,8 @@ PLACE_BITS = U(23)
 BLOCK = 300_000
 #: Unlike pieces that a group of step 3 holds at most before it is divided.
 HOT_PIECES = 512
+#: Pieces that a task divides.
+DIVIDE_ROWS = 20_000
 #: Entries of the tables in which a task finds what it has sent.
 SLOT_BITS = U(18)
 NORMAL_RUN, COPY, DEALT = 0, 1, 2
@@ -440,13 +442,15 @@ def _compared(work: Workspace, pieces: DataFrame, parts: int) -> DataFrame:
         pieces = work.keep(pieces, "pieces")
         copies.append(pieces.where("again").select("id", "tie", "lo", "hi"))
         fresh = pieces.where("not again")
-        hot = work.keep(fresh.where("u < v").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES).select("key"), "hot")
-        n_hot = hot.count()
+        hot = work.keep(fresh.where("u < v").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES).repartition(1), "hot")  # few rows
+        n_hot, n_pieces = hot.agg(F.count("n"), F.sum("n")).first()
+        hot = hot.select("key")
         wanted = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
         small.append((fresh.join(wanted, "key", "left_anti") if n_hot else fresh).select("key", "id", "tie", "lo", "piece"))
         if not n_hot:
             break
-        pieces = fresh.join(wanted, "key", "left_semi").repartition(parts).mapInArrow(_divide, PIECES)
+        tasks = min(parts, 1 + n_pieces // DIVIDE_ROWS)
+        pieces = fresh.join(wanted, "key", "left_semi").repartition(tasks).mapInArrow(_divide, PIECES)
     cold = reduce(DataFrame.union, small).repartition(parts, "key")
     return reduce(DataFrame.union, copies, work.keep(cold.mapInArrow(_compare, "id long, tie long, lo long, hi long"), "compared"))
 
