@@ -113,13 +113,13 @@ def _near(work: Workspace, member: DataFrame, sets: DataFrame, percent: int) ->
     member: id, n, label, stray, a row for each document that shares a pivot with a stray; sets: (id, s).
     """
     tokens = work.keep(sets.join(member, "id").select("id", "n", "label", "stray", F.explode("s").alias("t")), "tokens")
-    often = work.keep(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # what is no one else's is not looked up, but counts as rarest; it is known by its number
     shared = tokens.join(often, "t").groupBy("id", "n", "label", "stray").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("r"))
     first = F.col("n") - _up(F.col("n") * percent) + 1 - (F.col("n") - F.size("r"))  # so many of the shared ones
     rare = shared.select("id", "n", "label", "stray", (F.col("n") - F.size("r")).alias("own"), F.posexplode(F.slice("r", 1, F.greatest(first, F.lit(0)))).alias("k", "r"))
     rare = work.keep(rare.select("id", "n", "label", "stray", (F.col("own") + F.col("k")).alias("k"), F.col("r.t").alias("t")), "rare")
-    work.drop(tokens, often)
+    work.drop(tokens)
     mate = rare.select("t", *(F.col(c).alias(f"{c}_m") for c in ("id", "n", "label", "stray", "k")))
     need = _up((F.col("n") + F.col("n_m")) * percent, 100 + percent)  # shingles that two alike sets share
     left = F.least(F.col("n") - F.col("k"), F.col("n_m") - F.col("k_m"))  # what they can share from here on
@@ -137,9 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = digest.where("n > 0 and doc_id is not null")
     reps = work.keep(full.groupBy(*same).agg(F.min_by(F.struct("doc_id", "left", "right"), "doc_id").alias("r")).select(*same, "r.*"), "reps")
     keys = reps.select(F.col("doc_id").alias("id"), "n", F.explode("left").alias("l"), "right").select("id", "n", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id", "n")
-    hot = work.keep(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "hot")
+    hot = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     live = work.keep(keys.join(hot, "key"), "live")
-    work.drop(hot)
 
     ids = work.keep(live.select("id").distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -149,11 +148,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = work.keep(sets.groupBy("id").agg(F.min("s").alias("s")), "sets-once")
 
     fame = live.groupBy("id").agg(F.sum("c").alias("fame"))
-    live = work.keep(live.join(fame, "id"), "famed")
-    pivots = work.keep(live.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("fame", -F.col("id"))).alias("p")).select("key", "p.*"), "pivots")
+    famed = work.keep(live.join(fame, "id"), "famed")
+    work.drop(live)
+    live = famed
+    pivots = live.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("fame", -F.col("id"))).alias("p")).select("key", "p.*")
     stars = live.join(pivots.select("key", F.col("id").alias("p"), F.col("n").alias("pn")), "key").select("p", "pn", "id", "n").distinct()
     stars = work.keep(stars, "stars")
-    work.drop(live, pivots)
+    work.drop(live)
     apart = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
     links = work.keep(_confirmed(stars.where((F.col("p") != F.col("id")) & apart).select(F.col("p").alias("b"), F.col("id").alias("a")), sets, percent), "links")
     labels = components(work, links)
