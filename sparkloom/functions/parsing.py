@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 
 def chunk_text(text: str | None, most: int) -> list[str]:
-    """Greedy chunks of at most most UTF-8 bytes (one character at least) that join to the text; cut behind a newline, ; } or space in the last 40 %."""
+    """Greedy chunks of at most most UTF-8 bytes (one character at least) that join to the text; cut behind a newline, ; } space or comma in the last 40 %."""
     data, out, at = (text or "").encode(), [], 0
     while at < len(data):
         end = min(at + most, len(data))
@@ -25,7 +25,7 @@ def chunk_text(text: str | None, most: int) -> list[str]:
         piece = data[at:end].decode()
         if end < len(data):
             least = max(1, int(len(piece) * 0.6))
-            cut = max(piece.rfind(c) for c in "\n;} ") + 1
+            cut = max(piece.rfind(c) for c in "\n;} ,") + 1
             if cut > least:
                 piece = piece[:cut]
         out.append(piece)
@@ -241,3 +241,34 @@ def context_window(metadata: str | None) -> int | None:
 @F.arrow_udf(T.LongType())
 def model_context(metadata: pa.Array) -> pa.Array:
     return pa.array([context_window(m) for m in metadata.to_pylist()], pa.int64())
+
+
+# Where a catalog's entries, and an entry's id and label, are looked for.
+ENTRY_LISTS, ID_KEYS, LABEL_KEYS = ("data", "models", "items", "results"), ("id", "model", "name", "slug"), ("display_name", "label", "name")
+
+
+def model_entries(payload: str | None) -> list[dict]:
+    """id, label and context of a catalog's entries that have an id; of a repeated id the last."""
+    try:
+        root = json.loads(payload or "")
+    except ValueError:
+        return []
+    if isinstance(root, dict):
+        root = next((root[k] for k in ENTRY_LISTS if isinstance(root.get(k), list)), [])
+    text = lambda entry, keys: next((v.strip() for k in keys if isinstance(v := entry.get(k), str) and v.strip()), None)
+    found = {}
+    for entry in root if isinstance(root, list) else []:
+        if isinstance(entry, dict) and (name := text(entry, ID_KEYS)):
+            found[name] = {"id": name, "label": text(entry, LABEL_KEYS), "context": context_window(json.dumps(entry))}
+    return list(found.values())
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.StringType()), T.StructField("context", T.LongType())])))
+def catalog_entries(payload: pa.Array) -> pa.Array:
+    return pa.array([model_entries(p) for p in payload.to_pylist()], pa.list_(pa.struct([("id", pa.string()), ("label", pa.string()), ("context", pa.int64())])))
+
+
+@F.arrow_udf(T.StringType())
+def pretty_json(text: pa.Array) -> pa.Array:
+    """JSON with two spaces a level."""
+    return pa.array([None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False) for t in text.to_pylist()], pa.string())

@@ -96,16 +96,73 @@ def middle_truncate(text: Column, width: Column | int) -> Column:
     return F.when(F.length(text) <= width, text).when(width <= 3, F.substring(text, F.lit(1), width)).otherwise(cut)
 
 
-def progress_bar(done: Column, total: Column, width: int = 24) -> Column:
-    share = F.when(total > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), done / total))).otherwise(F.lit(0.0))
+def strip_ansi(text: Column) -> Column:
+    """Without the escape sequences of terminals."""
+    return F.regexp_replace(text, "\x1B(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])", "")
+
+
+# Terminal widths from which a bar is so wide, and the letters of a bar.
+BAR_WIDTHS, BAR_LEAST = ((140, 24), (110, 20), (90, 16)), 12
+TERMINAL_LEAST, TERMINAL = 80, 120
+
+
+def bar_width(terminal: Column) -> Column:
+    out = F.lit(BAR_LEAST)
+    for least, width in reversed(BAR_WIDTHS):
+        out = F.when(terminal >= least, width).otherwise(out)
+    return out
+
+
+def progress_bar(done: Column, total: Column, width: Column | int = 24) -> Column:
+    """``[====----] 50%``."""
+    width = F.lit(width) if isinstance(width, int) else width
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), done / F.greatest(F.lit(1), total)))
     full = F.round(share * width).cast("int")
-    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+    return F.concat(F.lit("["), F.repeat(F.lit("="), full), F.repeat(F.lit("-"), width - full), F.lit("] "), F.round(share * 100).cast("int").cast("string"), F.lit("%"))
 
 
 def telemetry_suffix(tokens: Column, tps: Column, estimated: Column) -> Column:
-    mark = F.when(estimated, "~").otherwise("")
-    rate = F.when(tps.isNotNull(), F.concat(F.lit(" "), tps.cast("string"), F.lit(" tps"))).otherwise("")
-    return F.when(tokens > 0, F.concat(F.lit(" ["), mark, tokens.cast("string"), F.lit(" tok"), rate, F.lit("]"))).otherwise("")
+    """`` [~12 tok 3.4 tps]``: reported tokens, else estimated ones; empty without either."""
+    label = F.coalesce(F.concat(tokens.cast("string"), F.lit(" tok")), F.concat(F.lit("~"), estimated.cast("string"), F.lit(" tok")))
+    rate = F.coalesce(F.concat(F.lit(" "), _number(tps), F.lit(" tps")), F.lit(""))
+    return F.coalesce(F.concat(F.lit(" ["), label, rate, F.lit("]")), F.lit(""))
+
+
+def _number(x: Column) -> Column:
+    """As scripts print it: whole numbers without a point."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def _labels(state: Column, lane: Column, chunk: Column, chunks: Column) -> tuple[Column, Column, Column]:
+    lane_label = F.coalesce(F.concat(F.lit("lane "), lane.cast("string"), F.lit(" ")), F.lit(""))
+    state_label = F.when(state.isin("streaming", "completed"), state).otherwise("running")
+    chunk_label = F.coalesce(F.concat(F.lit(" chunk "), chunk.cast("string"), F.lit("/"), chunks.cast("string")), F.lit(""))
+    return lane_label, state_label, chunk_label
+
+
+def progress_line(done: Column, total: Column, elapsed: Column, agent: Column, state: Column, url: Column, lane: Column, chunk: Column, chunks: Column, tokens: Column, estimated: Column, tps: Column, terminal: Column) -> Column:
+    """One line for a terminal: what does not fit is left out from the end, and the URL is cut in its middle. Columns that may be unknown are null then."""
+    wide = F.greatest(F.lit(TERMINAL_LEAST), F.coalesce(terminal, F.lit(TERMINAL)))
+    lane_label, state_label, chunk_label = _labels(state, lane, chunk, chunks)
+    prefix = F.concat(progress_bar(done, total, bar_width(wide)), F.lit(" "), lane_label, agent, F.lit(" agent "), state_label, F.lit(" "))
+    told = telemetry_suffix(tokens, tps, estimated)
+    eta = F.coalesce(F.concat(F.lit(" [eta "), duration(remaining_ms(done, total, elapsed)), F.lit("]")), F.lit(""))
+    out = F.concat(prefix, middle_truncate(url, 8))
+    for suffix in (F.lit(""), chunk_label, F.concat(chunk_label, told), F.concat(chunk_label, told, eta)):
+        room = wide - F.length(prefix) - F.length(suffix)
+        line = F.concat(prefix, middle_truncate(url, F.greatest(F.lit(1), room)), suffix)
+        out = F.when(((room >= 4) | (F.length(suffix) == 0)) & (F.length(line) <= wide), line).otherwise(out)
+    return out
+
+
+def log_line(done: Column, total: Column, elapsed: Column, agent: Column, state: Column, url: Column, lane: Column, chunk: Column, chunks: Column, tokens: Column, estimated: Column, tps: Column, terminal: Column) -> Column:
+    """One line for a log: all parts, with a URL of at least 18 characters."""
+    wide = F.greatest(F.lit(TERMINAL_LEAST), F.coalesce(terminal, F.lit(TERMINAL)))
+    lane_label, state_label, chunk_label = _labels(state, lane, chunk, chunks)
+    prefix, told = F.concat(lane_label, agent, F.lit(" "), state_label), telemetry_suffix(tokens, tps, estimated)
+    eta = F.coalesce(F.concat(F.lit(" eta "), duration(remaining_ms(done, total, elapsed))), F.lit(""))
+    room = wide - F.length(prefix) - F.length(chunk_label) - F.length(told) - F.length(eta) - 4
+    return F.concat(prefix, F.lit(" "), middle_truncate(url, F.greatest(F.lit(18), room)), chunk_label, told, eta)
 
 
 def friendly_error(message: Column) -> Column:

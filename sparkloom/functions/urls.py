@@ -47,7 +47,11 @@ def resolve(reference: str | None, base: str | None) -> str | None:
     login = parts.netloc.rpartition("@")[0]
     netloc = (login + "@" if login else "") + host + (f":{port}" if port and port != _PORTS[parts.scheme] else "")
     keep = "!$%&'()*+,-./:;=@_~[]|^\\"
-    return urlunsplit((parts.scheme, netloc, quote(parts.path, safe=keep) or "/", quote(parts.query, safe=keep + "?`{}"), quote(parts.fragment, safe=keep + "?{}#")))
+    found = urlunsplit((parts.scheme, netloc, quote(parts.path, safe=keep) or "/", quote(parts.query, safe=keep + "?`{}"), ""))
+    ahead, mark, _ = reference.partition("#")
+    # an empty query or fragment keeps its mark
+    found += "?" if ahead.endswith("?") and not parts.query else ""
+    return found + mark + quote(parts.fragment, safe=keep + "?{}#") if mark else found
 
 
 def resolve_candidate(reference: str | None, base: str | None) -> str | None:
@@ -71,6 +75,37 @@ url_resolve = _pairwise(resolve)
 candidate_resolve = _pairwise(resolve_candidate)
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def candidate_resolve_list(references: pa.Array, bases: pa.Array) -> pa.Array:
+    """resolve_candidate for lists; a reference to reject comes back empty, so places stay."""
+    rows = zip(references.to_pylist(), bases.to_pylist(), strict=True)
+    return pa.array([[resolve_candidate(r, base) or "" for r in refs] if refs else [] for refs, base in rows], pa.list_(pa.string()))
+
+
+#: References whose resolution is plain concatenation: no dot segments, empty segments, escapes to make, ports or schemes.
+_PATH = r"[A-Za-z0-9_~!$&'()*+,;=@%-][A-Za-z0-9_~!$&'()*+,;=@%.-]*"
+_TAIL = r"(?:\?[A-Za-z0-9_~!$&'()*+,;=:@%/?.-]*)?(?:#[A-Za-z0-9_~!$&'()*+,;=:@%/?.-]*)?"
+_ROOTED = rf"^(?:/{_PATH})+/?{_TAIL}$"
+_RELATIVE = rf"^(?:\./)?{_PATH}(?:/{_PATH})*/?{_TAIL}$"
+_WHOLE = rf"^https?://[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?(?:/{_PATH})*/?{_TAIL}$"
+
+
+def base_parts(base: Column) -> dict[str, Column]:
+    """What resolve_plain needs of a base: its origin and folder, null where the base itself is not plain."""
+    plain = base.rlike(rf"^https?://[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?/(?:{_PATH}(?:/{_PATH})*/?)?{_TAIL}$")
+    return {"origin": F.when(plain, origin(base)), "folder": F.when(plain, F.regexp_extract(base, "^([^?#]*/)", 1))}
+
+
+def resolve_plain(reference: Column, base: Column) -> Column:
+    """resolve for rooted, relative and whole references that are plain, null for all others, which are to be resolved in full."""
+    whole = reference.rlike(_WHOLE) & reference.rlike("^https?://[^/?#]+/")
+    return (
+        F.when(reference.rlike(_ROOTED), F.concat(base["origin"], reference))
+        .when(whole, reference)
+        .when(reference.rlike(_RELATIVE) & ~reference.rlike("^[A-Za-z0-9+.-]*:"), F.concat(base["folder"], F.regexp_replace(reference, r"^\./", "")))
+    )
+
+
 def absolute_rooted(reference: Column, base: Column) -> Column:
     """References known to start with / or http, resolved without Python."""
     return F.when(reference.startswith("/") & ~reference.startswith("//"), F.concat(origin(base), reference)).otherwise(reference)

@@ -29,21 +29,33 @@ CANDIDATE = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.S
 
 
 def js_references(content: Column) -> Column:
-    """[(ord, raw, type)] of all references in a script, in order of patterns and places."""
-
-    def of(k: int, pattern: str, type_: str) -> Column:
-        entry = lambda raw, i: F.struct((F.lit(k) * 1_000_000 + i).cast("int").alias("seq"), raw.alias("raw"), F.lit(type_).alias("type"))
-        return F.transform(F.regexp_extract_all(content, F.lit(pattern), 1), entry)
-
-    return F.concat(*(of(k, pattern, type_) for k, (pattern, type_) in enumerate(JS_PATTERNS)))
+    """[(raw, type)] of all references in a script, in order of patterns and places."""
+    of = lambda pattern, type_: F.transform(F.regexp_extract_all(content, F.lit(pattern), 1), lambda raw: F.struct(raw.alias("raw"), F.lit(type_).alias("type")))
+    return F.concat(*(of(pattern, type_) for pattern, type_ in JS_PATTERNS))
 
 
 def js_candidates(sources: DataFrame, origin_label: Column, *by: str) -> DataFrame:
-    """by, base_url, content to by, seq, url, type, discovered_from: resolved, typed by ending, first wins."""
-    raw = sources.select(*by, "base_url", origin_label.alias("discovered_from"), F.explode(js_references(F.col("content"))).alias("c"))
-    found = raw.select(*by, "discovered_from", F.col("c.seq").alias("seq"), urls.candidate_resolve(F.col("c.raw"), F.col("base_url")).alias("url"), F.col("c.type").alias("fallback")).where("url is not null")
-    typed = found.withColumn("type", urls.asset_type(F.col("url"), F.col("fallback"))).drop("fallback")
-    return ordered.first_wins(typed, [*by, "url"], [F.col("seq")])
+    """by, base_url, content, a row for each by, to by, seq, url, type, discovered_from: resolved, typed by ending, first wins.
+
+    A script's references are resolved and made unique in its own row: most by expressions, and only lists of the odd ones go to Python.
+    """
+    raw = sources.select(*by, "base_url", origin_label.alias("discovered_from"), js_references(F.col("content")).alias("refs")).where(F.size("refs") > 0)
+    base = F.struct(*(c.alias(n) for n, c in urls.base_parts(F.col("base_url")).items()))
+    raw = raw.select(*by, "base_url", "discovered_from", "refs", base.alias("base"))
+    easy = F.transform("refs", lambda x: urls.resolve_plain(x["raw"], F.col("base")))
+    raw = raw.select(*by, "base_url", "discovered_from", "refs", easy.alias("easy"))
+    odd = F.transform(F.filter(F.arrays_zip("refs", "easy"), lambda x: x["easy"].isNull()), lambda x: x["refs"]["raw"])
+    raw = raw.select(*by, "discovered_from", "refs", "easy", urls.candidate_resolve_list(odd, F.col("base_url")).alias("hard"))
+    # the odd ones come back in order: the n-th null takes the n-th of them
+    nth = F.transform("easy", lambda x, i: F.when(x.isNull(), F.size(F.filter(F.slice(F.col("easy"), F.lit(1), i + 1), lambda y: y.isNull()))))
+    found = raw.select(*by, "discovered_from", "refs", "easy", "hard", F.when(F.size("hard") > 0, nth).alias("nth"))
+    url = lambda x, i: F.coalesce(x, F.get("hard", F.get("nth", i) - 1))
+    entry = F.transform("easy", lambda x, i: F.struct(url(x, i).alias("url"), i.alias("seq"), F.get("refs", i)["type"].alias("type")))
+    usable = F.filter(entry, lambda x: x["url"].isNotNull() & (x["url"] != "") & ~urls.is_asset(x["url"]))
+    ordered_ = found.select(*by, "discovered_from", F.array_sort(usable).alias("s"))
+    once = F.filter("s", lambda x, i: (i == 0) | (F.get("s", i - 1)["url"] != x["url"]))
+    rows = ordered_.select(*by, "discovered_from", F.explode(once).alias("c"))
+    return rows.select(*by, F.col("c.seq").alias("seq"), "c.url", "discovered_from", urls.asset_type(F.col("c.url"), F.col("c.type")).alias("type"))
 
 
 class _References(HTMLParser):
@@ -51,14 +63,12 @@ class _References(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[int, str, str]] = []
+        self.found: list[tuple[int, int, str, str]] = []
         self.inline: list[str] = []
         self.code: list[str] | None = None
-        self.counts = [0, 0, 0]
 
     def add(self, pass_: int, raw: str, kind: str) -> None:
-        self.found.append((pass_ * 1_000_000 + self.counts[pass_], raw.strip(), kind))
-        self.counts[pass_] += 1
+        self.found.append((pass_, len(self.found), raw.strip(), kind))
 
     def handle_starttag(self, tag, attrs):
         named = {k: v or "" for k, v in reversed(attrs)}
@@ -94,7 +104,7 @@ def html_references(html: pa.Array) -> pa.Array:
         parser = _References()
         parser.feed(text or "")
         parser.close()
-        rows.append({"refs": [{"seq": s, "raw": r, "kind": k} for s, r, k in sorted(parser.found)], "inline": parser.inline})
+        rows.append({"refs": [{"seq": n, "raw": r, "kind": k} for n, (_, _, r, k) in enumerate(sorted(parser.found))], "inline": parser.inline})
     return pa.array(rows, pa.struct([("refs", pa.list_(pa.struct([("seq", pa.int32()), ("raw", pa.string()), ("kind", pa.string())]))), ("inline", pa.list_(pa.string()))]))
 
 
@@ -105,11 +115,11 @@ def html_candidates(pages: DataFrame, *by: str, inline: bool = True) -> DataFram
     is_page = F.col("discovered_from").isin("html:a", "html:iframe", "html:form")
     refs = refs.where("url is not null").where(~is_page | (urls.looks_like_page(urls.path(F.col("url"))) & (urls.origin(F.col("url")) == urls.origin(F.col("base_url")))))
     type_ = F.when(is_page, "html").when(F.col("discovered_from") == "html:preload", urls.asset_type(F.col("url"), "script")).otherwise("script")
-    out = refs.select(*by, "seq", "url", type_.alias("type"), "discovered_from")
+    out = refs.select(*by, F.col("seq").cast("long").alias("seq"), "url", type_.alias("type"), "discovered_from")
     if inline:
         code = parsed.select(*by, "base_url", F.posexplode("r.inline").alias("place", "content"))
         js = js_candidates(code, F.lit("html:inline-script"), *by, "place")
-        out = out.unionByName(js.select(*by, (F.lit(1_000_000_000) + F.col("place").cast("long") * 10_000_000 + F.col("seq")).alias("seq"), "url", "type", "discovered_from"))
+        out = out.unionByName(js.select(*by, ((F.col("place").cast("long") + 1) * (1 << 32) + F.col("seq")).alias("seq"), "url", "type", "discovered_from"))
     return ordered.first_wins(out, [*by, "url"], [F.col("seq")])
 
 

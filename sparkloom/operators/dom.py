@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ SNAPSHOT = T.StructType([
 CAPS = {"headings": 12, "buttons": 20, "links": 20, "iframes": 10, "data": 24, "inputs": 20, "labels": 8, "hints": 20}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SPACE = re.compile("[\\s ﻿]+")
+# Where state hints are looked for.
 _JSON_SCRIPT = re.compile(r"<script[^>]*type=[\"']application/(?:ld\+json|json)[\"'][^>]*?(?:id=[\"']([^\"']+)[\"'])?[^>]*>", re.I)
 _GLOBAL = re.compile(r"(?:window|globalThis|self)\.([A-Z_$][A-Z0-9_$]{2,})")
 
@@ -34,22 +37,33 @@ def state_hints(html: str) -> list[str]:
     return sorted(found)[: CAPS["hints"]]
 
 
+class _Element:
+    __slots__ = ("tag", "named", "form", "start", "end")
+
+    def __init__(self, tag: str, named: dict, form: int, start: int):
+        self.tag, self.named, self.form, self.start, self.end = tag, named, form, start, None
+
+
 class _Tree(HTMLParser):
-    """Elements in document order as [tag, attributes, text parts, number of the enclosing form]."""
+    """Elements in document order. An element's text is a range of the page's pieces of text, so nothing is copied while it is open."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.elements: list[list] = []
-        self.open: list[int] = []
+        self.elements: list[_Element] = []
+        self.open: list[_Element] = []
+        self.names: Counter = Counter()  # of what is open, so a stray end tag costs nothing
+        self.pieces: list[str] = []
+        self.solid = [0]  # pieces that are more than white space, before each place
         self.form = -1
 
     def handle_starttag(self, tag, attrs):
         named = {k: v or "" for k, v in reversed(attrs)}
         if tag == "form":
             self.form = len(self.elements)
-        self.elements.append([tag, named, [], self.form])
+        self.elements.append(_Element(tag, named, self.form, len(self.pieces)))
         if tag not in _VOID:
-            self.open.append(len(self.elements) - 1)
+            self.open.append(self.elements[-1])
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -57,53 +71,73 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.elements[self.open[k]][0] == tag:
-                del self.open[k:]
+        while self.names[tag] and (ended := self.open.pop()):
+            ended.end = len(self.pieces)
+            self.names[ended.tag] -= 1
+            if ended.tag == tag:
                 break
         if tag == "form":
             self.form = -1
 
     def handle_data(self, data):
-        for k in self.open:
-            if self.elements[k][0] in _TEXT:
-                self.elements[k][2].append(data)
+        self.pieces.append(data)
+        self.solid.append(self.solid[-1] + (not data.isspace()))
 
+    def text(self, e: _Element) -> str | None:
+        end = len(self.pieces) if e.end is None else e.end
+        return squeeze("".join(self.pieces[e.start : end])) if self.solid[end] > self.solid[e.start] else None
 
-_TEXT = frozenset("title h1 h2 h3 button a textarea".split())
 
+def _first(items, n: int) -> list[str]:
+    """The first n that are not empty; no more is looked at."""
+    return list(islice((x for x in items if x), n))
 
-def snapshot(html: str | None, url: str | None) -> dict:
-    html = html or ""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    own = lambda *tags: [e for tag in tags for e in tree.elements if e[0] == tag]
-    text = lambda e: squeeze("".join(e[2]))
-    full = lambda items: [x for x in items if x]
-    label = lambda e: squeeze(e[1].get("value")) or text(e) or squeeze(e[1].get("aria-label"))
-    kind = lambda e: e[1].get("type", "").lower()
-    titles, metas = own("title"), [e for e in own("meta") if e[1].get("name", "").lower() == "description"]
+
+def _of_tree(tree: _Tree, html: str, url: str | None) -> dict:
+    by_tag: dict[str, list[_Element]] = {}
+    by_form: dict[int, list[_Element]] = {}
+    for k, e in enumerate(tree.elements):
+        by_tag.setdefault(e.tag, []).append(e)
+        if e.form >= 0 and e.form != k:
+            by_form.setdefault(e.form, []).append(e)
+    own = lambda *tags: [e for tag in tags for e in by_tag.get(tag, ())]
+    label = lambda e: squeeze(e.named.get("value")) or tree.text(e) or squeeze(e.named.get("aria-label"))
+    kind = lambda e: e.named.get("type", "").lower()
+    titles, metas = own("title"), [e for e in own("meta") if e.named.get("name", "").lower() == "description"]
     forms = []
     for k, e in enumerate(tree.elements):
-        if e[0] != "form":
+        if e.tag != "form":
             continue
-        inside = [x for x in tree.elements if x[3] == k and x is not e]
-        fields = [x for tag in ("input", "textarea", "select") for x in inside if x[0] == tag]
-        submits = [x for x in inside if x[0] == "button"] + [x for x in inside if x[0] == "input" and kind(x) == "submit"]
+        inside = by_form.get(k, [])
+        fields = [x for tag in ("input", "textarea", "select") for x in inside if x.tag == tag]
+        submits = [x for x in inside if x.tag == "button"] + [x for x in inside if x.tag == "input" and kind(x) == "submit"]
         forms.append({
-            "action": (resolve(e[1]["action"], url) if e[1].get("action") else None) or url, "method": (e[1].get("method") or "get").upper(),
-            "input_names": full(x[1].get("name") for x in fields)[: CAPS["inputs"]], "input_types": full(x[1].get("type") for x in fields if x[0] == "input")[: CAPS["inputs"]],
-            "submit_labels": full(map(label, submits))[: CAPS["labels"]],
+            "action": (resolve(e.named["action"], url) if e.named.get("action") else None) or url, "method": (e.named.get("method") or "get").upper(),
+            "input_names": _first((x.named.get("name") for x in fields), CAPS["inputs"]), "input_types": _first((x.named.get("type") for x in fields if x.tag == "input"), CAPS["inputs"]),
+            "submit_labels": _first(map(label, submits), CAPS["labels"]),
         })
-    keys = dict.fromkeys(name[5:] for e in tree.elements for name in e[1] if name.startswith("data-") and len(name) > 5)
-    out = {
-        "title": (titles and text(titles[0])) or "", "headings": full(map(text, own("h1", "h2", "h3")))[: CAPS["headings"]], "description": squeeze(metas[0][1].get("content")) if metas else None, "forms": forms,
-        "buttons": full(map(label, own("button") + [e for e in own("input") if kind(e) in ("submit", "button")]))[: CAPS["buttons"]],
-        "links": full(text(e) or squeeze(e[1].get("aria-label")) for e in own("a") if e[1].get("href", "").strip())[: CAPS["links"]],
-        "iframes": full(resolve(e[1]["src"], url) for e in own("iframe") if e[1].get("src"))[: CAPS["iframes"]], "inline_state_hints": state_hints(html), "data_attribute_keys": list(keys)[: CAPS["data"]],
+    keys = dict.fromkeys(name[5:] for e in tree.elements for name in e.named if name.startswith("data-") and len(name) > 5)
+    return {
+        "title": (titles and tree.text(titles[0])) or "", "headings": _first(map(tree.text, own("h1", "h2", "h3")), CAPS["headings"]), "description": squeeze(metas[0].named.get("content")) if metas else None, "forms": forms,
+        "buttons": _first(map(label, own("button") + [e for e in own("input") if kind(e) in ("submit", "button")]), CAPS["buttons"]),
+        "links": _first((tree.text(e) or squeeze(e.named.get("aria-label")) for e in own("a") if e.named.get("href", "").strip()), CAPS["links"]),
+        "iframes": _first((resolve(e.named["src"], url) for e in own("iframe") if e.named.get("src")), CAPS["iframes"]), "inline_state_hints": state_hints(html), "data_attribute_keys": list(keys)[: CAPS["data"]],
     }
-    counts = ((len(out["headings"]), "heading(s)"), (len(forms), "form(s)"), (len(out["buttons"]), "button label(s)"), (len(out["iframes"]), "iframe(s)"), (len(out["inline_state_hints"]), "inline state hint(s)"))
+
+
+def snapshot(html: str | None, url: str | None) -> dict:
+    """The page's surface; a page on which the parser fails has its state hints alone."""
+    html = html or ""
+    try:
+        tree = _Tree()
+        tree.feed(html)
+        tree.close()
+        out = _of_tree(tree, html, url)
+    except (ValueError, AssertionError, RecursionError):
+        hints = state_hints(html)
+        empty = {c: [] for c in ("headings", "forms", "buttons", "links", "iframes", "data_attribute_keys")}
+        return {"title": "", "description": None, **empty, "inline_state_hints": hints, "summary": f"Fallback DOM snapshot with {len(hints)} inline state hint(s)" if hints else "Fallback DOM snapshot only."}
+    counts = ((len(out["headings"]), "heading(s)"), (len(out["forms"]), "form(s)"), (len(out["buttons"]), "button label(s)"), (len(out["iframes"]), "iframe(s)"), (len(out["inline_state_hints"]), "inline state hint(s)"))
     parts = ([f'title "{out["title"]}"'] if out["title"] else []) + [f"{n} {what}" for n, what in counts if n]
     return out | {"summary": ", ".join(parts) or "Minimal DOM surface detected."}
 

@@ -50,6 +50,14 @@ RUNTIME_CHALLENGE = "(?i)(captcha|challenge|risk|turnstile|recaptcha|hcaptcha|ve
 RUNTIME_FINGERPRINT = "(?i)(device|fingerprint|telemetry|collect|track|risk|profile)"
 RUNTIME_CRYPTO = r"(?i)(?<![A-Za-z0-9_])(?:crypto\.subtle\.[A-Za-z0-9_]+|AES|RSA|SHA-256|SHA-512|HMAC|PBKDF2|CryptoJS)(?![A-Za-z0-9_])"
 RUNTIME_PROVIDERS = (("turnstile", "Cloudflare Turnstile"), ("recaptcha", "Google reCAPTCHA"), ("hcaptcha", "hCaptcha"), ("geetest", "GeeTest"), ("arkose|funcaptcha", "Arkose Labs"))
+#: For each rule in lower case what a text must hold for its pattern to match at all: a cheap test before the pattern.
+CAPTCHA_NEEDLES = (("turnstile",), ("recaptcha",), ("hcaptcha",), ("geetest",), ("arkose", "funcaptcha"), ("captcha",))
+FINGERPRINT_NEEDLES = (
+    ("navigator.",), ("screen.",), ("todataurl", "getimagedata", "measuretext", "canvas"), ("webglrenderingcontext", "getparameter(", "webgl_debug_renderer_info"),
+    ("audiocontext", "analysernode", "createoscillator"), ("intl.datetimeformat", "resolvedoptions().timezone", "gettimezoneoffset"),
+)
+ENCRYPTION_NEEDLES = (("crypto.subtle.",), ("aes", "rsa", "sha-", "hmac", "pbkdf2"), ("cryptojs", "createcipheriv", "createdecipheriv", "btoa", "atob"))
+ERROR_NEEDLES = ("invalid", "expired", "captcha", "verify", "unauthorized", "forbidden", "too many", "rate limit", "blocked", "challenge")
 SNIPPETS = "(?i)(auth|login|signin|signup|session|token|password|verify|mfa|2fa|oauth|captcha|challenge|risk|telemetry|fingerprint|device|profile)"
 GLOBALS = "(?i)(captcha|turnstile|grecaptcha|hcaptcha|geetest|arkose|fingerprint|device|crypto)"
 SENT = "Collected browser/device traits appear to be forwarded into telemetry, anti-abuse, or risk endpoints."
@@ -63,18 +71,35 @@ RUNTIME_PURPOSE = "Browser-assisted tracing observed likely telemetry or device-
 FINDING_INTROSPECTION = "GraphQL introspection is enabled"
 FINDING_TRAITS = "Client fingerprinting logic is present"
 FINDING_BARE = "No obvious captcha challenge was detected on auth flow"
+FINDING_TEXTS = {
+    1: ("Same-origin GraphQL introspection responded successfully, which may disclose schema surface to unauthenticated clients.", "Disable production introspection where possible or gate it behind authentication."),
+    2: ("The frontend collects device or browser traits that appear to support telemetry, risk scoring, or bot detection.", "Review data minimization, consent, and retention requirements for collected browser/device traits."),
+    3: ("The analyzed auth surface did not expose an obvious captcha or challenge gate in static assets.", "Confirm rate-limiting, MFA escalation, and anti-automation controls on the server side."),
+}
 
 
 def take(text: Column, pattern: str, n: int = 12, group: int = 0) -> Column:
     return F.slice(F.filter(F.regexp_extract_all(text, F.lit(pattern), group), lambda x: x != ""), 1, n)
 
 
+def may_hold(text: Column, needles) -> Column:
+    """Whether any of the needles, in lower case, is in the text whatever its case."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (low.contains(n) for n in needles))
+
+
 def error_strings(text: Column) -> Column:
-    return take(text, ERRORS, 12, 1)
+    return F.when(may_hold(text, ERROR_NEEDLES), take(text, ERRORS, 12, 1)).otherwise(F.array().cast("array<string>"))
 
 
 def token_touches(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(words_re(word)), label) for word, label in TOUCHES)))
+    return F.array_compact(F.array(*(F.when(may_hold(text, (word.lower(),)) & text.rlike(words_re(word)), label) for word, label in TOUCHES)))
+
+
+def found_by_rule(text: Column, rules, needles, name: str) -> Column:
+    """[(rule, its first matches)] of the rules that match; each pattern is searched once, where it can match."""
+    hits_ = F.array(*(F.struct(F.lit(k).alias("rule"), F.when(may_hold(text, needles[k]), take(text, p)).alias(name)) for k, (_, p) in enumerate(rules)))
+    return F.filter(hits_, lambda x: F.size(x[name]) > 0)
 
 
 def captcha_providers(text: Column) -> Column:
@@ -89,9 +114,9 @@ def wants_snippet(resource_type: Column, url: Column) -> Column:
     return resource_type.isin("fetch", "xhr") & url.rlike(SNIPPETS)
 
 
-def hits(text: Column, rules) -> Column:
+def hits(text: Column, rules, needles) -> Column:
     """Numbers of the rules that match."""
-    return F.array_compact(F.array(*(F.when(text.rlike(pattern), F.lit(k)) for k, (_, pattern) in enumerate(rules))))
+    return F.array_compact(F.array(*(F.when(may_hold(text, needles[k]) & text.rlike(pattern), F.lit(k)) for k, (_, pattern) in enumerate(rules))))
 
 
 def _label(rules) -> Column:
@@ -125,8 +150,8 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
         F.array_sort(F.collect_list(F.struct("page_seq", "url", "title", "headings", "buttons", "summary", "forms"))).alias("pages")
     )
     texts = artifacts.groupBy("run_id").agg(
-        flat_distinct(F.col("artifact_seq"), token_touches(F.col("content")), 100_000).alias("tokens"),
-        flat_distinct(F.col("artifact_seq"), F.filter(error_strings(F.col("content")), lambda e: e.rlike(AUTH) | e.rlike("(?i)captcha")), 100_000).alias("errors"),
+        flat_distinct(F.col("artifact_seq"), token_touches(F.col("content")), None).alias("tokens"),
+        flat_distinct(F.col("artifact_seq"), F.filter(error_strings(F.col("content")), lambda e: e.rlike(AUTH) | e.rlike("(?i)captcha")), None).alias("errors"),
     )
     rows = pages.join(auth_ends, "run_id", "full").where(F.col("pages").isNotNull() | F.col("any_url")).join(texts, "run_id", "left")
     none = F.array().cast("array<string>")
@@ -147,12 +172,12 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
 
 def captcha_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     """A flow for each provider that a run's artifacts or page summaries name."""
-    own = artifacts.select("run_id", "artifact_seq", F.explode(hits(F.col("content"), CAPTCHA)).alias("rule"), error_strings(F.col("content")).alias("errors"), _evidence(F.col("content")).alias("evidence"))
+    own = artifacts.select("run_id", "artifact_seq", F.explode(hits(F.col("content"), CAPTCHA, CAPTCHA_NEEDLES)).alias("rule"), error_strings(F.col("content")).alias("errors"), _evidence(F.col("content")).alias("evidence"))
     own = own.groupBy("run_id", "rule").agg(flat_distinct(F.col("artifact_seq"), F.col("errors"), 8).alias("errors"), ordered_list(F.col("artifact_seq"), F.col("evidence")).alias("texts"))
-    told = snapshots.select("run_id", "page_seq", "summary", F.explode(hits(F.col("summary"), CAPTCHA)).alias("rule")).groupBy("run_id", "rule").agg(ordered_list(F.col("page_seq"), F.col("summary")).alias("summaries"))
+    told = snapshots.select("run_id", "page_seq", "summary", F.explode(hits(F.col("summary"), CAPTCHA, CAPTCHA_NEEDLES)).alias("rule")).groupBy("run_id", "rule").agg(ordered_list(F.col("page_seq"), F.col("summary")).alias("summaries"))
     flows = own.join(told, ["run_id", "rule"], "full")
     named = F.concat_ws(" ", "url", "purpose")
-    rules = F.when(F.col("url").rlike(CAPTCHA_RELATED), F.sequence(F.lit(0), F.lit(len(CAPTCHA) - 1))).otherwise(hits(named, CAPTCHA))
+    rules = F.when(F.col("url").rlike(CAPTCHA_RELATED), F.sequence(F.lit(0), F.lit(len(CAPTCHA) - 1))).otherwise(hits(named, CAPTCHA, CAPTCHA_NEEDLES))
     ends = endpoints.select("run_id", "rank", "url", "request_fields", F.explode(rules).alias("rule"))
     ends = ends.groupBy("run_id", "rule").agg(F.slice(ordered_list(F.col("rank"), F.col("url")), 1, 12).alias("endpoints"), flat_distinct(F.col("rank"), F.col("request_fields"), 12).alias("request_fields"))
     entries = F.concat(F.array("title"), F.col("headings"), F.array("summary"))
@@ -167,8 +192,9 @@ def captcha_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFra
 
 
 def fingerprint_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
-    found = F.array_compact(F.array(*(F.when(F.col("content").rlike(p), F.struct(F.lit(k).alias("rule"), take(F.col("content"), p).alias("points"))) for k, (_, p) in enumerate(FINGERPRINT))))
-    rows = artifacts.select("run_id", "artifact_seq", "url", _evidence(F.col("content")).alias("text"), F.explode(found).alias("f"))
+    found = found_by_rule(F.col("content"), FINGERPRINT, FINGERPRINT_NEEDLES, "points")
+    rows = artifacts.select("run_id", "artifact_seq", "url", "content", found.alias("found")).where(F.size("found") > 0)
+    rows = rows.select("run_id", "artifact_seq", "url", _evidence(F.col("content")).alias("text"), F.explode("found").alias("f"))
     rows = rows.groupBy("run_id", F.col("f.rule").alias("rule")).agg(
         flat_distinct(F.col("artifact_seq"), F.col("f.points"), 12).alias("data_points"), F.slice(ordered_list(F.col("artifact_seq"), F.concat_ws(": ", "url", "text")), 1, 8).alias("evidence")
     )
@@ -178,8 +204,8 @@ def fingerprint_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame
 
 def encryption_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     text = F.col("content")
-    found = F.array_compact(F.array(*(F.when(text.rlike(p), F.struct(F.lit(k).alias("rule"), take(text, p).alias("hints"))) for k, (_, p) in enumerate(ENCRYPTION))))
-    rows = artifacts.select("run_id", "artifact_seq", "url", _evidence(text).alias("text"), take(text, ENCRYPTION_IN).alias("ins"), take(text, ENCRYPTION_OUT).alias("outs"), F.explode(found).alias("f"))
+    rows = artifacts.select("run_id", "artifact_seq", "url", "content", found_by_rule(text, ENCRYPTION, ENCRYPTION_NEEDLES, "hints").alias("found")).where(F.size("found") > 0)
+    rows = rows.select("run_id", "artifact_seq", "url", _evidence(text).alias("text"), take(text, ENCRYPTION_IN).alias("ins"), take(text, ENCRYPTION_OUT).alias("outs"), F.explode("found").alias("f"))
     seq = F.col("artifact_seq")
     rows = rows.groupBy("run_id", F.col("f.rule").alias("rule")).agg(
         flat_distinct(seq, F.col("f.hints"), 12).alias("algorithm_hints"), flat_distinct(seq, F.col("ins"), 12).alias("inputs"), flat_distinct(seq, F.col("outs"), 12).alias("outputs"),
@@ -190,8 +216,8 @@ def encryption_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def security_findings(auth: DataFrame, captcha: DataFrame, fingerprint: DataFrame, graphql: DataFrame) -> DataFrame:
-    """run_id, rule, severity, title, evidence: introspection on, fingerprinting, sign-in without captcha."""
-    finding = lambda rule, severity, title: [F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(title).alias("title")]
+    """run_id, rule, severity, title, detail, remediation, evidence: introspection on, fingerprinting, sign-in without captcha."""
+    finding = lambda rule, severity, title: [F.lit(x).alias(n) for n, x in zip(("rule", "severity", "title", "detail", "remediation"), (rule, severity, title, *FINDING_TEXTS[rule]), strict=True)]
     open_ = graphql.where("introspection_status = 'supported'").groupBy("run_id").agg(ordered_list(F.col("rank"), F.col("url")).alias("evidence"))
     traits = fingerprint.groupBy("run_id").agg(ordered_list(F.col("rule"), F.col("collector")).alias("evidence"))
     bare = auth.join(captcha.select("run_id").distinct(), "run_id", "left_anti").select("run_id", F.array("title").alias("evidence"))
@@ -203,23 +229,58 @@ def security_findings(auth: DataFrame, captcha: DataFrame, fingerprint: DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
-def runtime_signals(requests: DataFrame) -> DataFrame:
-    """Recorded requests and console lines (run_id, seq, url, request_body_snippet, console_text) to one row of signals a run."""
+#: What a recorded session may hold besides requests, with the types that stand in where a column is missing.
+REQUEST_COLUMNS = {"request_body_snippet": "string", "console_text": "string", "console_type": "string", "page_error": "string", "frame_url": "string"}
+SESSION_COLUMNS = {"page_text": "string", "global_names": "array<string>", "cookie_names": "array<string>", "local_storage_keys": "array<string>", "session_storage_keys": "array<string>"}
+
+
+def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with nulls for the columns that it lacks."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
+
+
+def runtime_signals(requests: DataFrame, session: DataFrame | None = None) -> DataFrame:
+    """Recorded requests, console lines and page errors (run_id, seq, url and REQUEST_COLUMNS) and what the page held at the end (run_id and SESSION_COLUMNS) to one row of signals a run.
+
+    Providers and encryption hints are looked for in the page's text, the console, the errors and the names of globals, in that order.
+    """
+    rows = with_columns(requests, REQUEST_COLUMNS)
     asked = F.concat_ws(" ", "url", F.coalesce("request_body_snippet", F.lit("")))
-    seq, url, console = F.col("seq"), F.col("url"), F.coalesce("console_text", F.lit(""))
-    return requests.groupBy("run_id").agg(
-        F.array_compact(F.array(*(F.when(F.bool_or(console.rlike(f"(?i){p}")), label) for p, label in RUNTIME_PROVIDERS))).alias("captcha_providers"),
+    seq, url, console, error = F.col("seq"), F.col("url"), F.coalesce("console_text", F.lit("")), F.coalesce("page_error", F.lit(""))
+    line = F.when(console != "", F.concat(F.coalesce("console_type", F.lit("log")), F.lit(": "), console))
+    crypto = lambda text: F.regexp_extract_all(text, F.lit(RUNTIME_CRYPTO), 0)
+    told = lambda p: F.bool_or(console.rlike(f"(?i){p}") | error.rlike(f"(?i){p}"))
+    lists = rows.groupBy("run_id").agg(
+        *(told(p).alias(f"_told{k}") for k, (p, _) in enumerate(RUNTIME_PROVIDERS)),
         distinct_list(seq, url, 20, asked.rlike(RUNTIME_AUTH)).alias("auth_request_urls"), distinct_list(seq, url, 20, asked.rlike(RUNTIME_CHALLENGE)).alias("challenge_request_urls"),
         distinct_list(seq, url, 20, asked.rlike(RUNTIME_FINGERPRINT)).alias("fingerprinting_request_urls"),
-        flat_distinct(seq, F.regexp_extract_all(console, F.lit(RUNTIME_CRYPTO), 0), 20).alias("encryption_hints"), distinct_list(seq, console, 60).alias("console"),
+        flat_distinct(seq, crypto(console), None).alias("_console_hints"), flat_distinct(seq, crypto(error), None).alias("_error_hints"),
+        distinct_list(seq, console, 60).alias("console"), F.slice(F.array_compact(ordered_list(seq, line)), 1, 60).alias("console_lines"), distinct_list(seq, error, 20).alias("page_errors"),
+        distinct_list(seq, F.col("frame_url"), 40).alias("frame_urls"),
+    )
+    if session is None:
+        session = requests.select("run_id").distinct()
+    own = with_columns(session, SESSION_COLUMNS).select(
+        "run_id", F.coalesce("page_text", F.lit("")).alias("_text"), interesting_globals(_empty("global_names")).alias("interesting_globals"), F.slice(_empty("cookie_names"), 1, 40).alias("cookie_names"),
+        _empty("local_storage_keys").alias("local_storage_keys"), _empty("session_storage_keys").alias("session_storage_keys"),
+    )
+    both = own.join(lists, "run_id", "full")
+    globals_, text = _empty("interesting_globals"), F.coalesce("_text", F.lit(""))
+    named = F.array_compact(F.array(*(F.when(F.coalesce(f"_told{k}", F.lit(False)) | text.rlike(f"(?i){p}") | F.exists(globals_, lambda g: g.rlike(f"(?i){p}")), label) for k, (p, label) in enumerate(RUNTIME_PROVIDERS))))  # noqa: B023
+    hints = F.concat(crypto(text), _empty("_console_hints"), _empty("_error_hints"), F.flatten(F.transform(globals_, crypto)))
+    keys = lambda label, column: F.transform(_empty(column), lambda k: F.concat(F.lit(f"{label}:"), k))
+    names = ("auth_request_urls", "challenge_request_urls", "fingerprinting_request_urls", "console", "console_lines", "page_errors", "frame_urls", "cookie_names", "local_storage_keys", "session_storage_keys")
+    return both.select(
+        "run_id", named.alias("captcha_providers"), F.slice(F.array_distinct(hints), 1, 20).alias("encryption_hints"), globals_.alias("interesting_globals"),
+        F.concat(keys("cookie", "cookie_names"), keys("localStorage", "local_storage_keys"), keys("sessionStorage", "session_storage_keys")).alias("storage_names"), *(_empty(n).alias(n) for n in names),
     )
 
 
 def merge_auth(flows: DataFrame, traces: DataFrame) -> DataFrame:
-    """A captured trace's requests, storage names and messages added to the run's flow. traces: run_id, status, auth_request_urls, storage_names, console, page_errors, notes."""
+    """A captured trace's requests, storage names and messages added to the run's flow. traces: ``runtime_signals`` with status and notes."""
     both = flows.join(traces.where("status = 'captured'"), "run_id", "left")
     seen = F.col("status").isNotNull()
-    step = F.array(F.struct(F.lit(RUNTIME_STEP).alias("title"), F.lit(RUNTIME_STEP_TEXT).alias("description"), F.col("auth_request_urls").alias("endpoints"), F.slice("console", 1, 4).alias("evidence")))
+    step = F.array(F.struct(F.lit(RUNTIME_STEP).alias("title"), F.lit(RUNTIME_STEP_TEXT).alias("description"), F.col("auth_request_urls").alias("endpoints"), F.slice("console_lines", 1, 4).alias("evidence")))
     more = lambda column, n, *add: F.when(seen, F.slice(F.array_distinct(F.concat(column, *(_empty(a) for a in add))), 1, n)).otherwise(F.col(column)).alias(column)
     steps = F.when(seen & (F.size(_empty("auth_request_urls")) > 0), F.concat("steps", step)).otherwise(F.col("steps")).alias("steps")
     return both.select("run_id", "title", "triggers", steps, more("tokens", 20, "storage_names"), more("errors", 16, "page_errors", "console"), more("evidence", 20, "auth_request_urls", "notes"))

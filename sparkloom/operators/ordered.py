@@ -5,34 +5,60 @@ Tables have explicit order columns; nothing here depends on how rows are partiti
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def offsets(pieces: Column, found: Column) -> Column:
-    """0-based offsets of matches, from the lengths of the matches and of what lies between them."""
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("all"))
+_MARK = "\x01"
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The text cut around all matches, in one search: what lies between at even places, matches at odd ones."""
+    return F.split(F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+
+
+def _located(parts: Column) -> Column:
+    """[(at, m)] of the matches with their 0-based offsets."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast("array<struct<at:int,m:string>>").alias("all"))
 
     def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["p"])
-        return F.struct((at + F.length(x["m"])).alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
+        found = F.when(acc["odd"], F.concat(acc["all"], F.array(F.struct(acc["at"].alias("at"), x.alias("m"))))).otherwise(acc["all"])
+        return F.struct((acc["at"] + F.length(x)).alias("at"), (~acc["odd"]).alias("odd"), found.alias("all"))
 
-    return F.aggregate(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m")), start, step)["all"]
+    return F.aggregate(parts, start, step)["all"]
 
 
 def match_offsets(text: Column, pattern: str) -> Column:
-    return offsets(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0))
+    return F.transform(_located(_parts(text, pattern)), lambda x: x["at"])
 
 
-def matches(df: DataFrame, text: str, pattern: str, groups: dict[str, int], *keep: str) -> DataFrame:
-    """A row for each match: keep columns, match_seq, pos, and a column for each group.
+def matches(df: DataFrame, text: str, patterns: str | list[str], groups: dict[str, int], *keep: str, windows: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """A row for each match: keep columns, pattern (its number), match_seq, pos, a column for each group, and one for each window around.
 
-    The text is searched once for the matches and once for what lies between; groups are taken from the match alone, so the pattern must
-    not look around, nor match the empty string.
+    Each pattern's text is searched once; groups are taken from the match alone, so a pattern must not look around, nor match the
+    empty string. Windows (characters before and behind a match's start) are taken in the row, so the text is not carried on.
     """
-    found = df.where(F.col(text).rlike(pattern)).select(*keep, text, F.split(text, pattern, -1).alias("_pieces"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("_found"))
-    hits = found.select(*keep, text, F.posexplode(F.arrays_zip(offsets(F.col("_pieces"), F.col("_found")).alias("pos"), F.col("_found").alias("m"))).alias("match_seq", "x"))
-    return hits.select(*keep, text, "match_seq", "x.pos", *((F.col("x.m") if g == 0 else F.regexp_extract("x.m", pattern, g)).alias(name) for name, g in groups.items()))
+    patterns = [patterns] if isinstance(patterns, str) else patterns
+    cut = df.select(*keep, text, *(_parts(F.col(text), p).alias(f"_p{k}") for k, p in enumerate(patterns)))
+    cut = cut.where(reduce(lambda a, b: a | b, (F.size(f"_p{k}") > 1 for k in range(len(patterns)))))
+
+    def entry(k: int):
+        def of(x: Column, i: Column) -> Column:
+            near = (around(F.col(text), x["at"], *span).alias(name) for name, span in (windows or {}).items())
+            return F.struct(F.lit(k).alias("pattern"), i.alias("match_seq"), x["at"].alias("pos"), x["m"].alias("m"), *near)
+
+        return of
+
+    found = F.concat(*(F.transform(_located(F.col(f"_p{k}")), entry(k)) for k in range(len(patterns))))
+    hits = cut.select(*keep, F.explode(found).alias("x"))
+
+    def group(g: int) -> Column:
+        own = [F.col("x.m") if g == 0 else F.regexp_extract("x.m", p, g) for p in patterns]
+        return reduce(lambda rest, k: F.when(F.col("x.pattern") == k, own[k]).otherwise(rest), range(len(own) - 1), own[-1])
+
+    return hits.select(*keep, "x.pattern", "x.match_seq", "x.pos", *(group(g).alias(name) for name, g in groups.items()), *(F.col(f"x.{name}") for name in windows or {}))
 
 
 def around(text: Column, pos: Column, before: int, after: int) -> Column:
@@ -62,14 +88,19 @@ def ordered_list(order: Column, value: Column, condition: Column | None = None)
     return F.transform(F.array_sort(F.collect_list(entry if condition is None else F.when(condition, entry))), lambda x: x["v"])
 
 
-def distinct_list(order: Column, value: Column, n: int, condition: Column | None = None) -> Column:
-    """Aggregate: the first n different values in order; nulls and empty values left out."""
-    return F.slice(F.array_distinct(F.filter(ordered_list(order, value, condition), lambda v: v.isNotNull() & (v != ""))), 1, n)
+def _capped(values: Column, n: int | None) -> Column:
+    return values if n is None else F.slice(values, 1, n)
+
+
+def distinct_list(order: Column, value: Column, n: int | None, condition: Column | None = None) -> Column:
+    """Aggregate: the first n different values in order, or all; nulls and empty values left out."""
+    return _capped(F.array_distinct(F.filter(ordered_list(order, value, condition), lambda v: v.isNotNull() & (v != ""))), n)
 
 
-def flat_distinct(order: Column, values: Column, n: int, condition: Column | None = None) -> Column:
-    """Aggregate: the first n different entries of lists in order."""
-    return F.slice(F.array_distinct(F.flatten(ordered_list(order, values, condition))), 1, n)
+def flat_distinct(order: Column, values: Column, n: int | None, condition: Column | None = None) -> Column:
+    """Aggregate: the first n different entries of lists in order, or all. Empty lists are not collected."""
+    some = F.size(values) > 0
+    return _capped(F.array_distinct(F.flatten(ordered_list(order, values, some if condition is None else some & condition))), n)
 
 
 def carry_forward(value: Column, by: list[str], order: list[Column]) -> Column:

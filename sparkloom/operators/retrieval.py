@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import rag_tokens, segments
@@ -20,24 +20,32 @@ def term_weights(segs: DataFrame, *by: str) -> DataFrame:
     return tokens.groupBy(*by, "segment_index", "token").agg(F.count("*").alias("weight"))
 
 
-def query_weights(query: Column) -> Column:
-    """Map of a query's tokens to their counts."""
-    tokens = rag_tokens(F.substring(query, 1, QUERY_CHARS))
-    return F.map_from_arrays(F.array_distinct(tokens), F.transform(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda x: x == t))))
+def query_weights(queries: DataFrame, *by: str) -> DataFrame:
+    """A row for each query and token of its first characters."""
+    tokens = queries.select(*by, "query_id", F.explode(rag_tokens(F.substring("query", 1, QUERY_CHARS))).alias("token"))
+    return tokens.groupBy(*by, "query_id", "token").agg(F.count("*").alias("asked"))
 
 
 def top_segments(segs: DataFrame, queries: DataFrame, *by: str, k: int = RESULTS) -> DataFrame:
-    """queries: by, query_id, query, exclude (may be null). The best k segments of the same artifact, by score and index.
+    """by, query_id, segment_index, score, rank: the best k segments of the same artifact, by score and index. queries: by, query_id, query, exclude (may be null).
 
-    A score needs only the query's own tokens, so it is computed in the joined row, without exploding either side.
+    Tokens of both sides meet by an equi-join within the artifact, which adaptive execution can split, and scores are sums, so a
+    segment costs its tokens once however long the query is.
     """
-    asked = queries.select(*by, "query_id", query_weights(F.col("query")).alias("q"), F.nullif(F.trim(F.substring("exclude", 1, EXCLUDE_CHARS)), F.lit("")).alias("exclude"))
-    met = segs.join(asked, list(by)).where(F.col("exclude").isNull() | ~F.col("segment").contains(F.col("exclude")))
-    score = F.aggregate(rag_tokens(F.col("segment")), F.lit(0).cast("long"), lambda acc, t: acc + F.coalesce(F.col("q")[t], F.lit(0)))
-    scored = met.select(*by, "query_id", "segment_index", "segment", score.alias("score")).where("score > 0")
+    tokens = segs.select(*by, "segment_index", F.explode(rag_tokens(F.col("segment"))).alias("token"))
+    met = tokens.join(query_weights(queries, *by), [*by, "token"])
+    scored = met.groupBy(*by, "query_id", "segment_index").agg(F.sum("asked").alias("score"))
+    unwanted = queries.select(*by, "query_id", F.nullif(F.trim(F.substring("exclude", 1, EXCLUDE_CHARS)), F.lit("")).alias("exclude")).where("exclude is not null")
+    dropped = segs.join(unwanted, list(by)).where(F.col("segment").contains(F.col("exclude"))).select(*by, "query_id", "segment_index")
+    scored = scored.join(dropped, [*by, "query_id", "segment_index"], "left_anti")
     rank = F.row_number().over(Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "segment_index"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def with_segments(found: DataFrame, segs: DataFrame, *by: str) -> DataFrame:
+    """top_segments with the segments' texts."""
+    return found.join(segs.select(*by, "segment_index", "segment"), [*by, "segment_index"])
+
+
 def describe(segs: DataFrame, *by: str) -> DataFrame:
     return segs.groupBy(*by).agg(F.count("*").alias("segments"))

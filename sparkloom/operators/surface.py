@@ -34,13 +34,16 @@ def absolute(reference: Column, base: Column, python: bool) -> Column:
     return F.coalesce(url_resolve(reference, base), reference) if python else absolute_rooted(reference, base)
 
 
-def method_hints(text: Column, pos: Column) -> Column:
-    near = F.upper(ordered.around(text, pos, 180, 180))
+#: Characters before and behind a match's start: where methods, field names and evidence are looked for.
+NEAR_METHODS, NEAR_KEYS, NEAR_REST, NEAR_OPERATION, NEAR_OPENAPI = (180, 180), (240, 360), (80, 180), (80, 220), (80, 160)
+
+
+def method_hints(near: Column) -> Column:
+    near = F.upper(near)
     return F.filter(F.array(*map(F.lit, METHODS)), lambda m: near.contains(m))
 
 
-def nearby_keys(text: Column, pos: Column) -> Column:
-    near = ordered.around(text, pos, 240, 360)
+def nearby_keys(near: Column) -> Column:
     return F.slice(F.regexp_extract_all(near, F.lit(r"([A-Za-z_$][A-Za-z0-9_$]{1,40})\s*:"), 1), 1, 8)
 
 
@@ -51,13 +54,10 @@ def purpose(url: Column) -> Column:
 
 def api_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int = CAPS["rest"]) -> DataFrame:
     """run_id, rank, url, methods, source_artifact_url, purpose, request_fields, evidence; unique by url and methods."""
-    found = None
-    for k, pattern in enumerate((REST_PATTERN, API_PATTERN)):
-        part = ordered.matches(artifacts, "content", pattern, {"raw": 1}, *KEEP).withColumn("pattern", F.lit(k))
-        found = part if found is None else found.unionByName(part)
+    found = ordered.matches(artifacts, "content", [REST_PATTERN, API_PATTERN], {"raw": 1}, *KEEP, windows={"methods_in": NEAR_METHODS, "keys_in": NEAR_KEYS, "evidence_in": NEAR_REST})
     rows = found.select(
-        "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_hints(F.col("content"), F.col("pos")).alias("methods"),
-        F.col("url").alias("source_artifact_url"), nearby_keys(F.col("content"), F.col("pos")).alias("request_fields"), clip(ordered.around(F.col("content"), F.col("pos"), 80, 180)).alias("evidence"),
+        "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_hints(F.col("methods_in")).alias("methods"),
+        F.col("url").alias("source_artifact_url"), nearby_keys(F.col("keys_in")).alias("request_fields"), clip(F.col("evidence_in")).alias("evidence"),
     )
     rows = rows.withColumn("purpose", purpose(F.col("endpoint")))
     order = [F.col("artifact_seq"), F.col("pattern"), F.col("match_seq")]
@@ -67,8 +67,8 @@ def api_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int = CA
 
 
 def graphql_matches(artifacts: DataFrame, python_urls: bool = False) -> DataFrame:
-    rows = ordered.matches(artifacts, "content", GRAPHQL_PATTERN, {"raw": 1}, *KEEP)
-    return rows.select(*KEEP, "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), clip(ordered.around(F.col("content"), F.col("pos"), 80, 180)).alias("evidence"))
+    rows = ordered.matches(artifacts, "content", GRAPHQL_PATTERN, {"raw": 1}, *KEEP, windows={"evidence_in": NEAR_REST})
+    return rows.select(*KEEP, "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), clip(F.col("evidence_in")).alias("evidence"))
 
 
 def graphql_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int = CAPS["graphql"]) -> DataFrame:
@@ -78,7 +78,7 @@ def graphql_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int
 
 
 def with_introspection(endpoints: DataFrame, introspected: DataFrame, targets: DataFrame) -> DataFrame:
-    """endpoints with the recorded status of those whose URL starts with the run's page origin; targets: run_id, target_url."""
+    """endpoints with the recorded status, and what else introspected has, of those whose URL starts with the run's page origin; targets: run_id, target_url."""
     own = endpoints.join(targets.select("run_id", origin(F.col("target_url")).alias("page_origin")), "run_id", "left")
     met = own.drop("introspection_status").join(introspected.withColumnRenamed("url", "probed"), F.col("url").startswith(F.col("page_origin")) & (F.col("url") == F.col("probed")), "left")
     return met.withColumn("introspection_status", F.coalesce("introspection_status", F.when(F.col("url").startswith(F.col("page_origin")), "failed"), F.lit("not-attempted"))).drop("probed", "page_origin")
@@ -86,11 +86,11 @@ def with_introspection(endpoints: DataFrame, introspected: DataFrame, targets: D
 
 def graphql_operations(artifacts: DataFrame, python_urls: bool = False, cap: int = CAPS["operations"]) -> DataFrame:
     """Operations with the GraphQL endpoint last seen in any artifact up to and with their own, else the page's."""
-    ops = ordered.matches(artifacts, "content", OPERATION_PATTERN, {"whole": 0, "kind": 1, "name": 2, "args": 3}, *KEEP, "target_url")
+    ops = ordered.matches(artifacts, "content", OPERATION_PATTERN, {"whole": 0, "kind": 1, "name": 2, "args": 3}, *KEEP, "target_url", windows={"evidence_in": NEAR_OPERATION})
     ops = ops.select(
         *KEEP, F.lit(1).alias("part"), "match_seq", F.lit(None).cast("string").alias("endpoint"), F.col("kind").alias("operation_type"), F.col("name").alias("operation_name"),
         F.regexp_extract_all("args", F.lit(r"\$([A-Za-z_][A-Za-z0-9_]*)"), 1).alias("variables"), clip(F.col("whole")).alias("sample_request"),
-        clip(ordered.around(F.col("content"), F.col("pos"), 80, 220)).alias("evidence"), F.concat(origin(F.col("target_url")), F.lit("/graphql")).alias("fallback"),
+        clip(F.col("evidence_in")).alias("evidence"), F.concat(origin(F.col("target_url")), F.lit("/graphql")).alias("fallback"),
     )
     seen = graphql_matches(artifacts, python_urls).select(*KEEP, F.lit(0).alias("part"), "match_seq", "endpoint")
     order = [F.col("artifact_seq"), F.col("part"), F.col("match_seq")]
@@ -103,8 +103,8 @@ def graphql_operations(artifacts: DataFrame, python_urls: bool = False, cap: int
 
 def openapi_literals(artifacts: DataFrame, fetched: DataFrame | None = None, python_urls: bool = False, cap: int = CAPS["openapi"]) -> DataFrame:
     """OpenAPI documents, unique by URL; literals come before fetched ones (run_id, seq, url and further columns), so they win."""
-    rows = ordered.matches(artifacts, "content", OPENAPI_PATTERN, {"raw": 1}, *KEEP)
-    rows = rows.select("run_id", F.lit(0).alias("part"), "artifact_seq", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("doc_url"), F.lit("artifact-string").alias("source"), clip(ordered.around(F.col("content"), F.col("pos"), 80, 160)).alias("evidence"))
+    rows = ordered.matches(artifacts, "content", OPENAPI_PATTERN, {"raw": 1}, *KEEP, windows={"evidence_in": NEAR_OPENAPI})
+    rows = rows.select("run_id", F.lit(0).alias("part"), "artifact_seq", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("doc_url"), F.lit("artifact-string").alias("source"), clip(F.col("evidence_in")).alias("evidence"))
     if fetched is not None:
         more = fetched.select("run_id", F.lit(1).alias("part"), F.col("seq").cast("long").alias("artifact_seq"), F.lit(0).alias("match_seq"), F.col("url").alias("doc_url"), "source", *(c for c in fetched.columns if c not in ("run_id", "seq", "url", "source")))
         rows = rows.unionByName(more, allowMissingColumns=True)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.parsing import extract_json
-from sparkloom.operators.retrieval import QUERY_CHARS
+from sparkloom.functions.parsing import extract_json, pretty_json
+from sparkloom.operators.retrieval import QUERY_CHARS, segment_rows, top_segments, with_segments
 
 MEMO = "struct<role:string,summary:string,observations:array<string>,evidence:array<string>,nextQuestions:array<string>>"
 CHUNK = (
@@ -23,6 +23,13 @@ KEYWORDS = {
 }
 
 
+# The shapes that agents are asked for, what is added when a reply was no JSON, and how often one is asked.
+MEMO_CONTRACT = '{"role":"string","summary":"string","observations":["string"],"evidence":["string"],"nextQuestions":["string"]}'
+ATTEMPTS = 4
+NO_REPLY = "No valid analysis of this chunk."
+REPAIR = "\nPrevious attempt failed because the JSON was malformed or incomplete. Return a syntactically valid JSON object this time."
+
+
 def tasks(chunks: DataFrame) -> DataFrame:
     """chunks with agents to a row for each agent, in order."""
     return chunks.select("run_id", "artifact_seq", "chunk_index", "chunk", F.posexplode("agents").alias("agent_ord", "agent"))
@@ -32,12 +39,76 @@ def valid(parsed: Column) -> Column:
     return parsed.isNotNull() & (F.coalesce(parsed["summary"], F.lit("")) != "")
 
 
+def best_replies(outputs: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
+    """Recorded replies (run_id, artifact_seq, chunk_index, agent, attempt from 1, raw_text) to one for each task: the first that is valid JSON with a summary, else the last; tries: how many it took."""
+    key = ["run_id", "artifact_seq", "chunk_index", "agent"]
+    if "attempt" not in outputs.columns:
+        return outputs.select(*key, "raw_text").withColumn("tries", F.lit(1))
+    seen = outputs.where(F.col("attempt") <= attempts).withColumn("ok", F.coalesce(F.get_json_object(extract_json("raw_text"), "$.summary"), F.lit("")) != "")
+    order = F.struct((~F.col("ok")).alias("bad"), F.when(F.col("ok"), F.col("attempt")).otherwise(-F.col("attempt")).alias("n"))
+    best = seen.groupBy(*key).agg(F.min_by(F.struct("raw_text", F.col("attempt").alias("tries")), order).alias("best"))
+    return best.select(*key, "best.raw_text", "best.tries")
+
+
+def system_prompt(mission: Column, contract: Column, attempt: Column) -> Column:
+    """What an agent is told beside its task; from the second attempt on with the hint that its reply could not be read."""
+    rules = F.lit("Return only one valid JSON object.\nDo not wrap the JSON in markdown fences.\nDo not add explanations before or after the JSON.")
+    return F.concat(F.concat_ws("\n", mission, rules, contract), F.when(attempt > 1, REPAIR).otherwise(""))
+
+
+def prompts(rows: DataFrame, artifacts: DataFrame, memo_rows: DataFrame | None = None, primers: DataFrame | None = None, retrieved: DataFrame | None = None) -> DataFrame:
+    """Tasks with prompt, the text that each agent is given.
+
+    artifacts: run_id, artifact_seq, url, type, discovered_from, formatting_note, target_url; memo_rows: memos of earlier agents;
+    primers: run_id, artifact_seq, primer; retrieved: run_id, artifact_seq, chunk_index, agent, segments.
+    """
+    key = ["run_id", "artifact_seq", "chunk_index"]
+    count = rows.groupBy("run_id", "artifact_seq").agg((F.max("chunk_index") + 1).alias("chunk_count"))
+    met = rows.join(artifacts.select("run_id", "artifact_seq", "url", "type", "discovered_from", "formatting_note", "target_url"), ["run_id", "artifact_seq"]).join(count, ["run_id", "artifact_seq"])
+    if memo_rows is not None:
+        own = memo_rows.select(*key, "agent_ord", F.concat(F.lit('"'), "agent", F.lit('":'), F.to_json("memo")).alias("said"))
+        said = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("agent_ord", "said"))).alias("said"))
+        met = met.join(said, key, "left")
+        earlier = F.transform(F.filter(F.coalesce("said", F.array().cast("array<struct<agent_ord:int,said:string>>")), lambda x: x["agent_ord"] < F.col("agent_ord")), lambda x: x["said"])
+        memory = F.concat(F.lit("{"), F.array_join(earlier, ","), F.lit("}"))
+    else:
+        memory = F.lit("{}")
+    met = met.withColumn("memory", pretty_json(memory))
+    met = met.join(primers, ["run_id", "artifact_seq"], "left") if primers is not None else met.withColumn("primer", F.lit(None).cast("string"))
+    met = met.join(retrieved, [*key, "agent"], "left") if retrieved is not None else met.withColumn("segments", F.lit(None).cast("array<string>"))
+    primer = F.when((F.col("chunk_index") > 0) & F.col("primer").isNotNull(), F.concat(F.lit("Artifact primer from earlier chunk(s):\n"), "primer")).otherwise("Artifact primer from earlier chunk(s): none")
+    segment = F.array_join(F.transform("segments", lambda x, i: F.concat(F.lit("Segment "), (i + 1).cast("string"), F.lit(":\n"), x)), "\n\n")
+    evidence = F.when(F.size(F.coalesce("segments", F.array().cast("array<string>"))) > 0, F.concat(F.lit("Local RAG evidence:\n"), segment)).otherwise("Local RAG evidence: none")
+    lines = [
+        F.concat(F.lit("Target page: "), "target_url"), F.concat(F.lit("Artifact URL: "), "url"), F.concat(F.lit("Artifact type: "), "type"), F.concat(F.lit("Discovered from: "), "discovered_from"),
+        F.concat(F.lit("Chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit(" of "), F.col("chunk_count").cast("string")), F.concat(F.lit("Formatting note: "), F.coalesce(F.nullif("formatting_note", F.lit("")), F.lit("none"))),
+        primer, F.concat(F.lit("Swarm memory:\n"), "memory"), evidence, F.lit("Artifact content:"), F.lit("```text"), F.col("chunk"), F.lit("```"),
+    ]
+    return met.select(*key, "agent_ord", "agent", F.concat_ws("\n\n", *lines).alias("prompt"))
+
+
+def retrieved_segments(rows: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """For each task the segments of its artifact that its query finds: run_id, artifact_seq, chunk_index, agent, segments."""
+    segs = segment_rows(artifacts, "content", "run_id", "artifact_seq")
+    asked = retrieval_queries(rows).withColumn("query_id", F.struct("chunk_index", "agent"))
+    found = with_segments(top_segments(segs, asked, "run_id", "artifact_seq"), segs, "run_id", "artifact_seq")
+    lists = found.groupBy("run_id", "artifact_seq", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: x["segment"]).alias("segments"))
+    return lists.select("run_id", "artifact_seq", "query_id.chunk_index", "query_id.agent", "segments")
+
+
+def primers(analyses: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """What later chunks are told of an artifact's first: run_id, artifact_seq, primer."""
+    first = analyses.where("chunk_index = 0").join(artifacts.select("run_id", "artifact_seq", "priority"), ["run_id", "artifact_seq"])
+    told = F.struct("priority", F.col("summary").alias("firstChunkSummary"), "entryPoints", "notableLibraries", "risks")
+    return first.select("run_id", "artifact_seq", F.to_json(told).alias("primer"))
+
+
 def memos(rows: DataFrame, outputs: DataFrame) -> DataFrame:
     """Tasks of all agents but the last with their reply (run_id, artifact_seq, chunk_index, agent, raw_text) as a memo, or a memo that says it failed."""
-    met = rows.where("agent <> 'synthesizer'").join(outputs, ["run_id", "artifact_seq", "chunk_index", "agent"], "left")
+    met = rows.where("agent <> 'synthesizer'").join(best_replies(outputs), ["run_id", "artifact_seq", "chunk_index", "agent"], "left")
     met = met.withColumn("parsed", F.from_json(extract_json("raw_text"), MEMO))
-    failed = F.struct(F.col("agent").alias("role"), F.concat("agent", F.lit(" agent failed after retries: no valid reply")).alias("summary"), F.array().cast("array<string>").alias("observations"), F.array().cast("array<string>").alias("evidence"), F.array(F.concat(F.lit("Ask "), "agent", F.lit(" again for this chunk."))).alias("nextQuestions"))
-    return met.withColumn("failed", ~valid(F.col("parsed"))).withColumn("memo", F.when(valid(F.col("parsed")), F.col("parsed")).otherwise(failed)).drop("parsed", "raw_text")
+    failed = F.struct(F.col("agent").alias("role"), F.concat("agent", F.lit(" agent failed after retries: no valid reply")).alias("summary"), F.array().cast("array<string>").alias("observations"), F.array().cast("array<string>").alias("evidence"), F.array(F.concat(F.lit("Retry "), "agent", F.lit(" analysis for this chunk manually if the finding is important."))).alias("nextQuestions"))
+    return met.withColumn("failed", ~valid(F.col("parsed"))).withColumn("memo", F.when(valid(F.col("parsed")), F.col("parsed")).otherwise(failed)).drop("parsed", "raw_text", "tries")
 
 
 def chunk_analyses(rows: DataFrame, memo_rows: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -45,9 +116,9 @@ def chunk_analyses(rows: DataFrame, memo_rows: DataFrame, outputs: DataFrame) ->
     key = ["run_id", "artifact_seq", "chunk_index"]
     given = F.when(~F.col("failed"), F.struct("agent_ord", F.trim("memo.summary").alias("s")))
     told = memo_rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(given)), lambda x: x["s"]), " ").alias("told"))
-    last = rows.where("agent = 'synthesizer'").join(outputs, [*key, "agent"], "left").withColumn("parsed", F.from_json(extract_json("raw_text"), CHUNK)).join(told, key, "left")
+    last = rows.where("agent = 'synthesizer'").join(best_replies(outputs), [*key, "agent"], "left").withColumn("parsed", F.from_json(extract_json("raw_text"), CHUNK)).join(told, key, "left")
     ok = valid(F.col("parsed"))
-    summary = F.when(ok, F.col("parsed.summary")).otherwise(F.coalesce(F.nullif("told", F.lit("")), F.lit("No valid analysis of this chunk.")))
+    summary = F.when(ok, F.col("parsed.summary")).otherwise(F.coalesce(F.nullif("told", F.lit("")), F.lit(NO_REPLY)))
     lists = {f: F.when(ok, F.coalesce(F.col(f"parsed.{f}"), F.array())).otherwise(F.array()) for f in ("entryPoints", "initializationFlow", "callGraph", "restoredNames", "notableLibraries", "investigationTips", "risks")}
     return last.select(*key, (~ok).alias("fell_back"), summary.alias("summary"), *(c.alias(n) for n, c in lists.items()))
 

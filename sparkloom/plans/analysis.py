@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import report_tokens
+from sparkloom.functions.text import file_name, preview, report_tokens
 from sparkloom.functions.urls import host
-from sparkloom.functions.text import file_name
 from sparkloom.operators import ordered
 
 GROUPS = ("entry", "restored", "function", "opaque")
@@ -59,17 +58,40 @@ def graph_nodes(mentions: DataFrame) -> DataFrame:
 
 
 def artifact_relations(artifacts: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
-    """Which of a run's names (run_id, name_seq, name) an artifact's summary or URL tells of, the first ten.
+    """Which of a run's names (run_id, name_seq, name) an artifact's summary or URL tells of, of the first ten that do.
 
-    Names that are tokens meet by an equi-join on the token; only names that no tokenizer would cut out whole are tested by contains.
+    A name is told of as a token of either, whatever its case, or anywhere in the summary. A run's names, which its reports bound,
+    come to each of its artifacts as one list and are tested in the artifact's row.
     """
     text = artifacts.select("run_id", "artifact_seq", "url", F.coalesce("summary", F.lit("")).alias("summary"))
-    tokens = text.select("run_id", "artifact_seq", F.explode(F.array_distinct(F.concat(report_tokens(F.col("summary")), report_tokens(F.col("url"))))).alias("token"))
-    by_token = tokens.join(names.withColumn("token", F.lower("name")), ["run_id", "token"]).select("run_id", "artifact_seq", "name_seq", "name")
-    by_text = text.join(names, "run_id").where(F.col("summary").contains(F.col("name"))).select("run_id", "artifact_seq", "name_seq", "name")
-    hit = by_token.union(by_text).distinct()
-    first = ordered.cap(hit, ["run_id", "artifact_seq"], [F.col("name_seq")], most)
-    return first.groupBy("run_id", "artifact_seq").agg(F.array_distinct(ordered.ordered_list(F.col("rank"), F.col("name"))).alias("names"))
+    text = text.withColumn("tokens", F.array_distinct(F.concat(report_tokens(F.col("summary")), report_tokens(F.col("url")))))
+    listed = names.where("name is not null").groupBy("run_id").agg(ordered.ordered_list(F.col("name_seq"), F.col("name")).alias("names"))
+    told = F.filter("names", lambda x: F.array_contains("tokens", F.lower(x)) | F.col("summary").contains(x))
+    return text.join(listed, "run_id").select("run_id", "artifact_seq", F.array_distinct(F.slice(told, 1, most)).alias("names")).where(F.size("names") > 0)
+
+
+def node_artifacts(nodes: DataFrame, artifacts: DataFrame, relations: DataFrame, most: int = 8) -> DataFrame:
+    """nodes with artifact_urls: the first artifacts, in their order, that tell of the node."""
+    by_name = relations.select("run_id", "artifact_seq", F.explode("names").alias("id")).join(artifacts.select("run_id", "artifact_seq", "url"), ["run_id", "artifact_seq"])
+    first = ordered.cap(by_name, ["run_id", "id"], [F.col("artifact_seq")], most, "nth")
+    urls = first.groupBy("run_id", "id").agg(ordered.ordered_list(F.col("nth"), F.col("url")).alias("artifact_urls"))
+    return nodes.join(urls, ["run_id", "id"], "left").withColumn("artifact_urls", F.coalesce("artifact_urls", F.array().cast("array<string>")))
+
+
+def manifest(artifacts: DataFrame, summaries: DataFrame, relations: DataFrame) -> DataFrame:
+    """artifacts as a report lists them: number, previews, the summary of the first artifact of that URL, and the names it tells of."""
+    by_url = ordered.first_wins(summaries.join(artifacts.select("run_id", "artifact_seq", "url"), ["run_id", "artifact_seq"]), ["run_id", "url"], [F.col("artifact_seq")]).select("run_id", "url", "summary")
+    met = artifacts.drop("summary").join(by_url, ["run_id", "url"], "left").join(relations, ["run_id", "artifact_seq"], "left")
+    number = F.row_number().over(Window.partitionBy("run_id").orderBy("artifact_seq"))
+    return met.select(
+        "run_id", "artifact_seq", F.concat(F.lit("artifact-"), number.cast("string")).alias("id"), "url", "type", "size_bytes", "discovered_from", F.when(F.col("formatting_skipped"), "fallback").otherwise("formatted").alias("formatting"),
+        "formatting_note", preview(F.col("content")).alias("raw_preview"), preview(F.col("formatted_content")).alias("formatted_preview"), F.coalesce("names", F.array().cast("array<string>")).alias("related_names"), F.coalesce("summary", F.lit("")).alias("summary"),
+    )
+
+
+def sorted_catalog(models: DataFrame) -> DataFrame:
+    """Models in the order of their ids as people sort them: letters before their case."""
+    return models.orderBy(F.collate("id", "UNICODE"))
 
 
 def flow_relations(flow_urls: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from urllib.parse import urlsplit
 
 # Defaults and the sizes from which retrieval is offered and chosen.
 MAX_PAGES, MAX_ARTIFACTS, MAX_DEPTH, CONTEXT = 20, 400, 3, 128_000
+VERSION = "0.2.0"
 RAG_OFFER, RAG_CHOOSE = 1_000_000, 2_000_000
 SUGGEST_BROWSER = re.compile("(login|auth|signin|signup|verify|captcha|challenge|mfa|2fa)", re.I)
 
@@ -45,9 +46,10 @@ class Options:
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(description="Analyse recorded front-end artifacts of a site.")
-    p.add_argument("--url")
-    p.add_argument("--output")
+    p = argparse.ArgumentParser(prog="sparkloom", description="Analyse recorded front-end artifacts of a site.", allow_abbrev=False)
+    p.add_argument("--version", "-v", action="version", version=VERSION)
+    p.add_argument("--url", "-u", help="the entry page")
+    p.add_argument("--output", help="folder of the run's files, or its report if it ends in .md")
     p.add_argument("--headless", action=argparse.BooleanOptionalAction)
     p.add_argument("--local-rag", action=argparse.BooleanOptionalAction)
     p.add_argument("--browser-assisted", action=argparse.BooleanOptionalAction)
@@ -63,6 +65,11 @@ def parse(argv: list[str], saved: dict | None = None) -> Options:
     return replace(Options(), **merge(saved or {}, given))
 
 
+def resolved(given: dict, saved: dict | None = None) -> Options:
+    """Given values over saved ones over defaults; what is None is not given."""
+    return replace(Options(), **merge(saved or {}, given))
+
+
 def merge(*layers: dict) -> dict:
     """Key by key, the last layer that has a value wins."""
     return {k: v for layer in layers for k, v in layer.items() if v is not None}
@@ -105,6 +112,32 @@ def concurrency_default(options: Options, chunks: int) -> int:
     return options.analysis_concurrency or (1 if options.headless or chunks <= 1 else 2)
 
 
+# Providers that are known by their address, and models whose sizes are known.
+PRESETS = (
+    {"id": "blackbox", "label": "BlackBox AI", "base_url": "https://api.blackbox.ai"},
+    {"id": "nvidia-nim", "label": "Nvidia NIM", "base_url": "https://integrate.api.nvidia.com/v1"},
+    {"id": "onlysq", "label": "OnlySQ", "base_url": "https://api.onlysq.ru/ai/openai", "models_url": "https://api.onlysq.ru/ai/models"},
+)
+CURATED = (
+    {"id": "gpt-5.1-codex-max", "label": "ChatGPT Codex Max", "context": 400_000},
+    {"id": "gpt-5.1-codex-mini", "label": "ChatGPT Codex Mini", "context": 200_000},
+    {"id": "gpt-5.1-codex", "label": "GPT-5.1 Codex", "context": 400_000},
+    {"id": "gpt-5-codex", "label": "GPT-5 Codex", "context": 400_000},
+    {"id": "codex-mini-latest", "label": "codex-mini-latest", "context": 200_000},
+)
+
+
+def preset_for(base_url: str | None) -> dict | None:
+    """The known provider of an address, whatever its case and slashes at the end."""
+    return next((p for p in PRESETS if same_base_url(p["base_url"], base_url)), None)
+
+
+def models_url(base_url: str) -> str:
+    """Where a provider lists its models."""
+    known = preset_for(base_url) or {}
+    return known.get("models_url") or base_url.rstrip("/") + "/models"
+
+
 # Names that a model's mode is told by.
 def codex_mode(model: str) -> str | None:
     low = model.lower()

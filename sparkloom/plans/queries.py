@@ -65,12 +65,17 @@ def page_links(spark, sf_dir):
 _TITLE = r"trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
 
 
-@query(rf"""SELECT page_id, title, least(n_h, 12)::BIGINT AS n_headings, least(n_a, 20)::BIGINT AS n_links,
-  CASE WHEN title <> '' THEN 'title "' || title || '"' || CASE WHEN n_h > 0 THEN ', ' ELSE '' END ELSE '' END || CASE WHEN n_h > 0 THEN least(n_h, 12)::VARCHAR || ' heading(s)' ELSE '' END AS summary
-FROM (SELECT page_id, {_TITLE} AS title, len(regexp_extract_all(html, '<h[123]>[^<]*[^<\s]')) AS n_h, len(regexp_extract_all(html, '<a href="[^"]+">[^<]+')) AS n_a FROM pages) x""")
+_PLAIN_SQL = lambda x: rf"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
+_TEXTS = lambda pattern, n: f"list_filter(list_transform(regexp_extract_all(html, '{pattern}', 1), x -> {_PLAIN_SQL('x')}), x -> x <> '')[1:{n}]"
+
+
+@query(rf"""SELECT page_id, title, array_to_string(hs, '|') AS headings, array_to_string(ls, '|') AS links, '' AS buttons, '' AS iframes, 0::BIGINT AS n_forms, '' AS data_keys,
+  CASE WHEN title <> '' THEN 'title "' || title || '"' || CASE WHEN len(hs) > 0 THEN ', ' ELSE '' END ELSE '' END || CASE WHEN len(hs) > 0 THEN len(hs)::VARCHAR || ' heading(s)' ELSE '' END AS summary
+FROM (SELECT page_id, {_TITLE} AS title, {_TEXTS('<h1>(.*?)</h1>', 12)} AS hs, {_TEXTS('<a href="[^"]+">(.*?)</a>', 20)} AS ls FROM pages) x""")
 def page_dom_snapshot(spark, sf_dir):
     s = read(spark, sf_dir, "pages").select("page_id", dom.dom_snapshot("html", "url").alias("s"))
-    return s.select("page_id", "s.title", F.size("s.headings").cast("long").alias("n_headings"), F.size("s.links").cast("long").alias("n_links"), "s.summary")
+    out = s.select("page_id", "s.title", "s.headings", "s.links", "s.buttons", "s.iframes", F.size("s.forms").cast("long").alias("n_forms"), F.col("s.data_attribute_keys").alias("data_keys"), "s.summary")
+    return joined(out, "headings", "links", "buttons", "iframes", "data_keys")
 
 
 _HINT_HTML = """'<script id="a" type="application/json">{}</script><script>window.STATE_' || c_custkey % 7 || '=1; self.APP' || c_custkey % 3 || '=2; globalThis.URLSearch()</script>'"""
@@ -233,7 +238,13 @@ def rag_describe(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("artifacts"), F.sum(n).cast("long").alias("segments"))
 
 
-@query()
+@query("""WITH RECURSIVE chars AS (SELECT doc_id, i, sum(octet_length(encode(substring(text, i::INT, 1)))) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT doc_id, text, unnest(range(1, len(text) + 1)) AS i FROM documents) x),
+  ends AS (SELECT doc_id, list(b ORDER BY i) AS bs FROM chars GROUP BY doc_id),
+  step AS (SELECT doc_id, 0 AS chunk_index, 0::BIGINT AS pos, 0::BIGINT AS cut FROM documents WHERE len(text) > 0
+    UNION ALL SELECT doc_id, chunk_index + 1, cut, CASE WHEN last = n THEN last ELSE coalesce(nullif(at2 + length(regexp_extract(substring(text, (cut + least + 1)::INT, (last - cut - least)::INT), '^(.*[\n;} ,])', 1, 's')) + least, cut + least), last) END
+      FROM (SELECT s.doc_id, chunk_index, cut, cut AS at2, len(text) AS n, text, last, greatest(1, floor((last - cut) * 0.6)::BIGINT) AS least
+        FROM step s JOIN documents USING (doc_id) JOIN ends USING (doc_id), LATERAL (SELECT cut + greatest(1, len(list_filter(bs[cut + 1:cut + 512], x -> x <= coalesce(bs[cut], 0) + 512))) AS last) e WHERE cut < len(text)) y)
+SELECT doc_id, chunk_index - 1 AS chunk_index, substring(text, (pos + 1)::INT, (cut - pos)::INT) AS chunk FROM step JOIN documents USING (doc_id) WHERE chunk_index > 0""")
 def text_chunks(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(parsing.text_chunks("text", F.lit(512))).alias("chunk_index", "chunk"))
@@ -335,7 +346,7 @@ _AUTH_CTE = f"""pg AS (SELECT * FROM snap WHERE input_type IN ('password', 'emai
 SELECT au.run_id, array_to_string(list_filter([title, heading, button], x -> regexp_matches(x, '{_AUTH}')), '|') AS triggers, CASE WHEN url IS NULL THEN '' ELSE 'POST ' || action END AS step_titles,
   CASE WHEN url IS NULL THEN '' ELSE array_to_string(list_concat([action], coalesce(end_urls, [])), '|') END AS step_endpoints, coalesce(array_to_string(tokens, '|'), '') AS tokens, coalesce(array_to_string(errors, '|'), '') AS errors,
   array_to_string(list_concat(CASE WHEN url IS NULL THEN [] ELSE [url || ': ' || summary] END, coalesce(end_ev, [])), '|') AS evidence
-FROM au LEFT JOIN {_firsts('run_id', 100000, 'tokens', 'touch')} t USING (run_id) LEFT JOIN {_firsts('run_id', 100000, 'errors', 'errs')} e USING (run_id)""")
+FROM au LEFT JOIN {_firsts('run_id', 1000000000, 'tokens', 'touch')} t USING (run_id) LEFT JOIN {_firsts('run_id', 1000000000, 'errors', 'errs')} e USING (run_id)""")
 def auth_flow(spark, sf_dir):
     a = view(spark, sf_dir, "artifacts")
     out = flows.auth_flows(snapshots(spark, sf_dir), surface.api_endpoints(a), a)
@@ -361,14 +372,28 @@ def security_findings(spark, sf_dir):
 
 _ASKED = "url || ' ' || coalesce(request_body_snippet, '')"
 _URLS = lambda p, name: f"(SELECT run_id, list(url ORDER BY s)[1:20] AS {name} FROM (SELECT run_id, url, min(seq) AS s FROM requests WHERE regexp_matches({_ASKED}, '{p}') GROUP BY run_id, url) a GROUP BY run_id)"
-
-
-@query(f"""WITH$, hint AS (SELECT run_id, seq AS o, regexp_extract_all(console_text, '{_RE2(flows.RUNTIME_CRYPTO)}') AS vs FROM requests)
-SELECT run_id, concat_ws('|', {', '.join(f"CASE WHEN bool_or(regexp_matches(console_text, '(?i){p}')) THEN '{label}' END" for p, label in flows.RUNTIME_PROVIDERS)}) AS captcha_providers, coalesce(array_to_string(any_value(a1), '|'), '') AS auth_request_urls,
-  coalesce(array_to_string(any_value(a2), '|'), '') AS challenge_request_urls, coalesce(array_to_string(any_value(a3), '|'), '') AS fingerprinting_request_urls, coalesce(array_to_string(any_value(hs), '|'), '') AS encryption_hints
-FROM requests LEFT JOIN {_URLS(flows.RUNTIME_AUTH, 'a1')} x USING (run_id) LEFT JOIN {_URLS(flows.RUNTIME_CHALLENGE, 'a2')} y USING (run_id) LEFT JOIN {_URLS(flows.RUNTIME_FINGERPRINT, 'a3')} z USING (run_id) LEFT JOIN {_firsts('run_id', 20, 'hs', 'hint')} h USING (run_id) GROUP BY run_id""")
+_CRYPTO = lambda text_: f"regexp_extract_all({text_}, '{_RE2(flows.RUNTIME_CRYPTO)}')"
+_TOLD = lambda p: f"regexp_matches(coalesce(page_text, ''), '(?i){p}') OR regexp_matches(array_to_string(gs, chr(10)), '(?i){p}') OR coalesce((SELECT bool_or(regexp_matches(coalesce(console_text, ''), '(?i){p}') OR regexp_matches(coalesce(page_error, ''), '(?i){p}')) FROM requests r WHERE r.run_id = ses.run_id), false)"
+#: The signals of a run as lists; every run has a session here.
+_SIG = f"""ses AS (SELECT *, list_filter(string_split(global_names, '|'), x -> regexp_matches(x, '{flows.GLOBALS}'))[1:20] AS gs FROM sessions),
+  hint AS (SELECT run_id, -1 AS o, {_CRYPTO("coalesce(page_text, '')")} AS vs FROM ses UNION ALL SELECT run_id, seq, {_CRYPTO('console_text')} FROM requests UNION ALL SELECT run_id, 1000000000 + seq, {_CRYPTO("coalesce(page_error, '')")} FROM requests
+    UNION ALL SELECT run_id, 2000000000, flatten(list_transform(gs, x -> {_CRYPTO('x')})) FROM ses),
+  said AS (SELECT run_id, seq AS o, [console_text] AS vs FROM requests WHERE console_text <> ''), failed AS (SELECT run_id, seq AS o, [page_error] AS vs FROM requests WHERE page_error <> ''),
+  sig AS (SELECT run_id, list_filter([{', '.join(f"CASE WHEN {_TOLD(p)} THEN '{label}' END" for p, label in flows.RUNTIME_PROVIDERS)}], x -> x IS NOT NULL) AS provs, coalesce(a1, []) AS a1, coalesce(a2, []) AS a2, coalesce(a3, []) AS a3, coalesce(hs, []) AS hs, gs,
+      coalesce(con, []) AS con, coalesce(errs, []) AS errs, list_concat(list_transform(string_split(cookie_names, '|')[1:40], x -> 'cookie:' || x), list_transform(string_split(local_storage_keys, '|'), x -> 'localStorage:' || x)) AS store
+    FROM ses LEFT JOIN {_URLS(flows.RUNTIME_AUTH, 'a1')} x USING (run_id) LEFT JOIN {_URLS(flows.RUNTIME_CHALLENGE, 'a2')} y USING (run_id) LEFT JOIN {_URLS(flows.RUNTIME_FINGERPRINT, 'a3')} z USING (run_id)
+    LEFT JOIN {_firsts('run_id', 20, 'hs', 'hint')} h USING (run_id) LEFT JOIN {_firsts('run_id', 60, 'con', 'said')} c USING (run_id) LEFT JOIN {_firsts('run_id', 20, 'errs', 'failed')} e USING (run_id))"""
+
+
+def sessions(spark, sf_dir) -> DataFrame:
+    rows = view(spark, sf_dir, "sessions")
+    return rows.withColumns({c: F.split(c, "[|]") for c in ("global_names", "cookie_names", "local_storage_keys")})
+
+
+@query(f"""WITH$, {_SIG} SELECT run_id, array_to_string(provs, '|') AS captcha_providers, array_to_string(a1, '|') AS auth_request_urls, array_to_string(a2, '|') AS challenge_request_urls, array_to_string(a3, '|') AS fingerprinting_request_urls,
+  array_to_string(hs, '|') AS encryption_hints, array_to_string(gs, '|') AS interesting_globals, array_to_string(con, '|') AS console, array_to_string(errs, '|') AS page_errors, array_to_string(store, '|') AS storage_names FROM sig""")
 def runtime_signals(spark, sf_dir):
-    out = flows.runtime_signals(view(spark, sf_dir, "requests")).drop("console")
+    out = flows.runtime_signals(view(spark, sf_dir, "requests"), sessions(spark, sf_dir)).drop("console_lines", "frame_urls", "cookie_names", "local_storage_keys", "session_storage_keys")
     return joined(out, *out.columns[1:])
 
 
@@ -377,12 +402,26 @@ def snippet_requests(spark, sf_dir):
     return view(spark, sf_dir, "requests").groupBy("run_id").agg(F.count_if(flows.wants_snippet(F.col("resource_type"), F.col("url"))).alias("snippets"))
 
 
-@query()
+_MERGED = lambda name, base, more, n: f"{name} AS (SELECT run_id, rule, 0 AS o, ev AS vs FROM {base} UNION ALL SELECT run_id, rule, k, vs FROM {base} JOIN sig USING (run_id), LATERAL (SELECT unnest(range(1, {len(more) + 1})) AS k, unnest([{', '.join(more)}]) AS vs) m)"
+_CHALLENGE = "(?i)(captcha|challenge|turnstile|recaptcha|hcaptcha|verify|risk)"
+
+
+@query(f"""WITH$, {_SNAP}, {_ENDS}, {_AUTH_CTE}, {_CAP_SRC}, {_FP_SRC}, {_EN_SRC}, {_SIG},
+  b_auth AS (SELECT run_id, 0 AS rule, list_concat(CASE WHEN url IS NULL THEN [] ELSE [url || ': ' || summary] END, coalesce(end_ev, [])) AS ev FROM au),
+  b_cap AS (SELECT k.run_id, k.rule, coalesce(evs, []) AS ev FROM keyed k LEFT JOIN {_firsts('run_id, rule', 10, 'evs', 'texts')} v ON v.run_id = k.run_id AND v.rule = k.rule),
+  b_fp AS (SELECT run_id, rule, list(url || ': ' || {_TEXT260} ORDER BY o)[1:8] AS ev FROM fp GROUP BY run_id, rule), b_en AS (SELECT run_id, rule, list(url || ': ' || {_TEXT260} ORDER BY o)[1:8] AS ev FROM en GROUP BY run_id, rule),
+  msg AS (SELECT run_id, list_filter(list_concat(errs, con), x -> regexp_matches(x, '{_CHALLENGE}')) AS ms FROM sig), note AS (SELECT 1), open_cap AS (SELECT sig.* FROM sig JOIN msg USING (run_id) WHERE len(provs) > 0 OR len(a2) > 0 OR len(ms) > 0),
+  {_MERGED('m_auth', 'b_auth', ["a1", "['recorded']"], 20)}, {_MERGED('m_cap', 'b_cap', ["provs", "['recorded']"], 12).replace('JOIN sig', 'JOIN open_cap')},
+  {_MERGED('m_fp', 'b_fp', ["['recorded']"], 12).replace('JOIN sig USING (run_id)', 'JOIN (SELECT * FROM sig WHERE len(a3) > 0) s USING (run_id)')}, {_MERGED('m_en', 'b_en', ["['recorded']"], 12).replace('JOIN sig USING (run_id)', 'JOIN (SELECT * FROM sig WHERE len(hs) > 0) s USING (run_id)')}
+SELECT run_id, 'auth' AS kind, rule, array_to_string(ev, '|') AS evidence FROM {_firsts('run_id, rule', 20, 'ev', 'm_auth')} x
+UNION ALL SELECT run_id, 'captcha', rule, array_to_string(ev, '|') FROM {_firsts('run_id, rule', 12, 'ev', 'm_cap')} x
+UNION ALL SELECT run_id, 'captcha', 0, array_to_string(list_concat(provs, ['recorded']), '|') FROM open_cap WHERE run_id NOT IN (SELECT run_id FROM keyed)
+UNION ALL SELECT run_id, 'fingerprint', rule, array_to_string(ev, '|') FROM {_firsts('run_id, rule', 12, 'ev', 'm_fp')} x UNION ALL SELECT run_id, 'fingerprint', 0, 'recorded' FROM sig WHERE len(a3) > 0 AND run_id NOT IN (SELECT run_id FROM fp)
+UNION ALL SELECT run_id, 'encryption', rule, array_to_string(ev, '|') FROM {_firsts('run_id, rule', 12, 'ev', 'm_en')} x UNION ALL SELECT run_id, 'encryption', 0, 'recorded' FROM sig WHERE len(hs) > 0 AND run_id NOT IN (SELECT run_id FROM en)""")
 def runtime_merge(spark, sf_dir):
     a = view(spark, sf_dir, "artifacts")
     ends, s = surface.api_endpoints(a), snapshots(spark, sf_dir)
-    none = F.array().cast("array<string>")
-    trace = flows.runtime_signals(view(spark, sf_dir, "requests")).withColumns({"status": F.lit("captured"), "storage_names": F.array(F.lit("cookie:sid")), "page_errors": none, "notes": F.array(F.lit("recorded")), "interesting_globals": none})
+    trace = flows.runtime_signals(view(spark, sf_dir, "requests"), sessions(spark, sf_dir)).withColumns({"status": F.lit("captured"), "notes": F.array(F.lit("recorded"))})
     parts = [
         flows.merge_auth(flows.auth_flows(s, ends, a), trace).select("run_id", F.lit("auth").alias("kind"), F.lit(0).alias("rule"), "evidence"), flows.merge_captcha(flows.captcha_flows(s, ends, a), trace).select("run_id", F.lit("captcha").alias("kind"), "rule", "evidence"),
         flows.merge_fingerprint(flows.fingerprint_signals(ends, a), trace).select("run_id", F.lit("fingerprint").alias("kind"), "rule", "evidence"), flows.merge_encryption(flows.encryption_signals(ends, a), trace).select("run_id", F.lit("encryption").alias("kind"), "rule", "evidence"),
@@ -451,7 +490,13 @@ def crawl_reach(spark, sf_dir):
     return _site_crawl(spark, sf_dir, max_pages=10_000).groupBy("run_id", F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("pages"))
 
 
-@query()
+_LEVEL = lambda n, before: f"""l{n} AS (SELECT d.run_id, target AS page, row_number() OVER (PARTITION BY d.run_id ORDER BY d.seq, target) AS seq FROM d{n - 1} d JOIN site_links s ON s.run_id = d.run_id AND s.page = d.page),
+  d{n} AS (SELECT run_id, page, min(seq) AS seq, {n} AS depth FROM l{n} WHERE (run_id, page) NOT IN ({" UNION ALL ".join(f"SELECT run_id, page FROM d{k}" for k in range(before))}) GROUP BY run_id, page)"""
+
+
+@query(f"""WITH$, d0 AS (SELECT DISTINCT run_id, 0 AS page, 1 AS seq, 0 AS depth FROM site_links), {_LEVEL(1, 1)}, {_LEVEL(2, 2)}, {_LEVEL(3, 3)},
+  queue AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY depth, seq) AS n FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) q)
+SELECT run_id, depth, seq, 'https://n' || run_id || '.example.com/p/' || page AS url FROM queue WHERE n <= 5""")
 def crawl_budget(spark, sf_dir):
     return _site_crawl(spark, sf_dir, max_pages=5).where("ok").select("run_id", "depth", "seq", "url")
 
@@ -542,3 +587,6 @@ def agent_memory(spark, sf_dir):
 def artifact_summaries(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run_id"), F.col("l_orderkey").alias("artifact_seq"), F.col("l_linenumber").alias("chunk_index"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("summary")).distinct()
     return analysis.artifact_summaries(rows)
+
+
+from sparkloom.plans import recorded  # noqa: E402, F401  registers its queries here

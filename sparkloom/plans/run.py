@@ -1,35 +1,55 @@
-"""A whole run over recorded inputs: crawl, formatting, surfaces, flows, plan, analysis, and what the reports need."""
+"""A whole run over recorded inputs: crawl, formatting, probes, surfaces, flows, plan, agents' replies, merging, and what the reports need."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import parsing, text, urls
-from sparkloom.operators import dom, flows, ordered, planner, surface
-from sparkloom.plans import analysis, crawl, report
-from sparkloom.plans.options import Options
+from sparkloom.operators import dom, flows, ordered, planner, probes, retrieval, surface
+from sparkloom.plans import agents, analysis, crawl, report
+from sparkloom.plans.options import Options, concurrency_default, retrieval_default
 from sparkloom.sources.store import keep
 
-# Caps of a recorded browser session.
+# Caps of a recorded browser session, and what its notes say by its status.
 TRACE_CAPS = {"requests": 160, "console": 60, "page_errors": 20, "frames": 40}
 SNIPPET_BYTES = 32_000
+NOTES = {
+    "captured": ("Playwright trace captured post-hydration DOM and network activity.", "Image, font, and media requests were aborted to keep tracing focused on application behavior."),
+    "failed": ("Browser-assisted tracing failed and the static pipeline continued.",),
+}
+NO_ARTIFACTS = "No analyzable website artifacts were discovered on the target page."
+NO_SUMMARY = "Artifact analysis completed."
+SIGNALS = ("captcha_providers", "auth_request_urls", "challenge_request_urls", "fingerprinting_request_urls", "encryption_hints")
+REQUEST_DETAILS = {"method": "string", "resource_type": "string", "status": "int", "content_type": "string", "content_length": "long", "response_body": "string"}
 
 
-def capped_trace(requests: DataFrame, status: str = "captured") -> DataFrame:
-    """Recorded session rows (run_id, seq, url, request_body_snippet, console_text, frame_url, page_error) to one row a run.
+class EntryError(RuntimeError):
+    """The page that a run starts from was not fetched."""
 
-    A failed trace keeps its rows but has no signals.
+
+def capped_trace(requests: DataFrame, session: DataFrame | None = None, status: str = "captured") -> DataFrame:
+    """A recorded session to one row a run: signals, storage names, messages, frames, and the first requests with their snippets.
+
+    requests: run_id, seq, url, and what is known of ``flows.REQUEST_COLUMNS`` and ``REQUEST_DETAILS``; session: run_id and what is known
+    of ``flows.SESSION_COLUMNS``, status, final_url and error. A failed trace keeps its rows but has no signals.
     """
-    rows = ordered.cap(requests, ["run_id"], [F.col("seq")], TRACE_CAPS["requests"])
-    signals = flows.runtime_signals(rows)
-    if status != "captured":
-        signals = signals.select("run_id", "console", *(F.array().cast("array<string>").alias(c) for c in signals.columns if c not in ("run_id", "console")))
-    lists = requests.groupBy("run_id").agg(ordered.distinct_list(F.col("seq"), F.col("frame_url"), TRACE_CAPS["frames"]).alias("frame_urls"), ordered.distinct_list(F.col("seq"), F.col("page_error"), TRACE_CAPS["page_errors"]).alias("page_errors"))
-    return signals.join(lists, "run_id").withColumn("status", F.lit(status))
+    rows = flows.with_columns(requests, flows.REQUEST_COLUMNS | REQUEST_DETAILS)
+    asked = ordered.cap(rows.where("url is not null"), ["run_id"], [F.col("seq")], TRACE_CAPS["requests"])
+    silent = rows.where("url is null")
+    signals = flows.runtime_signals(asked.drop("rank").unionByName(silent), session)
+    reply = F.when(flows.wants_snippet(F.col("resource_type"), F.col("url")), response_snippet(F.coalesce("content_type", F.lit("")), F.col("content_length"), F.col("response_body")))
+    detail = F.struct("url", F.coalesce("method", F.lit("GET")).alias("method"), "resource_type", "status", "frame_url", F.nullif(text.clip_dots(F.col("request_body_snippet")), F.lit("")).alias("request_body_snippet"), F.nullif(reply, F.lit("")).alias("response_body_snippet"), "content_type")
+    details = asked.groupBy("run_id").agg(ordered.ordered_list(F.col("rank"), detail).alias("requests"))
+    told = flows.with_columns(session if session is not None else rows.select("run_id").distinct(), {"status": "string", "final_url": "string", "error": "string"}).select("run_id", F.coalesce("status", F.lit(status)).alias("status"), "final_url", "error")
+    out = signals.join(details, "run_id", "left").join(told, "run_id", "left").withColumn("status", F.coalesce("status", F.lit(status)))
+    none = F.array().cast("array<string>")
+    captured = F.col("status") == "captured"
+    note = lambda key: F.array(*map(F.lit, NOTES[key]))
+    return out.withColumns({**{c: F.when(captured, F.col(c)).otherwise(none) for c in SIGNALS}, "notes": F.when(captured, note("captured")).otherwise(note("failed"))})
 
 
 def response_snippet(content_type, length, body):
@@ -43,14 +63,25 @@ class Run:
 
     options: Options
     tables: dict[str, DataFrame]
+    metadata: dict = field(default_factory=dict)
 
     def collect(self) -> dict:
         """What a report of one site shows: bounded by the crawl's budgets and the caps of all lists."""
         rows = {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in self.tables.items()}
-        return {"url": self.options.url, "status": "complete", **rows}
+        plain = lambda key: [r["value"] for r in rows.get(key, [])]
+        rows |= {key: plain(key) for key in report.ANALYSIS}
+        trace = next(iter(rows.pop("trace", [])), None)
+        told = next(iter(rows.pop("overview")), {"overview": NO_ARTIFACTS, "analyzed_chunks": 0, "failed": 0})
+        error = f"{told['failed']} chunk(s) without a valid analysis" if told["failed"] else None
+        counts = {"htmlPages": len(rows["html_pages"]), "artifacts": len(rows["artifacts"]), "chunks": told["analyzed_chunks"], "browserRequests": len((trace or {}).get("requests") or [])}
+        metadata = {"targetUrl": self.options.url, **self.metadata, "browserTraceStatus": (trace or {}).get("status", "disabled"), "ragSummary": next(iter(rows.pop("rag", [])), None), "counts": counts}
+        return {"url": self.options.url, "status": "partial" if error else "complete", "error": error, "overview": told["overview"], "analyzed_chunks": told["analyzed_chunks"], "trace": trace, "metadata": metadata, **rows}
 
     def write(self, directory: str | None = None) -> list[Path]:
-        return report.write_run(self.collect(), report.run_directory(self.options.url, directory or self.options.output))
+        """All files; a name that ends in .md is the report's, and the rest goes beside it."""
+        wanted = directory or self.options.output
+        at = report.run_directory(self.options.url, wanted)
+        return report.write_run(self.collect(), at, Path(wanted) if wanted and wanted.lower().endswith(".md") else None)
 
 
 def formatted(artifacts: DataFrame) -> DataFrame:
@@ -76,36 +107,128 @@ def merged_analysis(chunks: DataFrame) -> DataFrame:
     return analysis.merge_first(analysis.union_all([part(k) for k in kinds]))
 
 
-def analyse(options: Options, responses: DataFrame, introspected: DataFrame | None = None, requests: DataFrame | None = None, sitemaps: DataFrame | None = None) -> Run:
-    """responses: recorded HTTP replies; introspected: url, introspection_status; requests: a recorded session."""
+def _of_kind(merged: DataFrame, kind: str, schema: str | None) -> DataFrame:
+    """The values of a kind in order: parsed where they are objects."""
+    value = F.from_json("value", schema) if schema else F.col("value")
+    return merged.where(F.col("kind") == kind).select("rank", value.alias("value")).orderBy("rank").select("value")
+
+
+KINDS = {
+    "entry_points": ("entryPoints", "symbol string, description string, evidence string"), "initialization_flow": ("initializationFlow", None), "call_graph": ("callGraph", "caller string, callee string, rationale string"),
+    "restored_names": ("restoredNames", "originalName string, suggestedName string, justification string"), "notable_libraries": ("notableLibraries", None), "investigation_tips": ("investigationTips", None), "risks": ("risks", None),
+}
+
+
+def mentions(merged: DataFrame) -> DataFrame:
+    """Merged analyses to what names their graph has: run_id, type, seq, id, meta, in the order of entries, renames and calls."""
+    field_ = lambda name: F.get_json_object("value", f"$.{name}")
+    part = lambda kind, place, type_, name, meta: merged.where(F.col("kind") == kind).select("run_id", F.lit(type_).alias("type"), (F.col("rank") * 2 + place).cast("long").alias("seq"), field_(name).alias("id"), field_(meta).alias("meta"))
+    return analysis.union_all([
+        part("entryPoints", 0, "entry", "symbol", "description"), part("restoredNames", 0, "restored", "suggestedName", "justification"), part("restoredNames", 1, "opaque", "originalName", "justification"),
+        part("callGraph", 0, "function", "caller", "rationale"), part("callGraph", 1, "function", "callee", "rationale"),
+    ])
+
+
+def names_of(merged: DataFrame) -> DataFrame:
+    """The names that artifacts are related by, in order: entries, then both names of renames, then both ends of calls."""
+    field_ = lambda name: F.get_json_object("value", f"$.{name}")
+    part = lambda kind, stage, place, name: merged.where(F.col("kind") == kind).select("run_id", (F.lit(stage) * (1 << 40) + F.col("rank") * 2 + place).cast("long").alias("name_seq"), field_(name).alias("name"))
+    return analysis.union_all([part("entryPoints", 0, 0, "symbol"), part("restoredNames", 1, 0, "originalName"), part("restoredNames", 1, 1, "suggestedName"), part("callGraph", 2, 0, "caller"), part("callGraph", 2, 1, "callee")])
+
+
+def analyse(
+    options: Options, responses: DataFrame, introspected: DataFrame | None = None, requests: DataFrame | None = None, sitemaps: DataFrame | None = None, session: DataFrame | None = None,
+    posts: DataFrame | None = None, replies: DataFrame | None = None,
+) -> Run:
+    """One site's run over recordings.
+
+    responses: HTTP replies to GET, the probes' well-known addresses among them; posts: replies to schema questions (url, status, body), or
+    introspected: url, introspection_status; requests and session: a recorded browser session; replies: what agents said (run_id 1,
+    artifact_seq, chunk_index, agent, raw_text, and attempt if there are several). Fails if the entry page was not fetched.
+    """
     spark = responses.sparkSession
     roots = spark.createDataFrame([(1, options.url)], "run_id long, url string")
-    visits = keep(crawl.crawl(roots, responses, options.max_pages, options.max_artifacts, options.max_depth, sitemaps).where("ok"), "visits")
+    found = probes.supplemental_pages(roots, responses)
+    sitemaps = found if sitemaps is None else sitemaps.select("run_id", F.col("seq").cast("long").alias("seq"), "url")
+    visits = keep(crawl.crawl(roots, responses, options.max_pages, options.max_artifacts, options.max_depth, sitemaps), "visits")
+    if visits.where("depth = 0 and ok").isEmpty():
+        status = responses.where(F.col("url") == options.url).select("status").first()
+        raise EntryError(f"the entry page {options.url} was not fetched: {'no reply' if status is None else f'status {status[0]} or no HTML'}")
+    visits = visits.where("ok")
     order = F.row_number().over(ordered.Window.partitionBy("run_id").orderBy("depth", "seq"))
     numbered = visits.withColumn("artifact_seq", order.cast("long")).withColumn("target_url", F.lit(options.url))
     pages = numbered.where("resolved = 'html'").withColumn("seq", F.col("artifact_seq"))
     artifacts = numbered.where("resolved <> 'html'").withColumn("type", F.col("resolved"))
     artifacts = keep(formatted(planner.relevance(artifacts)).withColumn("content", text.content_of(F.col("formatted_content"), F.col("content"))), "artifacts")
-    snaps = keep(snapshots_of(pages), "snapshots")
+    snaps = snapshots_of(pages)
+    trace = None
+    if requests is not None:
+        trace = keep(capped_trace(requests, session), "trace")
+        if session is not None and "page_text" in session.columns:  # the page as the session left it comes behind the crawled ones
+            last = flows.with_columns(session, {"final_url": "string"}).where("page_text is not null").select("run_id", F.lit(2**31 - 1).alias("seq"), F.coalesce("final_url", F.lit(options.url)).alias("url"), F.col("page_text").alias("content"))
+            snaps = snaps.unionByName(snapshots_of(last))
+    snaps = keep(snaps, "snapshots")
     ends = keep(surface.api_endpoints(artifacts, python_urls=True), "endpoints")
     gql = surface.graphql_endpoints(artifacts, python_urls=True)
+    if introspected is None and posts is not None:
+        introspected = probes.introspected(gql.where(F.col("url").startswith(urls.origin(F.lit(options.url)))), posts)
     if introspected is not None:
         gql = surface.with_introspection(gql, introspected, roots.withColumnRenamed("url", "target_url"))
+    documents = surface.openapi_literals(artifacts, probes.openapi_documents(roots, responses), python_urls=True)
     auth, captcha = flows.auth_flows(snaps, ends, artifacts), flows.captcha_flows(snaps, ends, artifacts)
     traits, crypto = flows.fingerprint_signals(ends, artifacts), flows.encryption_signals(ends, artifacts)
-    if requests is not None:
-        none = F.array().cast("array<string>")
-        trace = capped_trace(requests).withColumns({"storage_names": none, "notes": none, "interesting_globals": none})
+    if trace is not None:
         auth, captcha, traits, crypto = flows.merge_auth(auth, trace), flows.merge_captcha(captcha, trace), flows.merge_fingerprint(traits, trace), flows.merge_encryption(crypto, trace)
-    named = artifacts.select(
-        "artifact_seq", "url", "type", "size_bytes", "discovered_from", "score", "priority", planner.analysis_rank("run_id").alias("rank"),
-        analysis.manifest_name(F.col("artifact_seq"), F.col("url"), F.col("type")).alias("file_name"), "content", "formatted_content", "formatting_skipped", "formatting_note",
+    auth, captcha, traits, gql = (keep(df, name) for df, name in ((auth, "auth"), (captcha, "captcha"), (traits, "traits"), (gql, "graphql")))
+    ranked = artifacts.withColumn("rank", planner.analysis_rank("run_id"))
+    named = ranked.select(
+        "run_id", "artifact_seq", "url", "type", "size_bytes", "discovered_from", "score", "priority", "rank", analysis.manifest_name(F.col("artifact_seq"), F.col("url"), F.col("type")).alias("file_name"),
+        "content", "formatted_content", "formatting_skipped", "formatting_note",
     )
-    return Run(options, {
-        "artifacts": named.orderBy("artifact_seq"), "dom_snapshots": snaps.orderBy("page_seq"), "api_endpoints": ends.orderBy("rank"), "openapi_documents": surface.openapi_literals(artifacts, python_urls=True).orderBy("rank"),
-        "graphql_endpoints": gql.orderBy("rank"), "graphql_operations": surface.graphql_operations(artifacts, python_urls=True).orderBy("rank"), "auth_flows": auth, "captcha_flows": captcha.orderBy("rule"),
-        "fingerprint_signals": traits.orderBy("rule"), "encryption_signals": crypto.orderBy("rule"), "security_findings": flows.security_findings(auth, captcha, traits, gql).orderBy("rule"),
-    })
+    tables = {
+        "html_pages": pages.select("artifact_seq", "url").orderBy("artifact_seq"), "artifacts": named.drop("run_id").orderBy("artifact_seq"), "dom_snapshots": snaps.orderBy("page_seq"), "api_endpoints": ends.orderBy("rank"),
+        "openapi_documents": documents.orderBy("rank"), "graphql_endpoints": gql.orderBy("rank"), "graphql_operations": surface.graphql_operations(artifacts, python_urls=True).orderBy("rank"), "auth_flows": auth,
+        "captcha_flows": captcha.orderBy("rule"), "fingerprint_signals": traits.orderBy("rule"), "encryption_signals": crypto.orderBy("rule"), "security_findings": flows.security_findings(auth, captcha, traits, gql).orderBy("rule"),
+    }
+    if trace is not None:
+        tables["trace"] = trace
+    analysed, facts = _agents(spark, options, artifacts.join(ranked.select("artifact_seq", "rank"), "artifact_seq"), named, replies)
+    return Run(options, tables | analysed, facts)
+
+
+def _agents(spark, options: Options, artifacts: DataFrame, named: DataFrame, replies: DataFrame | None) -> tuple[dict[str, DataFrame], dict]:
+    """Chunks, tasks, recorded replies, fallbacks, retrieval and merging: the tables of the analysis, and how it was made."""
+    if replies is None:
+        replies = spark.createDataFrame([], "run_id long, artifact_seq long, chunk_index int, agent string, raw_text string")
+    chunks = keep(chunk_tasks(artifacts, options.context_size), "chunks")
+    n_chunks, size = chunks.count(), artifacts.agg(F.sum("size_bytes")).first()[0] or 0
+    rag = retrieval_default(options, size)
+    rows = keep(agents.tasks(chunks), "tasks")
+    memo_rows = keep(agents.memos(rows, replies), "memos")
+    analyses = keep(agents.chunk_analyses(rows, memo_rows, replies), "analyses")
+    in_order = analyses.join(artifacts.select("run_id", "artifact_seq", "rank"), ["run_id", "artifact_seq"])
+    # findings are merged in the order of analysis, so an artifact's rank stands for its number
+    merged = keep(merged_analysis(agents.keyed(in_order.withColumn("artifact_seq", F.col("rank").cast("long")))), "merged")
+    summaries = analysis.artifact_summaries(analyses)
+    counted = chunks.groupBy("run_id", "artifact_seq").agg(F.count("*").alias("chunk_count"))
+    told = artifacts.select("run_id", "artifact_seq", "rank", "url", "type").join(summaries, ["run_id", "artifact_seq"], "left").join(counted, ["run_id", "artifact_seq"], "left")
+    told = keep(told.withColumns({"summary": F.coalesce("summary", F.lit("")), "chunk_count": F.coalesce("chunk_count", F.lit(0))}), "summaries")
+    joined = F.trim(F.array_join(ordered.ordered_list(F.col("rank"), F.col("summary")), " "))
+    whole = told.groupBy("run_id").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(NO_SUMMARY)).alias("overview"), F.sum("chunk_count").alias("analyzed_chunks"))
+    fell = analyses.groupBy("run_id").agg(F.count_if("fell_back").alias("failed"))
+    related = artifacts.select("run_id", "artifact_seq", "url").join(told.select("run_id", "artifact_seq", "summary"), ["run_id", "artifact_seq"])
+    relations = keep(analysis.artifact_relations(related, names_of(merged)), "relations")
+    nodes = analysis.node_artifacts(analysis.graph_nodes(mentions(merged)), artifacts, relations)
+    asked = agents.prompts(rows, artifacts, memo_rows, agents.primers(analyses, artifacts), agents.retrieved_segments(rows, artifacts) if rag else None)
+    tables = {
+        **{name: _of_kind(merged, kind, schema) for name, (kind, schema) in KINDS.items()}, "artifact_summaries": told.orderBy("rank").select("url", "type", "chunk_count", "summary"),
+        "overview": whole.join(fell, "run_id", "left").select("overview", "analyzed_chunks", F.coalesce("failed", F.lit(0)).alias("failed")), "graph_nodes": nodes.orderBy("rank"),
+        "manifest": analysis.manifest(named, told.select("run_id", "artifact_seq", "summary"), relations).orderBy("artifact_seq"), "prompts": asked.orderBy("artifact_seq", "chunk_index", "agent_ord"),
+    }
+    if rag:
+        tables["rag"] = retrieval.describe(retrieval.segment_rows(artifacts, "content", "run_id", "artifact_seq"), "run_id")
+    facts = {"model": options.model, "contextSize": options.context_size, "analysisConcurrency": concurrency_default(options, n_chunks), "localRagEnabled": rag, "browserAssisted": options.browser_assisted}
+    return tables, facts
 
 
 def register(spark) -> None:

@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where it names none, a local session gets one of its own, as in tests, and a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:  # only where the session names none, as in tests
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back, which cuts its lineage and survives lost executors."""
+    """df written once and read back, which cuts its lineage and survives lost executors. It goes when the application ends."""
     spark, at = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)

@@ -50,17 +50,27 @@ SELECT user_id AS run_id, event_id AS seq, 'https://app.example.com/' || CASE ev
     || '/' || CAST(event_id % 17 AS STRING) AS url,
   CASE event_id % 5 WHEN 0 THEN 'token=' || CAST(event_id AS STRING) ELSE NULL END AS request_body_snippet,
   CASE event_id % 6 WHEN 0 THEN 'Turnstile widget ready' WHEN 1 THEN 'using AES and crypto.subtle.encrypt' WHEN 2 THEN 'plain message' ELSE '' END AS console_text,
+  CASE event_id % 2 WHEN 0 THEN 'warning' ELSE 'log' END AS console_type,
+  CASE event_id % 11 WHEN 0 THEN 'Error: hcaptcha failed' WHEN 1 THEN 'TypeError: RSA is not defined' ELSE NULL END AS page_error,
   CASE event_id % 2 WHEN 0 THEN 'fetch' ELSE 'document' END AS resource_type
 FROM events
 """
 
+#: What the page of a traced session held at the end: names are lists in one text, parted by bars.
+SESSIONS = """
+SELECT user_id AS run_id, CASE user_id % 3 WHEN 0 THEN '<p>geetest PBKDF2</p>' WHEN 1 THEN '<p>plain</p>' ELSE NULL END AS page_text,
+  CASE user_id % 4 WHEN 0 THEN 'grecaptcha|app|deviceInfo' WHEN 1 THEN 'arkoseEnforcement|cryptoHMAC' ELSE 'app' END AS global_names,
+  CASE user_id % 2 WHEN 0 THEN 'sid|theme' ELSE 'sid' END AS cookie_names, 'k' || CAST(user_id % 5 AS STRING) AS local_storage_keys
+FROM (SELECT DISTINCT user_id FROM events) u
+"""
+
 #: A site graph: each page of a nation's site links to pages by arithmetic.
 SITE_LINKS = """
 SELECT n_nationkey AS run_id, c_custkey AS page, (c_custkey * 2 + k) % 60 AS target FROM
   (SELECT n_nationkey, c_custkey FROM nation, customer WHERE c_custkey < 60) x, (SELECT 1 AS k UNION ALL SELECT 2 AS k) y
 """
 
-VIEWS = {"artifacts": ARTIFACTS, "snapshots": SNAPSHOTS, "requests": REQUESTS, "site_links": SITE_LINKS}
+VIEWS = {"artifacts": ARTIFACTS, "snapshots": SNAPSHOTS, "requests": REQUESTS, "sessions": SESSIONS, "site_links": SITE_LINKS}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,8 +21,8 @@ def artifact_stream(spark: SparkSession, path: str, schema, files_per_batch: int
 
 def endpoint_stream(artifacts: DataFrame) -> DataFrame:
     """API literals of each arriving artifact, with methods and evidence; not yet unique over a run."""
-    rows = ordered.matches(artifacts, "content", surface.API_PATTERN, {"raw": 1}, "run_id", "artifact_seq", "url", "arrived")
-    return rows.select("run_id", "artifact_seq", "arrived", "match_seq", absolute_rooted(F.col("raw"), F.col("url")).alias("endpoint"), surface.method_hints(F.col("content"), F.col("pos")).alias("methods"), clip(ordered.around(F.col("content"), F.col("pos"), 80, 180)).alias("evidence"))
+    rows = ordered.matches(artifacts, "content", surface.API_PATTERN, {"raw": 1}, "run_id", "artifact_seq", "url", "arrived", windows={"methods_in": surface.NEAR_METHODS, "evidence_in": surface.NEAR_REST})
+    return rows.select("run_id", "artifact_seq", "arrived", "match_seq", absolute_rooted(F.col("raw"), F.col("url")).alias("endpoint"), surface.method_hints(F.col("methods_in")).alias("methods"), clip(F.col("evidence_in")).alias("evidence"))
 
 
 def first_endpoints(artifacts: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -32,7 +32,7 @@ def first_endpoints(artifacts: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def signal_counts(artifacts: DataFrame, every: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """How many artifacts with each fingerprinting rule arrived in each window."""
-    hit = artifacts.withWatermark("arrived", late).select("arrived", F.explode(flows.hits(F.col("content"), flows.FINGERPRINT)).alias("rule"))
+    hit = artifacts.withWatermark("arrived", late).select("arrived", F.explode(flows.hits(F.col("content"), flows.FINGERPRINT, flows.FINGERPRINT_NEEDLES)).alias("rule"))
     return hit.groupBy(F.window("arrived", every), "rule").agg(F.count("*").alias("artifacts"))
 
 

@@ -103,6 +103,33 @@ def test_dom_snapshot():
     assert dom.snapshot(None, None)["summary"] == "Minimal DOM surface detected."
 
 
+def test_dom_of_broken_pages(monkeypatch):
+    import time
+
+    start = time.perf_counter()
+    assert len(dom.snapshot("<a href=x>t" * 90_000 + "</i>" * 90_000, PAGE)["links"]) == 20
+    assert len(dom.snapshot("<form><input name=a>" * 20_000, PAGE)["forms"]) == 20_000 and time.perf_counter() - start < 8
+    monkeypatch.setattr(dom._Tree, "handle_data", lambda *a: (_ for _ in ()).throw(ValueError("broken")))
+    assert dom.snapshot("<title>x</title><script>window.STATE=1</script>", PAGE)["summary"] == "Fallback DOM snapshot with 1 inline state hint(s)"
+    assert dom.snapshot("x<p>", PAGE) == dom.snapshot("y<p>", None) and dom.snapshot("x", PAGE)["summary"] == "Fallback DOM snapshot only."
+
+
+REFERENCES = ["/a.js", "//cdn.example.com/b.js", "./c.js", "d/e.js?x=1#y", "../f.js", "g h.js", "HTTPS://Up.example.com/i.js", "https://h.example.com/j.js", "https://h.example.com", "https://h.example.com:8443/k.js", "/l/../m.js", "n//o.js", "mailto:x", "", "data:x", "#p", "/q.png", "r.é", "?s", "/t\\u.js", "javascript:void(0)", "/v.js#", "/v.js?", "v.js?#", "w:x", ".hidden/y", "/a.js"]
+
+
+@pytest.mark.parametrize("base", [PAGE, "https://site.example.com/deep/er/page?q=1", "https://site.example.com", "HTTPS://Site.example.com:443/x", "https://site.example.com/a//b/c"])
+def test_script_references_resolve_as_in_python(spark, base):
+    content = "; ".join(f'import("{r}")' for r in REFERENCES if r)
+    got = candidates.js_candidates(spark.createDataFrame([(1, base, content)], ["a", "base_url", "content"]), F.lit("script:code"), "a").orderBy("seq").collect()
+    assert [r.url for r in got] == list(dict.fromkeys(u for r in REFERENCES if r and (u := urls.resolve_candidate(r, base))))
+
+
+def test_matches_of_several_patterns_in_one_row(spark):
+    df = spark.createDataFrame([(1, "a1 \x01 b2 a3"), (2, "none"), (3, None)], ["k", "content"])
+    got = [tuple(r) for r in ordered.matches(df, "content", ["a([0-9])", "(b)([0-9])"], {"g": 1}, "k", windows={"near": (1, 2)}).collect()]
+    assert got == [(1, 0, 0, 0, "1", "a1"), (1, 0, 1, 8, "3", " a3"), (1, 1, 0, 5, "b", " b2")]
+
+
 def test_crawl_with_budgets(spark):
     root = "https://s.example.com/"
     js = "application/javascript"
@@ -123,8 +150,10 @@ def test_retrieval(spark):
     content = "function renderDashboard() { return 1 }\nconst token = localStorage.getItem('t');\nsession = auth(token)\n"
     segs = retrieval.segment_rows(spark.createDataFrame([(1, content)], ["a", "content"]), "content", "a", size=40)
     asked = spark.createDataFrame([(1, 0, "token localStorage auth session", "renderDashboard")], ["a", "query_id", "query", "exclude"])
-    got = retrieval.top_segments(segs, asked, "a", k=2).orderBy("rank").collect()
+    got = retrieval.with_segments(retrieval.top_segments(segs, asked, "a", k=2), segs, "a").orderBy("rank").collect()
     assert got and all("token" in r.segment and "renderDashboard" not in r.segment for r in got)
+    open_ = retrieval.with_segments(retrieval.top_segments(segs, asked.withColumn("query", F.lit("renderDashboard token")).withColumn("exclude", F.lit(None).cast("string")), "a", k=9), segs, "a").collect()
+    assert any("renderDashboard" in r.segment for r in open_) and [r.score for r in sorted(open_, key=lambda r: r["rank"])] == sorted((r.score for r in open_), reverse=True)
 
 
 def test_planner(spark):
@@ -137,6 +166,35 @@ def test_planner(spark):
 def test_report(tmp_path):
     run = {"url": "https://s.example.com/", "artifacts": [{"url": "u", "file_name": "001-a.txt", "content": "x"}], "security_findings": [{"severity": "low", "title": "</script>"}]}
     files = report.write_run(run, tmp_path / "run")
-    assert all(f.exists() for f in files) and (tmp_path / "run/browser-trace.json").read_text() == "null"
-    assert "</script>\"" not in report.json_for_script(run) and "## API Endpoints\n\nNo API endpoints were found." in report.markdown(run)
+    assert all(f.exists() for f in files) and (tmp_path / "run/browser-trace.json").read_text() == "null\n"
+    assert "</script>\"" not in report.json_for_script(run) and "## API Surface\n\n- No REST-like endpoints were extracted." in report.markdown(run)
     assert report.run_directory("https://h.example.com", "out/a.md").name == "a-artifacts"
+    assert report.surface({"auth_flows": [{"title": "t", "tokens": None}]})["auth_flows"] == [{"triggers": [], "steps": [], "tokens": [], "errors": [], "title": "t"}] and set(report.surface({})) == set(report.SURFACE)
+    assert report.write_report(run, tmp_path / "alone/my.md").read_text().startswith("# Front-end report")
+    assert "- [low] </script>" in (tmp_path / "run/README.md").read_text()
+    trace = {"status": "captured", "requests": [{"method": "POST", "url": f"u{k}", "resource_type": "xhr", "status": 200, "request_body_snippet": "b"} for k in range(30)], "console_lines": ["log: hi: there"], "page_errors": ["e"]}
+    told = report.markdown(run | {"trace": trace, "openapi_documents": [{"url": "d", "path_summaries": [str(k) for k in range(9)]}]})
+    assert told.count("- POST u") == 20 and "- POST u0 [xhr] -> 200 body: b" in told and "- [log] hi: there\n- pageerror: e" in told and "- d: 0; 1; 2; 3; 4\n" in told
+
+
+def test_report_page_draws_nodes_edges_and_links():
+    run = {
+        "url": "https://s.example.com/<x>", "overview": "<b>", "call_graph": [{"caller": "a", "callee": "b", "rationale": "r"}, {"caller": "a", "callee": "gone", "rationale": "r"}], "graph_nodes": [{"id": i, "type": "entry", "meta": "", "x": 120, "y": 44, "artifact_urls": []} for i in "ab"],
+        "api_endpoints": [{"url": "/e", "methods": [], "purpose": "p", "request_fields": [], "source_artifact_url": "u"}], "auth_flows": [{"title": "t", "steps": [{"endpoints": ["/e", "/f"]}]}],
+        "manifest": [{"id": "artifact-1", "url": "u", "type": "script", "formatting": "formatted", "formatting_note": None, "raw_preview": "</pre>", "related_names": ["a"]}],
+    }
+    page = report.html_page(run)
+    assert page.count("<g data-id=") == 2 and page.count("<line ") == 1 and "<b></p>" not in page and "&lt;/pre&gt;" in page and page.count('<a href="#artifact-1">') == 2
+    data = report.embedded(run)
+    assert data["surface"]["auth_flows"][0]["id"] == "auth-flow-1" and data["surface"]["auth_flows"][0]["related_artifact_urls"] == ["u"]
+
+
+def test_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from sparkloom.sources import store
+
+    no_dir = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=no_dir, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_dir(session)

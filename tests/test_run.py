@@ -4,7 +4,6 @@ import json
 import stat
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparkloom.plans import options, run
 from sparkloom.plans.options import ConfigError, Options
@@ -35,20 +34,116 @@ def test_options(tmp_path):
     assert options.same_base_url("HTTPS://A.example/v1/", "https://a.example/v1")
 
 
-def test_whole_run(spark, tmp_path):
-    responses = spark.createDataFrame([(ROOT, 200, "text/html", HTML, None), ("https://s.example.com/app.js", 200, "application/javascript", JS, None)], "url string, status int, content_type string, body string, body_bytes binary")
-    introspected = spark.createDataFrame([("https://s.example.com/graphql", "supported")], "url string, introspection_status string")
-    requests = spark.createDataFrame([(1, 1, "https://s.example.com/session/check", None, "Turnstile ready AES", "https://f.example.com/", None), (1, 2, "https://s.example.com/collect", None, None, None, "boom")], "run_id long, seq long, url string, request_body_snippet string, console_text string, frame_url string, page_error string")
-    done = run.analyse(Options(url=ROOT), responses, introspected, requests)
+RESPONSES = "url string, status int, content_type string, body string, body_bytes binary"
+SITE = "https://s.example.com"
+
+
+@pytest.fixture(scope="module")
+def recorded(spark):
+    responses = [
+        (ROOT, 200, "text/html", HTML, None), (f"{SITE}/app.js", 200, "application/javascript", JS, None), (f"{SITE}/openapi.json", 200, "application/json", '{"openapi":"3.1","info":{"title":"API"},"paths":{"/x":{"get":{"summary":"List"}}}}', None),
+        (f"{SITE}/swagger.json", 200, "application/json", '{"swagger":"2.0","paths":{"/y":{"post":{}}}}', None),
+    ]
+    requests = [(1, 1, f"{SITE}/session/check", "xhr", None, "Turnstile ready AES", "info", "https://f.example.com/", None, "application/json", '{"ok": true}'), (1, 2, f"{SITE}/collect", "fetch", None, None, None, None, "boom", None, None)]
+    session = [(1, "captured", f"{SITE}/login.html?x=1", "<title>Live</title><p>geetest HMAC</p><form><input type=password></form>", ["grecaptcha", "app"], ["sid"], ["jwt"], ["tab"])]
+    whole = {"summary": "boots Viewer", "entryPoints": [{"symbol": "boot", "description": "starts", "evidence": "fetch("}], "callGraph": [{"caller": "boot", "callee": "Viewer", "rationale": "r"}], "restoredNames": [{"originalName": "a", "suggestedName": "login", "justification": "j"}], "risks": ["storage"]}
+    replies = [(1, 2, 0, "scout", 1, "no json"), (1, 2, 0, "scout", 2, '{"role":"scout","summary":"seen"}'), (1, 2, 0, "synthesizer", 1, json.dumps(whole))]
+    frame = spark.createDataFrame
+    return {
+        "responses": frame(responses, RESPONSES), "posts": frame([(f"{SITE}/graphql", 200, '{"data":{"__schema":{"queryType":{"name":"Q"},"types":[{"kind":"OBJECT","name":"User"}]}}}')], "url string, status int, body string"),
+        "requests": frame(requests, "run_id long, seq long, url string, resource_type string, request_body_snippet string, console_text string, console_type string, frame_url string, page_error string, content_type string, response_body string"),
+        "session": frame(session, "run_id long, status string, final_url string, page_text string, global_names array<string>, cookie_names array<string>, local_storage_keys array<string>, session_storage_keys array<string>"),
+        "replies": frame(replies, "run_id long, artifact_seq long, chunk_index int, agent string, attempt int, raw_text string"),
+    }
+
+
+def test_whole_run(spark, recorded, tmp_path):
+    done = run.analyse(Options(url=ROOT, local_rag=True, model="m"), **recorded)
     got = done.collect()
-    assert [a["url"] for a in got["artifacts"]] == ["https://s.example.com/app.js"] and got["artifacts"][0]["file_name"] == "002-s.example.com-app.js.txt"
-    assert {e["url"] for e in got["api_endpoints"]} == {"https://s.example.com/api/auth/login"} and got["graphql_operations"][0]["variables"] == ["id"]
-    assert got["auth_flows"][0]["steps"][-1]["title"] == "Runtime network activity" and got["auth_flows"][0]["errors"] == ["captcha expired", "boom", "Turnstile ready AES"]
+    assert [a["url"] for a in got["artifacts"]] == [f"{SITE}/app.js"] and got["artifacts"][0]["file_name"] == "002-s.example.com-app.js.txt" and [p["url"] for p in got["html_pages"]] == [ROOT]
+    assert {e["url"] for e in got["api_endpoints"]} == {f"{SITE}/api/auth/login"} and got["graphql_operations"][0]["variables"] == ["id"]
+    # the literal wins over the probed document of the same address; the other probed one is added
+    assert [(d["url"], d["source"]) for d in got["openapi_documents"]] == [(f"{SITE}/openapi.json", "artifact-string"), (f"{SITE}/swagger.json", "well-known")]
+    assert got["graphql_endpoints"][0]["introspection_status"] == "supported" and got["graphql_endpoints"][0]["sample_fields"] == ["OBJECT:User"]
+    auth = got["auth_flows"][0]
+    assert auth["steps"][-1]["title"] == "Runtime network activity" and auth["steps"][-1]["evidence"] == ["info: Turnstile ready AES"]
+    assert auth["errors"] == ["captcha expired", "boom", "Turnstile ready AES"] and auth["tokens"][-3:] == ["cookie:sid", "localStorage:jwt", "sessionStorage:tab"]
+    assert got["trace"]["captcha_providers"] == ["Cloudflare Turnstile", "Google reCAPTCHA", "GeeTest"] and got["trace"]["encryption_hints"] == ["HMAC", "AES"] and got["trace"]["interesting_globals"] == ["grecaptcha"]
+    assert got["trace"]["requests"][0]["response_body_snippet"] == '{"ok": true}' and got["trace"]["frame_urls"] == ["https://f.example.com/"]
     assert [c["provider"] for c in got["captcha_flows"]] == ["Cloudflare Turnstile"] * 2 and [f["severity"] for f in got["security_findings"]] == ["medium", "low"]
+    assert [s["title"] for s in got["dom_snapshots"]] == ["Login", "Live"]
+    # agents: the first reply of the scout was no JSON, the second counts; findings are merged and related
+    assert got["status"] == "complete" and got["overview"] == "boots Viewer" and got["analyzed_chunks"] == 1 and [e["symbol"] for e in got["entry_points"]] == ["boot"] and got["risks"] == ["storage"]
+    assert [(n["id"], n["type"], n["artifact_urls"]) for n in got["graph_nodes"]] == [("boot", "entry", [f"{SITE}/app.js"]), ("login", "restored", []), ("a", "opaque", []), ("Viewer", "function", [f"{SITE}/app.js"])]
+    assert got["manifest"][0]["related_names"] == ["boot", "Viewer"] and got["manifest"][0]["summary"] == "boots Viewer"
+    synth = next(p["prompt"] for p in got["prompts"] if p["agent"] == "synthesizer")
+    assert '"summary": "seen"' in synth and "Chunk 1 of 1" in synth and f"Artifact URL: {SITE}/app.js" in synth and got["metadata"]["ragSummary"]["segments"] == 1
+    assert got["metadata"]["counts"] == {"htmlPages": 1, "artifacts": 1, "chunks": 1, "browserRequests": 2} and got["metadata"]["browserTraceStatus"] == "captured" and got["metadata"]["model"] == "m"
     files = done.write(str(tmp_path / "out"))
     assert json.loads((tmp_path / "out/deterministic-surface.json").read_text())["graphql_endpoints"] and all(f.exists() for f in files)
-    failed = run.capped_trace(requests, "failed").first()
-    assert failed.frame_urls == ["https://f.example.com/"] and failed.auth_request_urls == []
+    told = (tmp_path / "out/report.md").read_text()
+    for title in ("Website Surface", "DOM Surface", "Browser-Assisted Trace", "API Surface", "Executive Summary", "Entry Points", "Call Graph", "Restored Names", "Artifact Summaries", "Downloaded Artifacts"):
+        assert f"\n## {title}\n" in told
+    assert "- `boot` -> `Viewer`: r" in told and "-> 200" not in told and "- GET https://s.example.com/session/check [xhr]" in told and "- pageerror: boom" in told
+    page = (tmp_path / "out/report.html").read_text()
+    assert '<g data-id="boot"' in page and page.count("<line ") == 1 and '<a href="#artifact-1">' in page and '<tr id="artifact-1">' in page
+
+
+def test_run_without_replies_is_partial(spark, recorded, tmp_path):
+    done = run.analyse(Options(url=ROOT), recorded["responses"])
+    got = done.collect()
+    assert got["status"] == "partial" and got["error"] == "1 chunk(s) without a valid analysis" and got["trace"] is None and got["graphql_endpoints"][0]["introspection_status"] == "not-attempted" and got["entry_points"] == []
+    files = done.write(str(tmp_path / "my.md"))
+    assert files[0] == tmp_path / "my.md" and "## Analysis Status" in files[0].read_text() and (tmp_path / "my-artifacts/browser-trace.json").read_text() == "null\n"
+
+
+def test_run_of_a_page_alone(spark):
+    got = run.analyse(Options(url=ROOT), spark.createDataFrame([(ROOT, 200, "text/html", "<p>x</p>", None)], RESPONSES)).collect()
+    assert got["status"] == "complete" and got["overview"] == run.NO_ARTIFACTS and got["artifacts"] == [] and got["api_endpoints"] == []
+
+
+def test_site_scoped_run_reads_sitemaps(spark):
+    root = f"{SITE}/"
+    responses = spark.createDataFrame([(root, 200, "text/html", "<p>x</p>", None), (f"{SITE}/sitemap.xml", 200, "text/xml", f"<loc>{SITE}/more</loc>", None), (f"{SITE}/more", 200, "text/html", "<p>y</p>", None)], RESPONSES)
+    assert [p["url"] for p in run.analyse(Options(url=root), responses).collect()["html_pages"]] == [root, f"{SITE}/more"]
+
+
+@pytest.mark.parametrize("rows", [[], [(ROOT, 404, "text/html", "", None)], [(ROOT, 200, "application/pdf", "", None)]])
+def test_a_missing_entry_page_fails(spark, rows):
+    with pytest.raises(run.EntryError, match="login.html"):
+        run.analyse(Options(url=ROOT), spark.createDataFrame(rows, RESPONSES))
+
+
+def test_failed_trace_keeps_rows_without_signals(recorded):
+    failed = run.capped_trace(recorded["requests"], status="failed").first()
+    assert failed.frame_urls == ["https://f.example.com/"] and failed.auth_request_urls == [] and failed.encryption_hints == [] and len(failed.requests) == 2 and failed.notes == list(run.NOTES["failed"])
+
+
+def test_command_line(spark, recorded, tmp_path, capsys):
+    from sparkloom.__main__ import main
+
+    for name in ("responses", "replies"):
+        recorded[name].write.parquet(f"{tmp_path}/{name}")
+    args = ["--url", ROOT, "--responses", f"{tmp_path}/responses", "--output", f"{tmp_path}/out"]
+    assert main([*args, "--replies", f"{tmp_path}/replies"], spark) == 0
+    said = capsys.readouterr().out
+    assert "Status: complete" in said and "REST endpoints: 1" in said and (tmp_path / "out/report.md").exists()
+    assert main(args, spark) == 1 and main(["--responses", f"{tmp_path}/responses"], spark) == 2
+    assert main(["--url", f"{SITE}/gone", "--responses", f"{tmp_path}/responses"], spark) == 1
+    with pytest.raises(SystemExit) as stop:
+        main(["--help"])
+    assert stop.value.code == 0 and "--max-depth" in capsys.readouterr().out
+
+
+def test_presets_and_catalog(spark):
+    from sparkloom.functions import parsing
+    from sparkloom.plans import analysis
+
+    assert options.preset_for("HTTPS://integrate.api.nvidia.com/v1/")["id"] == "nvidia-nim" and options.preset_for("https://else.example.com") is None
+    assert options.models_url("https://api.onlysq.ru/ai/openai").endswith("/ai/models") and options.models_url("https://h.example.com/v1/") == "https://h.example.com/v1/models"
+    assert parsing.model_entries('{"data": [{"id": "b", "context": "200k"}, {"name": "A"}, {"id": "b", "label": "B"}, 3, {"x": 1}]}') == [{"id": "b", "label": "B", "context": None}, {"id": "A", "label": "A", "context": None}]
+    ids = [r.id for r in analysis.sorted_catalog(spark.createDataFrame([("b",), ("a-2",), ("B",), ("A",), ("a",)], "id string")).collect()]
+    assert ids == ["a", "A", "a-2", "b", "B"]
 
 
 def test_names_for_sql(spark):
@@ -66,4 +161,4 @@ def test_chunk_tasks(spark):
 def test_merged_analysis(spark):
     rows = spark.createDataFrame([(1, 1, 0, [("a", "1"), ("b", "2")]), (1, 1, 1, [("a", "3"), ("c", "4")])], "run_id long, artifact_seq long, chunk_index int, risks array<struct<key:string,value:string>>")
     got = [(r["rank"], r.key, r.value) for r in run.merged_analysis(rows).orderBy("rank").collect()]
-    assert got == [(1, "a", "1"), (2, "b", "2"), (3, "c", "4")] and F is not None
+    assert got == [(1, "a", "1"), (2, "b", "2"), (3, "c", "4")]
