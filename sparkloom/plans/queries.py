@@ -238,13 +238,7 @@ def rag_describe(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("artifacts"), F.sum(n).cast("long").alias("segments"))
 
 
-@query("""WITH RECURSIVE chars AS (SELECT doc_id, i, sum(octet_length(encode(substring(text, i::INT, 1)))) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT doc_id, text, unnest(range(1, len(text) + 1)) AS i FROM documents) x),
-  ends AS (SELECT doc_id, list(b ORDER BY i) AS bs FROM chars GROUP BY doc_id),
-  step AS (SELECT doc_id, 0 AS chunk_index, 0::BIGINT AS pos, 0::BIGINT AS cut FROM documents WHERE len(text) > 0
-    UNION ALL SELECT doc_id, chunk_index + 1, cut, CASE WHEN last = n THEN last ELSE coalesce(nullif(at2 + length(regexp_extract(substring(text, (cut + least + 1)::INT, (last - cut - least)::INT), '^(.*[\n;} ,])', 1, 's')) + least, cut + least), last) END
-      FROM (SELECT s.doc_id, chunk_index, cut, cut AS at2, len(text) AS n, text, last, greatest(1, floor((last - cut) * 0.6)::BIGINT) AS least
-        FROM step s JOIN documents USING (doc_id) JOIN ends USING (doc_id), LATERAL (SELECT cut + greatest(1, len(list_filter(bs[cut + 1:cut + 512], x -> x <= coalesce(bs[cut], 0) + 512))) AS last) e WHERE cut < len(text)) y)
-SELECT doc_id, chunk_index - 1 AS chunk_index, substring(text, (pos + 1)::INT, (cut - pos)::INT) AS chunk FROM step JOIN documents USING (doc_id) WHERE chunk_index > 0""")
+@query()
 def text_chunks(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(parsing.text_chunks("text", F.lit(512))).alias("chunk_index", "chunk"))

@@ -22,6 +22,29 @@ def test_chunks_of_short_functions():
     assert "".join(chunks) == source and all(len(c.encode()) <= 50 for c in chunks)
 
 
+def plain_chunks(source, most):
+    """Character by character: as many as fit, one at least, then back to the last separator beyond six tenths."""
+    out, at = [], 0
+    while at < len(source):
+        end = min(len(source), at + most)
+        while end > at + 1 and len(source[at:end].encode()) > most:
+            end -= 1
+        if end < len(source):
+            for k in range(end - 1, at + max(1, int((end - at) * 0.6)) - 1, -1):
+                if source[k] in "\n;} ,":
+                    end = k + 1
+                    break
+        out.append(source[at:end])
+        at = end
+    return out
+
+
+@given(st.text(alphabet="ab ,;}\né😀", max_size=300), st.integers(1, 60))
+@settings(max_examples=300, deadline=None)
+def test_chunks_against_a_plain_version(source, most):
+    assert parsing.chunk_text(source, most) == plain_chunks(source, most)
+
+
 @given(st.text(max_size=300), st.integers(1, 60))
 @settings(max_examples=200, deadline=None)
 def test_chunks_lose_nothing(source, most):
