@@ -49,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     work = Workspace(spark, "pipeline")
     for name, stage in STAGES:
         docs = work.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            work.drop(before)  # a stage's table goes when the next is written
+        before = docs
     return docs
