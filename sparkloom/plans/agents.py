@@ -39,12 +39,12 @@ def valid(parsed: Column) -> Column:
     return parsed.isNotNull() & (F.coalesce(parsed["summary"], F.lit("")) != "")
 
 
-def best_replies(outputs: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
-    """Recorded replies (run_id, artifact_seq, chunk_index, agent, attempt from 1, raw_text) to one for each task: the first that is valid JSON with a summary, else the last; tries: how many it took."""
+def best_replies(outputs: DataFrame, attempts: int = ATTEMPTS, told_in: str = "summary") -> DataFrame:
+    """Recorded replies (run_id, artifact_seq, chunk_index, agent, attempt from 1, raw_text) to one for each task: the first that is valid JSON with a text in told_in, else the last; tries: how many it took."""
     key = ["run_id", "artifact_seq", "chunk_index", "agent"]
     if "attempt" not in outputs.columns:
         return outputs.select(*key, "raw_text").withColumn("tries", F.lit(1))
-    seen = outputs.where(F.col("attempt") <= attempts).withColumn("ok", F.coalesce(F.get_json_object(extract_json("raw_text"), "$.summary"), F.lit("")) != "")
+    seen = outputs.where(F.col("attempt") <= attempts).withColumn("ok", F.coalesce(F.get_json_object(extract_json("raw_text"), f"$.{told_in}"), F.lit("")) != "")
     order = F.struct((~F.col("ok")).alias("bad"), F.when(F.col("ok"), F.col("attempt")).otherwise(-F.col("attempt")).alias("n"))
     best = seen.groupBy(*key).agg(F.min_by(F.struct("raw_text", F.col("attempt").alias("tries")), order).alias("best"))
     return best.select(*key, "best.raw_text", "best.tries")
@@ -119,10 +119,21 @@ def chunk_analyses(rows: DataFrame, memo_rows: DataFrame, outputs: DataFrame) ->
     last = rows.where("agent = 'synthesizer'").join(best_replies(outputs), [*key, "agent"], "left").withColumn("parsed", F.from_json(extract_json("raw_text"), CHUNK)).join(told, key, "left")
     ok = valid(F.col("parsed"))
     summary = F.when(ok, F.col("parsed.summary")).otherwise(F.coalesce(F.nullif("told", F.lit("")), F.lit(NO_REPLY)))
-    lists = {f: F.when(ok, F.coalesce(F.col(f"parsed.{f}"), F.array())).otherwise(F.array()) for f in ("entryPoints", "initializationFlow", "callGraph", "restoredNames", "notableLibraries", "investigationTips", "risks")}
+    lists = {f: F.when(ok, F.coalesce(F.col(f"parsed.{f}"), F.array())).otherwise(F.array()) for f in LISTS}
     return last.select(*key, (~ok).alias("fell_back"), summary.alias("summary"), *(c.alias(n) for n, c in lists.items()))
 
 
+LISTS = ("entryPoints", "initializationFlow", "callGraph", "restoredNames", "notableLibraries", "investigationTips", "risks")
+FINAL = CHUNK.replace("summary:string", "overview:string")
+
+
+def final_analysis(replies: DataFrame, agent: str = "final") -> DataFrame:
+    """What the lead agent's recorded reply for a whole run says, where it is valid: run_id, overview, and the lists of a chunk's analysis."""
+    said = best_replies(replies.where(F.col("agent") == agent), told_in="overview").withColumn("p", F.from_json(extract_json("raw_text"), FINAL))
+    said = said.where(F.coalesce("p.overview", F.lit("")) != "")
+    return said.select("run_id", F.lit(0).cast("long").alias("artifact_seq"), F.lit(0).alias("chunk_index"), "p.overview", *(F.coalesce(f"p.{f}", F.array()).alias(f) for f in LISTS))
+
+
 def keyed(analyses: DataFrame) -> DataFrame:
     """Chunk analyses with each list as (key, value): what ``run.merged_analysis`` merges first-wins."""
     entry = lambda column, key: F.transform(column, lambda x: F.struct(key(x).alias("key"), F.to_json(x).alias("value")))

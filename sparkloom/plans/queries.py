@@ -485,7 +485,7 @@ def crawl_reach(spark, sf_dir):
 
 
 _LEVEL = lambda n, before: f"""l{n} AS (SELECT d.run_id, target AS page, row_number() OVER (PARTITION BY d.run_id ORDER BY d.seq, target) AS seq FROM d{n - 1} d JOIN site_links s ON s.run_id = d.run_id AND s.page = d.page),
-  d{n} AS (SELECT run_id, page, min(seq) AS seq, {n} AS depth FROM l{n} WHERE (run_id, page) NOT IN ({" UNION ALL ".join(f"SELECT run_id, page FROM d{k}" for k in range(before))}) GROUP BY run_id, page)"""
+  d{n} AS (SELECT run_id, page, min(seq) AS seq, {n} AS depth FROM l{n} WHERE (run_id, page) IN (SELECT run_id, page FROM site_links) AND (run_id, page) NOT IN ({" UNION ALL ".join(f"SELECT run_id, page FROM d{k}" for k in range(before))}) GROUP BY run_id, page)"""
 
 
 @query(f"""WITH$, d0 AS (SELECT DISTINCT run_id, 0 AS page, 1 AS seq, 0 AS depth FROM site_links), {_LEVEL(1, 1)}, {_LEVEL(2, 2)}, {_LEVEL(3, 3)},

@@ -144,7 +144,7 @@ def analyse(
 
     responses: HTTP replies to GET, the probes' well-known addresses among them; posts: replies to schema questions (url, status, body), or
     introspected: url, introspection_status; requests and session: a recorded browser session; replies: what agents said (run_id 1,
-    artifact_seq, chunk_index, agent, raw_text, and attempt if there are several). Fails if the entry page was not fetched.
+    artifact_seq, chunk_index, agent, raw_text, and attempt if there are several; agent ``final`` speaks for the run). Fails if the entry page was not fetched.
     """
     spark = responses.sparkSession
     roots = spark.createDataFrame([(1, options.url)], "run_id long, url string")
@@ -209,12 +209,16 @@ def _agents(spark, options: Options, artifacts: DataFrame, named: DataFrame, rep
     in_order = analyses.join(artifacts.select("run_id", "artifact_seq", "rank"), ["run_id", "artifact_seq"])
     # findings are merged in the order of analysis, so an artifact's rank stands for its number
     merged = keep(merged_analysis(agents.keyed(in_order.withColumn("artifact_seq", F.col("rank").cast("long")))), "merged")
+    lead = keep(agents.final_analysis(replies), "lead")
+    if not lead.isEmpty():  # the lead agent's merging takes the place of the first-wins one
+        merged = keep(merged_analysis(agents.keyed(lead)), "merged")
     summaries = analysis.artifact_summaries(analyses)
     counted = chunks.groupBy("run_id", "artifact_seq").agg(F.count("*").alias("chunk_count"))
     told = artifacts.select("run_id", "artifact_seq", "rank", "url", "type").join(summaries, ["run_id", "artifact_seq"], "left").join(counted, ["run_id", "artifact_seq"], "left")
     told = keep(told.withColumns({"summary": F.coalesce("summary", F.lit("")), "chunk_count": F.coalesce("chunk_count", F.lit(0))}), "summaries")
     joined = F.trim(F.array_join(ordered.ordered_list(F.col("rank"), F.col("summary")), " "))
-    whole = told.groupBy("run_id").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(NO_SUMMARY)).alias("overview"), F.sum("chunk_count").alias("analyzed_chunks"))
+    whole = told.groupBy("run_id").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(NO_SUMMARY)).alias("joined"), F.sum("chunk_count").alias("analyzed_chunks"))
+    whole = whole.join(lead.select("run_id", "overview"), "run_id", "left").withColumn("overview", F.coalesce("overview", "joined"))
     fell = analyses.groupBy("run_id").agg(F.count_if("fell_back").alias("failed"))
     related = artifacts.select("run_id", "artifact_seq", "url").join(told.select("run_id", "artifact_seq", "summary"), ["run_id", "artifact_seq"])
     relations = keep(analysis.artifact_relations(related, names_of(merged)), "relations")

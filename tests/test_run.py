@@ -89,6 +89,12 @@ def test_whole_run(spark, recorded, tmp_path):
     assert '<g data-id="boot"' in page and page.count("<line ") == 1 and '<a href="#artifact-1">' in page and '<tr id="artifact-1">' in page
 
 
+def test_the_lead_agents_reply_stands_for_the_run(spark, recorded):
+    more = spark.createDataFrame([(1, 0, 0, "final", 1, "{"), (1, 0, 0, "final", 2, '{"overview":"a login page","risks":["r"]}')], recorded["replies"].schema)
+    got = run.analyse(Options(url=ROOT), recorded["responses"], replies=recorded["replies"].union(more)).collect()
+    assert got["overview"] == "a login page" and got["risks"] == ["r"] and got["entry_points"] == [] and got["artifact_summaries"][0]["summary"] == "boots Viewer" and got["status"] == "complete"
+
+
 def test_run_without_replies_is_partial(spark, recorded, tmp_path):
     done = run.analyse(Options(url=ROOT), recorded["responses"])
     got = done.collect()
