@@ -42,7 +42,6 @@ def matches(df: DataFrame, text: str, patterns: str | list[str], groups: dict[st
     """
     patterns = [patterns] if isinstance(patterns, str) else patterns
     cut = df.select(*keep, text, *(_parts(F.col(text), p).alias(f"_p{k}") for k, p in enumerate(patterns)))
-    cut = cut.where(reduce(lambda a, b: a | b, (F.size(f"_p{k}") > 1 for k in range(len(patterns)))))
 
     def entry(k: int):
         def of(x: Column, i: Column) -> Column:

@@ -54,7 +54,9 @@ def purpose(url: Column) -> Column:
 
 def api_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int = CAPS["rest"]) -> DataFrame:
     """run_id, rank, url, methods, source_artifact_url, purpose, request_fields, evidence; unique by url and methods."""
-    found = ordered.matches(artifacts, "content", [REST_PATTERN, API_PATTERN], {"raw": 1}, *KEEP, windows={"methods_in": NEAR_METHODS, "keys_in": NEAR_KEYS, "evidence_in": NEAR_REST})
+    near = {"methods_in": NEAR_METHODS, "keys_in": NEAR_KEYS, "evidence_in": NEAR_REST}
+    parts = [ordered.matches(artifacts, "content", p, {"raw": 1}, *KEEP, windows=near).withColumn("pattern", F.lit(k)) for k, p in enumerate((REST_PATTERN, API_PATTERN))]
+    found = parts[0].unionByName(parts[1])
     rows = found.select(
         "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_hints(F.col("methods_in")).alias("methods"),
         F.col("url").alias("source_artifact_url"), nearby_keys(F.col("keys_in")).alias("request_fields"), clip(F.col("evidence_in")).alias("evidence"),
