@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL, for the entry module."""
 
-from sparkloom.llm import ann, decontaminate, html_text, minhash, mixing, quality, suffix_dedup, toxicity, url_filter, warc
+from sparkloom.llm import ann, decontaminate, html_text, minhash, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc, yinyang
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,10 +13,13 @@ QUERIES = {
     "op8_near_duplicates": minhash.op8_near_duplicates,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_warc": warc.op10_warc,
+    "op11_centroids": yinyang.op11_centroids,
+    "op13_packing": packing.op13_packing,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op7_mix": mixing.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_centroids": yinyang.ORACLE,
 }
