@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL, for the entry module."""
 
-from sparkloom.llm import ann, decontaminate, html_text, minhash, mixing, packing, quality, suffix_dedup, toxicity, url_filter, warc, yinyang
+from sparkloom.llm import ann, decontaminate, html_text, minhash, mixing, packing, quality, spelling, suffix_dedup, toxicity, url_filter, warc, yinyang
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_warc": warc.op10_warc,
     "op11_centroids": yinyang.op11_centroids,
+    "op12_spelling": spelling.op12_spelling,
     "op13_packing": packing.op13_packing,
 }
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_warc": warc.ORACLE,
     "op11_centroids": yinyang.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }

@@ -44,7 +44,7 @@ def test_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 # --- near-duplicates
@@ -491,7 +491,7 @@ def test_neighbours_recall_and_odd_vectors(spark):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
         want = np.lexsort((np.arange(3000), d))[:10]
-        assert [r for r, _, _ in sorted(found)] == list(range(1, 11)) and all(s == pytest.approx(d[v], abs=1e-12) for _, v, s in found)
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 14)) and all(s == pytest.approx(d[v], abs=1e-12) for _, v, s in found)
         hit += len(set(want.tolist()) & {v for _, v, _ in found})
     assert hit >= 0.9 * 10 * len(got)
     assert [v for _, v, _ in sorted(got[100])] == [7, *range(101, 110)]
