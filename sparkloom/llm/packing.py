@@ -29,21 +29,25 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Workspace, table
+from sparkloom.llm.texthash import groups
 
 SIZE, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: One space between characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Within a word, places where the pattern always starts a token too: behind a letter before one of these signs, and behind a line's end.
-STEM = re.compile(r"(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])(?=[.,;:!?])|(?<=\n)(?=[A-Za-z])")
-#: Words up to so many characters are remembered, twice so many of them at most; texts are cut to words so many characters at a time.
-WORD_CHARS, MEMORY, CHUNK = 48, 600_000, 1_000_000
+#: Within a word, places where the pattern always starts a token too: behind a letter before one of these signs, and behind a single end of line.
+STEM = re.compile(r"(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])(?=[.,;:!?])|(?<=\S\n)(?=[A-Za-z])")
+#: Words up to so many characters are remembered until there are so many of them; a long text is cut to words so many characters at a time, and
+#: short ones are handled so many bytes together.
+WORD_CHARS, MEMORY, CHUNK, GROUP = 48, 800_000, 1_000_000, 6_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, k long"
 PLAN = "length long, first long, last long, per long, sequence long, place long"
 
@@ -55,28 +59,19 @@ def public_tokenizer(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word that the pattern leaves whole and that holds no special token.
+LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+
+
 def _odd(word: str) -> bool:
     """Whether a text must not be cut at the spaces around this word."""
     return not word or word[0].isspace() or word[-1].isspace()
 
 
-class _Recent:
-    """Ids of words, forgotten by halves: what was not seen while MEMORY others came goes first."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, word: str) -> bytes | None:
-        ids = self.old.get(word)
-        return ids if ids is None else self.put(word, ids)
-
-    def put(self, word: str, ids: bytes) -> bytes:
-        if len(word) <= WORD_CHARS and not _odd(word):
-            if len(self.young) >= MEMORY:
-                self.old, self.young = self.young, {}
-            self.young[word] = ids
-        return ids
+def byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte: itself, or the next one from 256 on where it is no printable sign of Latin-1."""
+    shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in {*shown})}
 
 
 class Tokens:
@@ -86,63 +81,86 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = {"": _Recent(), " ": _Recent()}  # words by what stands before them
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        for ids in found if sys.byteorder == "big" else ():
+        self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # words by what stands before them
+
+    def _whole(self, word: str, lead: str) -> bytes:
+        if LETTERS.fullmatch(word):
+            ids = array("I", [t.id for t in self.merge((lead + word).encode().decode("latin-1").translate(self.signs))])
+        else:
+            ids = array("I", self.tokenizer.encode(lead + word, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
             ids.byteswap()
-        return [ids.tobytes() for ids in found]
-
-    def _parts(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of words that are each tokenized by themselves."""
-        known = self.known[lead]
-        ids = {w: known.young.get(w) or known.get(w) for w in dict.fromkeys(words)}
-        new = [w for w, got in ids.items() if got is None]
-        for w, got in zip(new, self.encoded([lead + w for w in new]), strict=True) if new else ():
-            ids[w] = known.put(w, got)
-        return [ids[w] for w in words]
+        return ids.tobytes()
 
-    def _words(self, words: list[str], lead: str, sure: bool = False) -> list[bytes] | None:
-        """Ids of words; None if one is odd, so the text is to be cut with more care, and it is not sure that it was.
+    def _word(self, word: str, lead: str) -> bytes:
+        """Ids of an unknown word: a stem and what follows it, which more words share."""
+        stem, *rest = STEM.split(word)
+        if not rest:
+            return self._whole(word, lead)
+        return b"".join([*self._words([stem], lead), *self._words(rest, "")])
 
-        Unknown words fall into a stem and what follows it, which more words share.
-        """
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
         known = self.known[lead]
-        out = list(map(known.young.get, words))
-        if None not in out:
-            return out
-        places = [k for k, ids in enumerate(out) if ids is None]
-        unknown = []
-        for k in places:
-            out[k] = known.get(words[k])
-            if out[k] is None:
-                if not sure and _odd(words[k]):
-                    return None
-                unknown.append(k)
-        split = [STEM.split(words[k]) for k in unknown]
-        stems = self._parts([s[0] for s in split], lead)
-        rests = iter(self._parts([x for s in split for x in s[1:]], ""))
-        for k, s, stem in zip(unknown, split, stems, strict=True):
-            out[k] = known.put(words[k], b"".join([stem, *(next(rests) for _ in s[1:])]))
+        out = list(map(known.get, words))
+        if None in out:
+            if len(known) > MEMORY:
+                known.clear()
+            for k, word in enumerate(words):
+                if out[k] is None:
+                    out[k] = known.get(word) or self._word(word, lead)
+                    if len(word) <= WORD_CHARS:
+                        known[word] = out[k]
         return out
 
     def __call__(self, text: str) -> bytes:
+        """One text, a chunk at a time."""
         out, at = [], 0
         while at < len(text):
             cut = CUT.search(text, at + CHUNK)
-            part = text[at : cut.start() if cut else len(text)]
-            words = part.split(" ")  # odd words are never remembered, so they are seen among the unknown ones
-            ids = self._words(words, " ") if at else None if _odd(words[0]) else self._words(words[1:], " ")
-            if ids is None:
-                words = CUT.split(part)
-                ids = self._words(words if at else words[1:], " ", sure=True)
+            words = CUT.split(text[at : cut.start() if cut else len(text)])
             if not at:
-                out += self._words(words[:1], "", sure=True)
-            out += ids
+                out += self._words(words[:1], "")
+                words = words[1:]
+            out += self._words(words, " ")
             at = cut.end() if cut else len(text)
         return b"".join(out)
 
+    def together(self, texts: pa.Array) -> Iterator[bytes]:
+        """Texts of a few MB, none empty: each different word is looked up once, and ids are gathered by number."""
+        parts = pc.split_pattern(texts, " ")
+        at = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        words = parts.flatten().dictionary_encode()
+        number, known = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
+        # words that are odd stand at spaces where a text must not be cut: such texts go by themselves
+        odd = np.fromiter(map(_odd, known), bool, len(known))
+        alone = np.logical_or.reduceat(odd[number], at[:-1])
+        heads = number[at[:-1]]
+        ids = [*self._words(known, " "), *self._words([known[k] for k in heads], "")]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        number[at[:-1]] = len(known) + np.arange(len(heads))
+        taken = sizes[number]
+        ends = np.cumsum(taken)
+        out = flat[np.repeat(starts[number] - (ends - taken), taken) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[at]
+        for k, single in enumerate(alone):
+            yield self(texts[k].as_py()) if single else out[bounds[k] : bounds[k + 1]].tobytes()
+
+    def all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a batch, null as empty."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for a, b in groups(sizes, GROUP):
+            some = texts.slice(a, b - a)
+            if b == a + 1:
+                yield self(some[0].as_py() or "")
+                continue
+            full = np.flatnonzero(sizes[a:b])
+            found = self.together(some.take(pa.array(full))) if len(full) else iter(())
+            for n in sizes[a:b]:
+                yield next(found) if n else b""
+
 
 @functools.lru_cache(maxsize=2)
 def tokens_of(path: str) -> Tokens:
@@ -167,9 +185,9 @@ def _cutter(tokenizer, size: int, end: int, with_ids: bool):
         tokens = tokens_of(tokenizer() if callable(tokenizer) else tokenizer)
         task, ranks = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):  # one text is held at a time
+            for doc, found in zip(batch.column(0), tokens.all(batch.column(1)), strict=True):
                 rows = []
-                for n, (at, ids) in enumerate(pieces(tokens(text.as_py() or "") + last, size)):
+                for n, (at, ids) in enumerate(pieces(found + last, size)):
                     length = len(ids) // 4
                     rows.append((doc.as_py(), n, at, length, zlib.crc32(ids), task, ranks[length], *([ids] if with_ids else [])))
                     ranks[length] += 1

@@ -10,7 +10,7 @@ by a margin for rounding, so equal distances are always measured and go to the s
 The vectors are written once, as a table in buckets of row numbers; the bounds are a table with the same buckets, written
 anew each round, so a round joins them without an exchange and writes a tenth of the vectors' bytes. A task adds
 up what its moved vectors bring to and take from their centroids, and stores that with its bounds, so a lost and repeated task counts
-once. The driver only sees k sums a round. It stops early when no centroid moves, as all later rounds are alike then.
+once. The driver only sees the k sums of a round. It stops early when no centroid moves, as all later rounds are alike then.
 
 Defined cases: vectors that are null, of another length than ``dim``, or that hold a null or a non-finite component take no part;
 rows that repeat an id, or have none, are vectors each; equal vectors share a centroid; with fewer vectors than ``k`` each starts
@@ -41,8 +41,8 @@ MARGIN = 1e-9
 CELLS = 2_000_000
 MOST_BUCKETS = 100_000
 POINTS = "vec_id long, v binary"
-STATE = "rid long, cluster int, upper double, lower binary, moved array<struct<c:int,s:array<long>>>"
-_STATE = pa.schema([("rid", pa.int64()), ("cluster", pa.int32()), ("upper", pa.float64()), ("lower", pa.binary()), ("moved", pa.list_(pa.struct([("c", pa.int32()), ("s", pa.list_(pa.int64()))])))])
+STATE = "rid long, cluster int, upper double, lower binary, moved array<long>"
+_STATE = pa.schema([("rid", pa.int64()), ("cluster", pa.int32()), ("upper", pa.float64()), ("lower", pa.binary()), ("moved", pa.list_(pa.int64()))])
 
 
 @dataclass(frozen=True)
@@ -152,28 +152,35 @@ def _passes(centroids: np.ndarray, drift: np.ndarray, of: np.ndarray):
     groups = int(of.max()) + 1
 
     def step(batches):
+        held, measured, sums = None, 0, np.zeros((len(centroids), centroids.shape[1] + 1), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _vectors(batch, centroids.shape[1])
             first = "cluster" not in batch.schema.names
             old, upper, lower = _bounds(batch, groups)
-            new, upper, lower, measured = assign(x, old, upper, lower, centroids, drift, of)
+            new, upper, lower, n = assign(x, old, upper, lower, centroids, drift, of)
+            measured += n
             change = np.flatnonzero(new != old) if not first else np.arange(len(new))
-            sums = {-1: [measured]}
             for sign, side in ((1, new), (-1, old))[: 1 if first else 2]:
                 for c in np.unique(side[change]):
                     rows = change[side[change] == c]
-                    held = np.array([len(rows), *x[rows].sum(0)]) * sign
-                    sums[int(c)] = sums[int(c)] + held if int(c) in sums else held
-            moved = [None] * len(new)
-            moved[0] = [{"c": c, "s": [int(v) for v in s]} for c, s in sums.items()]
-            columns = [batch.column("rid"), pa.array(new.astype(np.int32)), pa.array(upper), pa.array([r.tobytes() for r in lower], pa.binary()), pa.array(moved, _STATE.field("moved").type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_STATE)
+                    sums[c, 0] += sign * len(rows)
+                    sums[c, 1:] += sign * x[rows].sum(0)
+            if held:
+                yield _state(held)
+            held = [batch.column("rid"), pa.array(new.astype(np.int32)), pa.array(upper), pa.array([r.tobytes() for r in lower], pa.binary())]
+        if held:  # the task's sums stand in its last row
+            yield _state(held, [measured, *sums.reshape(-1).tolist()])
 
     return step
 
 
+def _state(columns: list[pa.Array], sums: list[int] | None = None) -> pa.RecordBatch:
+    moved = [None] * (len(columns[0]) - 1) + [sums]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(moved, pa.list_(pa.int64()))], schema=_STATE)
+
+
 def _last(centroids: np.ndarray, drift: np.ndarray, of: np.ndarray):
     groups = int(of.max()) + 1
 
@@ -224,14 +231,15 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         if state is not None:
             buckets.drop(state)
         state, passes = done, passes + 1
-        moved = spark.table(state).where("moved is not null").select(F.explode("moved").alias("m")).select("m.c", F.posexplode("m.s").alias("i", "s"))
-        for c, i, s in moved.groupBy("c", "i").agg(F.sum("s")).collect():  # k * (dim + 1) sums
-            if c < 0:
+        moved = spark.table(state).where("moved is not null").select(F.posexplode("moved").alias("i", "s"))
+        for i, s in moved.groupBy("i").agg(F.sum("s")).collect():  # k * (dim + 1) sums
+            c, place = divmod(i - 1, dim + 1)
+            if i == 0:
                 measured += s
-            elif i == 0:
+            elif place == 0:
                 counts[c] += s
             else:
-                sums[c][i - 1] += s
+                sums[c][place - 1] += s
         after = np.array([[s // n for s in row] if n else list(map(int, was)) for row, n, was in zip(sums, counts, now, strict=True)], np.int64)
         drift = np.sqrt(_squared(after, now).astype(float)) * (1 + MARGIN)
         now = after
