@@ -41,8 +41,8 @@ MARGIN = 1e-9
 CELLS = 2_000_000
 MOST_BUCKETS = 100_000
 POINTS = "vec_id long, v binary"
-STATE = "rid long, cluster int, upper double, lower binary, moved array<long>"
-_STATE = pa.schema([("rid", pa.int64()), ("cluster", pa.int32()), ("upper", pa.float64()), ("lower", pa.binary()), ("moved", pa.list_(pa.int64()))])
+STATE = "rid long, cluster int, upper double, lower binary, moved array<struct<c:int,s:array<long>>>"
+_STATE = pa.schema([("rid", pa.int64()), ("cluster", pa.int32()), ("upper", pa.float64()), ("lower", pa.binary()), ("moved", pa.list_(pa.struct([("c", pa.int32()), ("s", pa.list_(pa.int64()))])))])
 
 
 @dataclass(frozen=True)
@@ -171,14 +171,14 @@ def _passes(centroids: np.ndarray, drift: np.ndarray, of: np.ndarray):
                 yield _state(held)
             held = [batch.column("rid"), pa.array(new.astype(np.int32)), pa.array(upper), pa.array([r.tobytes() for r in lower], pa.binary())]
         if held:  # the task's sums stand in its last row
-            yield _state(held, [measured, *sums.reshape(-1).tolist()])
+            yield _state(held, [(-1, [measured]), *((c, sums[c].tolist()) for c in np.flatnonzero(sums.any(1)).tolist())])
 
     return step
 
 
-def _state(columns: list[pa.Array], sums: list[int] | None = None) -> pa.RecordBatch:
-    moved = [None] * (len(columns[0]) - 1) + [sums]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(moved, pa.list_(pa.int64()))], schema=_STATE)
+def _state(columns: list[pa.Array], sums: list[tuple[int, list[int]]] | None = None) -> pa.RecordBatch:
+    moved = [None] * (len(columns[0]) - 1) + [sums and [{"c": c, "s": s} for c, s in sums]]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(moved, _STATE.field("moved").type)], schema=_STATE)
 
 
 def _last(centroids: np.ndarray, drift: np.ndarray, of: np.ndarray):
@@ -231,15 +231,13 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         if state is not None:
             buckets.drop(state)
         state, passes = done, passes + 1
-        moved = spark.table(state).where("moved is not null").select(F.posexplode("moved").alias("i", "s"))
-        for i, s in moved.groupBy("i").agg(F.sum("s")).collect():  # k * (dim + 1) sums
-            c, place = divmod(i - 1, dim + 1)
-            if i == 0:
-                measured += s
-            elif place == 0:
-                counts[c] += s
+        moved = spark.table(state).where("moved is not null").select(F.explode("moved").alias("m")).select("m.c", "m.s")
+        for c, *found in moved.groupBy("c").agg(*(F.sum(F.get("s", i)).alias(f"s{i}") for i in range(dim + 1))).collect():  # k rows
+            if c < 0:
+                measured += found[0]
             else:
-                sums[c][place - 1] += s
+                counts[c] += found[0]
+                sums[c] = [a + b for a, b in zip(sums[c], found[1:], strict=True)]
         after = np.array([[s // n for s in row] if n else list(map(int, was)) for row, n, was in zip(sums, counts, now, strict=True)], np.int64)
         drift = np.sqrt(_squared(after, now).astype(float)) * (1 + MARGIN)
         now = after
