@@ -7,7 +7,8 @@ moves by one behind an insertion. So the first bigram that both words keep is am
 under its key: (length of the longer, bigram, place). A key is a piece of the inverted index that one task holds.
 
 Within a piece the words' first ``GRAMS`` bigrams are posted under (bigram, place). For each word the postings at its bigrams' places, and one
-place on for the shorter words, are merged by a heap, and words met at least as often as one edit leaves (the count filter) are compared.
+place on for the shorter words, are needed: those of its rarest bigrams there are merged by a heap, the longer ones only looked up, and words that
+share as many as one edit leaves (the count filter) are compared.
 
 A piece of more than ``MOST`` words is divided, however common its bigram: its words go on to keys of two kept bigrams, then three, and so on, each
 the next in order of which at most two, or one, are passed over. Words under a key of as many bigrams as one edit leaves differ in one place
@@ -23,6 +24,7 @@ the text are read, so further columns of any name do not matter.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 import zlib
@@ -41,7 +43,7 @@ LEAST_CHARS, LEAST_COUNT, SPOILED = 5, 3, 97
 #: Bigrams of a word that are posted and merged; longer words are told apart by these and compared in full.
 GRAMS = 32
 #: Words that one piece of the index holds before it is divided, and words counted in a task before they are passed on.
-MOST, HELD = 2_000, 300_000
+MOST, HELD = 500, 300_000
 _PRIME, _BITS = 0x9E3779B97F4A7C15, 2**63 - 1
 ROWS = "key long, shorter boolean, word string, n long, path array<int>"
 _ROWS = pa.schema([("key", pa.int64()), ("shorter", pa.bool_()), ("word", pa.string()), ("n", pa.int64()), ("path", pa.list_(pa.int32()))])
@@ -155,13 +157,30 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :] and a != b
 
 
-def _merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers that stand in at least so many of the sorted lists."""
-    last, n = -1, 0
-    for j in heapq.merge(*lists):
-        n = n + 1 if j == last else 1
-        last = j
-        if n == least:
+def _met(grams: list[list[list[int]]], least: int, first: int = 0) -> Iterator[int]:
+    """Numbers from first on that at least so many bigrams have in one of their sorted postings.
+
+    Such a number is in the postings of one of the len(grams) - least + 1 bigrams that have the fewest: these are merged by a heap, and what they
+    bring is looked up in the others until it has enough or cannot get there.
+    """
+    grams.sort(key=lambda lists: sum(map(len, lists)))
+    few = len(grams) - least + 1
+    merged = heapq.merge(*(p[bisect.bisect_left(p, first) :] for lists in grams[:few] for p in lists))
+    last = -1
+    for j in merged:
+        if j == last:
+            continue
+        last, missed = j, 0
+        for lists in grams:
+            for p in lists:
+                at = bisect.bisect_left(p, j)
+                if at < len(p) and p[at] == j:
+                    break
+            else:
+                missed += 1
+                if missed == few:
+                    break
+        else:
             yield j
 
 
@@ -174,16 +193,25 @@ def near_in_piece(shorter: list[bool], words: list[str], ns: list[int], rank: di
         for code in known:
             postings.setdefault(code, []).append(j)
     for j, (a, n) in enumerate(index):
-        own = codes[j][:GRAMS]
-        lists = [p for code in own if len(p := postings[code]) > 1 and p[-1] > j]
-        if len(lists) >= len(own) - 2:
-            yield from ((a, n, *index[k]) for k in _merged(lists, len(own) - 2) if k > j and one_edit(a, index[k][0]))
+        grams, missed = [], 0
+        for code in codes[j][:GRAMS]:
+            p = postings[code]
+            if p[-1] == j and (missed := missed + 1) > 2:  # none behind this word; a near one shares all but two
+                break
+            grams.append([p])
+        else:
+            yield from ((a, n, *index[k]) for k in _met(grams, len(grams) - 2, j + 1) if one_edit(a, index[k][0]))
+    known = postings.get
     for s, a, n in zip(shorter, words, ns, strict=True):
         if s:
-            own = ordered(a, rank)[:GRAMS]
-            lists = [p for code in own for move in (0, 1) if (p := postings.get(code + move))]
-            if len(lists) >= len(own) - 1:
-                yield from ((a, n, *index[k]) for k in _merged(lists, len(own) - 1) if one_edit(a, index[k][0]))
+            grams, missed = [], 0
+            for code in ordered(a, rank)[:GRAMS]:
+                p, q = known(code), known(code + 1)
+                if p is None and q is None and (missed := missed + 1) > 1:  # a near word shares all but one
+                    break
+                grams.append([x for x in (p, q) if x])
+            else:
+                yield from ((a, n, *index[k]) for k in _met(grams, len(grams) - 1) if one_edit(a, index[k][0]))
 
 
 def _pairs(rank: dict[str, int]):
