@@ -7,13 +7,14 @@ arrays in expressions, so a row is tested against them where it lies, and only h
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import clip, words_re
-from sparkloom.operators.ordered import distinct_list, flat_distinct, ordered_list
+from sparkloom.operators.ordered import Listed, capped_lists, ordered_list
 
 # Rule vocabularies, labels and caps.
 AUTH = words_re("login", "signin", "signup", "auth", "oauth", "session", "token", "password", "mfa", "2fa", "verify", "reset")
@@ -58,6 +59,8 @@ FINGERPRINT_NEEDLES = (
 )
 ENCRYPTION_NEEDLES = (("crypto.subtle.",), ("aes", "rsa", "sha-", "hmac", "pbkdf2"), ("cryptojs", "createcipheriv", "createdecipheriv", "btoa", "atob"))
 ERROR_NEEDLES = ("invalid", "expired", "captcha", "verify", "unauthorized", "forbidden", "too many", "rate limit", "blocked", "challenge")
+#: All of them, for one scan of a text.
+NEEDLES = tuple(dict.fromkeys(n for group in (*CAPTCHA_NEEDLES, *FINGERPRINT_NEEDLES, *ENCRYPTION_NEEDLES, ERROR_NEEDLES, tuple(w.lower() for w, _ in TOUCHES)) for n in group))
 SNIPPETS = "(?i)(auth|login|signin|signup|session|token|password|verify|mfa|2fa|oauth|captcha|challenge|risk|telemetry|fingerprint|device|profile)"
 GLOBALS = "(?i)(captcha|turnstile|grecaptcha|hcaptcha|geetest|arkose|fingerprint|device|crypto)"
 SENT = "Collected browser/device traits appear to be forwarded into telemetry, anti-abuse, or risk endpoints."
@@ -82,23 +85,54 @@ def take(text: Column, pattern: str, n: int = 12, group: int = 0) -> Column:
     return F.slice(F.filter(F.regexp_extract_all(text, F.lit(pattern), group), lambda x: x != ""), 1, n)
 
 
-def may_hold(text: Column, needles) -> Column:
-    """Whether any of the needles, in lower case, is in the text whatever its case."""
+def _trie(words) -> str:
+    """A pattern that matches any of the words at a place, the longest first, sharing what they begin with."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted({*words}):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = "" in heads
+    some = [re.escape(c) + _trie(rest) for c, rest in heads.items() if c]
+    return "" if not some else (some[0] if len(some) == 1 and not ends else f"(?:{'|'.join(some)}){'?' if ends else ''}")
+
+
+def needles_held(text: Column, needles: tuple[str, ...] = NEEDLES) -> Column:
+    """Which of the needles, in lower case, a text holds, whatever its case: one pass for all.
+
+    The pattern looks ahead at each place, so needles that overlap are all found; one that begins another is found with it.
+    """
+    first = "".join(sorted({re.escape(n[0]) for n in needles}))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?=[{first}])(?=({_trie(needles)}))"), 1))
+    within = {n: [m for m in needles if m != n and n.startswith(m)] for n in needles}
+    if not any(within.values()):
+        return found
+    more = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for n, short in within.items() if short for x in (n, short)))
+    return F.array_distinct(F.concat(found, F.flatten(F.transform(found, lambda n: F.coalesce(F.try_element_at(more, n), F.array().cast("array<string>"))))))
+
+
+def scanned(artifacts: DataFrame) -> DataFrame:
+    """artifacts with ``held``, the needles of all rules that their text holds; what has it keeps it, so a run scans its texts once."""
+    return artifacts if "held" in artifacts.columns else artifacts.withColumn("held", needles_held(F.col("content")))
+
+
+def may_hold(text: Column, needles, held: Column | None = None) -> Column:
+    """Whether any of the needles, in lower case, is in the text whatever its case; held: what a scan found."""
+    if held is not None:
+        return F.arrays_overlap(held, F.array(*map(F.lit, needles)))
     low = F.lower(text)
     return reduce(lambda a, b: a | b, (low.contains(n) for n in needles))
 
 
-def error_strings(text: Column) -> Column:
-    return F.when(may_hold(text, ERROR_NEEDLES), take(text, ERRORS, 12, 1)).otherwise(F.array().cast("array<string>"))
+def error_strings(text: Column, held: Column | None = None) -> Column:
+    return F.when(may_hold(text, ERROR_NEEDLES, held), take(text, ERRORS, 12, 1)).otherwise(F.array().cast("array<string>"))
 
 
-def token_touches(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(may_hold(text, (word.lower(),)) & text.rlike(words_re(word)), label) for word, label in TOUCHES)))
+def token_touches(text: Column, held: Column | None = None) -> Column:
+    return F.array_compact(F.array(*(F.when(may_hold(text, (word.lower(),), held) & text.rlike(words_re(word)), label) for word, label in TOUCHES)))
 
 
-def found_by_rule(text: Column, rules, needles, name: str) -> Column:
+def found_by_rule(text: Column, rules, needles, name: str, held: Column | None = None) -> Column:
     """[(rule, its first matches)] of the rules that match; each pattern is searched once, where it can match."""
-    hits_ = F.array(*(F.struct(F.lit(k).alias("rule"), F.when(may_hold(text, needles[k]), take(text, p)).alias(name)) for k, (_, p) in enumerate(rules)))
+    hits_ = F.array(*(F.struct(F.lit(k).alias("rule"), F.when(may_hold(text, needles[k], held), take(text, p)).alias(name)) for k, (_, p) in enumerate(rules)))
     return F.filter(hits_, lambda x: F.size(x[name]) > 0)
 
 
@@ -114,9 +148,9 @@ def wants_snippet(resource_type: Column, url: Column) -> Column:
     return resource_type.isin("fetch", "xhr") & url.rlike(SNIPPETS)
 
 
-def hits(text: Column, rules, needles) -> Column:
+def hits(text: Column, rules, needles, held: Column | None = None) -> Column:
     """Numbers of the rules that match."""
-    return F.array_compact(F.array(*(F.when(may_hold(text, needles[k]) & text.rlike(pattern), F.lit(k)) for k, (_, pattern) in enumerate(rules))))
+    return F.array_compact(F.array(*(F.when(may_hold(text, needles[k], held) & text.rlike(pattern), F.lit(k)) for k, (_, pattern) in enumerate(rules))))
 
 
 def _label(rules) -> Column:
@@ -149,10 +183,9 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
     pages = forms.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("page_seq", "url", "title", "headings", "buttons", "summary", "forms"))).alias("pages")
     )
-    texts = artifacts.groupBy("run_id").agg(
-        flat_distinct(F.col("artifact_seq"), token_touches(F.col("content")), None).alias("tokens"),
-        flat_distinct(F.col("artifact_seq"), F.filter(error_strings(F.col("content")), lambda e: e.rlike(AUTH) | e.rlike("(?i)captcha")), None).alias("errors"),
-    )
+    held, seq = scanned(artifacts), F.col("artifact_seq")
+    told = F.filter(error_strings(F.col("content"), F.col("held")), lambda e: e.rlike(AUTH) | e.rlike("(?i)captcha"))
+    texts = capped_lists(held.select("run_id", "artifact_seq", token_touches(F.col("content"), F.col("held")).alias("tokens"), told.alias("errors")), ["run_id"], {"tokens": Listed(seq, F.col("tokens"), None), "errors": Listed(seq, F.col("errors"), None)})
     rows = pages.join(auth_ends, "run_id", "full").where(F.col("pages").isNotNull() | F.col("any_url")).join(texts, "run_id", "left")
     none = F.array().cast("array<string>")
     urls_, pages_ = F.coalesce("end_urls", none), F.coalesce("pages", F.expr("from_json('[]', 'array<struct<page_seq:int,url:string,title:string,headings:array<string>,buttons:array<string>,summary:string,forms:array<struct<action:string,method:string,input_names:array<string>,input_types:array<string>,submit_labels:array<string>>>>>')"))
@@ -172,14 +205,16 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
 
 def captcha_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     """A flow for each provider that a run's artifacts or page summaries name."""
-    own = artifacts.select("run_id", "artifact_seq", F.explode(hits(F.col("content"), CAPTCHA, CAPTCHA_NEEDLES)).alias("rule"), error_strings(F.col("content")).alias("errors"), _evidence(F.col("content")).alias("evidence"))
-    own = own.groupBy("run_id", "rule").agg(flat_distinct(F.col("artifact_seq"), F.col("errors"), 8).alias("errors"), ordered_list(F.col("artifact_seq"), F.col("evidence")).alias("texts"))
+    rules = hits(F.col("content"), CAPTCHA, CAPTCHA_NEEDLES, F.col("held"))
+    own = scanned(artifacts).select("run_id", "artifact_seq", F.explode(rules).alias("rule"), error_strings(F.col("content"), F.col("held")).alias("errors"), _evidence(F.col("content")).alias("evidence"))
+    seq = F.col("artifact_seq")
+    own = capped_lists(own, ["run_id", "rule"], {"errors": Listed(seq, F.col("errors"), 8), "texts": Listed(seq, F.array("evidence"), 10)})
     told = snapshots.select("run_id", "page_seq", "summary", F.explode(hits(F.col("summary"), CAPTCHA, CAPTCHA_NEEDLES)).alias("rule")).groupBy("run_id", "rule").agg(ordered_list(F.col("page_seq"), F.col("summary")).alias("summaries"))
     flows = own.join(told, ["run_id", "rule"], "full")
     named = F.concat_ws(" ", "url", "purpose")
     rules = F.when(F.col("url").rlike(CAPTCHA_RELATED), F.sequence(F.lit(0), F.lit(len(CAPTCHA) - 1))).otherwise(hits(named, CAPTCHA, CAPTCHA_NEEDLES))
     ends = endpoints.select("run_id", "rank", "url", "request_fields", F.explode(rules).alias("rule"))
-    ends = ends.groupBy("run_id", "rule").agg(F.slice(ordered_list(F.col("rank"), F.col("url")), 1, 12).alias("endpoints"), flat_distinct(F.col("rank"), F.col("request_fields"), 12).alias("request_fields"))
+    ends = capped_lists(ends, ["run_id", "rule"], {"endpoints": Listed(F.col("rank"), F.array("url"), 12, distinct=False), "request_fields": Listed(F.col("rank"), F.col("request_fields"), 12)})
     entries = F.concat(F.array("title"), F.col("headings"), F.array("summary"))
     words = snapshots.groupBy("run_id").agg(F.flatten(ordered_list(F.col("page_seq"), entries)).alias("words"))
     none = F.array().cast("array<string>")
@@ -192,25 +227,22 @@ def captcha_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFra
 
 
 def fingerprint_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
-    found = found_by_rule(F.col("content"), FINGERPRINT, FINGERPRINT_NEEDLES, "points")
-    rows = artifacts.select("run_id", "artifact_seq", "url", "content", found.alias("found")).where(F.size("found") > 0)
-    rows = rows.select("run_id", "artifact_seq", "url", _evidence(F.col("content")).alias("text"), F.explode("found").alias("f"))
-    rows = rows.groupBy("run_id", F.col("f.rule").alias("rule")).agg(
-        flat_distinct(F.col("artifact_seq"), F.col("f.points"), 12).alias("data_points"), F.slice(ordered_list(F.col("artifact_seq"), F.concat_ws(": ", "url", "text")), 1, 8).alias("evidence")
-    )
+    found = found_by_rule(F.col("content"), FINGERPRINT, FINGERPRINT_NEEDLES, "points", F.col("held"))
+    rows = scanned(artifacts).select("run_id", "artifact_seq", "url", "content", found.alias("found")).where(F.size("found") > 0)
+    rows = rows.select("run_id", "artifact_seq", "url", _evidence(F.col("content")).alias("text"), F.explode("found").alias("f")).withColumn("rule", F.col("f.rule"))
+    seq = F.col("artifact_seq")
+    rows = capped_lists(rows, ["run_id", "rule"], {"data_points": Listed(seq, F.col("f.points"), 12), "evidence": Listed(seq, F.array(F.concat_ws(": ", "url", "text")), 8, distinct=False)})
     rows = rows.join(_destinations(endpoints, FINGERPRINT_TO), "run_id", "left").withColumn("destination_urls", _empty("destination_urls"))
     return rows.select("run_id", "rule", _label(FINGERPRINT).alias("collector"), "data_points", "destination_urls", F.when(F.size("destination_urls") > 0, SENT).otherwise(KEPT).alias("purpose"), "evidence")
 
 
 def encryption_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
-    text = F.col("content")
-    rows = artifacts.select("run_id", "artifact_seq", "url", "content", found_by_rule(text, ENCRYPTION, ENCRYPTION_NEEDLES, "hints").alias("found")).where(F.size("found") > 0)
-    rows = rows.select("run_id", "artifact_seq", "url", _evidence(text).alias("text"), take(text, ENCRYPTION_IN).alias("ins"), take(text, ENCRYPTION_OUT).alias("outs"), F.explode("found").alias("f"))
-    seq = F.col("artifact_seq")
-    rows = rows.groupBy("run_id", F.col("f.rule").alias("rule")).agg(
-        flat_distinct(seq, F.col("f.hints"), 12).alias("algorithm_hints"), flat_distinct(seq, F.col("ins"), 12).alias("inputs"), flat_distinct(seq, F.col("outs"), 12).alias("outputs"),
-        F.slice(ordered_list(seq, F.concat_ws(": ", "url", "text")), 1, 8).alias("evidence"),
-    )
+    text, seq = F.col("content"), F.col("artifact_seq")
+    found = found_by_rule(text, ENCRYPTION, ENCRYPTION_NEEDLES, "hints", F.col("held"))
+    rows = scanned(artifacts).select("run_id", "artifact_seq", "url", "content", found.alias("found")).where(F.size("found") > 0)
+    rows = rows.select("run_id", "artifact_seq", "url", _evidence(text).alias("text"), take(text, ENCRYPTION_IN).alias("ins"), take(text, ENCRYPTION_OUT).alias("outs"), F.explode("found").alias("f")).withColumn("rule", F.col("f.rule"))
+    lists = {"algorithm_hints": "f.hints", "inputs": "ins", "outputs": "outs"}
+    rows = capped_lists(rows, ["run_id", "rule"], {**{name: Listed(seq, F.col(c), 12) for name, c in lists.items()}, "evidence": Listed(seq, F.array(F.concat_ws(": ", "url", "text")), 8, distinct=False)})
     rows = rows.join(_destinations(endpoints, ENCRYPTION_TO), "run_id", "left")
     return rows.select("run_id", "rule", "algorithm_hints", "inputs", "outputs", _empty("destination_urls").alias("destination_urls"), "evidence")
 
@@ -250,13 +282,15 @@ def runtime_signals(requests: DataFrame, session: DataFrame | None = None) -> Da
     line = F.when(console != "", F.concat(F.coalesce("console_type", F.lit("log")), F.lit(": "), console))
     crypto = lambda text: F.regexp_extract_all(text, F.lit(RUNTIME_CRYPTO), 0)
     told = lambda p: F.bool_or(console.rlike(f"(?i){p}") | error.rlike(f"(?i){p}"))
-    lists = rows.groupBy("run_id").agg(
+    when = lambda c, p: F.when(asked.rlike(p), F.array(c))
+    asked_for = {"auth_request_urls": RUNTIME_AUTH, "challenge_request_urls": RUNTIME_CHALLENGE, "fingerprinting_request_urls": RUNTIME_FINGERPRINT}
+    lists = capped_lists(
+        rows, ["run_id"],
+        {
+            **{name: Listed(seq, when(url, p), 20) for name, p in asked_for.items()}, "_console_hints": Listed(seq, crypto(console), None), "_error_hints": Listed(seq, crypto(error), None),
+            "console": Listed(seq, F.array(console), 60), "console_lines": Listed(seq, F.array(line), 60, distinct=False), "page_errors": Listed(seq, F.array(error), 20), "frame_urls": Listed(seq, F.array("frame_url"), 40),
+        },
         *(told(p).alias(f"_told{k}") for k, (p, _) in enumerate(RUNTIME_PROVIDERS)),
-        distinct_list(seq, url, 20, asked.rlike(RUNTIME_AUTH)).alias("auth_request_urls"), distinct_list(seq, url, 20, asked.rlike(RUNTIME_CHALLENGE)).alias("challenge_request_urls"),
-        distinct_list(seq, url, 20, asked.rlike(RUNTIME_FINGERPRINT)).alias("fingerprinting_request_urls"),
-        flat_distinct(seq, crypto(console), None).alias("_console_hints"), flat_distinct(seq, crypto(error), None).alias("_error_hints"),
-        distinct_list(seq, console, 60).alias("console"), F.slice(F.array_compact(ordered_list(seq, line)), 1, 60).alias("console_lines"), distinct_list(seq, error, 20).alias("page_errors"),
-        distinct_list(seq, F.col("frame_url"), 40).alias("frame_urls"),
     )
     if session is None:
         session = requests.select("run_id").distinct()

@@ -5,29 +5,58 @@ Tables have explicit order columns; nothing here depends on how rows are partiti
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-_MARK = "\x01"
+_ONE = "\x01"
+
+
+def _mark(text: Column) -> Column:
+    """A string that the text does not hold, and that no end of the text can complete: more U+0001 than it has in a row, and U+0002."""
+    runs = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"{_ONE}+"), 0), F.length))
+    return F.when(text.contains(_ONE), F.concat(F.repeat(F.lit(_ONE), runs + 1), F.lit("\x02"))).otherwise(_ONE)
 
 
 def _parts(text: Column, pattern: str) -> Column:
     """The text cut around all matches, in one search: what lies between at even places, matches at odd ones."""
-    return F.split(F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    return _bound(_mark(text), lambda mark: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1))
+
+
+def _bound(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is named: in a lambda a column's expression would be computed anew each time."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def _located(parts: Column) -> Column:
-    """[(at, m)] of the matches with their 0-based offsets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast("array<struct<at:int,m:string>>").alias("all"))
+    """[(at, m)] of the matches with their 0-based offsets.
+
+    A list that grows in a fold is copied at each step, so parts are folded in blocks of about the root of their number, each from the
+    place where it starts: 20,000 matches take some millions of steps, not hundreds of millions.
+    """
+    none = F.array().cast("array<struct<at:int,m:string>>")
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
 
     def step(acc: Column, x: Column) -> Column:
         found = F.when(acc["odd"], F.concat(acc["all"], F.array(F.struct(acc["at"].alias("at"), x.alias("m"))))).otherwise(acc["all"])
         return F.struct((acc["at"] + F.length(x)).alias("at"), (~acc["odd"]).alias("odd"), found.alias("all"))
 
-    return F.aggregate(parts, start, step)["all"]
+    def of(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), F.lit(False).alias("odd"), none.alias("all")), step)["all"]
+
+    def cut(p: Column) -> Column:
+        size = F.greatest(F.lit(2), F.ceil(F.sqrt(F.size(p)) / 2).cast("int") * 2)  # even, so that each block starts between matches
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda b: F.slice(p, b * size + 1, size))
+
+    def located(blocks: Column) -> Column:
+        long = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x)))
+        starts = F.aggregate(long, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+        return F.flatten(F.zip_with(blocks, starts, of))
+
+    return _bound(parts, lambda p: _bound(cut(p), located))
 
 
 def match_offsets(text: Column, pattern: str) -> Column:
@@ -42,6 +71,7 @@ def matches(df: DataFrame, text: str, patterns: str | list[str], groups: dict[st
     """
     patterns = [patterns] if isinstance(patterns, str) else patterns
     cut = df.select(*keep, text, *(_parts(F.col(text), p).alias(f"_p{k}") for k, p in enumerate(patterns)))
+    cut = cut.where(reduce(lambda x, y: x | y, (F.size(f"_p{k}") > 1 for k in range(len(patterns)))))
 
     def entry(k: int):
         def of(x: Column, i: Column) -> Column:
@@ -87,27 +117,64 @@ def ordered_list(order: Column, value: Column, condition: Column | None = None)
     return F.transform(F.array_sort(F.collect_list(entry if condition is None else F.when(condition, entry))), lambda x: x["v"])
 
 
-def _capped(values: Column, n: int | None) -> Column:
-    return values if n is None else F.slice(values, 1, n)
-
-
-def distinct_list(order: Column, value: Column, n: int | None, condition: Column | None = None) -> Column:
-    """Aggregate: the first n different values in order, or all; nulls and empty values left out."""
-    return _capped(F.array_distinct(F.filter(ordered_list(order, value, condition), lambda v: v.isNotNull() & (v != ""))), n)
-
+@dataclass(frozen=True)
+class Listed:
+    """A list that a group is to have: the first n entries of values (an array for each row) in order, once each if distinct; all for n None."""
 
-def flat_distinct(order: Column, values: Column, n: int | None, condition: Column | None = None) -> Column:
-    """Aggregate: the first n different entries of lists in order, or all. Empty lists are not collected."""
-    some = F.size(values) > 0
-    return _capped(F.array_distinct(F.flatten(ordered_list(order, values, some if condition is None else some & condition))), n)
+    order: Column
+    values: Column
+    n: int | None
+    distinct: bool = True
 
 
-def carry_forward(value: Column, by: list[str], order: list[Column]) -> Column:
-    """The last value seen so far."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def capped_lists(df: DataFrame, by: list[str], lists: dict[str, Listed], *more: Column) -> DataFrame:
+    """by, a column for each list, and more aggregates: a row for each group, also for one whose lists are all empty.
 
-
-def before_count(flag: Column, by: list[str], order: list[Column]) -> Column:
-    """How many earlier rows have the flag."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(flag.cast("long")).over(w), F.lit(0))
+    No group is gathered before it is cut. Entries become rows; each distinct one keeps its least place, which is combined before the
+    shuffle; places are ranked within a group's list, and only those within n are gathered. Nulls and empty values are left out.
+    """
+    def entries(k: int, asked: Listed) -> Column:
+        at = asked.order.cast("long")
+        rows = F.transform(asked.values, lambda v, i: F.struct(F.lit(k).alias("k"), v.alias("v"), F.struct(at.alias("o"), i.cast("int").alias("i")).alias("at"), F.when(F.lit(not asked.distinct), at).alias("u")))
+        return F.filter(rows, lambda x: x["v"].isNotNull() & (x["v"] != ""))
+
+    kind = "array<struct<k:int,v:string,at:struct<o:bigint,i:int>,u:bigint>>"
+    group = F.array(F.struct(F.lit(-1), F.lit(""), F.struct(F.lit(0).cast("long"), F.lit(0)), F.lit(None).cast("long"))).cast(kind)
+    rows = df.select(*by, F.explode(F.concat(group, *(F.coalesce(entries(k, asked).cast(kind), F.array().cast(kind)) for k, asked in enumerate(lists.values())))).alias("x")).select(*by, "x.*")
+    rows = rows.groupBy(*by, "k", "v", "u").agg(F.min("at").alias("at"))
+    cut = [asked.n for asked in lists.values() if asked.n is not None]
+    whole = F.array(*(F.lit(k) for k, asked in enumerate(lists.values()) if asked.n is None), F.lit(-1))
+    first = Window.partitionBy(*by, "k").orderBy("at", "v")
+    few = rows.where(F.array_contains(whole, F.col("k"))).withColumn("rank", F.lit(0))
+    if cut:
+        few = few.unionByName(rows.where(~F.array_contains(whole, F.col("k"))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(cut)))
+    within = lambda k, n: (F.col("k") == k) & (F.lit(True) if n is None else F.col("rank") <= n)
+    sorted_ = lambda k, n: F.transform(F.array_sort(F.collect_list(F.when(within(k, n), F.struct("at", "v")))), lambda x: x["v"])
+    out = few.groupBy(*by).agg(*(sorted_(k, asked.n).alias(name) for k, (name, asked) in enumerate(lists.items())))
+    return out if not more else out.join(df.groupBy(*by).agg(*more), by)
+
+
+def running(df: DataFrame, by: list[str], part: Column, order: list[Column], counts: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, numbers: str | None = None) -> DataFrame:
+    """df with running columns over each group's rows in order, of which part is a coarse first key (rows in order have rising parts).
+
+    counts: how many earlier rows have a flag; lasts: the last value that is not null, up to and with the row; numbers: the row's number,
+    from 1. Each part is scanned by itself, and what the parts before it hold is added, so a group of any size is as many tasks as it has parts. Only a row
+    for each part meets in one window. df is read twice, so pass a written table.
+    """
+    counts, lasts = counts or {}, lasts or {}
+    flags = {f"_c{k}": F.coalesce(flag.cast("long"), F.lit(0)) for k, flag in enumerate(counts.values())} | ({"_n": F.lit(1).cast("long")} if numbers else {})
+    values = {f"_v{k}": v for k, v in enumerate(lasts.values())}
+    base = df.withColumns({"_part": part, **flags, **values}).repartition(*by, "_part")
+    at = F.struct(*order)
+    sums = base.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"{c}t") for c in flags), *(F.max_by(v, F.when(F.col(v).isNotNull(), at)).alias(f"{v}t") for v in values))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sums.select(*by, "_part", *(F.coalesce(F.sum(f"{c}t").over(before), F.lit(0)).alias(f"{c}b") for c in flags), *(F.last(f"{v}t", ignorenulls=True).over(before).alias(f"{v}b") for v in values))
+    own = Window.partitionBy(*by, "_part").orderBy(*order)
+    ahead, so_far = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = base.withColumns({**{f"{c}o": F.coalesce(F.sum(c).over(ahead), F.lit(0)) for c in flags}, **{f"{v}o": F.last(v, ignorenulls=True).over(so_far) for v in values}})
+    keys = [*by, "_part"]
+    met = local.join(heads.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), *(c for c in heads.columns if c not in keys)), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys))))
+    named = {name: F.col(f"_c{k}o") + F.col(f"_c{k}b") for k, name in enumerate(counts)} | {name: F.coalesce(f"_v{k}o", f"_v{k}b") for k, name in enumerate(lasts)}
+    if numbers:
+        named[numbers] = F.col("_no") + F.col("_nb") + 1
+    return met.select(*(c for c in df.columns if c not in named), *(c.alias(name) for name, c in named.items()))

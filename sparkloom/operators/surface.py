@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import WS_CHARS, clip
 from sparkloom.functions.urls import absolute_rooted, origin, url_resolve
 from sparkloom.operators import ordered
+from sparkloom.sources.store import keep
 
 # The patterns of API literals, HTTP methods and caps.
 QUOTE = "[\"'`]"
@@ -96,7 +97,7 @@ def graphql_operations(artifacts: DataFrame, python_urls: bool = False, cap: int
     )
     seen = graphql_matches(artifacts, python_urls).select(*KEEP, F.lit(0).alias("part"), "match_seq", "endpoint")
     order = [F.col("artifact_seq"), F.col("part"), F.col("match_seq")]
-    both = ops.unionByName(seen, allowMissingColumns=True).withColumn("endpoint_url", ordered.carry_forward(F.col("endpoint"), ["run_id"], order))
+    both = ordered.running(keep(ops.unionByName(seen, allowMissingColumns=True), "operations"), ["run_id"], F.col("artifact_seq"), order, lasts={"endpoint_url": F.col("endpoint")})
     rows = both.where("part = 1").withColumn("endpoint_url", F.coalesce("endpoint_url", "fallback"))
     response = F.when(F.col("operation_type") == "mutation", EXPECT_MUTATION).otherwise(EXPECT_QUERY)
     once = ordered.first_wins(rows.withColumn("expected_response", response), ["run_id", "endpoint_url", "operation_type", "operation_name", "url"], order)

@@ -2,7 +2,7 @@
 
 The sequential queue's order is kept: within a level rows are numbered by their parent's place and their own, budgets are running
 counts in that order, and a page that the page budget held back is not visited, so the same URL may come as a script later.
-Any number of runs (sites) crawl at once; all windows are within a run.
+Any number of runs (sites) crawl at once, and a run's level is counted in ranges of rows (``ordered.running``), so neither is one task.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from sparkloom.functions import urls
 from sparkloom.functions.parsing import source_map_text, wasm_summary
 from sparkloom.operators import candidates, ordered
-from sparkloom.sources.store import keep
+from sparkloom.sources.store import drop, keep
 
 MAX_PAGES, MAX_ARTIFACTS, MAX_DEPTH = 20, 400, 3
+#: Rows of a level, in the queue's order, that are counted together; a run's level is as many tasks.
+RANGE = 4096
 
 
 def fetched(frontier: DataFrame, responses: DataFrame) -> DataFrame:
@@ -56,37 +58,42 @@ def crawl(roots: DataFrame, responses: DataFrame, max_pages: int = MAX_PAGES, ma
     frontier = roots.select("run_id", F.lit(1).cast("long").alias("seq"), F.col("root").alias("url"), F.lit("html").alias("type"), F.lit("entry").alias("discovered_from"))
     seen = totals = None
     levels = []
-    by_run = Window.partitionBy("run_id")
     for depth in range(max_depth + 1):
         level = frontier.join(roots, "run_id").where((F.col("type") != "html") | (urls.origin(F.col("url")) == F.col("root_origin")))
         if seen is not None:
             level = level.join(seen, ["run_id", "url"], "left_anti").join(totals, "run_id", "left")
         else:
             level = level.withColumns({"pages": F.lit(0), "found": F.lit(0)})
-        level = fetched(level, responses)
+        level = keep(fetched(level, responses), f"fetched{depth}")
         page, part = F.col("ok") & (F.col("resolved") == "html"), F.col("ok") & (F.col("resolved") != "html")
-        level = level.withColumn("first", F.row_number().over(Window.partitionBy("run_id", "url").orderBy("seq")) == 1)
-        ahead = ordered.before_count(page & F.col("first"), ["run_id"], [F.col("seq")]) + F.coalesce("pages", F.lit(0))
-        level = level.withColumn("ahead", ahead).where((F.col("type") != "html") | (F.col("ahead") < max_pages) | (F.col("url") == F.col("root")))
-        level = ordered.first_wins(level, ["run_id", "url"], [F.col("seq")])
-        level = level.withColumn("had", ordered.before_count(part, ["run_id"], [F.col("seq")]) + F.coalesce("found", F.lit(0))).where(F.col("had") < max_artifacts)
-        visits = keep(level.select("run_id", F.lit(depth).alias("depth"), "seq", "url", "type", "resolved", "discovered_from", "ok", "content", "size_bytes", "root", "scope"), f"level{depth}")
+        # budgets are counted without the texts; the first of a URL's rows that no budget holds back is the visit
+        rows = level.withColumn("first", F.row_number().over(Window.partitionBy("run_id", "url").orderBy("seq")) == 1)
+        rows = keep(rows.select("run_id", "seq", "url", "type", "ok", "resolved", "root", "pages", "found", "first"), f"queue{depth}")
+        ranges = F.floor(F.col("seq") / RANGE)
+        ahead = ordered.running(rows, ["run_id"], ranges, [F.col("seq")], counts={"ahead": page & F.col("first")})
+        open_ = ahead.where((F.col("type") != "html") | (F.col("ahead") + F.coalesce("pages", F.lit(0)) < max_pages) | (F.col("url") == F.col("root")))
+        open_ = keep(ordered.first_wins(open_.drop("ahead"), ["run_id", "url"], [F.col("seq")]), f"open{depth}")
+        had = ordered.running(open_, ["run_id"], ranges, [F.col("seq")], counts={"had": part})
+        taken = had.where(F.col("had") + F.coalesce("found", F.lit(0)) < max_artifacts).select("run_id", "seq")
+        level_ = level.join(taken, ["run_id", "seq"], "left_semi")
+        visits = keep(level_.select("run_id", F.lit(depth).alias("depth"), "seq", "url", "type", "resolved", "discovered_from", "ok", "content", "size_bytes", "root", "scope"), f"level{depth}")
+        drop(level, rows, open_)
         levels.append(visits)
         if depth == max_depth:
             break
-        done = levels[0].select("run_id", "url", "ok", "resolved")
-        for more in levels[1:]:
-            done = done.unionByName(more.select("run_id", "url", "ok", "resolved"))
-        seen = done.select("run_id", "url")
-        totals = done.groupBy("run_id").agg(F.count_if(F.col("ok") & (F.col("resolved") == "html")).alias("pages"), F.count_if(F.col("ok") & (F.col("resolved") != "html")).alias("found"))
+        seen = visits.select("run_id", "url") if seen is None else seen.union(visits.select("run_id", "url"))
+        now = visits.groupBy("run_id").agg(F.count_if(page).alias("pages"), F.count_if(part).alias("found"))
+        totals = keep(now if totals is None else totals.union(now).groupBy("run_id").agg(F.sum("pages").alias("pages"), F.sum("found").alias("found")), f"totals{depth}")
         links = expand(visits).join(roots, "run_id")
         links = links.where(candidates.nested_filter(links, F.col("root"), F.col("scope")))
         links = links.select("run_id", F.lit(1).alias("part"), "parent_seq", "seq", "url", "type", "discovered_from")
         if depth == 0 and sitemaps is not None:  # they were queued before the root was fetched
             site = sitemaps.join(roots.where("scope = 'site'").select("run_id"), "run_id")
             links = links.unionByName(site.select("run_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("parent_seq"), F.col("seq").cast("long").alias("seq"), "url", F.lit("html").alias("type"), F.lit("sitemap:loc").alias("discovered_from")))
-        number = F.row_number().over(by_run.orderBy("part", "parent_seq", "seq"))
-        frontier = keep(links.withColumn("n", number.cast("long")).select("run_id", F.col("n").alias("seq"), "url", "type", "discovered_from"), f"frontier{depth + 1}")
+        links = keep(links, f"links{depth}")
+        numbered = ordered.running(links, ["run_id"], F.struct("part", "parent_seq"), [F.col("part"), F.col("parent_seq"), F.col("seq")], numbers="n")
+        frontier = keep(numbered.select("run_id", F.col("n").alias("seq"), "url", "type", "discovered_from"), f"frontier{depth + 1}")
+        drop(links)
         if frontier.isEmpty():
             break
     out = levels[0]
