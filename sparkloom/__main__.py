@@ -1,4 +1,5 @@
-"""A run from the command line: ``python -m sparkloom --url URL --responses DIR [--requests DIR] ...``; tables are Parquet."""
+"""Runs from the command line: ``python -m sparkloom --url URL --responses DIR [--requests DIR] ...`` for one site, or
+``--roots DIR --output DIR`` for a table of them (run_id, url); tables are Parquet."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import SparkSession
 from sparkloom.plans import options, run
 from sparkloom.plans.run import EntryError
 
-TABLES = ("responses", "posts", "requests", "session", "replies")
+TABLES = ("responses", "posts", "requests", "session", "replies", "roots")
 
 
 def parser():
@@ -35,8 +36,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     given = vars(parser().parse_args(argv))
     paths, config = {name: given.pop(name) for name in TABLES}, given.pop("config")
     chosen = options.resolved(given, options.read_config(config) if config else None)
-    if chosen.url is None:
-        print("a URL is needed", file=sys.stderr)
+    if (chosen.url is None) == (paths["roots"] is None) or paths["roots"] and not chosen.output:
+        print("a URL is needed, or a table of roots and an output folder", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("sparkloom").getOrCreate()
     tables = {name: spark.read.parquet(path) for name, path in paths.items() if path}
@@ -45,6 +46,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except EntryError as why:
         print(why, file=sys.stderr)
         return 1
+    if paths["roots"]:
+        done.write_all(chosen.output)
+        lost = done.missing.count()
+        print(f"Runs: {done.roots.count()}\nEntry pages not fetched: {lost}\nReports: {chosen.output}")
+        return 1 if lost else 0
     got = done.collect()
     print(summary(got, done.write()))
     return 1 if got["status"] == "partial" else 0

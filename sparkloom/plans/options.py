@@ -14,6 +14,7 @@ from urllib.parse import urlsplit
 MAX_PAGES, MAX_ARTIFACTS, MAX_DEPTH, CONTEXT = 20, 400, 3, 128_000
 VERSION = "0.2.0"
 RAG_OFFER, RAG_CHOOSE = 1_000_000, 2_000_000
+LEAST_FOR_RETRIEVAL = max(RAG_OFFER, RAG_CHOOSE)
 SUGGEST_BROWSER = re.compile("(login|auth|signin|signup|verify|captcha|challenge|mfa|2fa)", re.I)
 
 
@@ -99,7 +100,7 @@ def retrieval_default(options: Options, total_bytes: int) -> bool:
     """Whether retrieval is on without asking; a question would be offered from RAG_OFFER on."""
     if options.local_rag is not None:
         return options.local_rag
-    return not options.headless and total_bytes >= max(RAG_OFFER, RAG_CHOOSE)
+    return not options.headless and total_bytes >= LEAST_FOR_RETRIEVAL
 
 
 def browser_default(options: Options) -> bool:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import parsing, text, urls
 from sparkloom.operators import dom, flows, ordered, planner, probes, retrieval, surface
 from sparkloom.plans import agents, analysis, crawl, report
-from sparkloom.plans.options import Options, concurrency_default, retrieval_default
+from sparkloom.plans.options import LEAST_FOR_RETRIEVAL, Options, concurrency_default, retrieval_default
+from sparkloom.sources.files import MARK, write_files
 from sparkloom.sources.store import keep
 
 # Caps of a recorded browser session, and what its notes say by its status.
@@ -57,31 +60,123 @@ def response_snippet(content_type, length, body):
     return F.when(content_type.rlike("(?i)(json|text)") & (F.coalesce(length, F.lit(0)) <= SNIPPET_BYTES), text.clip_dots(body))
 
 
+#: By which columns a run's tables are in order.
+ORDER = {
+    "html_pages": ("artifact_seq",), "artifacts": ("artifact_seq",), "dom_snapshots": ("page_seq",), "api_endpoints": ("rank",), "openapi_documents": ("rank",), "graphql_endpoints": ("rank",), "graphql_operations": ("rank",),
+    "auth_flows": ("title",), "captcha_flows": ("rule",), "fingerprint_signals": ("rule",), "encryption_signals": ("rule",), "security_findings": ("rule",), "trace": (), "rag": (), "overview": (), "artifact_summaries": ("rank",),
+    "graph_nodes": ("rank",), "manifest": ("artifact_seq",), "prompts": ("artifact_seq", "chunk_index", "agent_ord"), **{kind: ("rank",) for kind in report.ANALYSIS},
+}
+BODIES = ("content", "formatted_content")
+
+
+def assembled(options: Options, url: str, parts: dict[str, list[dict]]) -> dict:
+    """What a report of one run shows, from the rows of its tables."""
+    rows = {name: parts.get(name) or [] for name in ORDER}
+    rows |= {key: [r["value"] for r in rows[key]] for key in report.ANALYSIS}
+    trace, rag = next(iter(rows.pop("trace")), None), next(iter(rows.pop("rag")), None)
+    told = next(iter(rows.pop("overview")), {"overview": NO_ARTIFACTS, "analyzed_chunks": 0, "failed": 0})
+    error = f"{told['failed']} chunk(s) without a valid analysis" if told["failed"] else None
+    counts = {"htmlPages": len(rows["html_pages"]), "artifacts": len(rows["artifacts"]), "chunks": told["analyzed_chunks"], "browserRequests": len((trace or {}).get("requests") or [])}
+    size = sum(a["size_bytes"] or 0 for a in rows["artifacts"])
+    facts = {"model": options.model, "contextSize": options.context_size, "analysisConcurrency": concurrency_default(options, told["analyzed_chunks"]), "localRagEnabled": retrieval_default(options, size), "browserAssisted": options.browser_assisted}
+    metadata = {"targetUrl": url, **facts, "browserTraceStatus": (trace or {}).get("status", "disabled"), "ragSummary": rag, "counts": counts}
+    return {"url": url, "status": "partial" if error else "complete", "error": error, "overview": told["overview"], "analyzed_chunks": told["analyzed_chunks"], "trace": trace, "metadata": metadata, **rows}
+
+
+def _read(parts) -> dict[str, list[dict]]:
+    return {name: json.loads(rows) for name, rows in dict(parts).items()}
+
+
+def _rendered(options: Options, name: str, outside: bool):
+    """A run's documents from its data, a run at a time."""
+
+    @F.arrow_udf("array<struct<name:string,content:string>>")
+    def render(urls_: pa.Array, parts: pa.Array) -> pa.Array:
+        made = ([{"name": n, "content": text_} for n, text_ in report.files(assembled(options, url.as_py(), _read(own.as_py())), name, outside).items()] for url, own in zip(urls_, parts, strict=True))
+        return pa.array(list(made), pa.list_(pa.struct([("name", pa.string()), ("content", pa.string())])))
+
+    return render
+
+
 @dataclass
 class Run:
-    """The tables of a run; all lazy but the crawl."""
+    """Any number of runs: their entries, their tables by run_id, and those whose entry page was not fetched.
+
+    ``data`` is what reports show, a row for each run, written once when the runs are made; the bodies of artifacts stay in ``tables``. All
+    files are made and written by executors.
+    """
 
     options: Options
+    roots: DataFrame
     tables: dict[str, DataFrame]
-    metadata: dict = field(default_factory=dict)
-
-    def collect(self) -> dict:
-        """What a report of one site shows: bounded by the crawl's budgets and the caps of all lists."""
-        rows = {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in self.tables.items()}
-        plain = lambda key: [r["value"] for r in rows.get(key, [])]
-        rows |= {key: plain(key) for key in report.ANALYSIS}
-        trace = next(iter(rows.pop("trace", [])), None)
-        told = next(iter(rows.pop("overview")), {"overview": NO_ARTIFACTS, "analyzed_chunks": 0, "failed": 0})
-        error = f"{told['failed']} chunk(s) without a valid analysis" if told["failed"] else None
-        counts = {"htmlPages": len(rows["html_pages"]), "artifacts": len(rows["artifacts"]), "chunks": told["analyzed_chunks"], "browserRequests": len((trace or {}).get("requests") or [])}
-        metadata = {"targetUrl": self.options.url, **self.metadata, "browserTraceStatus": (trace or {}).get("status", "disabled"), "ragSummary": next(iter(rows.pop("rag", [])), None), "counts": counts}
-        return {"url": self.options.url, "status": "partial" if error else "complete", "error": error, "overview": told["overview"], "analyzed_chunks": told["analyzed_chunks"], "trace": trace, "metadata": metadata, **rows}
+    data: DataFrame
+    missing: DataFrame
+
+    def collect(self, run_id: int | None = None) -> dict:
+        """What the report of one run shows, the only one if none is named: bounded by the crawl's budgets and the caps of all lists."""
+        row = self.data.where(F.lit(True) if run_id is None else F.col("run_id") == run_id).first()
+        return assembled(self.options, row.url, _read(row.parts))
+
+    def files(self, folder, name: str = "report.md", outside: bool = False) -> DataFrame:
+        """(folder, name, content) of all runs: documents, and the bodies of artifacts as fetched and as analysed. folder: of run_id."""
+        whole = F.coalesce("content", F.lit(""))
+        body = lambda kind, text_: F.struct(F.concat(F.lit(f"artifacts/{kind}/"), "file_name").alias("name"), F.concat(text_, F.lit("\n")).alias("content"))
+        bodies = self.tables["artifacts"].select("run_id", F.explode(F.array(body("raw", whole), body("formatted", F.coalesce(F.nullif("formatted_content", F.lit("")), whole)))).alias("f"))
+        documents = self.data.select("run_id", F.explode(_rendered(self.options, name, outside)("url", "parts")).alias("f"))
+        return documents.unionByName(bodies).select(folder.alias("folder"), "f.name", "f.content")
+
+    def _size(self) -> int:
+        sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c in BODIES]
+        return int(self.tables["artifacts"].agg(F.sum(sizes[0] + sizes[1])).first()[0] or 0)
 
     def write(self, directory: str | None = None) -> list[Path]:
-        """All files; a name that ends in .md is the report's, and the rest goes beside it."""
+        """All files of a single run; a name that ends in .md is the report's, and the rest goes beside it."""
         wanted = directory or self.options.output
-        at = report.run_directory(self.options.url, wanted)
-        return report.write_run(self.collect(), at, Path(wanted) if wanted and wanted.lower().endswith(".md") else None)
+        at = report.run_directory(self.options.url, wanted).absolute()
+        outside = bool(wanted) and wanted.lower().endswith(".md")
+        told = Path(wanted).absolute() if outside else at / "report.md"
+        write_files(self.files(F.lit(at.name), told.name, outside), str(at.parent), self._size())
+        if outside:
+            report.write_report(self.collect(), told)
+        return [told, *sorted(p for p in at.rglob("*") if p.is_file() and p != told and p.name != MARK)]
+
+    def write_all(self, root: str) -> None:
+        """A folder for each run, ``run_id=<id>``, under root, and the tables under root/tables, partitioned by run. What runs of other ids have there stays."""
+        write_files(self.files(F.concat(F.lit("run_id="), F.col("run_id").cast("string"))), root, self._size())
+        for name, df in self.tables.items():
+            replace_runs(df, self.roots, f"{root}/tables/{name}")
+
+
+def replace_runs(df: DataFrame, runs: DataFrame, path: str) -> None:
+    """df as Parquet partitioned by run_id, in place of what the same runs had there; a run without rows now has none."""
+    df.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    spark = df.sparkSession
+    there = spark.read.parquet(path) if not df.isEmpty() or _exists(spark, path) else None
+    if there is None or "run_id" not in there.columns:
+        return
+    stale = there.select(F.col("run_id").cast("long")).distinct().join(runs.select("run_id"), "run_id", "left_semi").join(df.select("run_id").distinct(), "run_id", "left_anti")
+    for r in stale.toLocalIterator():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={r.run_id}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(at) and any("run_id=" in f.getPath().getName() for f in store.listStatus(at))
+
+
+def rows_by_run(name: str, df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """A table as one JSON list for each run, in order: run_id, name, rows. Its rows are bounded by the caps and budgets of a run."""
+    row = F.to_json(F.struct(*(c for c in df.columns if c != "run_id" and c not in BODIES)), {"ignoreNullFields": "false"})
+    listed = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), row.alias("row"))))
+    return df.groupBy("run_id").agg(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["row"]), ","), F.lit("]")).alias("rows")).select("run_id", F.lit(name).alias("name"), "rows")
+
+
+def data_of(roots: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """run_id, url, parts: each table's rows by its name."""
+    parts = analysis.union_all([rows_by_run(name, df, ORDER[name]) for name, df in tables.items()])
+    return roots.join(parts.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "rows"))).alias("parts")), "run_id", "left").withColumn("parts", F.coalesce("parts", F.map_from_entries(F.array().cast("array<struct<name:string,rows:string>>"))))
 
 
 def formatted(artifacts: DataFrame) -> DataFrame:
@@ -108,9 +203,9 @@ def merged_analysis(chunks: DataFrame) -> DataFrame:
 
 
 def _of_kind(merged: DataFrame, kind: str, schema: str | None) -> DataFrame:
-    """The values of a kind in order: parsed where they are objects."""
+    """run_id, rank, value of a kind: parsed where they are objects."""
     value = F.from_json("value", schema) if schema else F.col("value")
-    return merged.where(F.col("kind") == kind).select("rank", value.alias("value")).orderBy("rank").select("value")
+    return merged.where(F.col("kind") == kind).select("run_id", "rank", value.alias("value"))
 
 
 KINDS = {
@@ -138,42 +233,49 @@ def names_of(merged: DataFrame) -> DataFrame:
 
 def analyse(
     options: Options, responses: DataFrame, introspected: DataFrame | None = None, requests: DataFrame | None = None, sitemaps: DataFrame | None = None, session: DataFrame | None = None,
-    posts: DataFrame | None = None, replies: DataFrame | None = None,
+    posts: DataFrame | None = None, replies: DataFrame | None = None, roots: DataFrame | None = None,
 ) -> Run:
-    """One site's run over recordings.
+    """Runs over recordings: of the site that options name, as run 1, or of all roots (run_id, url), with the other options for each.
 
     responses: HTTP replies to GET, the probes' well-known addresses among them; posts: replies to schema questions (url, status, body), or
-    introspected: url, introspection_status; requests and session: a recorded browser session; replies: what agents said (run_id 1,
-    artifact_seq, chunk_index, agent, raw_text, and attempt if there are several; agent ``final`` speaks for the run). Fails if the entry page was not fetched.
+    introspected: url, introspection_status; requests and session: recorded browser sessions by run_id; replies: what agents said (run_id,
+    artifact_seq, chunk_index, agent, raw_text, and attempt if there are several; agent ``final`` speaks for the run). A run whose entry page was
+    not fetched is an error if it is the only one that was asked for, and else a row of ``missing``.
     """
-    spark = responses.sparkSession
-    roots = spark.createDataFrame([(1, options.url)], "run_id long, url string")
+    spark, single = responses.sparkSession, roots is None
+    roots = spark.createDataFrame([(1, options.url)], "run_id long, url string") if single else keep(roots.select(F.col("run_id").cast("long").alias("run_id"), "url"), "roots")
     found = probes.supplemental_pages(roots, responses)
     sitemaps = found if sitemaps is None else sitemaps.select("run_id", F.col("seq").cast("long").alias("seq"), "url")
     visits = keep(crawl.crawl(roots, responses, options.max_pages, options.max_artifacts, options.max_depth, sitemaps), "visits")
-    if visits.where("depth = 0 and ok").isEmpty():
-        status = responses.where(F.col("url") == options.url).select("status").first()
-        raise EntryError(f"the entry page {options.url} was not fetched: {'no reply' if status is None else f'status {status[0]} or no HTML'}")
-    visits = visits.where("ok")
-    order = F.row_number().over(ordered.Window.partitionBy("run_id").orderBy("depth", "seq"))
-    numbered = visits.withColumn("artifact_seq", order.cast("long")).withColumn("target_url", F.lit(options.url))
+    begun = visits.where("depth = 0 and ok").select("run_id").distinct()
+    told = responses.select("url", "status").groupBy("url").agg(F.max("status").alias("status"))
+    missing = keep(roots.join(begun, "run_id", "left_anti").join(told, "url", "left").select("run_id", "url", "status"), "missing")
+    if single and (lost := missing.first()):
+        raise EntryError(f"the entry page {lost.url} was not fetched: {'no reply' if lost.status is None else f'status {lost.status} or no HTML'}")
+    roots = keep(roots.join(begun, "run_id", "left_semi"), "runs")
+    targets = roots.withColumnRenamed("url", "target_url")
+    visits = visits.where("ok").join(targets, "run_id")
+    order = [F.col("depth"), F.col("seq")]
+    numbered = ordered.running(visits, ["run_id"], F.struct("depth", F.floor(F.col("seq") / crawl.RANGE)), order, numbers="artifact_seq")
     pages = numbered.where("resolved = 'html'").withColumn("seq", F.col("artifact_seq"))
     artifacts = numbered.where("resolved <> 'html'").withColumn("type", F.col("resolved"))
-    artifacts = keep(formatted(planner.relevance(artifacts)).withColumn("content", text.content_of(F.col("formatted_content"), F.col("content"))), "artifacts")
+    artifacts = formatted(planner.relevance(artifacts)).withColumn("content", text.content_of(F.col("formatted_content"), F.col("content")))
+    artifacts = keep(flows.scanned(artifacts), "artifacts")
     snaps = snapshots_of(pages)
     trace = None
     if requests is not None:
-        trace = keep(capped_trace(requests, session), "trace")
+        trace = keep(capped_trace(requests, session).join(roots.select("run_id"), "run_id", "left_semi"), "trace")
         if session is not None and "page_text" in session.columns:  # the page as the session left it comes behind the crawled ones
-            last = flows.with_columns(session, {"final_url": "string"}).where("page_text is not null").select("run_id", F.lit(2**31 - 1).alias("seq"), F.coalesce("final_url", F.lit(options.url)).alias("url"), F.col("page_text").alias("content"))
+            last = flows.with_columns(session, {"final_url": "string"}).where("page_text is not null").join(targets, "run_id")
+            last = last.select("run_id", F.lit(2**31 - 1).alias("seq"), F.coalesce("final_url", "target_url").alias("url"), F.col("page_text").alias("content"))
             snaps = snaps.unionByName(snapshots_of(last))
     snaps = keep(snaps, "snapshots")
     ends = keep(surface.api_endpoints(artifacts, python_urls=True), "endpoints")
     gql = surface.graphql_endpoints(artifacts, python_urls=True)
     if introspected is None and posts is not None:
-        introspected = probes.introspected(gql.where(F.col("url").startswith(urls.origin(F.lit(options.url)))), posts)
+        introspected = probes.introspected(gql.join(targets, "run_id").where(F.col("url").startswith(urls.origin(F.col("target_url")))), posts)
     if introspected is not None:
-        gql = surface.with_introspection(gql, introspected, roots.withColumnRenamed("url", "target_url"))
+        gql = surface.with_introspection(gql, introspected, targets)
     documents = surface.openapi_literals(artifacts, probes.openapi_documents(roots, responses), python_urls=True)
     auth, captcha = flows.auth_flows(snaps, ends, artifacts), flows.captcha_flows(snaps, ends, artifacts)
     traits, crypto = flows.fingerprint_signals(ends, artifacts), flows.encryption_signals(ends, artifacts)
@@ -186,32 +288,39 @@ def analyse(
         "content", "formatted_content", "formatting_skipped", "formatting_note",
     )
     tables = {
-        "html_pages": pages.select("artifact_seq", "url").orderBy("artifact_seq"), "artifacts": named.drop("run_id").orderBy("artifact_seq"), "dom_snapshots": snaps.orderBy("page_seq"), "api_endpoints": ends.orderBy("rank"),
-        "openapi_documents": documents.orderBy("rank"), "graphql_endpoints": gql.orderBy("rank"), "graphql_operations": surface.graphql_operations(artifacts, python_urls=True).orderBy("rank"), "auth_flows": auth,
-        "captcha_flows": captcha.orderBy("rule"), "fingerprint_signals": traits.orderBy("rule"), "encryption_signals": crypto.orderBy("rule"), "security_findings": flows.security_findings(auth, captcha, traits, gql).orderBy("rule"),
+        "html_pages": pages.select("run_id", "artifact_seq", "url"), "artifacts": named, "dom_snapshots": snaps, "api_endpoints": ends, "openapi_documents": documents, "graphql_endpoints": gql,
+        "graphql_operations": surface.graphql_operations(artifacts, python_urls=True), "auth_flows": auth, "captcha_flows": captcha, "fingerprint_signals": traits, "encryption_signals": crypto,
+        "security_findings": flows.security_findings(auth, captcha, traits, gql),
     }
     if trace is not None:
         tables["trace"] = trace
-    analysed, facts = _agents(spark, options, artifacts.join(ranked.select("artifact_seq", "rank"), "artifact_seq"), named, replies)
-    return Run(options, tables | analysed, facts)
+    ranks = ranked.select("run_id", "artifact_seq", "rank")
+    tables |= _agents(spark, options, artifacts.join(ranks, ["run_id", "artifact_seq"]), named, replies)
+    return Run(options, roots, tables, keep(data_of(roots, tables), "data"), missing)
+
+
+def with_retrieval(options: Options, artifacts: DataFrame) -> DataFrame | None:
+    """run_id of the runs whose agents are given retrieved segments; None if none can be."""
+    if options.local_rag is False or options.local_rag is None and options.headless:
+        return None
+    runs = artifacts.groupBy("run_id").agg(F.sum("size_bytes").alias("size"))
+    return (runs if options.local_rag else runs.where(F.col("size") >= LEAST_FOR_RETRIEVAL)).select("run_id")
 
 
-def _agents(spark, options: Options, artifacts: DataFrame, named: DataFrame, replies: DataFrame | None) -> tuple[dict[str, DataFrame], dict]:
-    """Chunks, tasks, recorded replies, fallbacks, retrieval and merging: the tables of the analysis, and how it was made."""
+def _agents(spark, options: Options, artifacts: DataFrame, named: DataFrame, replies: DataFrame | None) -> dict[str, DataFrame]:
+    """Chunks, tasks, recorded replies, fallbacks, retrieval and merging: the tables of the analysis."""
     if replies is None:
         replies = spark.createDataFrame([], "run_id long, artifact_seq long, chunk_index int, agent string, raw_text string")
     chunks = keep(chunk_tasks(artifacts, options.context_size), "chunks")
-    n_chunks, size = chunks.count(), artifacts.agg(F.sum("size_bytes")).first()[0] or 0
-    rag = retrieval_default(options, size)
+    retrieving = with_retrieval(options, artifacts)
     rows = keep(agents.tasks(chunks), "tasks")
     memo_rows = keep(agents.memos(rows, replies), "memos")
     analyses = keep(agents.chunk_analyses(rows, memo_rows, replies), "analyses")
     in_order = analyses.join(artifacts.select("run_id", "artifact_seq", "rank"), ["run_id", "artifact_seq"])
-    # findings are merged in the order of analysis, so an artifact's rank stands for its number
-    merged = keep(merged_analysis(agents.keyed(in_order.withColumn("artifact_seq", F.col("rank").cast("long")))), "merged")
     lead = keep(agents.final_analysis(replies), "lead")
-    if not lead.isEmpty():  # the lead agent's merging takes the place of the first-wins one
-        merged = keep(merged_analysis(agents.keyed(lead)), "merged")
+    # findings are merged in the order of analysis, so an artifact's rank stands for its number; where the lead agent merged, its reply takes their place
+    own = merged_analysis(agents.keyed(in_order.withColumn("artifact_seq", F.col("rank").cast("long")))).join(lead.select("run_id"), "run_id", "left_anti")
+    merged = keep(own.unionByName(merged_analysis(agents.keyed(lead))), "merged")
     summaries = analysis.artifact_summaries(analyses)
     counted = chunks.groupBy("run_id", "artifact_seq").agg(F.count("*").alias("chunk_count"))
     told = artifacts.select("run_id", "artifact_seq", "rank", "url", "type").join(summaries, ["run_id", "artifact_seq"], "left").join(counted, ["run_id", "artifact_seq"], "left")
@@ -223,16 +332,16 @@ def _agents(spark, options: Options, artifacts: DataFrame, named: DataFrame, rep
     related = artifacts.select("run_id", "artifact_seq", "url").join(told.select("run_id", "artifact_seq", "summary"), ["run_id", "artifact_seq"])
     relations = keep(analysis.artifact_relations(related, names_of(merged)), "relations")
     nodes = analysis.node_artifacts(analysis.graph_nodes(mentions(merged)), artifacts, relations)
-    asked = agents.prompts(rows, artifacts, memo_rows, agents.primers(analyses, artifacts), agents.retrieved_segments(rows, artifacts) if rag else None)
+    some = None if retrieving is None else artifacts.join(retrieving, "run_id", "left_semi")
+    found = None if some is None else agents.retrieved_segments(rows.join(retrieving, "run_id", "left_semi"), some)
     tables = {
-        **{name: _of_kind(merged, kind, schema) for name, (kind, schema) in KINDS.items()}, "artifact_summaries": told.orderBy("rank").select("url", "type", "chunk_count", "summary"),
-        "overview": whole.join(fell, "run_id", "left").select("overview", "analyzed_chunks", F.coalesce("failed", F.lit(0)).alias("failed")), "graph_nodes": nodes.orderBy("rank"),
-        "manifest": analysis.manifest(named, told.select("run_id", "artifact_seq", "summary"), relations).orderBy("artifact_seq"), "prompts": asked.orderBy("artifact_seq", "chunk_index", "agent_ord"),
+        **{name: _of_kind(merged, kind, schema) for name, (kind, schema) in KINDS.items()}, "artifact_summaries": told.select("run_id", "rank", "url", "type", "chunk_count", "summary"),
+        "overview": whole.join(fell, "run_id", "left").select("run_id", "overview", "analyzed_chunks", F.coalesce("failed", F.lit(0)).alias("failed")), "graph_nodes": nodes,
+        "manifest": analysis.manifest(named, told.select("run_id", "artifact_seq", "summary"), relations), "prompts": agents.prompts(rows, artifacts, memo_rows, agents.primers(analyses, artifacts), found),
     }
-    if rag:
-        tables["rag"] = retrieval.describe(retrieval.segment_rows(artifacts, "content", "run_id", "artifact_seq"), "run_id")
-    facts = {"model": options.model, "contextSize": options.context_size, "analysisConcurrency": concurrency_default(options, n_chunks), "localRagEnabled": rag, "browserAssisted": options.browser_assisted}
-    return tables, facts
+    if some is not None:
+        tables["rag"] = retrieval.describe(retrieval.segment_rows(some, "content", "run_id", "artifact_seq"), "run_id")
+    return tables
 
 
 def register(spark) -> None:
