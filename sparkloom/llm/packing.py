@@ -100,7 +100,8 @@ class Tokens:
             return self._whole(word, lead)
         return b"".join([*self._words([stem], lead), *self._words(rest, "")])
 
-    def _words(self, words: list[str], lead: str) -> list[bytes]:
+    def _words(self, words: list[str], lead: str, odd: list[int] | None = None) -> list[bytes]:
+        """Ids of words; odd gets the numbers of odd ones, which are never remembered."""
         known = self.known[lead]
         out = list(map(known.get, words))
         if None in out:
@@ -109,7 +110,10 @@ class Tokens:
             for k, word in enumerate(words):
                 if out[k] is None:
                     out[k] = known.get(word) or self._word(word, lead)
-                    if len(word) <= WORD_CHARS:
+                    if _odd(word):
+                        if odd is not None:
+                            odd.append(k)
+                    elif len(word) <= WORD_CHARS:
                         known[word] = out[k]
         return out
 
@@ -132,11 +136,10 @@ class Tokens:
         at = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         words = parts.flatten().dictionary_encode()
         number, known = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
+        heads, odd = number[at[:-1]], []
+        ids = [*self._words(known, " ", odd), *self._words([known[k] for k in heads], "")]
         # words that are odd stand at spaces where a text must not be cut: such texts go by themselves
-        odd = np.fromiter(map(_odd, known), bool, len(known))
-        alone = np.logical_or.reduceat(odd[number], at[:-1])
-        heads = number[at[:-1]]
-        ids = [*self._words(known, " "), *self._words([known[k] for k in heads], "")]
+        alone = np.logical_or.reduceat(np.isin(number, odd), at[:-1]) if odd else np.zeros(len(texts), bool)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         flat = np.frombuffer(b"".join(ids), "<u4")

@@ -8,6 +8,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,10 +253,15 @@ def test_words_give_the_ids_of_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 50)  # words are forgotten and met again
     monkeypatch.setattr(packing, "CHUNK", 40)
     tokens = packing.Tokens(packing.public_tokenizer())
+    own, texts = [], []
     for _ in range(600):
         text = "".join(rng.choice(signs) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 60)))
         want = array("I", tokens.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         assert tokens(text) == want, repr(text)
+        own.append(want)
+        texts.append(text)
+    monkeypatch.setattr(packing, "GROUP", 400)
+    assert list(tokens.all(pa.array([*texts, None]))) == [*own, b""]
 
 
 def test_ranks_run_on_over_tasks(spark):
