@@ -23,7 +23,7 @@ Defined cases: a null text is empty; texts under 100 bytes keep all. A document
 repeat both are one document and all get its result, rows that repeat an id with other texts are documents of their own,
 in the order of a hash of their texts. Null ids come last, in that order too. An empty table gives an empty result.
 Runs of one byte or period and very long texts need no special care: a run is at most 176 bytes, equal ones
-collapse, and long texts are cut in overlapping slices.
+collapse, and long texts are cut in overlapping slices. A row that is repeated any number of times costs its runs once a task.
 """
 
 from __future__ import annotations
@@ -130,16 +130,31 @@ class _Seen:
         return out
 
 
+class _Documents:
+    """Documents that a task has met, in a table of fixed size whose entries make way for later ones; a document that is no longer known only costs rows."""
+
+    def __init__(self):
+        self.met = np.full((1 << int(SLOT_BITS), 2), -1, np.int64)
+        self.free = np.ones(1 << int(SLOT_BITS), bool)
+
+    def again(self, doc: int, tie: int) -> bool:
+        slot = hash((doc, tie)) & ((1 << int(SLOT_BITS)) - 1)
+        if not self.free[slot] and self.met[slot, 0] == doc and self.met[slot, 1] == tie:
+            return True
+        self.met[slot], self.free[slot] = (doc, tie), False
+        return False
+
+
 RUNS = "h long, run long, id long, tie long, meta long, kind byte"
 
 
 def _anchor_rows(batches):
     """(id, tie, text) to runs of three kinds: to be judged with their anchor's others, copies, and those dealt by their bytes."""
-    seen = _Seen()
+    seen, documents = _Seen(), _Documents()
     for batch in batches:
         ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for x, y, texts in text_groups(batch.column(2)):
-            yield from _runs_of([(k, e, a, part) for k, e, t in zip(ids[x:y], ties[x:y], texts, strict=True) if len(t) >= LENGTH for a, part in _slices(t)], seen)
+            yield from _runs_of([(k, e, a, part) for k, e, t in zip(ids[x:y], ties[x:y], texts, strict=True) if len(t) >= LENGTH and not documents.again(k, e) for a, part in _slices(t)], seen)
 
 
 def _runs_of(pieces: list[tuple[int, int, int, bytes]], seen: _Seen):
@@ -238,8 +253,10 @@ class _Pieces:
             if len(self.sent) >= 20_000:
                 self.sent.clear()
             self.sent[name] = place
+        elif place == held:
+            return  # a repeated row's, which is one document with the row that sent it
         else:
-            again = place > held
+            again = True
         # offset o of a window is its distance to the anchor, so text begins off bytes before it
         key = None if again else _key(u, v, text[off - u : off - v + LENGTH])
         self.rows.append((key, u, v, a, doc, tie, lo, lo + a - c, None if again else piece, again))
@@ -253,11 +270,13 @@ class _Pieces:
 
 def _cut_runs(batches):
     """(id, tie, text, metas) to pieces: the windows of a run on either side of its anchor."""
-    out = _Pieces()
+    out, documents = _Pieces(), _Documents()
     for batch in batches:
         for x, _, texts in text_groups(batch.column(2)):
             for k, text in enumerate(texts, x):
                 doc, tie = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if documents.again(doc, tie):
+                    continue
                 for meta in batch.column(3)[k].as_py():
                     q, a, c = meta >> 16, meta >> 8 & 255, meta & 255
                     run = text[q - a : q - c + LENGTH]
