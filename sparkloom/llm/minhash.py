@@ -16,8 +16,8 @@ on full sets.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; with fewer than
 five words the whole sequence is the one shingle; rows with a null id are not linked (component null, kept);
-rows that repeat an id are linked if their texts are alike and share the least component (of an id's unlike texts the one
-with the least set by value is compared); an empty table gives an empty result. Only id and text are read.
+rows that repeat an id with unlike texts are documents of their own, linked by their own sets, and a component is known by the least id
+in it; an empty table gives an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -131,20 +131,22 @@ def _near(work: Workspace, member: DataFrame, sets: DataFrame, percent: int) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept. percent: the least similarity that links."""
     work = Workspace(docs.sparkSession, "minhash")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    digest = work.keep(source.select("doc_id", _digest_udf(*tables(percent))("text").alias("d")).select("doc_id", "d.*"), "digests")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
+    digest = work.keep(source.select("doc_id", "tie", _digest_udf(*tables(percent))("text").alias("d")).select("doc_id", "tie", "d.*"), "digests")
     same = ["n", "h1", "h2"]
     full = digest.where("n > 0 and doc_id is not null")
-    reps = work.keep(full.groupBy(*same).agg(F.min_by(F.struct("doc_id", "left", "right"), "doc_id").alias("r")).select(*same, "r.*"), "reps")
-    keys = reps.select(F.col("doc_id").alias("id"), "n", F.explode("left").alias("l"), "right").select("id", "n", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id", "n")
+    # a set is known by a number of its own, as an id may come with several texts; a text is found by its id and hash
+    reps = full.groupBy(*same).agg(F.min_by(F.struct("doc_id", "tie", "left", "right"), F.struct("doc_id", "tie")).alias("r")).select(*same, "r.*")
+    reps = work.keep(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    keys = reps.select("id", "n", F.explode("left").alias("l"), "right").select("id", "n", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id", "n")
     hot = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     live = work.keep(keys.join(hot, "key"), "live")
 
-    ids = work.keep(live.select("id").distinct(), "ids")
+    ids = work.keep(reps.select("id", "doc_id", "tie").join(live.select("id").distinct(), "id"), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
+    texts = source.join(wanted, ["doc_id", "tie"])
     sets = work.keep(texts.select("id", _shingles("text").alias("s")), "sets")
-    if sets.count() > ids.count():  # an id that is repeated with other texts keeps one of its sets
+    if sets.count() > ids.count():  # rows that repeat an id and a text
         sets = work.keep(sets.groupBy("id").agg(F.min("s").alias("s")), "sets-once")
 
     fame = live.groupBy("id").agg(F.sum("c").alias("fame"))
@@ -172,8 +174,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             labels = components(work, links.union(more))
 
-    classes = reps.select(*same, F.col("doc_id").alias("node"))
-    classes = work.keep(classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "classes")
+    # components are named by the least id in them
+    of = labels.union(labels.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "id")
+    least = of.join(reps.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    classes = reps.select(*same, "id", "doc_id").join(of.join(least, "component").select("id", "least"), "id", "left")
+    classes = work.keep(classes.select(*same, F.coalesce("least", "doc_id").alias("component_id")), "classes")
     out = digest.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
