@@ -77,9 +77,9 @@ candidate_resolve = _pairwise(resolve_candidate)
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def candidate_resolve_list(references: pa.Array, bases: pa.Array) -> pa.Array:
-    """resolve_candidate for lists; a reference to reject comes back empty, so places stay."""
+    """resolve_candidate for lists; a reference to reject comes back empty and a null one null, so places stay."""
     rows = zip(references.to_pylist(), bases.to_pylist(), strict=True)
-    return pa.array([[resolve_candidate(r, base) or "" for r in refs] if refs else [] for refs, base in rows], pa.list_(pa.string()))
+    return pa.array([[None if r is None else resolve_candidate(r, base) or "" for r in refs] if refs else [] for refs, base in rows], pa.list_(pa.string()))
 
 
 #: References whose resolution is plain concatenation: no dot segments, empty segments, escapes to make, ports or schemes.

@@ -44,12 +44,10 @@ def js_candidates(sources: DataFrame, origin_label: Column, *by: str) -> DataFra
     raw = raw.select(*by, "base_url", "discovered_from", "refs", base.alias("base"))
     easy = F.transform("refs", lambda x: urls.resolve_plain(x["raw"], F.col("base")))
     raw = raw.select(*by, "base_url", "discovered_from", "refs", easy.alias("easy"))
-    odd = F.transform(F.filter(F.arrays_zip("refs", "easy"), lambda x: x["easy"].isNull()), lambda x: x["refs"]["raw"])
-    raw = raw.select(*by, "discovered_from", "refs", "easy", urls.candidate_resolve_list(odd, F.col("base_url")).alias("hard"))
-    # the odd ones come back in order: the n-th null takes the n-th of them
-    nth = F.transform("easy", lambda x, i: F.when(x.isNull(), F.size(F.filter(F.slice(F.col("easy"), F.lit(1), i + 1), lambda y: y.isNull()))))
-    found = raw.select(*by, "discovered_from", "refs", "easy", "hard", F.when(F.size("hard") > 0, nth).alias("nth"))
-    url = lambda x, i: F.coalesce(x, F.get("hard", F.get("nth", i) - 1))
+    # the odd ones go and come back at their places, the others as nulls
+    odd = F.zip_with("refs", "easy", lambda x, y: F.when(y.isNull(), x["raw"]))
+    found = raw.select(*by, "discovered_from", "refs", "easy", urls.candidate_resolve_list(F.when(F.exists("easy", lambda x: x.isNull()), odd), F.col("base_url")).alias("hard"))
+    url = lambda x, i: F.coalesce(x, F.get("hard", i))
     entry = F.transform("easy", lambda x, i: F.struct(url(x, i).alias("url"), i.alias("seq"), F.get("refs", i)["type"].alias("type")))
     usable = F.filter(entry, lambda x: x["url"].isNotNull() & (x["url"] != "") & ~urls.is_asset(x["url"]))
     ordered_ = found.select(*by, "discovered_from", F.array_sort(usable).alias("s"))

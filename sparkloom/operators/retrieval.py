@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import rag_tokens, segments
+from sparkloom.sources.store import shared_dir
 
 SEGMENT, RESULTS, QUERY_CHARS, EXCLUDE_CHARS = 16384, 3, 6000, 256
 
@@ -32,9 +35,13 @@ def top_segments(segs: DataFrame, queries: DataFrame, *by: str, k: int = RESULTS
     Tokens of both sides meet by an equi-join within the artifact, which adaptive execution can split, and scores are sums, so a
     segment costs its tokens once however long the query is.
     """
-    tokens = segs.select(*by, "segment_index", F.explode(rag_tokens(F.col("segment"))).alias("token"))
-    met = tokens.join(query_weights(queries, *by), [*by, "token"])
-    scored = met.groupBy(*by, "query_id", "segment_index").agg(F.sum("asked").alias("score"))
+    tokens = segs.select(*by, "segment_index", F.explode(rag_tokens(F.col("segment"))).alias("token"), F.lit(1).cast("long").alias("weight"))
+    return _best(tokens, segs, queries, by, k)
+
+
+def _best(terms: DataFrame, segs: DataFrame, queries: DataFrame, by: tuple[str, ...], k: int) -> DataFrame:
+    met = terms.join(query_weights(queries, *by), [*by, "token"])
+    scored = met.groupBy(*by, "query_id", "segment_index").agg(F.sum(F.col("asked") * F.col("weight")).alias("score"))
     unwanted = queries.select(*by, "query_id", F.nullif(F.trim(F.substring("exclude", 1, EXCLUDE_CHARS)), F.lit("")).alias("exclude")).where("exclude is not null")
     dropped = segs.join(unwanted, list(by)).where(F.col("segment").contains(F.col("exclude"))).select(*by, "query_id", "segment_index")
     scored = scored.join(dropped, [*by, "query_id", "segment_index"], "left_anti")
@@ -42,6 +49,36 @@ def top_segments(segs: DataFrame, queries: DataFrame, *by: str, k: int = RESULTS
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+class Index:
+    """Segments' terms, written once in buckets of (by, token), and the segments in buckets of by: any number of query batches join both
+    where they lie, so only queries and scores are exchanged. ``drop`` when done; else the tables' files stay in the shared folder.
+    """
+
+    def __init__(self, segs: DataFrame, *by: str, buckets: int | None = None):
+        self.spark, self.by = segs.sparkSession, by
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.root = f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
+        self.names: list[str] = []
+        self.segs = self._write(segs, "segments", by)
+        self.terms = self._write(term_weights(self.segs, *by), "terms", (*by, "token"))
+
+    def _write(self, df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+        known = f"sparkloom_{name}_{uuid.uuid4().hex}"
+        df.repartition(self.buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(self.buckets, *keys).saveAsTable(known)
+        self.names.append(known)
+        return self.spark.table(known)
+
+    def top(self, queries: DataFrame, k: int = RESULTS) -> DataFrame:
+        """``top_segments`` of the stored ones."""
+        return _best(self.terms, self.segs, queries, self.by, k)
+
+    def drop(self) -> None:
+        for known in self.names:
+            self.spark.sql(f"DROP TABLE {known}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def with_segments(found: DataFrame, segs: DataFrame, *by: str) -> DataFrame:
     """top_segments with the segments' texts."""
     return found.join(segs.select(*by, "segment_index", "segment"), [*by, "segment_index"])

@@ -57,17 +57,35 @@ def graph_nodes(mentions: DataFrame) -> DataFrame:
     return nodes.select("run_id", "rank", "id", "type", "meta", (F.lit(120) + column * 210).cast("long").alias("x"), (F.lit(44) + y * 48).cast("long").alias("y"))
 
 
+#: Letters of a name that it is looked for by.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The different pieces of so many characters of a text; of no characters, the empty one."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(size == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(places, lambda at: F.substr(text, at, size))))
+
+
 def artifact_relations(artifacts: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
     """Which of a run's names (run_id, name_seq, name) an artifact's summary or URL tells of, of the first ten that do.
 
-    A name is told of as a token of either, whatever its case, or anywhere in the summary. A run's names, which its reports bound,
-    come to each of its artifacts as one list and are tested in the artifact's row.
+    A name is told of as a token of either, whatever its case, or anywhere in the summary. Neither compares all names with all
+    artifacts: tokens meet lower-cased names by a join, and a name is looked for in the summaries that hold the rarest of its pieces of three
+    letters (or its own length), by an index of those, and only there compared. A name of which some piece is nowhere is done.
     """
     text = artifacts.select("run_id", "artifact_seq", "url", F.coalesce("summary", F.lit("")).alias("summary"))
-    text = text.withColumn("tokens", F.array_distinct(F.concat(report_tokens(F.col("summary")), report_tokens(F.col("url")))))
-    listed = names.where("name is not null").groupBy("run_id").agg(ordered.ordered_list(F.col("name_seq"), F.col("name")).alias("names"))
-    told = F.filter("names", lambda x: F.array_contains("tokens", F.lower(x)) | F.col("summary").contains(x))
-    return text.join(listed, "run_id").select("run_id", "artifact_seq", F.array_distinct(F.slice(told, 1, most)).alias("names")).where(F.size("names") > 0)
+    names = names.where("name is not null").select("run_id", "name_seq", "name", F.least(F.length("name"), F.lit(GRAM)).alias("size"))
+    tokens = text.select("run_id", "artifact_seq", F.explode(F.array_distinct(F.concat(report_tokens(F.col("summary")), report_tokens(F.col("url"))))).alias("low"))
+    by_token = tokens.join(names.withColumn("low", F.lower("name")), ["run_id", "low"]).select("run_id", "artifact_seq", "name_seq", "name")
+    index = text.join(names.select("run_id", "size").distinct(), "run_id").select("run_id", "artifact_seq", F.explode(_grams(F.col("summary"), F.col("size"))).alias("gram"))
+    often = index.groupBy("run_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    pieces = names.select("run_id", "name_seq", "name", F.explode(_grams(F.col("name"), F.col("size"))).alias("gram")).join(often, ["run_id", "gram"], "left")
+    rarest = pieces.groupBy("run_id", "name_seq", "name").agg(F.count_if(F.col("n").isNull()).alias("nowhere"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("nowhere = 0")
+    held = rarest.join(index, ["run_id", "gram"]).join(text.select("run_id", "artifact_seq", "summary"), ["run_id", "artifact_seq"]).where(F.col("summary").contains(F.col("name")))
+    told = by_token.union(held.select("run_id", "artifact_seq", "name_seq", "name")).distinct()
+    first = ordered.cap(told, ["run_id", "artifact_seq"], [F.col("name_seq"), F.col("name")], most)
+    return first.groupBy("run_id", "artifact_seq").agg(F.array_distinct(ordered.ordered_list(F.col("rank"), F.col("name"))).alias("names"))
 
 
 def node_artifacts(nodes: DataFrame, artifacts: DataFrame, relations: DataFrame, most: int = 8) -> DataFrame:

@@ -11,6 +11,7 @@ from sparkloom.functions import parsing, text, urls
 from sparkloom.operators import candidates, dom, flows, ordered, planner, probes, retrieval, surface
 from sparkloom.plans import analysis, crawl
 from sparkloom.sources import synthetic
+from sparkloom.sources.store import keep
 from sparkloom.sources.synthetic import read, view
 
 QUERIES: dict = {}
@@ -232,6 +233,23 @@ def rag_topk(spark, sf_dir):
     return found.select("doc_id", "segment_index", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH {_SEGS.replace("1000", "16384")}, asked AS (SELECT doc_id, 0 AS query_id, text AS query, NULL AS exclude FROM documents UNION ALL SELECT doc_id, 1, substring(text, 101, 300), substring(text, 1001, 300) FROM documents),
+  q AS (SELECT doc_id, query_id, token, count(*) AS qw FROM (SELECT doc_id, query_id, unnest({_TOKENS.replace('segment', 'substring(query, 1, 6000)')}) AS token FROM asked) t GROUP BY ALL),
+  s AS (SELECT doc_id, segment_index, token, count(*) AS sw FROM (SELECT doc_id, segment_index, unnest({_TOKENS}) AS token FROM segs) t GROUP BY ALL),
+  x AS (SELECT doc_id, query_id, segment_index FROM segs JOIN asked USING (doc_id) WHERE trim(substring(exclude, 1, 256), ' ') <> '' AND contains(segment, trim(substring(exclude, 1, 256), ' '))),
+  d AS (SELECT doc_id, query_id, segment_index, sum(qw * sw)::BIGINT AS score FROM s JOIN q USING (doc_id, token) GROUP BY ALL)
+SELECT * FROM (SELECT doc_id, query_id, segment_index, score, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY score DESC, segment_index) AS rank FROM d ANTI JOIN x USING (doc_id, query_id, segment_index)) y WHERE rank <= 3""")
+def rag_stored(spark, sf_dir):
+    """Two batches of queries over one stored index: whole texts, and passages, where segments that hold what the asker has are left out."""
+    docs = read(spark, sf_dir, "documents")
+    index = retrieval.Index(retrieval.segment_rows(docs, "text", "doc_id"), "doc_id")
+    whole = docs.select("doc_id", F.lit(0).alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("exclude"))
+    passages = docs.select("doc_id", F.lit(1).alias("query_id"), F.substring("text", 101, 300).alias("query"), F.substring("text", 1001, 300).alias("exclude"))
+    found = keep(index.top(whole).unionByName(index.top(passages)), "found")
+    index.drop()
+    return found.select("doc_id", "query_id", "segment_index", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT source, count(*) AS artifacts, sum(ceil(len(text) / 1000.0))::BIGINT AS segments FROM documents GROUP BY source")
 def rag_describe(spark, sf_dir):
     n = F.ceil(F.length("text") / 1000.0)
