@@ -45,9 +45,9 @@ TOKENIZER = "byte_bpe_50k.json"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Within a word, places where the pattern always starts a token too: behind a letter before one of these signs, and behind a single end of line.
 STEM = re.compile(r"(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])(?=[.,;:!?])|(?<=\S\n)(?=[A-Za-z])")
-#: Words up to so many characters are remembered until there are so many of them; a long text is cut to words so many characters at a time, and
+#: Words up to so many characters are remembered, twice so many of them at most; a long text is cut to words so many characters at a time, and
 #: short ones are handled so many bytes together.
-WORD_CHARS, MEMORY, CHUNK, GROUP = 48, 800_000, 1_000_000, 6_000_000
+WORD_CHARS, MEMORY, CHUNK, GROUP = 48, 600_000, 1_000_000, 6_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, k long"
 PLAN = "length long, first long, last long, per long, sequence long, place long"
 
@@ -82,7 +82,8 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
-        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # words by what stands before them
+        # words by what stands before them, those of late and those before; what was not met in between is forgotten
+        self.known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
 
     def _whole(self, word: str, lead: str) -> bytes:
         if LETTERS.fullmatch(word):
@@ -102,19 +103,19 @@ class Tokens:
 
     def _words(self, words: list[str], lead: str, odd: list[int] | None = None) -> list[bytes]:
         """Ids of words; odd gets the numbers of odd ones, which are never remembered."""
-        known = self.known[lead]
-        out = list(map(known.get, words))
+        late, before = self.known[lead]
+        out = list(map(late.get, words))
         if None in out:
-            if len(known) > MEMORY:
-                known.clear()
+            if len(late) > MEMORY:
+                self.known[lead] = late, before = {}, late
             for k, word in enumerate(words):
                 if out[k] is None:
-                    out[k] = known.get(word) or self._word(word, lead)
+                    out[k] = late.get(word) or before.get(word) or self._word(word, lead)
                     if _odd(word):
                         if odd is not None:
                             odd.append(k)
                     elif len(word) <= WORD_CHARS:
-                        known[word] = out[k]
+                        late[word] = out[k]
         return out
 
     def __call__(self, text: str) -> bytes:
