@@ -374,8 +374,8 @@ SELECT run_id, 1 AS rule, 'medium' AS severity, array_to_string(list(url ORDER B
 UNION ALL SELECT run_id, 2, 'low', array_to_string(list(label ORDER BY rule), '|') FROM (SELECT DISTINCT run_id, rule, label FROM fp) f GROUP BY run_id
 UNION ALL SELECT run_id, 3, 'low', 'Primary authentication flow' FROM au WHERE run_id NOT IN (SELECT run_id FROM cps)""")
 def security_findings(spark, sf_dir):
-    a, s = view(spark, sf_dir, "artifacts"), snapshots(spark, sf_dir)
-    ends, gql = surface.api_endpoints(a), surface.graphql_endpoints(a)
+    a, s = keep(flows.scanned(view(spark, sf_dir, "artifacts")), "artifacts"), snapshots(spark, sf_dir)
+    ends, gql = keep(surface.api_endpoints(a), "endpoints"), surface.graphql_endpoints(a)
     replies = gql.select("url", F.when(F.col("run_id") % 3 == 0, "supported").otherwise("blocked").alias("introspection_status")).where("url like 'https://site-%'").distinct()
     gql = surface.with_introspection(gql, replies, a.select("run_id", "target_url").distinct())
     out = flows.security_findings(flows.auth_flows(s, ends, a), flows.captcha_flows(s, ends, a), flows.fingerprint_signals(ends, a), gql)
@@ -431,9 +431,10 @@ UNION ALL SELECT run_id, 'captcha', 0, array_to_string(list_concat(provs, ['reco
 UNION ALL SELECT run_id, 'fingerprint', rule, array_to_string(ev, '|') FROM {_firsts('run_id, rule', 12, 'ev', 'm_fp')} x UNION ALL SELECT run_id, 'fingerprint', 0, 'recorded' FROM sig WHERE len(a3) > 0 AND run_id NOT IN (SELECT run_id FROM fp)
 UNION ALL SELECT run_id, 'encryption', rule, array_to_string(ev, '|') FROM {_firsts('run_id, rule', 12, 'ev', 'm_en')} x UNION ALL SELECT run_id, 'encryption', 0, 'recorded' FROM sig WHERE len(hs) > 0 AND run_id NOT IN (SELECT run_id FROM en)""")
 def runtime_merge(spark, sf_dir):
-    a = view(spark, sf_dir, "artifacts")
-    ends, s = surface.api_endpoints(a), snapshots(spark, sf_dir)
+    a = keep(flows.scanned(view(spark, sf_dir, "artifacts")), "artifacts")
+    ends, s = keep(surface.api_endpoints(a), "endpoints"), snapshots(spark, sf_dir)
     trace = flows.runtime_signals(view(spark, sf_dir, "requests"), sessions(spark, sf_dir)).withColumns({"status": F.lit("captured"), "notes": F.array(F.lit("recorded"))})
+    trace = keep(trace, "trace")
     parts = [
         flows.merge_auth(flows.auth_flows(s, ends, a), trace).select("run_id", F.lit("auth").alias("kind"), F.lit(0).alias("rule"), "evidence"), flows.merge_captcha(flows.captcha_flows(s, ends, a), trace).select("run_id", F.lit("captcha").alias("kind"), "rule", "evidence"),
         flows.merge_fingerprint(flows.fingerprint_signals(ends, a), trace).select("run_id", F.lit("fingerprint").alias("kind"), "rule", "evidence"), flows.merge_encryption(flows.encryption_signals(ends, a), trace).select("run_id", F.lit("encryption").alias("kind"), "rule", "evidence"),
