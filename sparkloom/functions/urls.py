@@ -161,3 +161,9 @@ def asset_type(url: Column, fallback: Column | str) -> Column:
     p = F.lower(path(url))
     other = F.lit(fallback) if isinstance(fallback, str) else fallback
     return F.when(p.endswith(".wasm"), "wasm").when(p.endswith(".map"), "source-map").when(p.endswith(".html") | p.endswith(".htm"), "html").otherwise(other)
+
+
+def type_of(url: str, fallback: str) -> str:
+    """asset_type of one address."""
+    p = re.split("[?#]", url, maxsplit=1)[0].lower()
+    return next((kind for end, kind in ((".wasm", "wasm"), (".map", "source-map"), (".html", "html"), (".htm", "html")) if p.endswith(end)), fallback)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -56,6 +57,38 @@ def js_candidates(sources: DataFrame, origin_label: Column, *by: str) -> DataFra
     return rows.select(*by, F.col("c.seq").alias("seq"), "c.url", "discovered_from", urls.asset_type(F.col("c.url"), F.col("c.type")).alias("type"))
 
 
+class JsCandidates:
+    """Table function for SQL: a script and its address to (seq, url, type), as ``js_candidates`` has them for a table.
+
+    SELECT a.url, c.* FROM artifacts a, LATERAL js_candidates(a.content, a.url) c
+    """
+
+    schema = "seq int, url string, type string"
+
+    def eval(self, content: str, base: str):
+        seen, seq = set(), 0
+        for pattern, kind in JS_PATTERNS:
+            for found in re.finditer(pattern, content or "", re.ASCII):
+                url = urls.resolve_candidate(found[1], base)
+                if url and url not in seen:
+                    seen.add(url)
+                    yield seq, url, urls.type_of(url, kind)
+                seq += 1
+
+
+class HtmlReferences:
+    """Table function for SQL: a page to (seq, reference, kind) of its scripts, preloads, links, frames and forms, as they are written."""
+
+    schema = "seq int, reference string, kind string"
+
+    def eval(self, html: str):
+        parser = _References()
+        parser.feed(html or "")
+        parser.close()
+        for seq, (_, _, reference, kind) in enumerate(sorted(parser.found)):
+            yield seq, reference, kind
+
+
 class _References(HTMLParser):
     """Script, preload and page references, and the code of inline scripts, each numbered by pass and place."""
 

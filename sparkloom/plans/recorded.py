@@ -8,6 +8,7 @@ from sparkloom.functions import parsing, text, urls
 from sparkloom.operators import candidates, dom, flows, planner, probes, surface
 from sparkloom.plans import agents, analysis, run
 from sparkloom.plans.queries import _ENDS, _GQL_ENDS, joined, query
+from sparkloom.sources.store import keep
 from sparkloom.sources.synthetic import read, view
 
 
@@ -242,8 +243,8 @@ def text_renderings(spark, sf_dir):
 
 @query(f"""WITH$, {_ENDS}, s AS (SELECT DISTINCT run_id, url FROM ends) SELECT run_id, count(*) AS endpoints, count(*) FILTER (WHERE regexp_matches(url, '(?i)auth|login')) AS auth_like FROM s GROUP BY run_id""")
 def run_counters(spark, sf_dir):
-    ends = surface.api_endpoints(view(spark, sf_dir, "artifacts"))
-    return ends.select("run_id", "url").distinct().groupBy("run_id").agg(F.count("*").alias("endpoints"), F.count_if(F.col("url").rlike("(?i)auth|login")).alias("auth_like"))
+    ends = keep(surface.api_endpoints(view(spark, sf_dir, "artifacts")).select("run_id", "url").distinct(), "endpoints")
+    return run.counters({"endpoints": ends, "auth_like": ends.where(F.col("url").rlike("(?i)auth|login"))})
 
 
 _SUMMED = """SELECT o_custkey AS run_id, o_orderkey AS artifact_seq, 'https://h.example.com/' || CAST(o_orderkey % 3 AS STRING) AS url, 'script' AS type, o_orderkey AS size_bytes, 'html:script' AS discovered_from, o_orderkey % 2 = 0 AS formatting_skipped, CAST(NULL AS STRING) AS formatting_note, 'c' || CAST(o_orderkey AS STRING) AS content, 'f' AS formatted_content, o_orderpriority AS summary FROM orders"""

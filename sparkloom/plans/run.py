@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import parsing, text, urls
-from sparkloom.operators import dom, flows, ordered, planner, probes, retrieval, surface
+from sparkloom.operators import candidates, dom, flows, ordered, planner, probes, retrieval, surface
 from sparkloom.plans import agents, analysis, crawl, report
 from sparkloom.plans.options import LEAST_FOR_RETRIEVAL, Options, concurrency_default, retrieval_default
 from sparkloom.sources.files import MARK, write_files
@@ -344,7 +344,15 @@ def _agents(spark, options: Options, artifacts: DataFrame, named: DataFrame, rep
     return tables
 
 
+def counters(tables: dict[str, DataFrame]) -> DataFrame:
+    """run_id and how many rows each table has of it, all counted in one pass: a run that some table lacks has 0 there."""
+    rows = analysis.union_all([df.select("run_id", F.lit(name).alias("name")) for name, df in tables.items()])
+    return rows.groupBy("run_id").agg(*(F.count_if(F.col("name") == name).alias(name) for name in tables))
+
+
 def register(spark) -> None:
-    """The parsing functions by name, for SQL."""
+    """The parsing functions and table functions by name, for SQL."""
     for name, fn in {"url_resolve": urls.url_resolve, "chunk_text": parsing.text_chunks, "dom_snapshot": dom.dom_snapshot, "wasm_summary": parsing.wasm_summary, "extract_json": parsing.extract_json, "model_context": parsing.model_context}.items():
         spark.udf.register(name, fn)
+    for name, table in {"js_candidates": candidates.JsCandidates, "html_references": candidates.HtmlReferences}.items():
+        spark.udtf.register(name, F.udtf(table, returnType=table.schema))

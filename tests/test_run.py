@@ -4,7 +4,9 @@ import json
 import stat
 
 import pytest
+from pyspark.sql import functions as F
 
+from sparkloom.operators import candidates
 from sparkloom.plans import options, run
 from sparkloom.plans.options import ConfigError, Options
 
@@ -158,6 +160,23 @@ def test_names_for_sql(spark):
     assert spark.sql("select size(chunk_text('aaaa', 2))").first()[0] == 2
 
 
+def test_table_functions_for_sql(spark):
+    run.register(spark)
+    scripts = [(1, JS + ' import x from "./b.js"; import("./b.js"); new Worker("/w.js?x=é"); "/m.wasm" "/i.png" "http://[bad/a.js" //# sourceMappingURL=a.map'), (2, None), (3, 'new Worker("./c.mjs"); export * from `/page.html`;')]
+    frame = spark.createDataFrame([(k, "https://h.example.com/d/a.js", c) for k, c in scripts], "k int, base_url string, content string")
+    frame.createOrReplaceTempView("scripts")
+    got = [tuple(r) for r in spark.sql("SELECT k, c.seq, c.url, c.type FROM scripts, LATERAL js_candidates(content, base_url) c").collect()]
+    want = [tuple(r) for r in candidates.js_candidates(frame, F.lit("x"), "k").select("k", "seq", "url", "type").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 5
+    page = spark.sql("""SELECT r.* FROM (SELECT '<script src="/a.js"></script><a href="/b">b</a><script>1</script>' AS html), LATERAL html_references(html) r""").collect()
+    assert [tuple(r) for r in page] == [(0, "/a.js", "html:script"), (1, "/b", "html:a")]
+
+
+def test_counters_of_tables(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "run_id long"), spark.createDataFrame([(2,), (3,)], "run_id long")
+    assert {tuple(r) for r in run.counters({"a": a, "b": b}).collect()} == {(1, 2, 0), (2, 1, 1), (3, 0, 1)}
+
+
 def test_chunk_tasks(spark):
     rows = spark.createDataFrame([(1, 1, "high", "a" * 200_000), (1, 2, "low", "b")], "run_id long, artifact_seq long, priority string, content string")
     got = {(r.artifact_seq, r.chunk_index): r.agents for r in run.chunk_tasks(rows, 1000).collect()}
