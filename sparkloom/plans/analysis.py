@@ -129,7 +129,8 @@ def manifest_name(seq: Column, url: Column, type_: Column) -> Column:
     last = F.element_at(F.split(F.regexp_replace(F.regexp_extract(url, r"^[^?#]*", 0), "/+$", ""), "/"), -1)
     path = F.regexp_extract(url, r"^[a-z]+://[^/?#]*/+([^?#]*)", 1)
     name = F.when(path == "", type_).otherwise(F.coalesce(F.nullif(last, F.lit("")), type_))
-    return F.concat(file_name(F.concat_ws("-", F.lpad(seq.cast("string"), 3, "0"), host(url), name)), F.lit(".txt"))
+    digits = seq.cast("string")  # three at least; lpad alone would cut longer ones
+    return F.concat(file_name(F.concat_ws("-", F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")), host(url), name)), F.lit(".txt"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
