@@ -21,8 +21,8 @@ def words_re(*alternatives: str) -> str:
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of white space to one space, trimmed."""
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    """Runs of white space to one space, trimmed. A single space between visible ASCII is passed over, and other ASCII is told from white space by one range."""
+    return F.trim(F.regexp_replace(text, f"(?=[^!-~])(?! [!-~]){WS}+", " "))
 
 
 def clip(text: Column, n: int = 220) -> Column:

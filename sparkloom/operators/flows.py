@@ -91,8 +91,16 @@ def _trie(words) -> str:
     for w in sorted({*words}):
         heads.setdefault(w[:1], []).append(w[1:])
     ends = "" in heads
-    some = [re.escape(c) + _trie(rest) for c, rest in heads.items() if c]
-    return "" if not some else (some[0] if len(some) == 1 and not ends else f"(?:{'|'.join(some)}){'?' if ends else ''}")
+    some = [(c, re.escape(c) + _trie(rest)) for c, rest in heads.items() if c]
+    return "" if not some else (some[0][1] if len(some) == 1 and not ends else f"(?:{_halved(some)}){'?' if ends else ''}")
+
+
+def _halved(some: list[tuple[str, str]]) -> str:
+    """Alternatives by their first letters, halved until few are left, so that a place is not tried with each."""
+    if len(some) < 4:
+        return "|".join(p for _, p in some)
+    half = len(some) // 2
+    return "|".join(f"(?=[{''.join(re.escape(c) for c, _ in own)}])(?:{_halved(own)})" for own in (some[:half], some[half:]))
 
 
 def needles_held(text: Column, needles: tuple[str, ...] = NEEDLES) -> Column:
@@ -206,14 +214,15 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
 def captcha_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     """A flow for each provider that a run's artifacts or page summaries name."""
     rules = hits(F.col("content"), CAPTCHA, CAPTCHA_NEEDLES, F.col("held"))
-    own = scanned(artifacts).select("run_id", "artifact_seq", F.explode(rules).alias("rule"), error_strings(F.col("content"), F.col("held")).alias("errors"), _evidence(F.col("content")).alias("evidence"))
+    own = scanned(artifacts).select("run_id", "artifact_seq", "content", "held", F.explode_outer(rules).alias("rule")).where("rule is not null")
+    own = own.select("run_id", "artifact_seq", "rule", error_strings(F.col("content"), F.col("held")).alias("errors"), _evidence(F.col("content")).alias("evidence"))
     seq = F.col("artifact_seq")
     own = capped_lists(own, ["run_id", "rule"], {"errors": Listed(seq, F.col("errors"), 8), "texts": Listed(seq, F.array("evidence"), 10)})
-    told = snapshots.select("run_id", "page_seq", "summary", F.explode(hits(F.col("summary"), CAPTCHA, CAPTCHA_NEEDLES)).alias("rule")).groupBy("run_id", "rule").agg(ordered_list(F.col("page_seq"), F.col("summary")).alias("summaries"))
+    told = snapshots.select("run_id", "page_seq", "summary", F.explode_outer(hits(F.col("summary"), CAPTCHA, CAPTCHA_NEEDLES)).alias("rule")).where("rule is not null").groupBy("run_id", "rule").agg(ordered_list(F.col("page_seq"), F.col("summary")).alias("summaries"))
     flows = own.join(told, ["run_id", "rule"], "full")
     named = F.concat_ws(" ", "url", "purpose")
     rules = F.when(F.col("url").rlike(CAPTCHA_RELATED), F.sequence(F.lit(0), F.lit(len(CAPTCHA) - 1))).otherwise(hits(named, CAPTCHA, CAPTCHA_NEEDLES))
-    ends = endpoints.select("run_id", "rank", "url", "request_fields", F.explode(rules).alias("rule"))
+    ends = endpoints.select("run_id", "rank", "url", "request_fields", F.explode_outer(rules).alias("rule")).where("rule is not null")
     ends = capped_lists(ends, ["run_id", "rule"], {"endpoints": Listed(F.col("rank"), F.array("url"), 12, distinct=False), "request_fields": Listed(F.col("rank"), F.col("request_fields"), 12)})
     entries = F.concat(F.array("title"), F.col("headings"), F.array("summary"))
     words = snapshots.groupBy("run_id").agg(F.flatten(ordered_list(F.col("page_seq"), entries)).alias("words"))
@@ -228,8 +237,7 @@ def captcha_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFra
 
 def fingerprint_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     found = found_by_rule(F.col("content"), FINGERPRINT, FINGERPRINT_NEEDLES, "points", F.col("held"))
-    rows = scanned(artifacts).select("run_id", "artifact_seq", "url", "content", found.alias("found")).where(F.size("found") > 0)
-    rows = rows.select("run_id", "artifact_seq", "url", _evidence(F.col("content")).alias("text"), F.explode("found").alias("f")).withColumn("rule", F.col("f.rule"))
+    rows = scanned(artifacts).select("run_id", "artifact_seq", "url", _evidence(F.col("content")).alias("text"), F.explode_outer(found).alias("f")).where("f is not null").withColumn("rule", F.col("f.rule"))
     seq = F.col("artifact_seq")
     rows = capped_lists(rows, ["run_id", "rule"], {"data_points": Listed(seq, F.col("f.points"), 12), "evidence": Listed(seq, F.array(F.concat_ws(": ", "url", "text")), 8, distinct=False)})
     rows = rows.join(_destinations(endpoints, FINGERPRINT_TO), "run_id", "left").withColumn("destination_urls", _empty("destination_urls"))
@@ -239,8 +247,8 @@ def fingerprint_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame
 def encryption_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     text, seq = F.col("content"), F.col("artifact_seq")
     found = found_by_rule(text, ENCRYPTION, ENCRYPTION_NEEDLES, "hints", F.col("held"))
-    rows = scanned(artifacts).select("run_id", "artifact_seq", "url", "content", found.alias("found")).where(F.size("found") > 0)
-    rows = rows.select("run_id", "artifact_seq", "url", _evidence(text).alias("text"), take(text, ENCRYPTION_IN).alias("ins"), take(text, ENCRYPTION_OUT).alias("outs"), F.explode("found").alias("f")).withColumn("rule", F.col("f.rule"))
+    rows = scanned(artifacts).select("run_id", "artifact_seq", "url", "content", F.explode_outer(found).alias("f")).where("f is not null")
+    rows = rows.select("run_id", "artifact_seq", "url", _evidence(text).alias("text"), take(text, ENCRYPTION_IN).alias("ins"), take(text, ENCRYPTION_OUT).alias("outs"), "f", F.col("f.rule").alias("rule"))
     lists = {"algorithm_hints": "f.hints", "inputs": "ins", "outputs": "outs"}
     rows = capped_lists(rows, ["run_id", "rule"], {**{name: Listed(seq, F.col(c), 12) for name, c in lists.items()}, "evidence": Listed(seq, F.array(F.concat_ws(": ", "url", "text")), 8, distinct=False)})
     rows = rows.join(_destinations(endpoints, ENCRYPTION_TO), "run_id", "left")
@@ -287,7 +295,7 @@ def runtime_signals(requests: DataFrame, session: DataFrame | None = None) -> Da
     lists = capped_lists(
         rows, ["run_id"],
         {
-            **{name: Listed(seq, when(url, p), 20) for name, p in asked_for.items()}, "_console_hints": Listed(seq, crypto(console), None), "_error_hints": Listed(seq, crypto(error), None),
+            **{name: Listed(seq, when(url, p), 20) for name, p in asked_for.items()}, "_console_hints": Listed(seq, crypto(console), 20), "_error_hints": Listed(seq, crypto(error), 20),
             "console": Listed(seq, F.array(console), 60), "console_lines": Listed(seq, F.array(line), 60, distinct=False), "page_errors": Listed(seq, F.array(error), 20), "frame_urls": Listed(seq, F.array("frame_url"), 40),
         },
         *(told(p).alias(f"_told{k}") for k, (p, _) in enumerate(RUNTIME_PROVIDERS)),
@@ -325,35 +333,34 @@ def merge_captcha(flows: DataFrame, traces: DataFrame) -> DataFrame:
     seen = traces.where("status = 'captured'").withColumn("messages", F.filter(F.array_distinct(F.concat("page_errors", "console")), lambda x: x.rlike("(?i)(captcha|challenge|turnstile|recaptcha|hcaptcha|verify|risk)")))
     seen = seen.where((F.size("captcha_providers") > 0) | (F.size("challenge_request_urls") > 0) | (F.size("messages") > 0)).select("run_id", "captcha_providers", "challenge_request_urls", "messages", "notes")
     first = F.get("captcha_providers", 0)
-    both = flows.join(seen, "run_id", "left")
-    more = lambda column, *add: F.when(F.col("messages").isNotNull(), F.slice(F.array_distinct(F.concat(column, *add)), 1, 12)).otherwise(F.col(column)).alias(column)
-    told = both.select("run_id", "rule", F.coalesce(first, "provider").alias("provider"), "triggers", more("endpoints", "challenge_request_urls"), "request_fields", more("errors", "messages"), more("evidence", "captcha_providers", "notes"))
-    new = seen.join(flows.select("run_id").distinct(), "run_id", "left_anti").select(
-        "run_id", F.lit(0).alias("rule"), F.coalesce(first, F.lit(RUNTIME_CHALLENGE_TITLE)).alias("provider"), F.slice("messages", 1, 6).alias("triggers"), F.col("challenge_request_urls").alias("endpoints"),
-        F.array().cast("array<string>").alias("request_fields"), F.slice("messages", 1, 10).alias("errors"), F.concat("captcha_providers", "notes").alias("evidence"),
-    )
-    return told.unionByName(new)
+    more = lambda column, *add: F.when(F.col("messages").isNotNull(), F.slice(F.array_distinct(F.concat(column, *add)), 1, 12)).otherwise(F.col(column))
+    return _merged(flows, seen, {
+        "provider": (F.coalesce(first, "provider"), F.coalesce(first, F.lit(RUNTIME_CHALLENGE_TITLE))), "triggers": (F.col("triggers"), F.slice("messages", 1, 6)), "endpoints": (more("endpoints", "challenge_request_urls"), F.col("challenge_request_urls")),
+        "request_fields": (F.col("request_fields"), F.array().cast("array<string>")), "errors": (more("errors", "messages"), F.slice("messages", 1, 10)), "evidence": (more("evidence", "captcha_providers", "notes"), F.concat("captcha_providers", "notes")),
+    })
+
+
+def _merged(known: DataFrame, seen: DataFrame, columns: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """run_id, rule and columns: each by its first expression for known rows, with what was seen of their run, and by its second for runs of which only seen has a row. One join, so both are computed once."""
+    both, new = known.join(seen, "run_id", "full"), F.col("rule").isNull()
+    return both.select("run_id", F.coalesce("rule", F.lit(0)).alias("rule"), *(F.when(new, alone).otherwise(told).alias(name) for name, (told, alone) in columns.items()))
 
 
 def merge_fingerprint(signals: DataFrame, traces: DataFrame) -> DataFrame:
     seen = traces.where((F.col("status") == "captured") & (F.size("fingerprinting_request_urls") > 0)).select("run_id", "fingerprinting_request_urls", "notes", "interesting_globals")
-    both, has = signals.join(seen, "run_id", "left"), F.col("notes").isNotNull()
-    told = both.select(
-        "run_id", "rule", "collector", "data_points", F.when(has, F.slice(F.array_distinct(F.concat("destination_urls", "fingerprinting_request_urls")), 1, 10)).otherwise(F.col("destination_urls")).alias("destination_urls"), "purpose",
-        F.when(has, F.slice(F.array_distinct(F.concat("evidence", "notes")), 1, 12)).otherwise(F.col("evidence")).alias("evidence"),
-    )
-    new = seen.join(signals.select("run_id").distinct(), "run_id", "left_anti").select(
-        "run_id", F.lit(0).alias("rule"), F.lit(RUNTIME_COLLECTOR).alias("collector"), F.col("interesting_globals").alias("data_points"), F.col("fingerprinting_request_urls").alias("destination_urls"),
-        F.lit(RUNTIME_PURPOSE).alias("purpose"), F.col("notes").alias("evidence"),
-    )
-    return told.unionByName(new)
+    has = F.col("notes").isNotNull()
+    more = lambda column, add, n: F.when(has, F.slice(F.array_distinct(F.concat(column, add)), 1, n)).otherwise(F.col(column))
+    return _merged(signals, seen, {
+        "collector": (F.col("collector"), F.lit(RUNTIME_COLLECTOR)), "data_points": (F.col("data_points"), F.col("interesting_globals")), "destination_urls": (more("destination_urls", "fingerprinting_request_urls", 10), F.col("fingerprinting_request_urls")),
+        "purpose": (F.col("purpose"), F.lit(RUNTIME_PURPOSE)), "evidence": (more("evidence", "notes", 12), F.col("notes")),
+    })
 
 
 def merge_encryption(signals: DataFrame, traces: DataFrame) -> DataFrame:
     seen = traces.where((F.col("status") == "captured") & (F.size("encryption_hints") > 0)).select("run_id", "encryption_hints", "auth_request_urls", "notes")
-    both, has = signals.join(seen, "run_id", "left"), F.col("notes").isNotNull()
-    more = lambda column, add, n: F.when(has, F.slice(F.array_distinct(F.concat(column, add)), 1, n)).otherwise(F.col(column)).alias(column)
-    told = both.select("run_id", "rule", more("algorithm_hints", "encryption_hints", 12), "inputs", "outputs", more("destination_urls", "auth_request_urls", 10), more("evidence", "notes", 12))
-    none = F.array().cast("array<string>")
-    new = seen.join(signals.select("run_id").distinct(), "run_id", "left_anti").select("run_id", F.lit(0).alias("rule"), F.col("encryption_hints").alias("algorithm_hints"), none.alias("inputs"), none.alias("outputs"), F.col("auth_request_urls").alias("destination_urls"), F.col("notes").alias("evidence"))
-    return told.unionByName(new)
+    has, none = F.col("notes").isNotNull(), F.array().cast("array<string>")
+    more = lambda column, add, n: F.when(has, F.slice(F.array_distinct(F.concat(column, add)), 1, n)).otherwise(F.col(column))
+    return _merged(signals, seen, {
+        "algorithm_hints": (more("algorithm_hints", "encryption_hints", 12), F.col("encryption_hints")), "inputs": (F.col("inputs"), none), "outputs": (F.col("outputs"), none),
+        "destination_urls": (more("destination_urls", "auth_request_urls", 10), F.col("auth_request_urls")), "evidence": (more("evidence", "notes", 12), F.col("notes")),
+    })

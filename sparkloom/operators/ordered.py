@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 _ONE = "\x01"
+_LOCATED = "array<struct<at:int,m:string>>"
 
 
 def _mark(text: Column) -> Column:
@@ -31,13 +32,17 @@ def _bound(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+#: Parts up to which a list is folded at once.
+ONE_BLOCK = 64
+
+
 def _located(parts: Column) -> Column:
     """[(at, m)] of the matches with their 0-based offsets.
 
     A list that grows in a fold is copied at each step, so parts are folded in blocks of about the root of their number, each from the
-    place where it starts: 20,000 matches take some millions of steps, not hundreds of millions.
+    place where it starts: 20,000 matches take some millions of steps, not hundreds of millions. Few parts are one block.
     """
-    none = F.array().cast("array<struct<at:int,m:string>>")
+    none = F.array().cast(_LOCATED)
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -56,7 +61,7 @@ def _located(parts: Column) -> Column:
         starts = F.aggregate(long, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
         return F.flatten(F.zip_with(blocks, starts, of))
 
-    return _bound(parts, lambda p: _bound(cut(p), located))
+    return _bound(parts, lambda p: F.when(F.size(p) <= ONE_BLOCK, of(p, F.lit(0))).otherwise(_bound(cut(p), located)))
 
 
 def match_offsets(text: Column, pattern: str) -> Column:
@@ -68,10 +73,11 @@ def matches(df: DataFrame, text: str, patterns: str | list[str], groups: dict[st
 
     Each pattern's text is searched once; groups are taken from the match alone, so a pattern must not look around, nor match the
     empty string. Windows (characters before and behind a match's start) are taken in the row, so the text is not carried on.
+    What is computed is tested only behind the explode, and that is an outer one: a filter of a computed column, as an explode brings one
+    along, would be pushed below and compute it once more.
     """
     patterns = [patterns] if isinstance(patterns, str) else patterns
     cut = df.select(*keep, text, *(_parts(F.col(text), p).alias(f"_p{k}") for k, p in enumerate(patterns)))
-    cut = cut.where(reduce(lambda x, y: x | y, (F.size(f"_p{k}") > 1 for k in range(len(patterns)))))
 
     def entry(k: int):
         def of(x: Column, i: Column) -> Column:
@@ -80,8 +86,8 @@ def matches(df: DataFrame, text: str, patterns: str | list[str], groups: dict[st
 
         return of
 
-    found = F.concat(*(F.transform(_located(F.col(f"_p{k}")), entry(k)) for k in range(len(patterns))))
-    hits = cut.select(*keep, F.explode(found).alias("x"))
+    found = F.concat(*(F.transform(F.when(F.size(f"_p{k}") > 1, _located(F.col(f"_p{k}"))).otherwise(F.array().cast(_LOCATED)), entry(k)) for k in range(len(patterns))))
+    hits = cut.select(*keep, F.explode_outer(found).alias("x")).where("x is not null")
 
     def group(g: int) -> Column:
         own = [F.col("x.m") if g == 0 else F.regexp_extract("x.m", p, g) for p in patterns]
@@ -130,24 +136,31 @@ class Listed:
 def capped_lists(df: DataFrame, by: list[str], lists: dict[str, Listed], *more: Column) -> DataFrame:
     """by, a column for each list, and more aggregates: a row for each group, also for one whose lists are all empty.
 
-    No group is gathered before it is cut. Entries become rows; each distinct one keeps its least place, which is combined before the
-    shuffle; places are ranked within a group's list, and only those within n are gathered. Nulls and empty values are left out.
+    No group is gathered before it is cut. Entries become rows; each distinct one keeps its least place, a number, so that it is hashed and combined
+    before the shuffle; places are ranked within a group's list, and only those within n are gathered. Nulls and empty values are left out. Lists with and
+    without a cap are exploded apart, so that what a list takes is computed once.
     """
     def entries(k: int, asked: Listed) -> Column:
         at = asked.order.cast("long")
-        rows = F.transform(asked.values, lambda v, i: F.struct(F.lit(k).alias("k"), v.alias("v"), F.struct(at.alias("o"), i.cast("int").alias("i")).alias("at"), F.when(F.lit(not asked.distinct), at).alias("u")))
-        return F.filter(rows, lambda x: x["v"].isNotNull() & (x["v"] != ""))
-
-    kind = "array<struct<k:int,v:string,at:struct<o:bigint,i:int>,u:bigint>>"
-    group = F.array(F.struct(F.lit(-1), F.lit(""), F.struct(F.lit(0).cast("long"), F.lit(0)), F.lit(None).cast("long"))).cast(kind)
-    rows = df.select(*by, F.explode(F.concat(group, *(F.coalesce(entries(k, asked).cast(kind), F.array().cast(kind)) for k, asked in enumerate(lists.values())))).alias("x")).select(*by, "x.*")
-    rows = rows.groupBy(*by, "k", "v", "u").agg(F.min("at").alias("at"))
-    cut = [asked.n for asked in lists.values() if asked.n is not None]
-    whole = F.array(*(F.lit(k) for k, asked in enumerate(lists.values()) if asked.n is None), F.lit(-1))
-    first = Window.partitionBy(*by, "k").orderBy("at", "v")
-    few = rows.where(F.array_contains(whole, F.col("k"))).withColumn("rank", F.lit(0))
+        rows = F.transform(asked.values, lambda v, i: F.struct(F.lit(k).alias("k"), v.alias("v"), at.alias("o"), i.cast("int").alias("i"), F.when(F.lit(not asked.distinct), at).alias("u")))
+        return F.coalesce(F.filter(rows, lambda x: x["v"].isNotNull() & (x["v"] != "")).cast(kind), F.array().cast(kind))
+
+    kind = "array<struct<k:int,v:string,o:bigint,i:int,u:bigint>>"
+    group = F.array(F.struct(F.lit(-1), F.lit(""), F.lit(0).cast("long"), F.lit(0), F.lit(None).cast("long"))).cast(kind)
+
+    def firsts(some: dict[int, Listed]) -> DataFrame:
+        """A row for each entry with its least place; one that says that the group exists where a row of df has no entry."""
+        found = _bound(F.concat(*(entries(k, asked) for k, asked in some.items())), lambda x: F.when(F.size(x) == 0, group).otherwise(x))
+        rows = df.select(*by, F.explode_outer(found).alias("x")).select(*by, "x.k", "x.v", "x.u", (F.col("x.o").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("x.i").cast("decimal(10,0)")).alias("at"))
+        return rows.groupBy(*by, "k", "v", "u").agg(F.min("at").alias("at"))
+
+    cut = {k: asked for k, asked in enumerate(lists.values()) if asked.n is not None}
+    whole = {k: asked for k, asked in enumerate(lists.values()) if asked.n is None}
+    parts = [firsts(whole).withColumn("rank", F.lit(0))] if whole else []
     if cut:
-        few = few.unionByName(rows.where(~F.array_contains(whole, F.col("k"))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(cut)))
+        first = Window.partitionBy(*by, "k").orderBy("at", "v")
+        parts.append(firsts(cut).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(asked.n for asked in cut.values())))
+    few = reduce(DataFrame.unionByName, parts)
     within = lambda k, n: (F.col("k") == k) & (F.lit(True) if n is None else F.col("rank") <= n)
     sorted_ = lambda k, n: F.transform(F.array_sort(F.collect_list(F.when(within(k, n), F.struct("at", "v")))), lambda x: x["v"])
     out = few.groupBy(*by).agg(*(sorted_(k, asked.n).alias(name) for k, (name, asked) in enumerate(lists.items())))

@@ -45,7 +45,9 @@ def method_hints(near: Column) -> Column:
 
 
 def nearby_keys(near: Column) -> Column:
-    return F.slice(F.regexp_extract_all(near, F.lit(r"([A-Za-z_$][A-Za-z0-9_$]{1,40})\s*:"), 1), 1, 8)
+    """Names before a colon. A name that no colon follows has none inside, so it is passed over whole, as an empty match."""
+    name = F.lit(r"([A-Za-z_$][A-Za-z0-9_$]{1,40}+)\s*+:|[A-Za-z_$][A-Za-z0-9_$]{0,40}+(?![A-Za-z0-9_$])")
+    return F.slice(F.filter(F.regexp_extract_all(near, name, 1), lambda x: x != ""), 1, 8)
 
 
 def purpose(url: Column) -> Column:
@@ -56,8 +58,7 @@ def purpose(url: Column) -> Column:
 def api_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int = CAPS["rest"]) -> DataFrame:
     """run_id, rank, url, methods, source_artifact_url, purpose, request_fields, evidence; unique by url and methods."""
     near = {"methods_in": NEAR_METHODS, "keys_in": NEAR_KEYS, "evidence_in": NEAR_REST}
-    parts = [ordered.matches(artifacts, "content", p, {"raw": 1}, *KEEP, windows=near).withColumn("pattern", F.lit(k)) for k, p in enumerate((REST_PATTERN, API_PATTERN))]
-    found = parts[0].unionByName(parts[1])
+    found = ordered.matches(artifacts, "content", [REST_PATTERN, API_PATTERN], {"raw": 1}, *KEEP, windows=near)
     rows = found.select(
         "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_hints(F.col("methods_in")).alias("methods"),
         F.col("url").alias("source_artifact_url"), nearby_keys(F.col("keys_in")).alias("request_fields"), clip(F.col("evidence_in")).alias("evidence"),
