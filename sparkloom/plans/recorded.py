@@ -9,13 +9,13 @@ from sparkloom.operators import candidates, dom, flows, planner, probes, surface
 from sparkloom.plans import agents, analysis, run
 from sparkloom.plans.queries import _ENDS, _GQL_ENDS, joined, query
 from sparkloom.sources.store import keep
-from sparkloom.sources.synthetic import read, view
+from sparkloom.sources.synthetic import spread, view
 
 
 def rows_of(spark, sf_dir, sql: str, table: str):
     """A SQL text over one test table, which DuckDB runs too."""
     escaped = sql.replace("{", "{{").replace("}", "}}")
-    return spark.sql(escaped.replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: read(spark, sf_dir, table)})
+    return spark.sql(escaped.replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: spread(spark, sf_dir, table)})
 
 
 _EXT = "CASE p_partkey % 8 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG?v=1' WHEN 2 THEN '.js' WHEN 3 THEN '.woff2#x' WHEN 4 THEN '.pdf' WHEN 5 THEN '/' WHEN 6 THEN '.html' ELSE '.pngx' END"
