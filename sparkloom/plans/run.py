@@ -198,8 +198,11 @@ def chunk_tasks(artifacts: DataFrame, context: int) -> DataFrame:
 def merged_analysis(chunks: DataFrame) -> DataFrame:
     """chunk analyses (run_id, artifact_seq, chunk_index, lists of key and value by kind) to first-wins rows."""
     kinds = [c for c in chunks.columns if c not in ("run_id", "artifact_seq", "chunk_index", "summary")]
-    part = lambda kind: chunks.select("run_id", "artifact_seq", "chunk_index", F.lit(kind).alias("kind"), F.posexplode(kind).alias("pos", "e")).select("run_id", "kind", "artifact_seq", "chunk_index", "pos", "e.key", "e.value")
-    return analysis.merge_first(analysis.union_all([part(k) for k in kinds]))
+    # one explode of all lists, as analyses are computed anew for each read
+    entry = lambda kind: F.transform(kind, lambda e, pos: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), e["key"].alias("key"), e["value"].alias("value")))
+    none = F.array().cast("array<struct<kind:string,pos:int,key:string,value:string>>")
+    rows = chunks.select("run_id", "artifact_seq", "chunk_index", F.explode_outer(F.concat(*(F.coalesce(entry(k), none) for k in kinds))).alias("e")).where("e is not null")
+    return analysis.merge_first(rows.select("run_id", "e.kind", "artifact_seq", "chunk_index", "e.pos", "e.key", "e.value"))
 
 
 def _of_kind(merged: DataFrame, kind: str, schema: str | None) -> DataFrame:
