@@ -24,9 +24,9 @@ def sitemap_locs(body: Column, origin: Column) -> Column:
 
 
 def replies(wanted: DataFrame, responses: DataFrame) -> DataFrame:
-    """wanted (with url) with the body of those that were answered well; others drop out."""
+    """wanted (with url) with the body of those that were answered well; others drop out. Either side may be large whatever its estimate, so none is broadcast."""
     ok = responses.where(F.col("status").between(200, 299) & F.col("body").isNotNull() & (F.col("body") != "")).select("url", "body")
-    return wanted.join(ok, "url")
+    return wanted.join(ok.hint("merge"), "url")
 
 
 def supplemental_pages(roots: DataFrame, responses: DataFrame) -> DataFrame:
