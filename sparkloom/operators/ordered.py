@@ -24,23 +24,24 @@ def _mark(text: Column) -> Column:
 
 def _parts(text: Column, pattern: str) -> Column:
     """The text cut around all matches, in one search: what lies between at even places, matches at odd ones."""
-    return _bound(_mark(text), lambda mark: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1))
+    return bound(_mark(text), lambda mark: F.split(F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1))
 
 
-def _bound(value: Column, then) -> Column:
+def bound(value: Column, then) -> Column:
     """then(value) with the value computed once, however often it is named: in a lambda a column's expression would be computed anew each time."""
     return F.get(F.transform(F.array(value), then), 0)
 
 
-#: Parts up to which a list is folded at once.
-ONE_BLOCK = 64
+#: Parts up to which each match's offset is summed by itself, and up to which a list is folded at once.
+FEW_PARTS, ONE_BLOCK = 9, 64
 
 
 def _located(parts: Column) -> Column:
     """[(at, m)] of the matches with their 0-based offsets.
 
     A list that grows in a fold is copied at each step, so parts are folded in blocks of about the root of their number, each from the
-    place where it starts: 20,000 matches take some millions of steps, not hundreds of millions. Few parts are one block.
+    place where it starts: 20,000 matches take some millions of steps, not hundreds of millions. Few parts are one block, and for the fewest,
+    as most texts have them, no list grows at all.
     """
     none = F.array().cast(_LOCATED)
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
@@ -52,6 +53,11 @@ def _located(parts: Column) -> Column:
     def of(block: Column, start: Column) -> Column:
         return F.aggregate(block, F.struct(start.alias("at"), F.lit(False).alias("odd"), none.alias("all")), step)["all"]
 
+    def few(p: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(p, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+        found = F.transform(F.sequence(F.lit(1), F.size(p) - 1, F.lit(2)), lambda i: F.struct(before(i).alias("at"), F.get(p, i).alias("m")))
+        return F.when(F.size(p) > 1, found).otherwise(none)
+
     def cut(p: Column) -> Column:
         size = F.greatest(F.lit(2), F.ceil(F.sqrt(F.size(p)) / 2).cast("int") * 2)  # even, so that each block starts between matches
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda b: F.slice(p, b * size + 1, size))
@@ -61,7 +67,7 @@ def _located(parts: Column) -> Column:
         starts = F.aggregate(long, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
         return F.flatten(F.zip_with(blocks, starts, of))
 
-    return _bound(parts, lambda p: F.when(F.size(p) <= ONE_BLOCK, of(p, F.lit(0))).otherwise(_bound(cut(p), located)))
+    return bound(parts, lambda p: F.when(F.size(p) <= FEW_PARTS, few(p)).when(F.size(p) <= ONE_BLOCK, of(p, F.lit(0))).otherwise(bound(cut(p), located)))
 
 
 def match_offsets(text: Column, pattern: str) -> Column:
@@ -150,7 +156,7 @@ def capped_lists(df: DataFrame, by: list[str], lists: dict[str, Listed], *more:
 
     def firsts(some: dict[int, Listed]) -> DataFrame:
         """A row for each entry with its least place; one that says that the group exists where a row of df has no entry."""
-        found = _bound(F.concat(*(entries(k, asked) for k, asked in some.items())), lambda x: F.when(F.size(x) == 0, group).otherwise(x))
+        found = bound(F.concat(*(entries(k, asked) for k, asked in some.items())), lambda x: F.when(F.size(x) == 0, group).otherwise(x))
         rows = df.select(*by, F.explode_outer(found).alias("x")).select(*by, "x.k", "x.v", "x.u", (F.col("x.o").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("x.i").cast("decimal(10,0)")).alias("at"))
         return rows.groupBy(*by, "k", "v", "u").agg(F.min("at").alias("at"))
 

@@ -19,6 +19,8 @@ QUOTE = "[\"'`]"
 API_PATH = rf"(/(?:api|rest|graphql|v\d+)[^\"'`{WS_CHARS})]+)"
 REST_PATTERN = rf"(?i)(?:fetch|axios\.(?:get|post|put|patch|delete)|url\s*:\s*|baseURL\s*:\s*)[^\"'`\n]{{0,80}}{QUOTE}{API_PATH}{QUOTE}"
 API_PATTERN = rf"(?i){QUOTE}{API_PATH}{QUOTE}"
+#: REST_PATTERN, told at each place by one letter whether any of its words can begin there.
+REST_SEARCH = REST_PATTERN.replace("(?i)", "(?i)(?=[faub])", 1)
 GRAPHQL_PATTERN = rf"(?i){QUOTE}(https?://[^\"'`{WS_CHARS}]*/graphql[^\"'`{WS_CHARS}]*|/graphql[^\"'`{WS_CHARS}]*){QUOTE}"
 OPERATION_PATTERN = r"(query|mutation|subscription)\s+([A-Za-z_][A-Za-z0-9_]*)\s*(?:\(([^)]*)\))?\s*\{"
 OPENAPI_PATTERN = rf"(?i){QUOTE}(/(?:swagger|openapi|v3/api-docs)[^\"'`]*){QUOTE}"
@@ -39,9 +41,17 @@ def absolute(reference: Column, base: Column, python: bool) -> Column:
 NEAR_METHODS, NEAR_KEYS, NEAR_REST, NEAR_OPERATION, NEAR_OPENAPI = (180, 180), (240, 360), (80, 180), (80, 220), (80, 160)
 
 
+def method_names(near: Column) -> Column:
+    """The methods named nearby, parted by commas."""
+    return F.concat_ws(",", *(F.when(F.upper(near).contains(m), m) for m in METHODS))
+
+
+def method_list(names: Column) -> Column:
+    return F.when(names != "", F.split(names, ",")).otherwise(F.array().cast("array<string>"))
+
+
 def method_hints(near: Column) -> Column:
-    near = F.upper(near)
-    return F.filter(F.array(*map(F.lit, METHODS)), lambda m: near.contains(m))
+    return method_list(method_names(near))
 
 
 def nearby_keys(near: Column) -> Column:
@@ -58,16 +68,15 @@ def purpose(url: Column) -> Column:
 def api_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int = CAPS["rest"]) -> DataFrame:
     """run_id, rank, url, methods, source_artifact_url, purpose, request_fields, evidence; unique by url and methods."""
     near = {"methods_in": NEAR_METHODS, "keys_in": NEAR_KEYS, "evidence_in": NEAR_REST}
-    found = ordered.matches(artifacts, "content", [REST_PATTERN, API_PATTERN], {"raw": 1}, *KEEP, windows=near)
+    found = ordered.matches(artifacts, "content", [REST_SEARCH, API_PATTERN], {"raw": 1}, *KEEP, windows=near)
     rows = found.select(
-        "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_hints(F.col("methods_in")).alias("methods"),
+        "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_names(F.col("methods_in")).alias("names"),
         F.col("url").alias("source_artifact_url"), nearby_keys(F.col("keys_in")).alias("request_fields"), clip(F.col("evidence_in")).alias("evidence"),
     )
     rows = rows.withColumn("purpose", purpose(F.col("endpoint")))
     order = [F.col("artifact_seq"), F.col("pattern"), F.col("match_seq")]
-    key = F.when(F.size("methods") > 0, F.array_join("methods", ",")).otherwise("*")
-    once = ordered.first_wins(rows.withColumn("key", key), ["run_id", "endpoint", "key"], order)
-    return ordered.cap(once, ["run_id"], order, cap).select("run_id", "rank", F.col("endpoint").alias("url"), "methods", "source_artifact_url", "purpose", "request_fields", "evidence")
+    once = ordered.first_wins(rows, ["run_id", "endpoint", "names"], order)
+    return ordered.cap(once, ["run_id"], order, cap).select("run_id", "rank", F.col("endpoint").alias("url"), method_list(F.col("names")).alias("methods"), "source_artifact_url", "purpose", "request_fields", "evidence")
 
 
 def graphql_matches(artifacts: DataFrame, python_urls: bool = False) -> DataFrame:
