@@ -55,9 +55,10 @@ def method_hints(near: Column) -> Column:
 
 
 def nearby_keys(near: Column) -> Column:
-    """Names before a colon. A name that no colon follows has none inside, so it is passed over whole, as an empty match."""
-    name = F.lit(r"([A-Za-z_$][A-Za-z0-9_$]{1,40}+)\s*+:|[A-Za-z_$][A-Za-z0-9_$]{0,40}+(?![A-Za-z0-9_$])")
-    return F.slice(F.filter(F.regexp_extract_all(near, name, 1), lambda x: x != ""), 1, 8)
+    """Names of up to 41 characters before a colon: a pattern sees only what lies right before each colon."""
+    name = lambda x: F.regexp_extract(F.right(F.rtrim(x, F.lit(" \t\n\x0b\f\r")), F.lit(41)), "([A-Za-z_$][A-Za-z0-9_$]{1,40})$", 1)
+    names = ordered.bound(F.split(near, ":"), lambda parts: F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), name))
+    return F.slice(F.filter(names, lambda x: x != ""), 1, 8)
 
 
 def purpose(url: Column) -> Column:
@@ -67,15 +68,14 @@ def purpose(url: Column) -> Column:
 
 def api_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int = CAPS["rest"]) -> DataFrame:
     """run_id, rank, url, methods, source_artifact_url, purpose, request_fields, evidence; unique by url and methods."""
-    near = {"methods_in": NEAR_METHODS, "keys_in": NEAR_KEYS, "evidence_in": NEAR_REST}
-    found = ordered.matches(artifacts, "content", [REST_SEARCH, API_PATTERN], {"raw": 1}, *KEEP, windows=near)
+    within = lambda span: ordered.around(F.col("near"), F.least("pos", F.lit(NEAR_KEYS[0])), *span)  # noqa: E731  the widest window holds the others
+    found = ordered.matches(artifacts, "content", [REST_SEARCH, API_PATTERN], {"raw": 1}, *KEEP, windows={"near": NEAR_KEYS})
     rows = found.select(
-        "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_names(F.col("methods_in")).alias("names"),
-        F.col("url").alias("source_artifact_url"), nearby_keys(F.col("keys_in")).alias("request_fields"), clip(F.col("evidence_in")).alias("evidence"),
+        "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_names(within(NEAR_METHODS)).alias("names"), F.col("url").alias("source_artifact_url"), "near", "pos"
     )
-    rows = rows.withColumn("purpose", purpose(F.col("endpoint")))
     order = [F.col("artifact_seq"), F.col("pattern"), F.col("match_seq")]
     once = ordered.first_wins(rows, ["run_id", "endpoint", "names"], order)
+    once = once.withColumns({"purpose": purpose(F.col("endpoint")), "request_fields": nearby_keys(F.col("near")), "evidence": clip(within(NEAR_REST))}).drop("near", "pos")
     return ordered.cap(once, ["run_id"], order, cap).select("run_id", "rank", F.col("endpoint").alias("url"), method_list(F.col("names")).alias("methods"), "source_artifact_url", "purpose", "request_fields", "evidence")
 
 
