@@ -43,7 +43,7 @@ NEAR_METHODS, NEAR_KEYS, NEAR_REST, NEAR_OPERATION, NEAR_OPENAPI = (180, 180), (
 
 def method_names(near: Column) -> Column:
     """The methods named nearby, parted by commas."""
-    return F.concat_ws(",", *(F.when(F.upper(near).contains(m), m) for m in METHODS))
+    return ordered.bound(F.upper(near), lambda up: F.concat_ws(",", *(F.when(up.contains(m), m) for m in METHODS)))
 
 
 def method_list(names: Column) -> Column:
