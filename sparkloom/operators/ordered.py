@@ -74,16 +74,36 @@ def match_offsets(text: Column, pattern: str) -> Column:
     return F.transform(_located(_parts(text, pattern)), lambda x: x["at"])
 
 
+#: Matches up to which each is looked for as a plain string.
+FEW_MATCHES = 3
+
+
+def _found(text: Column, own: Column, pattern: str) -> Column:
+    """[(at, m)] of a text's matches, own: their strings in order.
+
+    A match is the first place behind the match before it where its string stands, as a pattern that does not look around would have matched there. So few
+    matches are found as plain strings, without folds; where one is not (bytes that are no UTF-8), and for many matches, the text is cut around them.
+    """
+    places: list[Column] = []
+    out = F.when(F.size(own) == 0, F.array().cast(_LOCATED))
+    for k in range(FEW_MATCHES):
+        places.append(F.position(F.get(own, k), text, places[-1] + F.length(F.get(own, k - 1)) if k else F.lit(1)))
+        few = F.array(*(F.struct((at - 1).alias("at"), F.get(own, i).alias("m")) for i, at in enumerate(places))).cast(_LOCATED)
+        out = out.when((F.size(own) == k + 1) & reduce(lambda a, b: a & b, (at > 0 for at in places)), few)
+    return out.when(F.size(own) > 0, _located(_parts(text, pattern))).otherwise(F.array().cast(_LOCATED))
+
+
 def matches(df: DataFrame, text: str, patterns: str | list[str], groups: dict[str, int], *keep: str, windows: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """A row for each match: keep columns, pattern (its number), match_seq, pos, a column for each group, and one for each window around.
 
-    Each pattern's text is searched once; groups are taken from the match alone, so a pattern must not look around, nor match the
-    empty string. Windows (characters before and behind a match's start) are taken in the row, so the text is not carried on.
+    Each pattern's text is searched once, and once more where it has many matches; groups are taken from the match alone, so a pattern must not look
+    around, nor match the empty string. Windows (characters before and behind a match's start) are taken in the row, so the text is not carried on.
     What is computed is tested only behind the explode, and that is an outer one: a filter of a computed column, as an explode brings one
     along, would be pushed below and compute it once more.
     """
     patterns = [patterns] if isinstance(patterns, str) else patterns
-    cut = df.select(*keep, text, *(_parts(F.col(text), p).alias(f"_p{k}") for k, p in enumerate(patterns)))
+    cut = df.select(*keep, text, *(F.regexp_extract_all(text, F.lit(p), 0).alias(f"_m{k}") for k, p in enumerate(patterns)))
+    cut = cut.select(*keep, text, *(_found(F.col(text), F.col(f"_m{k}"), p).alias(f"_p{k}") for k, p in enumerate(patterns)))
 
     def entry(k: int):
         def of(x: Column, i: Column) -> Column:
@@ -92,7 +112,7 @@ def matches(df: DataFrame, text: str, patterns: str | list[str], groups: dict[st
 
         return of
 
-    found = F.concat(*(F.transform(F.when(F.size(f"_p{k}") > 1, _located(F.col(f"_p{k}"))).otherwise(F.array().cast(_LOCATED)), entry(k)) for k in range(len(patterns))))
+    found = F.concat(*(F.transform(f"_p{k}", entry(k)) for k in range(len(patterns))))
     hits = cut.select(*keep, F.explode_outer(found).alias("x")).where("x is not null")
 
     def group(g: int) -> Column:

@@ -41,9 +41,13 @@ def absolute(reference: Column, base: Column, python: bool) -> Column:
 NEAR_METHODS, NEAR_KEYS, NEAR_REST, NEAR_OPERATION, NEAR_OPENAPI = (180, 180), (240, 360), (80, 180), (80, 220), (80, 160)
 
 
+def _named(up: Column) -> Column:
+    return F.concat_ws(",", *(F.when(up.contains(m), m) for m in METHODS))
+
+
 def method_names(near: Column) -> Column:
     """The methods named nearby, parted by commas."""
-    return ordered.bound(F.upper(near), lambda up: F.concat_ws(",", *(F.when(up.contains(m), m) for m in METHODS)))
+    return ordered.bound(F.upper(near), _named)
 
 
 def method_list(names: Column) -> Column:
@@ -71,8 +75,9 @@ def api_endpoints(artifacts: DataFrame, python_urls: bool = False, cap: int = CA
     within = lambda span: ordered.around(F.col("near"), F.least("pos", F.lit(NEAR_KEYS[0])), *span)  # noqa: E731  the widest window holds the others
     found = ordered.matches(artifacts, "content", [REST_SEARCH, API_PATTERN], {"raw": 1}, *KEEP, windows={"near": NEAR_KEYS})
     rows = found.select(
-        "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), method_names(within(NEAR_METHODS)).alias("names"), F.col("url").alias("source_artifact_url"), "near", "pos"
+        "run_id", "artifact_seq", "pattern", "match_seq", absolute(F.col("raw"), F.col("url"), python_urls).alias("endpoint"), F.upper(within(NEAR_METHODS)).alias("up"), F.col("url").alias("source_artifact_url"), "near", "pos"
     )
+    rows = rows.withColumn("names", _named(F.col("up"))).drop("up")
     order = [F.col("artifact_seq"), F.col("pattern"), F.col("match_seq")]
     once = ordered.first_wins(rows, ["run_id", "endpoint", "names"], order)
     once = once.withColumns({"purpose": purpose(F.col("endpoint")), "request_fields": nearby_keys(F.col("near")), "evidence": clip(within(NEAR_REST))}).drop("near", "pos")
