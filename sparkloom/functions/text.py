@@ -20,6 +20,15 @@ def words_re(*alternatives: str) -> str:
     return f"(?i){LEFT}(?:{'|'.join(alternatives)}){RIGHT}"
 
 
+def quick(pattern: str) -> str:
+    """A pattern of ``words_re`` that tells at each place by one character whether any of its words can begin there; other patterns as they are."""
+    ahead = f"(?i){LEFT}(?:"
+    if not pattern.startswith(ahead):
+        return pattern
+    first = "".join(sorted({word[0].lower() for word in pattern[len(ahead) : -len(RIGHT) - 1].split("|")}))
+    return pattern.replace("(?i)", f"(?i)(?=[{first}])", 1)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space to one space, trimmed. A single space between visible ASCII is passed over, and other ASCII is told from white space by one range."""
     return F.trim(F.regexp_replace(text, f"(?=[^!-~])(?! [!-~]){WS}+", " "))

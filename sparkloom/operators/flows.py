@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import clip, words_re
+from sparkloom.functions.text import clip, quick, words_re
 from sparkloom.operators.ordered import Listed, bound, capped_lists, ordered_list
 
 # Rule vocabularies, labels and caps.
@@ -81,19 +81,24 @@ FINDING_TEXTS = {
 
 
 def take(text: Column, pattern: str, n: int = 12, group: int = 0) -> Column:
-    return F.slice(F.filter(F.regexp_extract_all(text, F.lit(pattern), group), lambda x: x != ""), 1, n)
+    return F.slice(F.filter(F.regexp_extract_all(text, F.lit(quick(pattern)), group), lambda x: x != ""), 1, n)
+
+
+def _held(low: Column, needles: tuple[str, ...]) -> Column:
+    return F.array_compact(F.array(*(F.when(low.contains(n), n) for n in needles)))
 
 
 def needles_held(text: Column, needles: tuple[str, ...] = NEEDLES) -> Column:
     """Which of the needles, in lower case, a text holds, whatever its case. Looking for one plain string after the other takes a third of what one pattern of all takes."""
-    found = bound(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(low.contains(n), n) for n in needles))))
-    return F.when(text.isNotNull(), found)
+    return F.when(text.isNotNull(), bound(F.lower(text), lambda low: _held(low, needles)))
 
 
 def scanned(artifacts: DataFrame, *groups) -> DataFrame:
     """artifacts with ``held``, the needles that their text holds: those of all rules, or of groups alone; what has it keeps it, so a run scans its texts once."""
+    if "held" in artifacts.columns:
+        return artifacts
     needles = tuple(dict.fromkeys(n for group in groups for n in group)) or NEEDLES
-    return artifacts if "held" in artifacts.columns else artifacts.withColumn("held", needles_held(F.col("content"), needles))
+    return artifacts.withColumn("_low", F.lower("content")).withColumn("held", F.when(F.col("content").isNotNull(), _held(F.col("_low"), needles))).drop("_low")
 
 
 def may_hold(text: Column, needles, held: Column | None = None) -> Column:
@@ -109,7 +114,7 @@ def error_strings(text: Column, held: Column | None = None) -> Column:
 
 
 def token_touches(text: Column, held: Column | None = None) -> Column:
-    return F.array_compact(F.array(*(F.when(may_hold(text, (word.lower(),), held) & text.rlike(words_re(word)), label) for word, label in TOUCHES)))
+    return F.array_compact(F.array(*(F.when(may_hold(text, (word.lower(),), held) & text.rlike(quick(words_re(word))), label) for word, label in TOUCHES)))
 
 
 def found_by_rule(text: Column, rules, needles, name: str, held: Column | None = None) -> Column:
@@ -132,7 +137,7 @@ def wants_snippet(resource_type: Column, url: Column) -> Column:
 
 def hits(text: Column, rules, needles, held: Column | None = None) -> Column:
     """Numbers of the rules that match."""
-    return F.array_compact(F.array(*(F.when(may_hold(text, needles[k], held) & text.rlike(pattern), F.lit(k)) for k, (_, pattern) in enumerate(rules))))
+    return F.array_compact(F.array(*(F.when(may_hold(text, needles[k], held) & text.rlike(quick(pattern)), F.lit(k)) for k, (_, pattern) in enumerate(rules))))
 
 
 def _label(rules) -> Column:
@@ -143,6 +148,12 @@ def _evidence(text: Column) -> Column:
     return clip(F.substring(text, 1, 260))
 
 
+def _exploded(rows: DataFrame, hits_: str, name: str, keep: list[str], taken: dict[str, Column]) -> DataFrame:
+    """A row for each hit of a list, with keep and what is taken of the text: once for a text, and only of one that has hits."""
+    once = rows.select(*keep, hits_, *(F.when(F.size(hits_) > 0, c).alias(k) for k, c in taken.items()))
+    return once.select(*keep, *taken, F.explode_outer(hits_).alias(name)).where(F.col(name).isNotNull())
+
+
 def _empty(column: str) -> Column:
     return F.coalesce(column, F.array().cast("array<string>"))
 
@@ -155,10 +166,10 @@ def _destinations(endpoints: DataFrame, pattern: str, n: int = 8) -> DataFrame:
 def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     """At most one flow a run: triggers, steps, tokens, errors, evidence."""
     fields = F.exists("forms", lambda f: F.exists(f["input_types"], lambda t: F.lower(t).isin("password", "email", "tel")))
-    forms = snapshots.where(fields | F.concat_ws(" ", F.col("title"), F.array_join("headings", " ")).rlike(AUTH))
-    is_auth = F.col("url").rlike(AUTH)
-    auth_ends = endpoints.where(is_auth | F.col("purpose").rlike(AUTH)).groupBy("run_id").agg(
-        F.max(is_auth).alias("any_url"),
+    forms = snapshots.where(fields | F.concat_ws(" ", F.col("title"), F.array_join("headings", " ")).rlike(quick(AUTH)))
+    known = endpoints.select("run_id", "rank", "url", "methods", "purpose", F.col("url").rlike(quick(AUTH)).alias("is_auth"))
+    auth_ends = known.where(F.col("is_auth") | F.col("purpose").rlike(quick(AUTH))).groupBy("run_id").agg(
+        F.max("is_auth").alias("any_url"),
         F.slice(ordered_list(F.col("rank"), F.col("url")), 1, 4).alias("end_urls"),
         F.slice(ordered_list(F.col("rank"), F.concat(F.col("url"), F.lit(" via "), F.when(F.size("methods") > 0, F.array_join("methods", ",")).otherwise("unknown method"))), 1, 8).alias("end_evidence"),
     )
@@ -166,7 +177,7 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
         F.array_sort(F.collect_list(F.struct("page_seq", "url", "title", "headings", "buttons", "summary", "forms"))).alias("pages")
     )
     held, seq = scanned(artifacts, ERROR_NEEDLES, (w.lower() for w, _ in TOUCHES)), F.col("artifact_seq")
-    told = F.filter(error_strings(F.col("content"), F.col("held")), lambda e: e.rlike(AUTH) | e.rlike("(?i)captcha"))
+    told = F.filter(error_strings(F.col("content"), F.col("held")), lambda e: e.rlike(quick(AUTH)) | e.rlike("(?i)captcha"))
     texts = capped_lists(held.select("run_id", "artifact_seq", token_touches(F.col("content"), F.col("held")).alias("tokens"), told.alias("errors")), ["run_id"], {"tokens": Listed(seq, F.col("tokens"), None), "errors": Listed(seq, F.col("errors"), None)})
     rows = pages.join(auth_ends, "run_id", "full").where(F.col("pages").isNotNull() | F.col("any_url")).join(texts, "run_id", "left")
     none = F.array().cast("array<string>")
@@ -179,7 +190,7 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
     )
     words = F.flatten(F.transform(pages_, lambda p: F.concat(F.array(p["title"]), p["headings"], p["buttons"])))
     return rows.select(
-        "run_id", F.lit(AUTH_TITLE).alias("title"), F.slice(F.array_distinct(F.filter(words, lambda x: x.rlike(AUTH))), 1, 10).alias("triggers"),
+        "run_id", F.lit(AUTH_TITLE).alias("title"), F.slice(F.array_distinct(F.filter(words, lambda x: x.rlike(quick(AUTH)))), 1, 10).alias("triggers"),
         F.flatten(F.transform(pages_, lambda p: F.transform(p["forms"], lambda f: step(p, f)))).alias("steps"), _empty("tokens").alias("tokens"), _empty("errors").alias("errors"),
         F.array_distinct(F.concat(F.transform(pages_, lambda p: F.concat_ws(": ", p["url"], p["summary"])), F.coalesce("end_evidence", none))).alias("evidence"),
     )
@@ -188,20 +199,21 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
 def captcha_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     """A flow for each provider that a run's artifacts or page summaries name."""
     rules = hits(F.col("content"), CAPTCHA, CAPTCHA_NEEDLES, F.col("held"))
-    own = scanned(artifacts, *CAPTCHA_NEEDLES, ERROR_NEEDLES).select("run_id", "artifact_seq", "content", "held", F.explode_outer(rules).alias("rule")).where("rule is not null")
-    own = own.select("run_id", "artifact_seq", "rule", error_strings(F.col("content"), F.col("held")).alias("errors"), _evidence(F.col("content")).alias("evidence"))
+    own = scanned(artifacts, *CAPTCHA_NEEDLES, ERROR_NEEDLES).select("run_id", "artifact_seq", "content", "held", rules.alias("rules"))
+    own = _exploded(own, "rules", "rule", ["run_id", "artifact_seq"], {"errors": error_strings(F.col("content"), F.col("held")), "evidence": _evidence(F.col("content"))})
     seq = F.col("artifact_seq")
     own = capped_lists(own, ["run_id", "rule"], {"errors": Listed(seq, F.col("errors"), 8), "texts": Listed(seq, F.array("evidence"), 10)})
-    told = snapshots.select("run_id", "page_seq", "summary", F.explode_outer(hits(F.col("summary"), CAPTCHA, CAPTCHA_NEEDLES)).alias("rule")).where("rule is not null").groupBy("run_id", "rule").agg(ordered_list(F.col("page_seq"), F.col("summary")).alias("summaries"))
+    told = scanned(snapshots.select("run_id", "page_seq", "summary", F.col("summary").alias("content")), *CAPTCHA_NEEDLES)
+    told = told.select("run_id", "page_seq", "summary", F.explode_outer(hits(F.col("content"), CAPTCHA, CAPTCHA_NEEDLES, F.col("held"))).alias("rule")).where("rule is not null").groupBy("run_id", "rule").agg(ordered_list(F.col("page_seq"), F.col("summary")).alias("summaries"))
     flows = own.join(told, ["run_id", "rule"], "full")
-    named = F.concat_ws(" ", "url", "purpose")
-    rules = F.when(F.col("url").rlike(CAPTCHA_RELATED), F.sequence(F.lit(0), F.lit(len(CAPTCHA) - 1))).otherwise(hits(named, CAPTCHA, CAPTCHA_NEEDLES))
-    ends = endpoints.select("run_id", "rank", "url", "request_fields", F.explode_outer(rules).alias("rule")).where("rule is not null")
+    named = scanned(endpoints.select("run_id", "rank", "url", "request_fields", F.concat_ws(" ", "url", "purpose").alias("content")), *CAPTCHA_NEEDLES)
+    rules = F.when(F.col("url").rlike(CAPTCHA_RELATED), F.sequence(F.lit(0), F.lit(len(CAPTCHA) - 1))).otherwise(hits(F.col("content"), CAPTCHA, CAPTCHA_NEEDLES, F.col("held")))
+    ends = named.select("run_id", "rank", "url", "request_fields", F.explode_outer(rules).alias("rule")).where("rule is not null")
     ends = capped_lists(ends, ["run_id", "rule"], {"endpoints": Listed(F.col("rank"), F.array("url"), 12, distinct=False), "request_fields": Listed(F.col("rank"), F.col("request_fields"), 12)})
     entries = F.concat(F.array("title"), F.col("headings"), F.array("summary"))
     words = snapshots.groupBy("run_id").agg(F.flatten(ordered_list(F.col("page_seq"), entries)).alias("words"))
     none = F.array().cast("array<string>")
-    triggers = reduce(lambda acc, k: F.when(F.col("rule") == k, F.filter("words", lambda x: x.rlike(CAPTCHA[k][1]) | x.rlike(CAPTCHA_RELATED))).otherwise(acc), range(len(CAPTCHA)), none)
+    triggers = reduce(lambda acc, k: F.when(F.col("rule") == k, F.filter("words", lambda x: x.rlike(quick(CAPTCHA[k][1])) | x.rlike(CAPTCHA_RELATED))).otherwise(acc), range(len(CAPTCHA)), none)
     out = flows.join(ends, ["run_id", "rule"], "left").join(words, "run_id", "left")
     return out.select(
         "run_id", "rule", _label(CAPTCHA).alias("provider"), F.slice(F.array_distinct(F.coalesce(triggers, none)), 1, 10).alias("triggers"), _empty("endpoints").alias("endpoints"),
@@ -221,8 +233,8 @@ def fingerprint_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame
 def encryption_signals(endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
     text, seq = F.col("content"), F.col("artifact_seq")
     found = found_by_rule(text, ENCRYPTION, ENCRYPTION_NEEDLES, "hints", F.col("held"))
-    rows = scanned(artifacts, *ENCRYPTION_NEEDLES).select("run_id", "artifact_seq", "url", "content", F.explode_outer(found).alias("f")).where("f is not null")
-    rows = rows.select("run_id", "artifact_seq", "url", _evidence(text).alias("text"), take(text, ENCRYPTION_IN).alias("ins"), take(text, ENCRYPTION_OUT).alias("outs"), "f", F.col("f.rule").alias("rule"))
+    rows = scanned(artifacts, *ENCRYPTION_NEEDLES).select("run_id", "artifact_seq", "url", "content", found.alias("found"))
+    rows = _exploded(rows, "found", "f", ["run_id", "artifact_seq", "url"], {"text": _evidence(text), "ins": take(text, ENCRYPTION_IN), "outs": take(text, ENCRYPTION_OUT)}).withColumn("rule", F.col("f.rule"))
     lists = {"algorithm_hints": "f.hints", "inputs": "ins", "outputs": "outs"}
     rows = capped_lists(rows, ["run_id", "rule"], {**{name: Listed(seq, F.col(c), 12) for name, c in lists.items()}, "evidence": Listed(seq, F.array(F.concat_ws(": ", "url", "text")), 8, distinct=False)})
     rows = rows.join(_destinations(endpoints, ENCRYPTION_TO), "run_id", "left")
