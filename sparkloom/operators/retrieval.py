@@ -18,7 +18,22 @@ def segment_rows(df: DataFrame, text: str, *by: str, size: int = SEGMENT) -> Dat
 
 
 def term_weights(segs: DataFrame, *by: str) -> DataFrame:
-    """A row for each segment and token; counted within the segment's row first, so little is shuffled."""
+    """A row for each segment and token, with how often the segment holds it.
+
+    Segments are dealt out as texts, which are far smaller than their tokens' rows, and rows of one key meet as texts; then tokens are sorted and counted
+    within the key's row, so no token is shuffled or kept in a map. What is computed is in no filter, which would compute it once more.
+    """
+    keys = [*by, "segment_index"]
+    met = segs.select(*keys, "segment").repartition(*keys).groupBy(*keys).agg(F.collect_list("segment").alias("_texts"))
+    tokens = met.select(*keys, F.sort_array(F.flatten(F.transform("_texts", lambda t: rag_tokens(t)))).alias("_tokens"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_tokens") - 1), lambda i: (i == 0) | (F.get("_tokens", i) != F.get("_tokens", i - 1)))
+    found = tokens.select(*keys, "_tokens", F.when(F.size("_tokens") > 0, starts).alias("_starts"))
+    each = F.transform("_starts", lambda at, i: F.struct(F.get("_tokens", at).alias("token"), (F.coalesce(F.get("_starts", i + 1), F.size("_tokens")) - at).cast("long").alias("weight")))
+    return found.select(*keys, F.explode_outer(each).alias("_x")).where("_x is not null").select(*keys, "_x.token", "_x.weight")
+
+
+def _term_rows(segs: DataFrame, *by: str) -> DataFrame:
+    """``term_weights`` by a map of tokens, for the index's long segments: counting in the row was not shown to be faster there."""
     tokens = segs.select(*by, "segment_index", F.explode(rag_tokens(F.col("segment"))).alias("token"))
     return tokens.groupBy(*by, "segment_index", "token").agg(F.count("*").alias("weight"))
 
@@ -60,7 +75,7 @@ class Index:
         self.root = f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
         self.names: list[str] = []
         self.segs = self._write(segs, "segments", by)
-        self.terms = self._write(term_weights(self.segs, *by), "terms", (*by, "token"))
+        self.terms = self._write(_term_rows(self.segs, *by), "terms", (*by, "token"))
 
     def _write(self, df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
         known = f"sparkloom_{name}_{uuid.uuid4().hex}"
