@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import rag_tokens, segments
 from sparkloom.sources.store import shared_dir
@@ -32,12 +35,6 @@ def term_weights(segs: DataFrame, *by: str) -> DataFrame:
     return found.select(*keys, F.explode_outer(each).alias("_x")).where("_x is not null").select(*keys, "_x.token", "_x.weight")
 
 
-def _term_rows(segs: DataFrame, *by: str) -> DataFrame:
-    """``term_weights`` by a map of tokens, for the index's long segments: counting in the row was not shown to be faster there."""
-    tokens = segs.select(*by, "segment_index", F.explode(rag_tokens(F.col("segment"))).alias("token"))
-    return tokens.groupBy(*by, "segment_index", "token").agg(F.count("*").alias("weight"))
-
-
 def query_weights(queries: DataFrame, *by: str) -> DataFrame:
     """A row for each query and token of its first characters."""
     tokens = queries.select(*by, "query_id", F.explode(rag_tokens(F.substring("query", 1, QUERY_CHARS))).alias("token"))
@@ -57,35 +54,60 @@ def top_segments(segs: DataFrame, queries: DataFrame, *by: str, k: int = RESULTS
 def _best(terms: DataFrame, segs: DataFrame, queries: DataFrame, by: tuple[str, ...], k: int) -> DataFrame:
     met = terms.join(query_weights(queries, *by), [*by, "token"])
     scored = met.groupBy(*by, "query_id", "segment_index").agg(F.sum(F.col("asked") * F.col("weight")).alias("score"))
-    unwanted = queries.select(*by, "query_id", F.nullif(F.trim(F.substring("exclude", 1, EXCLUDE_CHARS)), F.lit("")).alias("exclude")).where("exclude is not null")
-    dropped = segs.join(unwanted, list(by)).where(F.col("segment").contains(F.col("exclude"))).select(*by, "query_id", "segment_index")
+    dropped = segs.join(queries.select(*by, "query_id", _unwanted().alias("exclude")).where("exclude is not null"), list(by)).where(F.col("segment").contains(F.col("exclude"))).select(*by, "query_id", "segment_index")
     scored = scored.join(dropped, [*by, "query_id", "segment_index"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "segment_index"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.withColumn("rank", _rank(by)).where(F.col("rank") <= k)
+
+
+def _unwanted() -> Column:
+    """What a segment may not hold, or null."""
+    return F.nullif(F.trim(F.substring("exclude", 1, EXCLUDE_CHARS)), F.lit(""))
+
+
+def _rank(by: tuple[str, ...]) -> Column:
+    return F.row_number().over(Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "segment_index"))
+
+
+def _token_text(text: Column) -> Column:
+    """The text's tokens, with what is repeated, parted by spaces, which no token holds."""
+    return F.array_join(rag_tokens(text), " ")
+
+
+@F.arrow_udf(T.LongType())
+def shared_weight(asked: pa.Array, held: pa.Array) -> pa.Array:
+    """Of two token texts: for each token how often both hold it, multiplied, summed. One row's tokens are held at a time."""
+    out = []
+    for few, many in zip(asked, held, strict=True):
+        times = Counter((few.as_py() or "").split())
+        out.append(sum(filter(None, map(times.get, (many.as_py() or "").split()))))
+    return pa.array(out, pa.int64())
 
 
 class Index:
-    """Segments' terms, written once in buckets of (by, token), and the segments in buckets of by: any number of query batches join both
-    where they lie, so only queries and scores are exchanged. ``drop`` when done; else the tables' files stay in the shared folder.
+    """Segments with their tokens, written once in buckets of by. Any number of query batches meet them where they lie: of a batch the texts that count are exchanged,
+    and a segment and a query are scored in their common row, so no token is a row that is shuffled, sorted or kept. ``drop`` when done; else the table's files stay in the shared folder.
     """
 
     def __init__(self, segs: DataFrame, *by: str, buckets: int | None = None):
         self.spark, self.by = segs.sparkSession, by
         self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.root = f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
-        self.names: list[str] = []
-        self.segs = self._write(segs, "segments", by)
-        self.terms = self._write(_term_rows(self.segs, *by), "terms", (*by, "token"))
-
-    def _write(self, df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
-        known = f"sparkloom_{name}_{uuid.uuid4().hex}"
-        df.repartition(self.buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(self.buckets, *keys).saveAsTable(known)
-        self.names.append(known)
-        return self.spark.table(known)
+        self.names = [f"sparkloom_segments_{uuid.uuid4().hex}"]
+        dealt = segs.repartition(self.buckets, *by).withColumn("tokens", _token_text(F.col("segment")))
+        dealt.write.format("parquet").option("compression", "zstd").option("path", self.root).bucketBy(self.buckets, *by).saveAsTable(self.names[0])
+        self.segs = self.spark.table(self.names[0])
 
     def top(self, queries: DataFrame, k: int = RESULTS) -> DataFrame:
-        """``top_segments`` of the stored ones."""
-        return _best(self.terms, self.segs, queries, self.by, k)
+        """``top_segments`` of the stored ones. Rows of one key are added up, as scores are sums over tokens of either side."""
+        by, query = self.by, F.substring("query", 1, QUERY_CHARS)
+        asked = queries.select(*by, "query_id", query.alias("query"), _unwanted().alias("exclude")).repartition(self.buckets, *by)
+        asked = asked.select(*by, "query_id", _token_text(F.col("query")).alias("asked"), "exclude")
+        met = self.segs.join(asked.hint("merge"), list(by))
+        unwanted = F.coalesce(F.col("segment").contains(F.col("exclude")), F.lit(False))
+        each = met.select(*by, "query_id", "segment_index", shared_weight("asked", "tokens").alias("score"), unwanted.alias("unwanted"))
+        scored = each.groupBy(*by, "query_id", "segment_index").agg(F.sum("score").alias("score"), F.bool_or("unwanted").alias("unwanted")).where("not unwanted").drop("unwanted")
+        # without a common token a segment is no result; told last, as a filter below would score once more
+        return scored.withColumn("rank", _rank(by)).where((F.col("rank") <= k) & (F.col("score") > 0))
 
     def drop(self) -> None:
         for known in self.names:
