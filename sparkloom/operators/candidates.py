@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,7 @@ JS_PATTERNS = (
     (rf"{Q}({NQ}+\.(?:m?js|cjs|wasm|map)(?:\?{NQ}*)?){Q}", "script"),
     (rf"[@#]\s*sourceMappingURL=([^{WS_CHARS}]+)", "source-map"),
 )
-CANDIDATE = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("raw", T.StringType()), T.StructField("kind", T.StringType())]))
+CANDIDATE = T.ArrayType(T.StructType([T.StructField("seq", T.LongType()), T.StructField("url", T.StringType()), T.StructField("kind", T.StringType())]))
 
 
 def js_references(content: Column) -> Column:
@@ -36,25 +35,31 @@ def js_references(content: Column) -> Column:
 
 
 def js_candidates(sources: DataFrame, origin_label: Column, *by: str) -> DataFrame:
-    """by, base_url, content, a row for each by, to by, seq, url, type, discovered_from: resolved, typed by ending, first wins.
+    """by, base_url, content, a row for each by, to by, seq, url, type, discovered_from: resolved, typed by ending, first wins."""
+    refs = F.transform(js_references(F.col("content")), lambda x, i: F.struct(x["raw"].alias("raw"), x["type"].alias("type"), i.alias("seq")))
+    raw = sources.select(*by, "base_url", origin_label.alias("discovered_from"), refs.alias("refs")).where(F.size("refs") > 0)
+    rows = _first_urls(raw, *by, "discovered_from").select(*by, "discovered_from", F.explode("found").alias("c"))
+    return rows.select(*by, F.col("c.seq").alias("seq"), "c.url", "discovered_from", urls.asset_type(F.col("c.url"), F.col("c.type")).alias("type"))
+
+
+def _first_urls(sources: DataFrame, *columns: str) -> DataFrame:
+    """columns, base_url, refs [(raw, type, seq)] to columns, base_url, found [(url, seq, type)], the first of each URL.
 
-    A script's references are resolved and made unique in its own row: most by expressions, and only lists of the odd ones go to Python.
+    References are resolved and made unique in their own row: most by expressions, and only lists of the odd ones go to Python.
     """
-    raw = sources.select(*by, "base_url", origin_label.alias("discovered_from"), js_references(F.col("content")).alias("refs")).where(F.size("refs") > 0)
     base = F.struct(*(c.alias(n) for n, c in urls.base_parts(F.col("base_url")).items()))
-    raw = raw.select(*by, "base_url", "discovered_from", "refs", base.alias("base"))
+    raw = sources.select(*columns, "base_url", "refs", base.alias("base"))
     easy = F.transform("refs", lambda x: urls.resolve_plain(x["raw"], F.col("base")))
-    raw = raw.select(*by, "base_url", "discovered_from", "refs", easy.alias("easy"))
+    raw = raw.select(*columns, "base_url", "refs", easy.alias("easy"))
     # the odd ones go and come back at their places, the others as nulls
     odd = F.zip_with("refs", "easy", lambda x, y: F.when(y.isNull(), x["raw"]))
-    found = raw.select(*by, "discovered_from", "refs", "easy", urls.candidate_resolve_list(F.when(F.exists("easy", lambda x: x.isNull()), odd), F.col("base_url")).alias("hard"))
+    found = raw.select(*columns, "base_url", "refs", "easy", urls.candidate_resolve_list(F.when(F.exists("easy", lambda x: x.isNull()), odd), F.col("base_url")).alias("hard"))
     url = lambda x, i: F.coalesce(x, F.get("hard", i))
-    entry = F.transform("easy", lambda x, i: F.struct(url(x, i).alias("url"), i.alias("seq"), F.get("refs", i)["type"].alias("type")))
+    entry = F.transform("easy", lambda x, i: F.struct(url(x, i).alias("url"), F.get("refs", i)["seq"].alias("seq"), F.get("refs", i)["type"].alias("type")))
     usable = F.filter(entry, lambda x: x["url"].isNotNull() & (x["url"] != "") & ~urls.is_asset(x["url"]))
-    ordered_ = found.select(*by, "discovered_from", F.array_sort(usable).alias("s"))
+    ordered_ = found.select(*columns, "base_url", F.array_sort(usable).alias("s"))
     once = F.filter("s", lambda x, i: (i == 0) | (F.get("s", i - 1)["url"] != x["url"]))
-    rows = ordered_.select(*by, "discovered_from", F.explode(once).alias("c"))
-    return rows.select(*by, F.col("c.seq").alias("seq"), "c.url", "discovered_from", urls.asset_type(F.col("c.url"), F.col("c.type")).alias("type"))
+    return ordered_.select(*columns, "base_url", once.alias("found"))
 
 
 class JsCandidates:
@@ -128,30 +133,35 @@ class _References(HTMLParser):
         self.handle_endtag("script")
 
 
-@F.arrow_udf(T.StructType([T.StructField("refs", CANDIDATE), T.StructField("inline", T.ArrayType(T.StringType()))]))
-def html_references(html: pa.Array) -> pa.Array:
-    rows = []
-    for text in html.to_pylist():
-        parser = _References()
-        parser.feed(text or "")
-        parser.close()
-        rows.append({"refs": [{"seq": n, "raw": r, "kind": k} for n, (_, _, r, k) in enumerate(sorted(parser.found))], "inline": parser.inline})
-    return pa.array(rows, pa.struct([("refs", pa.list_(pa.struct([("seq", pa.int32()), ("raw", pa.string()), ("kind", pa.string())]))), ("inline", pa.list_(pa.string()))]))
+@F.udf(T.StructType([T.StructField("refs", CANDIDATE), T.StructField("inline", T.ArrayType(T.StringType()))]), useArrow=False)
+def html_references(html: str | None, base: str | None):
+    """A page's usable references, resolved, and the code of its inline scripts. No Arrow: its batches grow to 10,000 pages with all that is made of them, others are a hundred rows."""
+    parser = _References()
+    parser.feed(html or "")
+    parser.close()
+    found = ((n, urls.resolve_candidate(raw, base), kind) for n, (_, _, raw, kind) in enumerate(sorted(parser.found)))
+    return [x for x in found if x[1] is not None], parser.inline
 
 
 def html_candidates(pages: DataFrame, *by: str, inline: bool = True) -> DataFrame:
-    """by, url, html to by, seq, url, type, discovered_from: scripts, preloads, same-origin pages, then inline code; first wins by URL."""
-    parsed = pages.select(*by, F.col("url").alias("base_url"), html_references(F.col("html")).alias("r"))
-    refs = parsed.select(*by, "base_url", F.explode("r.refs").alias("x")).select(*by, "base_url", F.col("x.seq").alias("seq"), F.col("x.kind").alias("discovered_from"), urls.candidate_resolve(F.col("x.raw"), F.col("base_url")).alias("url"))
-    is_page = F.col("discovered_from").isin("html:a", "html:iframe", "html:form")
-    refs = refs.where("url is not null").where(~is_page | (urls.looks_like_page(urls.path(F.col("url"))) & (urls.origin(F.col("url")) == urls.origin(F.col("base_url")))))
-    type_ = F.when(is_page, "html").when(F.col("discovered_from") == "html:preload", urls.asset_type(F.col("url"), "script")).otherwise("script")
-    out = refs.select(*by, F.col("seq").cast("long").alias("seq"), "url", type_.alias("type"), "discovered_from")
+    """by, url, html to by, seq, url, type, discovered_from: scripts, preloads, same-origin pages, then inline code; first wins by URL.
+
+    A page is parsed once for both: its references and those of its inline code become rows together, and only what is no filter below tells which rows are none.
+    """
+    label = "html:inline-script"
+    parsed = pages.select(*by, F.col("url").alias("base_url"), html_references(F.col("html"), F.col("url")).alias("r"))
+    listed = F.transform("r.refs", lambda x: F.struct(x["url"].alias("url"), x["seq"].alias("seq"), F.lit(None).cast("string").alias("type"), x["kind"].alias("discovered_from")))
     if inline:
-        code = parsed.select(*by, "base_url", F.posexplode("r.inline").alias("place", "content"))
-        js = js_candidates(code, F.lit("html:inline-script"), *by, "place")
-        out = out.unionByName(js.select(*by, ((F.col("place").cast("long") + 1) * (1 << 32) + F.col("seq")).alias("seq"), "url", "type", "discovered_from"))
-    return ordered.first_wins(out, [*by, "url"], [F.col("seq")])
+        seq = lambda place, i: (place.cast("long") + 1) * (1 << 32) + i
+        of_code = lambda code, place: F.transform(js_references(code), lambda x, i: F.struct(x["raw"].alias("raw"), x["type"].alias("type"), seq(place, i).alias("seq")))
+        parsed = _first_urls(parsed.select(*by, "base_url", "r", F.flatten(F.transform("r.inline", of_code)).alias("refs")), *by, "r")
+        listed = F.concat(listed, F.transform("found", lambda c: F.struct(c["url"].alias("url"), c["seq"].alias("seq"), c["type"].alias("type"), F.lit(label).alias("discovered_from"))))
+    rows = parsed.select(*by, "base_url", F.explode_outer(listed).alias("x")).where("x is not null").select(*by, "base_url", "x.*")
+    is_page = F.col("discovered_from").isin("html:a", "html:iframe", "html:form")
+    rows = rows.where(~is_page | (urls.looks_like_page(urls.path(F.col("url"))) & (urls.origin(F.col("url")) == urls.origin(F.col("base_url")))))
+    script = F.when(F.col("discovered_from") == label, F.col("type")).otherwise(F.lit("script"))
+    type_ = F.when(is_page, "html").when(F.col("discovered_from") == "html:script", "script").otherwise(urls.asset_type(F.col("url"), script))
+    return ordered.first_wins(rows.select(*by, "seq", "url", type_.alias("type"), "discovered_from"), [*by, "url"], [F.col("seq")])
 
 
 def nested_filter(df: DataFrame, entry: Column, scope: Column) -> Column:
