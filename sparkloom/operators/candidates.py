@@ -35,10 +35,13 @@ def js_references(content: Column) -> Column:
 
 
 def js_candidates(sources: DataFrame, origin_label: Column, *by: str) -> DataFrame:
-    """by, base_url, content, a row for each by, to by, seq, url, type, discovered_from: resolved, typed by ending, first wins."""
+    """by, base_url, content, a row for each by, to by, seq, url, type, discovered_from: resolved, typed by ending, first wins.
+
+    The explode is an outer one, as for others Spark infers a filter of their list, pushes it below and makes the list there once more, each of its parts anew wherever it is named.
+    """
     refs = F.transform(js_references(F.col("content")), lambda x, i: F.struct(x["raw"].alias("raw"), x["type"].alias("type"), i.alias("seq")))
-    raw = sources.select(*by, "base_url", origin_label.alias("discovered_from"), refs.alias("refs")).where(F.size("refs") > 0)
-    rows = _first_urls(raw, *by, "discovered_from").select(*by, "discovered_from", F.explode("found").alias("c"))
+    raw = sources.select(*by, "base_url", origin_label.alias("discovered_from"), refs.alias("refs"))
+    rows = _first_urls(raw, *by, "discovered_from").select(*by, "discovered_from", F.explode_outer("found").alias("c")).where("c is not null")
     return rows.select(*by, F.col("c.seq").alias("seq"), "c.url", "discovered_from", urls.asset_type(F.col("c.url"), F.col("c.type")).alias("type"))
 
 
