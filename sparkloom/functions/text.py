@@ -57,9 +57,9 @@ def content_of(formatted: Column, raw: Column) -> Column:
     return F.coalesce(F.nullif(formatted, F.lit("")), raw)
 
 
-def rag_tokens(text: Column, most: int = 4000) -> Column:
-    """Search tokens: runs of two or more of letters, digits and _ $ . -, in lower case."""
-    return F.slice(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_$.-]{2,})"), 1), 1, most)
+def rag_tokens(text: Column) -> Column:
+    """Search tokens of the whole text: runs of two or more of letters, digits and _ $ . -, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_$.-]{2,})"), 1)
 
 
 def report_tokens(text: Column) -> Column:

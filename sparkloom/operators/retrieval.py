@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from sparkloom.functions.text import rag_tokens, segments
 from sparkloom.sources.store import shared_dir
 
+#: The last two are of agents' questions, which keep to them; the index takes whole ones.
 SEGMENT, RESULTS, QUERY_CHARS, EXCLUDE_CHARS = 16384, 3, 6000, 256
 
 
@@ -36,8 +38,8 @@ def term_weights(segs: DataFrame, *by: str) -> DataFrame:
 
 
 def query_weights(queries: DataFrame, *by: str) -> DataFrame:
-    """A row for each query and token of its first characters."""
-    tokens = queries.select(*by, "query_id", F.explode(rag_tokens(F.substring("query", 1, QUERY_CHARS))).alias("token"))
+    """A row for each query and token."""
+    tokens = queries.select(*by, "query_id", F.explode(rag_tokens(F.col("query"))).alias("token"))
     return tokens.groupBy(*by, "query_id", "token").agg(F.count("*").alias("asked"))
 
 
@@ -61,7 +63,7 @@ def _best(terms: DataFrame, segs: DataFrame, queries: DataFrame, by: tuple[str,
 
 def _unwanted() -> Column:
     """What a segment may not hold, or null."""
-    return F.nullif(F.trim(F.substring("exclude", 1, EXCLUDE_CHARS)), F.lit(""))
+    return F.nullif(F.trim("exclude"), F.lit(""))
 
 
 def _rank(by: tuple[str, ...]) -> Column:
@@ -73,14 +75,30 @@ def _token_text(text: Column) -> Column:
     return F.array_join(rag_tokens(text), " ")
 
 
+#: Characters of queries whose counted tokens are remembered.
+COUNTED_CHARS = 1 << 22
+
+
 @F.arrow_udf(T.LongType())
-def shared_weight(asked: pa.Array, held: pa.Array) -> pa.Array:
-    """Of two token texts: for each token how often both hold it, multiplied, summed. One row's tokens are held at a time."""
-    out = []
-    for few, many in zip(asked, held, strict=True):
-        times = Counter((few.as_py() or "").split())
-        out.append(sum(filter(None, map(times.get, (many.as_py() or "").split()))))
-    return pa.array(out, pa.int64())
+def shared_weight(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of two token texts: for each token how often both hold it, multiplied, summed.
+
+    Queries are whole texts, and a text's segments follow each other, so a query's tokens are counted for the first of them and looked up for the others:
+    a text costs its tokens, not those times its segments. One row's tokens are held at a time, and the counts of the last queries.
+    """
+    known: dict[str, Counter] = {}
+    chars = 0
+    for asked, held in batches:
+        out = []
+        for few, many in zip(asked, held, strict=True):
+            query = few.as_py() or ""
+            if query not in known:
+                chars += len(query)
+                if chars > COUNTED_CHARS:
+                    known, chars = {}, len(query)
+                known[query] = Counter(query.split())
+            out.append(sum(filter(None, map(known[query].get, (many.as_py() or "").split()))))
+        yield pa.array(out, pa.int64())
 
 
 class Index:
@@ -99,8 +117,8 @@ class Index:
 
     def top(self, queries: DataFrame, k: int = RESULTS) -> DataFrame:
         """``top_segments`` of the stored ones. Rows of one key are added up, as scores are sums over tokens of either side."""
-        by, query = self.by, F.substring("query", 1, QUERY_CHARS)
-        asked = queries.select(*by, "query_id", query.alias("query"), _unwanted().alias("exclude")).repartition(self.buckets, *by)
+        by = self.by
+        asked = queries.select(*by, "query_id", "query", _unwanted().alias("exclude")).repartition(self.buckets, *by)
         asked = asked.select(*by, "query_id", _token_text(F.col("query")).alias("asked"), "exclude")
         met = self.segs.join(asked.hint("merge"), list(by))
         unwanted = F.coalesce(F.col("segment").contains(F.col("exclude")), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.parsing import extract_json, pretty_json
-from sparkloom.operators.retrieval import QUERY_CHARS, segment_rows, top_segments, with_segments
+from sparkloom.operators.retrieval import EXCLUDE_CHARS, QUERY_CHARS, segment_rows, top_segments, with_segments
 
 MEMO = "struct<role:string,summary:string,observations:array<string>,evidence:array<string>,nextQuestions:array<string>>"
 CHUNK = (
@@ -92,7 +92,8 @@ def prompts(rows: DataFrame, artifacts: DataFrame, memo_rows: DataFrame | None =
 def retrieved_segments(rows: DataFrame, artifacts: DataFrame) -> DataFrame:
     """For each task the segments of its artifact that its query finds: run_id, artifact_seq, chunk_index, agent, segments."""
     segs = segment_rows(artifacts, "content", "run_id", "artifact_seq")
-    asked = retrieval_queries(rows).withColumn("query_id", F.struct("chunk_index", "agent"))
+    # a chunk may be longer than a segment, so its beginning tells the segment that has it
+    asked = retrieval_queries(rows).withColumns({"query_id": F.struct("chunk_index", "agent"), "exclude": F.substring("exclude", 1, EXCLUDE_CHARS)})
     found = with_segments(top_segments(segs, asked, "run_id", "artifact_seq"), segs, "run_id", "artifact_seq")
     lists = found.groupBy("run_id", "artifact_seq", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: x["segment"]).alias("segments"))
     return lists.select("run_id", "artifact_seq", "query_id.chunk_index", "query_id.agent", "segments")
