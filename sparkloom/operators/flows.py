@@ -2,7 +2,8 @@
 
 Inputs are per run: artifacts (artifact_seq, url, content), snapshots (page_seq, url, title, headings, forms, buttons,
 summary), endpoints (rank, url, methods, purpose, request_fields) and traces (one row, see ``runtime_signals``). Rules are
-arrays in expressions, so a row is tested against them where it lies, and only hits are grouped.
+arrays in expressions, so a row is tested against them where it lies, and only hits are grouped. Tables with a row a run are
+joined by exchanges: as stored lists take some thirtieth of their memory, Spark would broadcast what no driver holds.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def _empty(column: str) -> Column:
 
 def _destinations(endpoints: DataFrame, pattern: str, n: int = 8) -> DataFrame:
     hit = endpoints.where(F.concat_ws(" ", "url", "purpose").rlike(pattern))
-    return hit.groupBy("run_id").agg(F.slice(ordered_list(F.col("rank"), F.col("url")), 1, n).alias("destination_urls"))
+    return hit.groupBy("run_id").agg(F.slice(ordered_list(F.col("rank"), F.col("url")), 1, n).alias("destination_urls")).hint("merge")
 
 
 def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def auth_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFrame)
     held, seq = scanned(artifacts, ERROR_NEEDLES, (w.lower() for w, _ in TOUCHES)), F.col("artifact_seq")
     told = F.filter(error_strings(F.col("content"), F.col("held")), lambda e: e.rlike(quick(AUTH)) | e.rlike("(?i)captcha"))
     texts = capped_lists(held.select("run_id", "artifact_seq", token_touches(F.col("content"), F.col("held")).alias("tokens"), told.alias("errors")), ["run_id"], {"tokens": Listed(seq, F.col("tokens"), None), "errors": Listed(seq, F.col("errors"), None)})
-    rows = pages.join(auth_ends, "run_id", "full").where(F.col("pages").isNotNull() | F.col("any_url")).join(texts, "run_id", "left")
+    rows = pages.join(auth_ends, "run_id", "full").where(F.col("pages").isNotNull() | F.col("any_url")).join(texts.hint("merge"), "run_id", "left")
     none = F.array().cast("array<string>")
     urls_, pages_ = F.coalesce("end_urls", none), F.coalesce("pages", F.expr("from_json('[]', 'array<struct<page_seq:int,url:string,title:string,headings:array<string>,buttons:array<string>,summary:string,forms:array<struct<action:string,method:string,input_names:array<string>,input_types:array<string>,submit_labels:array<string>>>>>')"))
     step = lambda p, f: F.struct(
@@ -214,7 +215,7 @@ def captcha_flows(snapshots: DataFrame, endpoints: DataFrame, artifacts: DataFra
     words = snapshots.groupBy("run_id").agg(F.flatten(ordered_list(F.col("page_seq"), entries)).alias("words"))
     none = F.array().cast("array<string>")
     triggers = reduce(lambda acc, k: F.when(F.col("rule") == k, F.filter("words", lambda x: x.rlike(quick(CAPTCHA[k][1])) | x.rlike(CAPTCHA_RELATED))).otherwise(acc), range(len(CAPTCHA)), none)
-    out = flows.join(ends, ["run_id", "rule"], "left").join(words, "run_id", "left")
+    out = flows.join(ends.hint("merge"), ["run_id", "rule"], "left").join(words.hint("merge"), "run_id", "left")
     return out.select(
         "run_id", "rule", _label(CAPTCHA).alias("provider"), F.slice(F.array_distinct(F.coalesce(triggers, none)), 1, 10).alias("triggers"), _empty("endpoints").alias("endpoints"),
         _empty("request_fields").alias("request_fields"), _empty("errors").alias("errors"), F.slice(F.array_distinct(F.concat(_empty("texts"), _empty("summaries"))), 1, 10).alias("evidence"),
@@ -306,7 +307,7 @@ def runtime_signals(requests: DataFrame, session: DataFrame | None = None) -> Da
 
 def merge_auth(flows: DataFrame, traces: DataFrame) -> DataFrame:
     """A captured trace's requests, storage names and messages added to the run's flow. traces: ``runtime_signals`` with status and notes."""
-    both = flows.join(traces.where("status = 'captured'"), "run_id", "left")
+    both = flows.join(traces.where("status = 'captured'").hint("merge"), "run_id", "left")
     seen = F.col("status").isNotNull()
     step = F.array(F.struct(F.lit(RUNTIME_STEP).alias("title"), F.lit(RUNTIME_STEP_TEXT).alias("description"), F.col("auth_request_urls").alias("endpoints"), F.slice("console_lines", 1, 4).alias("evidence")))
     more = lambda column, n, *add: F.when(seen, F.slice(F.array_distinct(F.concat(column, *(_empty(a) for a in add))), 1, n)).otherwise(F.col(column)).alias(column)
